@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -74,65 +73,68 @@ class CohortSpec:
     rules: tuple[InclusionRule, ...] = ()
 
 
-def _entries(days: DataFrame, observation: DataFrame, spec: CohortSpec) -> DataFrame:
-    observed_since = F.date_add("observation_period_start_date", spec.prior_days)
-    return (
-        days.where(
-            F.col("concept_set").isin(*spec.entry_sets) & (F.col("date") >= F.lit(spec.entry_from).cast("date"))
-        )
-        .join(observation, "person_id")
-        .where(F.col("date").between(observed_since, F.col("observation_period_end_date")))
-        .groupBy("person_id", "observation_period_end_date")
-        .agg(F.min("date").alias("entry_date"))
-    )
-
+def evaluate_rules(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
+    """Entries of all definitions with ``inclusion_mask``: bit i is set if rule i holds.
 
-def evaluate_rules(days: DataFrame, observation: DataFrame, spec: CohortSpec) -> DataFrame:
-    """Entries of one definition with ``inclusion_mask``: bit i is set if rule i holds.
-
-    All rules are counted in one pass over ``days`` (see ``event_days``).
+    ``days`` are distinct person-set-days (see ``event_days``), so a person is
+    bounded and a window over persons is safe. Entry dates and rule counts of
+    all definitions come from one pass over them.
     """
-    entries = _entries(days, observation, spec)
-    counts = []
-    for i, rule in enumerate(spec.rules):
-        hit = F.col("concept_set").isin(*rule.concept_sets) & F.col("date").between(
-            F.date_add("entry_date", rule.first_day), F.date_add("entry_date", rule.last_day)
+    person = W.partitionBy("person_id")
+    observed = days.join(observation, "person_id")
+    entry_dates, counts, results = {}, [], []
+    for k, spec in enumerate(specs):
+        observed_since = F.date_add("observation_period_start_date", spec.prior_days)
+        opens = (
+            F.col("concept_set").isin(*spec.entry_sets)
+            & (F.col("date") >= F.lit(spec.entry_from).cast("date"))
+            & F.col("date").between(observed_since, F.col("observation_period_end_date"))
         )
-        counts.append(F.coalesce(F.sum(F.when(hit, F.col("n_events"))), F.lit(0)).alias(f"rule_{i}"))
-    counted = entries.join(days, "person_id", "left") if counts else entries
-    keys = ("person_id", "observation_period_end_date", "entry_date")
-    counted = counted.groupBy(*keys).agg(*counts) if counts else counted
-    mask = F.lit(0).cast("long")
-    for i, rule in enumerate(spec.rules):
-        holds = F.col(f"rule_{i}") >= rule.at_least
-        if rule.at_most is not None:
-            holds &= F.col(f"rule_{i}") <= rule.at_most
-        mask = mask + F.when(holds, 2**i).otherwise(0)
+        entry_dates[f"entry_{k}"] = F.min(F.when(opens, F.col("date"))).over(person)
+        mask = F.lit(0).cast("long")
+        for i, rule in enumerate(spec.rules):
+            hit = F.col("concept_set").isin(*rule.concept_sets) & F.col("date").between(
+                F.date_add(f"entry_{k}", rule.first_day), F.date_add(f"entry_{k}", rule.last_day)
+            )
+            counts.append(F.sum(F.when(hit, F.col("n_events")).otherwise(0)).alias(f"rule_{k}_{i}"))
+            holds = F.col(f"rule_{k}_{i}") >= rule.at_least
+            if rule.at_most is not None:
+                holds &= F.col(f"rule_{k}_{i}") <= rule.at_most
+            mask = mask + F.when(holds, 2**i).otherwise(0)
+        results.append(
+            F.struct(
+                F.lit(spec.cohort_definition_id).alias("cohort_definition_id"),
+                F.col(f"entry_{k}").alias("entry_date"),
+                mask.alias("inclusion_mask"),
+            )
+        )
+    keys = ("person_id", "observation_period_end_date", *entry_dates)
+    with_entries = observed.withColumns(entry_dates)
+    counted = with_entries.groupBy(*keys).agg(*counts) if counts else with_entries.select(*keys).distinct()
     return counted.select(
-        F.lit(spec.cohort_definition_id).alias("cohort_definition_id"),
-        *keys,
-        mask.alias("inclusion_mask"),
-    )
+        "person_id", "observation_period_end_date", F.inline(F.array(*results))
+    ).where(F.col("entry_date").isNotNull())
 
 
 def generate_cohorts(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
     """Cohort rows of all definitions: persons whose entry passes every rule."""
-    parts = []
+    exits, passed = [], []
     for spec in specs:
-        passed = 2 ** len(spec.rules) - 1
-        parts.append(
-            evaluate_rules(days, observation, spec)
-            .where(F.col("inclusion_mask") == passed)
-            .select(
-                "cohort_definition_id",
-                F.col("person_id").alias("subject_id"),
-                F.col("entry_date").alias("cohort_start_date"),
-                F.least("observation_period_end_date", F.date_add("entry_date", spec.max_follow_up)).alias(
-                    "cohort_end_date"
-                ),
-            )
+        mine = F.col("cohort_definition_id") == spec.cohort_definition_id
+        exits.append(F.when(mine, spec.max_follow_up))
+        passed.append(F.when(mine, F.col("inclusion_mask") == 2 ** len(spec.rules) - 1))
+    return (
+        evaluate_rules(days, observation, specs)
+        .where(F.coalesce(*passed))
+        .select(
+            "cohort_definition_id",
+            F.col("person_id").alias("subject_id"),
+            F.col("entry_date").alias("cohort_start_date"),
+            F.least("observation_period_end_date", F.date_add("entry_date", F.coalesce(*exits))).alias(
+                "cohort_end_date"
+            ),
         )
-    return reduce(DataFrame.unionByName, parts)
+    )
 
 
 def inclusion_counts(evaluated: DataFrame) -> DataFrame:

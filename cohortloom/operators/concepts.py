@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,32 +52,46 @@ def code_events(events: DataFrame, members: DataFrame) -> DataFrame:
     return events.join(members, "concept_id").select(*EVENT_COLUMNS)
 
 
-def window_condition(pulls: Sequence[PullSpec]) -> Column:
-    """True where the event's date lies in the window of its own set (both ends included)."""
-    by_window: dict[tuple[str, str], list[str]] = {}
-    for pull in pulls:
-        by_window.setdefault((pull.start_col, pull.end_col), []).append(pull.concept_set)
-    return reduce(
-        lambda a, b: a | b,
-        [
-            F.col("concept_set").isin(*names) & F.col("date").between(F.col(start), F.col(end))
-            for (start, end), names in by_window.items()
-        ],
+def person_window_rows(windows: DataFrame, pulls: Sequence[PullSpec], carry: Sequence[str] = ()) -> DataFrame:
+    """One row per person and distinct date window of the pulls: window_no, first_day, last_day."""
+    bounds = [
+        F.struct(F.lit(number).alias("window_no"), F.col(start).alias("first_day"), F.col(end).alias("last_day"))
+        for number, (start, end) in enumerate(_distinct_windows(pulls))
+    ]
+    return windows.select("person_id", *carry, F.inline(F.array(*bounds)))
+
+
+def _distinct_windows(pulls: Sequence[PullSpec]) -> list[tuple[str, str]]:
+    return list(dict.fromkeys((pull.start_col, pull.end_col) for pull in pulls))
+
+
+def _window_of_set(pulls: Sequence[PullSpec]) -> Column:
+    numbers = {window: number for number, window in enumerate(_distinct_windows(pulls))}
+    return F.coalesce(
+        *[
+            F.when(F.col("concept_set") == pull.concept_set, numbers[pull.start_col, pull.end_col])
+            for pull in pulls
+        ]
     )
 
 
-def pull_concept_sets(coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec]) -> DataFrame:
+def pull_concept_sets(
+    coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec], carry: Sequence[str] = ()
+) -> DataFrame:
     """Events of all pulled sets inside their windows, one row per event.
 
-    All sets go through one scan and one join on the person.
+    All sets go through one scan and one join, on person and window number; the
+    window's days (both included) are checked in the join. With this key neither
+    side arrives already partitioned, so both are shuffled for the join and AQE
+    can split the rows of a person who owns a large part of them. ``carry``
+    names person columns to keep on the rows, which saves a second such join.
     """
     names = [pull.concept_set for pull in pulls]
-    bounds = sorted({pull.start_col for pull in pulls} | {pull.end_col for pull in pulls})
+    rows = coded_events.where(F.col("concept_set").isin(*names)).withColumn("window_no", _window_of_set(pulls))
     return (
-        coded_events.where(F.col("concept_set").isin(*names))
-        .join(windows.select("person_id", *bounds), "person_id")
-        .where(window_condition(pulls))
-        .select(*EVENT_COLUMNS)
+        rows.join(person_window_rows(windows, pulls, carry), ["person_id", "window_no"])
+        .where(F.col("date").between(F.col("first_day"), F.col("last_day")))
+        .select(*coded_events.columns, *carry)
     )
 
 
@@ -105,11 +118,12 @@ def event_days(coded_events: DataFrame) -> DataFrame:
     )
 
 
-def count_pulls(pulled: DataFrame) -> DataFrame:
+def count_pulls(pulled: DataFrame, freq: str | None = None) -> DataFrame:
     """Events and persons per concept set; per-person counts first, so no distinct list is kept."""
+    n = F.sum(freq) if freq else F.count("*")
     return (
         pulled.groupBy("concept_set", "person_id")
-        .agg(F.count("*").alias("n"))
+        .agg(n.alias("n"))
         .groupBy("concept_set")
         .agg(F.sum("n").alias("n_events"), F.count("*").alias("n_persons"))
     )

@@ -2,9 +2,9 @@
 
 A cycle starts on its anchor day and holds the ``cycle_days`` days after it;
 the next anchor is the first treatment day beyond that. The anchors of a person
-are found once, on distinct treatment days (bounded by the treatment window),
-and put on the rows by one join on the person. No window function ever runs
-over raw treatment rows.
+are found once, on distinct treatment days (bounded by the treatment window).
+Joined to the person's cohort row they ride along when the treatment rows are
+pulled; no window function ever runs over raw treatment rows.
 """
 
 from __future__ import annotations
@@ -59,13 +59,16 @@ def anchors_by_person(treatments: DataFrame, config: StudyConfig = StudyConfig()
     )
 
 
-def annotate_cycles(treatments: DataFrame, anchors: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
-    """Treatment rows with their person's anchors and the number of the cycle they fall in (else null)."""
-    rows = treatments.join(anchors, "person_id")
+def annotate_cycles(treatments: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
+    """Treatment rows carrying their person's anchors get the number of the cycle they fall in (else null)."""
     started = F.size(F.filter(F.col("anchors"), lambda a: a["date"] <= F.col("date")))
     anchor = F.element_at(F.col("anchors"), F.col("started"))["date"]
     inside = (F.col("started") > 0) & (F.col("date") <= F.date_add(anchor, config.cycle_days))
-    return rows.withColumn("started", started).withColumn("cycle", F.when(inside, F.col("started"))).drop("started")
+    return (
+        treatments.withColumn("started", started)
+        .withColumn("cycle", F.when(inside, F.col("started")))
+        .drop("started")
+    )
 
 
 def _with_first_cycle(annotated: DataFrame, config: StudyConfig) -> DataFrame:

@@ -45,18 +45,28 @@ def range_join_days(cycles: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def range_join_outcomes(cycles: DataFrame, outcome_events: DataFrame) -> DataFrame:
+def range_join_outcomes(cycles: DataFrame, outcome_events: DataFrame, salts: int = 4) -> DataFrame:
     """The same join keeping every event as its own row.
 
     A left join cannot be split on its right side, where a person may have very
-    many events. So matches come from an inner join, which can, and cycles
-    without a match from an anti join against the distinct days.
+    many events. So matches come from an inner join, and cycles without a match
+    from an anti join against the distinct days. In the inner join a salt
+    spreads the events of a person; as it also makes both sides be shuffled for
+    the join, AQE can split a salt further. Each cycle (at most ``max_cycles``
+    per person) is repeated once per salt.
     """
-    events = outcome_events.select("person_id", "date", F.col("concept_set").alias("preg_concept"))
+    columns = ("date", "preg_concept")
+    events = outcome_events.select(
+        "person_id",
+        "date",
+        F.col("concept_set").alias("preg_concept"),
+        F.pmod(F.xxhash64("date", "concept_set", "concept_id"), F.lit(salts)).cast("int").alias("salt"),
+    )
+    salted = cycles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     matched = (
         events.alias("o")
-        .join(cycles.alias("c"), _in_follow_up())
-        .select(*[f"c.{name}" for name in CYCLE_COLUMNS], "o.date", "o.preg_concept")
+        .join(salted.alias("c"), _in_follow_up() & (F.col("o.salt") == F.col("c.salt")))
+        .select(*[f"c.{name}" for name in CYCLE_COLUMNS], *[f"o.{name}" for name in columns])
     )
     days = outcome_events.select("person_id", "date").distinct()
     unmatched = cycles.alias("c").join(days.alias("o"), _in_follow_up(), "left_anti").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,22 +57,31 @@ class Inputs:
     def windows(self) -> DataFrame:
         return cohort.cohort_windows(self.cohort, CONFIG)
 
-    def pulled(self, *sets: str) -> DataFrame:
-        pulls = [pull for pull in CONFIG.pulls() if pull.concept_set in sets]
-        return concepts.pull_concept_sets(self.coded, self.windows(), pulls)
+    def pulls(self, sets: tuple[str, ...]):
+        return [pull for pull in CONFIG.pulls() if pull.concept_set in sets]
 
-    def treatments(self) -> DataFrame:
-        return self.pulled(*CONFIG.treatment_sets)
+    def pulled(self, *sets: str) -> DataFrame:
+        """Every event of the sets inside its window."""
+        return concepts.pull_concept_sets(self.coded, self.windows(), self.pulls(sets))
 
-    def outcome_events(self) -> DataFrame:
-        return self.pulled(*CONFIG.outcome_sets)
+    def pulled_days(self, *sets: str) -> DataFrame:
+        """The same as distinct person-set-days with counts, for results that need no single events."""
+        days = concepts.event_days(self.coded.where(F.col("concept_set").isin(*sets)))
+        return concepts.pull_concept_sets(days, self.windows(), self.pulls(sets))
 
     def anchors(self) -> DataFrame:
-        return cycles.anchors_by_person(self.treatments(), CONFIG)
+        return cycles.anchors_by_person(self.pulled_days(*CONFIG.treatment_sets), CONFIG)
 
     def annotated(self) -> DataFrame:
-        treatments = self.treatments()
-        return cycles.annotate_cycles(treatments, cycles.anchors_by_person(treatments, CONFIG), CONFIG)
+        """Every treatment row with its person's anchors and its cycle."""
+        persons = self.windows().join(self.anchors(), "person_id")
+        pulls = self.pulls(CONFIG.treatment_sets)
+        rows = concepts.pull_concept_sets(self.coded, persons, pulls, carry=["anchors"])
+        return cycles.annotate_cycles(rows, CONFIG)
+
+    def annotated_days(self) -> DataFrame:
+        days = self.pulled_days(*CONFIG.treatment_sets)
+        return cycles.annotate_cycles(days.join(cycles.anchors_by_person(days, CONFIG), "person_id"), CONFIG)
 
     def timelines(self) -> DataFrame:
         return study.person_timelines(self.coded, self.cohort, CONFIG)
@@ -112,16 +122,10 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query
 def cohort_scan(study_in: Inputs) -> DataFrame:
-    path = f"{materialized_cohort(study_in)}"
-    return tables.read_cohort(study_in.spark, path, surrogate.COHORT_DEFINITION_ID)
-
-
-def materialized_cohort(study_in: Inputs) -> str:
-    import uuid
-
+    """Store the generated cohort and scan it by definition."""
     path = f"{shared_folder(study_in.spark)}/cohort-{uuid.uuid4().hex}"
     tables.write_cohort(study_in.cohort, path)
-    return path
+    return tables.read_cohort(study_in.spark, path, surrogate.COHORT_DEFINITION_ID)
 
 
 @query
@@ -137,11 +141,7 @@ def cohort_generate(study_in: Inputs) -> DataFrame:
 
 def evaluated_rules(study_in: Inputs) -> DataFrame:
     days = concepts.event_days(study_in.coded)
-    observation = surrogate.observation_period(study_in.coded)
-    first, *others = [cohort.evaluate_rules(days, observation, spec) for spec in COHORT_SPECS]
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    return cohort.evaluate_rules(days, surrogate.observation_period(study_in.coded), COHORT_SPECS)
 
 
 @query
@@ -178,12 +178,12 @@ def concept_set_resolve(study_in: Inputs) -> DataFrame:
 
 @query
 def pull_long_treatments(study_in: Inputs) -> DataFrame:
-    return study_in.treatments()
+    return study_in.pulled(*CONFIG.treatment_sets)
 
 
 @query
 def pull_long_outcomes(study_in: Inputs) -> DataFrame:
-    return study_in.outcome_events()
+    return study_in.pulled(*CONFIG.outcome_sets)
 
 
 @query
@@ -194,8 +194,9 @@ def pull_indicator(study_in: Inputs) -> DataFrame:
 
 @query
 def pull_all_counts(study_in: Inputs) -> DataFrame:
-    pulled = concepts.pull_concept_sets(study_in.coded, study_in.windows(), CONFIG.pulls())
-    return concepts.count_pulls(pulled)
+    """All twelve pulls as one job."""
+    sets = [pull.concept_set for pull in CONFIG.pulls()]
+    return concepts.count_pulls(study_in.pulled_days(*sets), freq="n_events")
 
 
 @query
@@ -210,7 +211,7 @@ def first_treatment(study_in: Inputs) -> DataFrame:
     values = ("concept_id", "concept_set")
     rows = study_in.windows().select("person_id", "cohort_start_date")
     for name in ("IUI", "ART"):
-        rows = joins.left_join_first(rows, study_in.pulled(name), by_entry_day, values, f"_{name}")
+        rows = joins.left_join_first(rows, study_in.pulled_days(name), by_entry_day, values, f"_{name}")
     return rows.withColumn("first_txt", itt.first_treatment_label())
 
 
@@ -229,13 +230,14 @@ def later_treatments(study_in: Inputs) -> DataFrame:
 
 @query
 def quickly_after(study_in: Inputs) -> DataFrame:
-    return cycles.quickly_after(cycles.later_treatments(study_in.annotated(), CONFIG), CONFIG)
+    later = cycles.later_treatments(study_in.annotated_days(), CONFIG)
+    return cycles.quickly_after(later, CONFIG)
 
 
 @query
 def union_by_name(study_in: Inputs) -> DataFrame:
     """First row of each course for persons with a quick second course."""
-    annotated = study_in.annotated()
+    annotated = study_in.annotated_days()
     quick = cycles.quickly_after(cycles.later_treatments(annotated, CONFIG), CONFIG)
     dated = cycles.treatment_dates(annotated, CONFIG)
     first = cycles.first_rows(joins.restrict_to_persons(dated, quick), ["person_id"], CONFIG)
@@ -264,7 +266,8 @@ def cycle_number(study_in: Inputs) -> DataFrame:
 
 @query
 def first_row_per_cycle(study_in: Inputs) -> DataFrame:
-    return cycles.first_rows(cycle_number(study_in), ["person_id", "cycle"], CONFIG)
+    numbered = cycles.cycle_number(cycles.four_cycles(study_in.annotated_days(), CONFIG))
+    return cycles.first_rows(numbered, ["person_id", "cycle"], CONFIG)
 
 
 @query
@@ -277,17 +280,17 @@ def cycle_followup(study_in: Inputs) -> DataFrame:
 
 @query
 def pregnancies(study_in: Inputs) -> DataFrame:
-    return outcomes.pregnancies(study_in.outcome_events(), CONFIG)
+    return outcomes.pregnancies(study_in.pulled(*CONFIG.outcome_sets), CONFIG)
 
 
 @query
 def range_join_outcomes(study_in: Inputs) -> DataFrame:
-    return outcomes.range_join_outcomes(cycle_followup(study_in), study_in.outcome_events())
+    return outcomes.range_join_outcomes(cycle_followup(study_in), study_in.pulled(*CONFIG.outcome_sets))
 
 
 @query
 def pivot_outcomes(study_in: Inputs) -> DataFrame:
-    days = outcomes.outcome_days(study_in.outcome_events())
+    days = outcomes.outcome_days(study_in.pulled_days(*CONFIG.outcome_sets))
     return outcomes.pivot_outcomes(outcomes.range_join_days(cycle_followup(study_in), days), CONFIG)
 
 
@@ -299,7 +302,7 @@ def cycle_outcomes(study_in: Inputs) -> DataFrame:
 @query
 def cycle_outcomes_relational(study_in: Inputs) -> DataFrame:
     """The same from separate tables: lead, range join, pivot, left join."""
-    days = outcomes.outcome_days(study_in.outcome_events())
+    days = outcomes.outcome_days(study_in.pulled_days(*CONFIG.outcome_sets))
     return outcomes.cycle_outcomes(cycle_followup(study_in), days, study_in.windows(), CONFIG)
 
 
@@ -336,17 +339,17 @@ def qc_both_treated(study_in: Inputs) -> DataFrame:
 
 @query
 def qc_pregnancy_counts(study_in: Inputs) -> DataFrame:
-    return qc.outcome_counts(study_in.outcome_events())
+    return qc.outcome_counts(study_in.pulled_days(*CONFIG.outcome_sets), freq="n_events")
 
 
 @query
 def qc_person_lookup(study_in: Inputs) -> DataFrame:
-    return qc.person_rows(study_in.outcome_events(), LOOKUP_PERSON)
+    return qc.person_rows(study_in.pulled(*CONFIG.outcome_sets), LOOKUP_PERSON)
 
 
 @query
 def qc_mixed_cycle(study_in: Inputs) -> DataFrame:
-    return qc.mixed_first_cycle(treatment_dates(study_in))
+    return qc.mixed_first_cycle(study_in.annotated_days(), freq="n_events")
 
 
 @query

@@ -1,7 +1,8 @@
 """Study inputs derived from the order tables: orders are patients' claims, parts are concepts.
 
 Each function is lazy. ``clinical_events`` joins on the order key before the
-concept key is used, so every table built on it shares that shuffle.
+concept key is used and states that its columns are known, so that every branch
+of a query starts with the same scans and shuffles and Spark runs them once.
 """
 
 from __future__ import annotations
@@ -45,11 +46,12 @@ def clinical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """person_id, date, concept_id: one row per line item."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+    events = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("person_id"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_partkey").alias("concept_id"),
     )
+    return events.where("person_id is not null and date is not null and concept_id is not null")
 
 
 def concept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def concept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         set_of_size(F.col("p_size")).alias("concept_set"),
         F.col("p_partkey").alias("concept_id"),
-    )
+    ).where("concept_set is not null")
 
 
 def concept_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:

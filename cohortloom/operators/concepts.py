@@ -97,7 +97,7 @@ def pull_concept_sets(
 
 def pull_indicators(coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec]) -> DataFrame:
     """One row per person with at least one event; one 1.0/null column per set, named in lower case."""
-    pulled = pull_concept_sets(event_days(coded_events), windows, pulls)
+    pulled = pull_concept_sets(coded_events, windows, pulls)
     return pulled.groupBy("person_id").agg(
         *[
             F.max(F.when(F.col("concept_set") == pull.concept_set, 1.0)).alias(pull.concept_set.lower())
@@ -110,20 +110,20 @@ def event_days(coded_events: DataFrame) -> DataFrame:
     """One row per person, set and day: lowest concept id and number of events.
 
     The aggregate is combined before its shuffle, so a person holding a third
-    of all events arrives as at most (days x sets) rows. Everything that needs
-    a whole person in one place works on this frame and never on raw events.
+    of all events arrives as at most (days x sets) rows. Windows and joins that
+    need a whole person in one place use this frame, never raw events. Where
+    date windows apply, pull first: fewer rows are then aggregated.
     """
     return coded_events.groupBy("person_id", "concept_set", "date").agg(
         F.min("concept_id").alias("concept_id"), F.count("*").alias("n_events")
     )
 
 
-def count_pulls(pulled: DataFrame, freq: str | None = None) -> DataFrame:
+def count_pulls(pulled: DataFrame) -> DataFrame:
     """Events and persons per concept set; per-person counts first, so no distinct list is kept."""
-    n = F.sum(freq) if freq else F.count("*")
     return (
         pulled.groupBy("concept_set", "person_id")
-        .agg(n.alias("n"))
+        .agg(F.count("*").alias("n"))
         .groupBy("concept_set")
         .agg(F.sum("n").alias("n_events"), F.count("*").alias("n_persons"))
     )

@@ -23,25 +23,24 @@ def source_order(concept_set: Column, config: StudyConfig) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in config.treatment_sets]), concept_set).cast("int")
 
 
-def source_name(order: Column, config: StudyConfig) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in config.treatment_sets]), order)
-
-
-def greedy_anchors(days: Column, config: StudyConfig) -> Column:
-    """Fold an array of (date, source_order) into the kept anchors, earliest first.
+def greedy_anchors(days: str, config: StudyConfig = StudyConfig()) -> Column:
+    """Fold an array column of (date, source_order) into the kept anchors, earliest first.
 
     Each anchor keeps the first treatment kind of its day.
     """
-    none = F.array().cast(f"array<{TREATMENT_DAY}>")
-
-    def step(anchors, day):
-        last = F.element_at(anchors, -1)["date"]
-        opens = (F.size(anchors) == 0) | (
-            (F.size(anchors) < config.max_cycles) & (day["date"] > F.date_add(last, config.cycle_days))
-        )
-        return F.when(opens, F.concat(anchors, F.array(day))).otherwise(anchors)
-
-    return F.aggregate(F.array_sort(days), none, step)
+    return F.expr(
+        f"""
+        aggregate(
+          array_sort({days}),
+          cast(array() as array<{TREATMENT_DAY}>),
+          (kept, day) -> case
+            when size(kept) = 0 then array(day)
+            when size(kept) < {config.max_cycles}
+              and day.date > date_add(element_at(kept, -1).date, {config.cycle_days})
+              then concat(kept, array(day))
+            else kept end)
+        """
+    )
 
 
 def anchors_by_person(treatments: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
@@ -55,13 +54,13 @@ def anchors_by_person(treatments: DataFrame, config: StudyConfig = StudyConfig()
         treatments.where(F.col("date").isNotNull())
         .groupBy("person_id")
         .agg(F.collect_set(day).alias("days"))
-        .select("person_id", greedy_anchors(F.col("days"), config).alias("anchors"))
+        .select("person_id", greedy_anchors("days", config).alias("anchors"))
     )
 
 
 def annotate_cycles(treatments: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
     """Treatment rows carrying their person's anchors get the number of the cycle they fall in (else null)."""
-    started = F.size(F.filter(F.col("anchors"), lambda a: a["date"] <= F.col("date")))
+    started = F.expr("size(filter(anchors, a -> a.date <= date))")
     anchor = F.element_at(F.col("anchors"), F.col("started"))["date"]
     inside = (F.col("started") > 0) & (F.col("date") <= F.date_add(anchor, config.cycle_days))
     return (
@@ -182,23 +181,22 @@ def cycle_rows(anchors: DataFrame, config: StudyConfig = StudyConfig()) -> DataF
 
     The next anchor is read from the array, so no window and no sort are needed.
     """
-    return anchors.select("person_id", F.inline(cycle_structs(F.col("anchors"), config))).select(
+    return anchors.select("person_id", F.inline(cycle_structs("anchors", config))).select(
         "person_id", "concept_set", "day_1", "cycle", "next_cycle", "end_preg"
     )
 
 
-def cycle_structs(anchors: Column, config: StudyConfig = StudyConfig()) -> Column:
-    """Array of anchors -> array of cycles with their follow-up."""
-
-    def cycle(anchor, position):
-        next_cycle = F.try_element_at(anchors, position + 2)["date"]
-        day_1 = anchor["date"]
-        return F.struct(
-            source_name(anchor["source_order"], config).alias("concept_set"),
-            day_1.alias("day_1"),
-            (position + 1).alias("cycle"),
-            next_cycle.alias("next_cycle"),
-            F.coalesce(next_cycle, F.date_add(day_1, config.pregnancy_days)).alias("end_preg"),
-        )
-
-    return F.transform(anchors, cycle)
+def cycle_structs(anchors: str, config: StudyConfig = StudyConfig()) -> Column:
+    """Array column of anchors -> array of cycles with their follow-up."""
+    kinds = ", ".join(f"'{name}'" for name in config.treatment_sets)
+    return F.expr(
+        f"""
+        transform({anchors}, (anchor, i) -> named_struct(
+          'concept_set', element_at(array({kinds}), anchor.source_order),
+          'day_1', anchor.date,
+          'cycle', i + 1,
+          'next_cycle', try_element_at({anchors}, i + 2).date,
+          'end_preg', coalesce(
+            try_element_at({anchors}, i + 2).date, date_add(anchor.date, {config.pregnancy_days}))))
+        """
+    )

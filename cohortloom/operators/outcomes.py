@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CENSORED, LIVE_BIRTH, NO_PREGNANCY, PREGNANCY, PREGNANCY_LOSS, StudyConfig
@@ -88,20 +86,21 @@ def pivot_outcomes(joined: DataFrame, config: StudyConfig = StudyConfig()) -> Da
     )
 
 
-def outcome_label(config: StudyConfig = StudyConfig(), field: Callable[[str], Column] = F.col) -> Column:
-    """Outcome of a cycle; the first rule that holds decides.
+def outcome_label(config: StudyConfig = StudyConfig(), cycle: str = "") -> str:
+    """SQL expression for the outcome of a cycle; the first rule that holds decides.
 
-    ``field`` gives the cycle's values: columns by default, or struct fields.
+    The cycle's values are columns, or fields of the struct named ``cycle``.
     """
-    early_loss = field("abortion") < F.date_add(field("day_1"), config.loss_days)
-    return (
-        F.when(early_loss, PREGNANCY_LOSS)
-        .when(field("stillbirth").isNotNull(), PREGNANCY_LOSS)
-        .when(field("labor").isNotNull(), LIVE_BIRTH)
-        .when(F.col("cohort_end_date") < field("end_preg"), CENSORED)
-        .when(field("pregnant").isNotNull(), PREGNANCY)
-        .otherwise(NO_PREGNANCY)
-    )
+    c = f"{cycle}." if cycle else ""
+    return f"""
+        case
+          when {c}abortion < date_add({c}day_1, {config.loss_days}) then '{PREGNANCY_LOSS}'
+          when {c}stillbirth is not null then '{PREGNANCY_LOSS}'
+          when {c}labor is not null then '{LIVE_BIRTH}'
+          when cohort_end_date < {c}end_preg then '{CENSORED}'
+          when {c}pregnant is not null then '{PREGNANCY}'
+          else '{NO_PREGNANCY}' end
+        """
 
 
 def classify_outcomes(pivoted: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
@@ -116,7 +115,7 @@ def classify_outcomes(pivoted: DataFrame, config: StudyConfig = StudyConfig()) -
         "stillbirth",
         "pregnant",
         "labor",
-        outcome_label(config).alias("outcome"),
+        F.expr(outcome_label(config)).alias("outcome"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def both_treated(baseline: DataFrame) -> DataFrame:
@@ -10,13 +10,9 @@ def both_treated(baseline: DataFrame) -> DataFrame:
     return baseline.where(F.col("first_txt") == "both")
 
 
-def outcome_counts(pregnancies: DataFrame, freq: str | None = None) -> DataFrame:
-    """Outcome events per person and kind; ``freq`` names a count column of already grouped rows."""
-    return pregnancies.groupBy("person_id", "concept_set").agg(_count(freq).alias("n"))
-
-
-def _count(freq: str | None) -> Column:
-    return F.sum(freq) if freq else F.count("*")
+def outcome_counts(pregnancies: DataFrame) -> DataFrame:
+    """Outcome events per person and kind."""
+    return pregnancies.groupBy("person_id", "concept_set").agg(F.count("*").alias("n"))
 
 
 def person_rows(df: DataFrame, person_id: int) -> DataFrame:
@@ -27,10 +23,10 @@ def person_rows(df: DataFrame, person_id: int) -> DataFrame:
 def mixed_first_cycle(treatment_rows: DataFrame, freq: str | None = None) -> DataFrame:
     """Rows per treatment kind of persons with more than one kind in the first cycle.
 
-    Takes rows with their cycle number. The window sees one row per person and kind.
+    Takes rows with their cycle number; ``freq`` names a count column of already
+    grouped rows. The window sees one row per person and kind.
     """
-    counts = (
-        treatment_rows.where("cycle = 1").groupBy("person_id", "concept_set").agg(_count(freq).alias("n"))
-    )
+    n = F.sum(freq) if freq else F.count("*")
+    counts = treatment_rows.where("cycle = 1").groupBy("person_id", "concept_set").agg(n.alias("n"))
     kinds = F.count("*").over(W.partitionBy("person_id"))
     return counts.withColumn("kinds", kinds).where("kinds > 1").drop("kinds")

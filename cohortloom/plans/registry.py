@@ -66,11 +66,10 @@ class Inputs:
 
     def pulled_days(self, *sets: str) -> DataFrame:
         """The same as distinct person-set-days with counts, for results that need no single events."""
-        days = concepts.event_days(self.coded.where(F.col("concept_set").isin(*sets)))
-        return concepts.pull_concept_sets(days, self.windows(), self.pulls(sets))
+        return concepts.event_days(self.pulled(*sets))
 
     def anchors(self) -> DataFrame:
-        return cycles.anchors_by_person(self.pulled_days(*CONFIG.treatment_sets), CONFIG)
+        return cycles.anchors_by_person(self.pulled(*CONFIG.treatment_sets), CONFIG)
 
     def annotated(self) -> DataFrame:
         """Every treatment row with its person's anchors and its cycle."""
@@ -196,7 +195,7 @@ def pull_indicator(study_in: Inputs) -> DataFrame:
 def pull_all_counts(study_in: Inputs) -> DataFrame:
     """All twelve pulls as one job."""
     sets = [pull.concept_set for pull in CONFIG.pulls()]
-    return concepts.count_pulls(study_in.pulled_days(*sets), freq="n_events")
+    return concepts.count_pulls(study_in.pulled(*sets))
 
 
 @query
@@ -211,7 +210,7 @@ def first_treatment(study_in: Inputs) -> DataFrame:
     values = ("concept_id", "concept_set")
     rows = study_in.windows().select("person_id", "cohort_start_date")
     for name in ("IUI", "ART"):
-        rows = joins.left_join_first(rows, study_in.pulled_days(name), by_entry_day, values, f"_{name}")
+        rows = joins.left_join_first(rows, study_in.pulled(name), by_entry_day, values, f"_{name}")
     return rows.withColumn("first_txt", itt.first_treatment_label())
 
 
@@ -290,7 +289,7 @@ def range_join_outcomes(study_in: Inputs) -> DataFrame:
 
 @query
 def pivot_outcomes(study_in: Inputs) -> DataFrame:
-    days = outcomes.outcome_days(study_in.pulled_days(*CONFIG.outcome_sets))
+    days = outcomes.outcome_days(study_in.pulled(*CONFIG.outcome_sets))
     return outcomes.pivot_outcomes(outcomes.range_join_days(cycle_followup(study_in), days), CONFIG)
 
 
@@ -302,7 +301,7 @@ def cycle_outcomes(study_in: Inputs) -> DataFrame:
 @query
 def cycle_outcomes_relational(study_in: Inputs) -> DataFrame:
     """The same from separate tables: lead, range join, pivot, left join."""
-    days = outcomes.outcome_days(study_in.pulled_days(*CONFIG.outcome_sets))
+    days = outcomes.outcome_days(study_in.pulled(*CONFIG.outcome_sets))
     return outcomes.cycle_outcomes(cycle_followup(study_in), days, study_in.windows(), CONFIG)
 
 
@@ -339,7 +338,7 @@ def qc_both_treated(study_in: Inputs) -> DataFrame:
 
 @query
 def qc_pregnancy_counts(study_in: Inputs) -> DataFrame:
-    return qc.outcome_counts(study_in.pulled_days(*CONFIG.outcome_sets), freq="n_events")
+    return qc.outcome_counts(study_in.pulled(*CONFIG.outcome_sets))
 
 
 @query

@@ -1,7 +1,7 @@
 """The whole study as one plan.
 
-Events are reduced to distinct person-set-days, joined once with the cohort and
-folded into one row per person (``person_timelines``). Cycles, their outcomes
+All concept sets are pulled by one join of events and cohort and folded into
+one row per person (``person_timelines``). Cycles, their outcomes
 and the ITT row are then computed from that row without another shuffle. The
 statistics run on ``analysis_cells``, whose number of rows does not grow with
 the number of persons.
@@ -11,13 +11,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import CENSORED, LIVE_BIRTH, PREGNANCY, StudyConfig
 from ..operators import balance, cohort as cohort_ops, concepts, cycles, itt, outcomes, propensity, survival
 from ..session import materialize
 
 COHORT_COLUMNS = cohort_ops.WINDOW_COLUMNS
+DAY_ARRAYS = {
+    "treatment_days": f"array<{cycles.TREATMENT_DAY}>",
+    "outcome_days": "array<struct<date:date,concept_set:string>>",
+}
 ROLLUP_COLUMNS = ("any_pregnancy", "any_live_birth", "delivery_date", "pregnancy_date", "last_cycle", "censored")
 BASELINE_EXTRA = ("concept_id_IUI", "concept_set_IUI", "concept_id_ART", "concept_set_ART", "first_txt")
 
@@ -26,44 +30,30 @@ def person_timelines(coded_events: DataFrame, cohort: DataFrame, config: StudyCo
     """One row per cohort person with everything later steps need.
 
     Covariates (0/1), the lowest concept id of each treatment on the entry day,
-    the distinct treatment days and the distinct days of each outcome. The
-    arrays are bounded by the days of the windows. Columns that a query does
-    not use are pruned, aggregates included.
+    the treatment days and the outcome days inside their windows. The pull
+    leaves a person's rows of one window together, so the aggregate sends a few
+    rows per person over its shuffle. The collected sets hold distinct days:
+    they are bounded by the days of the windows, however many events there are.
+    Columns that a query does not use are pruned, aggregates included.
     """
     windows = cohort_ops.cohort_windows(cohort, config)
-    pulls = config.pulls()
-    names = [pull.concept_set for pull in pulls]
-    days = concepts.event_days(coded_events.where(F.col("concept_set").isin(*names)))
-    kind, date = F.col("concept_set"), F.col("date")
-
-    def inside(pull) -> Column:
-        return (kind == pull.concept_set) & date.between(F.col(pull.start_col), F.col(pull.end_col))
-
-    indicators = [
-        F.coalesce(F.max(F.when(inside(pull), 1.0)), F.lit(0.0)).alias(pull.concept_set.lower())
-        for pull in pulls
-        if not pull.keep_all
-    ]
+    pulled = concepts.pull_concept_sets(coded_events, windows, config.pulls(), carry=["cohort_start_date"])
+    kind, date, entry = F.col("concept_set"), F.col("date"), F.col("cohort_start_date")
+    indicators = [F.max(F.when(kind == name, 1.0)).alias(name.lower()) for name in config.covariate_sets]
     entry_day = [
-        F.min(F.when((kind == s) & (date == F.col("cohort_start_date")), F.col("concept_id"))).alias(f"concept_id_{s}")
-        for s in config.treatment_sets
+        F.min(F.when((kind == name) & (date == entry), F.col("concept_id"))).alias(f"concept_id_{name}")
+        for name in config.treatment_sets
     ]
-    in_treatment = F.lit(False)
-    for pull in pulls:
-        if pull.concept_set in config.treatment_sets:
-            in_treatment = in_treatment | inside(pull)
     treatment_day = F.struct(date, cycles.source_order(kind, config).alias("source_order"))
-    treatment_days = F.collect_set(F.when(in_treatment, treatment_day)).alias("treatment_days")
-    outcome_days = [
-        F.collect_set(F.when(inside(pull), date)).alias(f"{pull.concept_set}_days")
-        for pull in pulls
-        if pull.concept_set in config.outcome_sets
-    ]
-    return (
-        windows.join(days, "person_id", "left")
-        .groupBy(*COHORT_COLUMNS)
-        .agg(*indicators, *entry_day, treatment_days, *outcome_days)
+    outcome_day = F.struct(date, kind)
+    facts = pulled.groupBy("person_id").agg(
+        *indicators,
+        *entry_day,
+        F.collect_set(F.when(kind.isin(*config.treatment_sets), treatment_day)).alias("treatment_days"),
+        F.collect_set(F.when(kind.isin(*config.outcome_sets), outcome_day)).alias("outcome_days"),
     )
+    empty = {name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in DAY_ARRAYS.items()}
+    return windows.join(facts, "person_id", "left").fillna(0.0, list(config.covariates)).withColumns(empty)
 
 
 def _with_baseline_columns(timelines: DataFrame, config: StudyConfig) -> DataFrame:
@@ -81,31 +71,30 @@ def baseline(timelines: DataFrame, config: StudyConfig = StudyConfig()) -> DataF
 def with_cycles(timelines: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
     """Timelines with ``cycles``: an array of classified cycle structs, empty without treatment.
 
-    The outcome days of a follow-up are picked out of the person's arrays, so
+    The outcome days of a follow-up are picked out of the person's array, so
     the range join of the separate-tables form becomes a row-wise step.
     """
-    follow_up = timelines.withColumn(
-        "anchors", cycles.greedy_anchors(F.col("treatment_days"), config)
-    ).withColumn("cycles", cycles.cycle_structs(F.col("anchors"), config))
-
-    def add_outcome_days(cycle):
-        def earliest(kind: str) -> Column:
-            days = F.filter(F.col(f"{kind}_days"), lambda day: day.between(cycle["day_1"], cycle["end_preg"]))
-            return F.array_min(days).alias(kind)
-
-        fields = ("concept_set", "day_1", "cycle", "next_cycle", "end_preg")
-        return F.struct(*[cycle[f].alias(f) for f in fields], *[earliest(kind) for kind in config.outcome_sets])
-
-    def classify(cycle):
-        fields = ("day_1", "cycle", "next_cycle", "abortion", "stillbirth", "pregnant", "labor")
-        return F.struct(
-            cycle["concept_set"].alias("txt"),
-            *[cycle[f].alias(f) for f in fields],
-            outcomes.outcome_label(config, lambda name: cycle[name]).alias("outcome"),
-        )
-
-    return follow_up.withColumn("cycles", F.transform("cycles", add_outcome_days)).withColumn(
-        "cycles", F.transform("cycles", classify)
+    earliest = ", ".join(
+        f"""'{kind}', array_min(filter(outcome_days, d ->
+              d.concept_set = '{kind}' and d.date between c.day_1 and c.end_preg).date)"""
+        for kind in config.outcome_sets
+    )
+    dated = f"""
+        transform(cycles, c -> named_struct(
+          'txt', c.concept_set, 'day_1', c.day_1, 'cycle', c.cycle,
+          'next_cycle', c.next_cycle, 'end_preg', c.end_preg, {earliest}))
+        """
+    classified = f"""
+        transform(cycles, c -> named_struct(
+          'txt', c.txt, 'day_1', c.day_1, 'cycle', c.cycle, 'next_cycle', c.next_cycle,
+          'abortion', c.abortion, 'stillbirth', c.stillbirth, 'pregnant', c.pregnant, 'labor', c.labor,
+          'outcome', {outcomes.outcome_label(config, "c")}))
+        """
+    return (
+        timelines.withColumn("anchors", cycles.greedy_anchors("treatment_days", config))
+        .withColumn("cycles", cycles.cycle_structs("anchors", config))
+        .withColumn("cycles", F.expr(dated))
+        .withColumn("cycles", F.expr(classified))
     )
 
 
@@ -116,26 +105,22 @@ def cycle_outcomes(timelines: DataFrame, config: StudyConfig = StudyConfig()) ->
 
 def itt_rows(timelines: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
     """ITT rows straight from the timelines: row-wise array steps, persons without a cycle included."""
-    listed = with_cycles(timelines, config)
-    cycle_list = F.col("cycles")
-
-    def any_outcome(*labels: str) -> Column:
-        found = F.exists(cycle_list, lambda c: c["outcome"].isin(*labels))
-        return F.when(F.size(cycle_list) > 0, found.cast("double"))
-
-    def earliest(kind: str) -> Column:
-        return F.array_min(F.transform(cycle_list, lambda c: c[kind]))
-
-    all_censored = F.forall(cycle_list, lambda c: c["outcome"] == CENSORED).cast("double")
-    rolled = listed.withColumns(
-        {
-            "any_pregnancy": any_outcome(PREGNANCY, LIVE_BIRTH),
-            "any_live_birth": any_outcome(LIVE_BIRTH),
-            "delivery_date": earliest("labor"),
-            "pregnancy_date": earliest("pregnant"),
-            "last_cycle": F.array_max(F.transform(cycle_list, lambda c: c["day_1"])),
-            "censored": F.when(F.size(cycle_list) > 0, all_censored),
-        }
+    treated = "size(cycles) > 0"
+    rolled = with_cycles(timelines, config).select(
+        *timelines.columns,
+        F.expr(
+            f"case when {treated} then "
+            f"cast(arrays_overlap(cycles.outcome, array('{PREGNANCY}', '{LIVE_BIRTH}')) as double) end"
+        ).alias("any_pregnancy"),
+        F.expr(
+            f"case when {treated} then cast(array_contains(cycles.outcome, '{LIVE_BIRTH}') as double) end"
+        ).alias("any_live_birth"),
+        F.expr("array_min(cycles.labor)").alias("delivery_date"),
+        F.expr("array_min(cycles.pregnant)").alias("pregnancy_date"),
+        F.expr("array_max(cycles.day_1)").alias("last_cycle"),
+        F.expr(
+            f"case when {treated} then cast(forall(cycles, c -> c.outcome = '{CENSORED}') as double) end"
+        ).alias("censored"),
     )
     joined = _with_baseline_columns(rolled, config).select(
         "person_id", *ROLLUP_COLUMNS, *COHORT_COLUMNS[1:], *config.covariates, *BASELINE_EXTRA

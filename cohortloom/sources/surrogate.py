@@ -8,6 +8,7 @@ of a query starts with the same scans and shuffles and Spark runs them once.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..config import TREATMENT_SETS
 
@@ -31,8 +32,16 @@ COHORT_FROM = "1996-01-01"
 COHORT_DEFINITION_ID = 1
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan one table; its schema is read from the files once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def set_of_size(size: Column) -> Column:

@@ -64,24 +64,35 @@ class Inputs:
         """Every event of the sets inside its window."""
         return concepts.pull_concept_sets(self.coded, self.windows(), self.pulls(sets))
 
-    def pulled_days(self, *sets: str) -> DataFrame:
-        """The same as distinct person-set-days with counts, for results that need no single events."""
-        return concepts.event_days(self.pulled(*sets))
+    def stored_pull(self, *sets: str) -> DataFrame:
+        """The pulled rows, written once: for queries that branch on them."""
+        return materialize(self.pulled(*sets), "pulled")
 
-    def anchors(self) -> DataFrame:
-        return cycles.anchors_by_person(self.pulled(*CONFIG.treatment_sets), CONFIG)
+    def stored_treatment_days(self) -> DataFrame:
+        """Distinct treatment days, written once: for results that need no single events."""
+        return materialize(concepts.event_days(self.pulled(*CONFIG.treatment_sets)), "treatment-days")
 
     def annotated(self) -> DataFrame:
-        """Every treatment row with its person's anchors and its cycle."""
-        persons = self.windows().join(self.anchors(), "person_id")
-        pulls = self.pulls(CONFIG.treatment_sets)
-        rows = concepts.pull_concept_sets(self.coded, persons, pulls, carry=["anchors"])
-        return cycles.annotate_cycles(rows, CONFIG)
+        """Every treatment row with its person's anchors and its cycle.
+
+        Rows and anchors are both read from storage, so the join is a broadcast
+        if the anchors are small and otherwise one that AQE can split.
+        """
+        rows = self.stored_pull(*CONFIG.treatment_sets)
+        anchors = materialize(cycles.anchors_by_person(rows, CONFIG), "anchors")
+        return cycles.annotate_cycles(rows.join(anchors, "person_id"), CONFIG)
 
     def annotated_days(self) -> DataFrame:
-        days = self.pulled_days(*CONFIG.treatment_sets)
+        days = self.stored_treatment_days()
         return cycles.annotate_cycles(days.join(cycles.anchors_by_person(days, CONFIG), "person_id"), CONFIG)
 
+    def cycles_and_outcomes(self) -> tuple[DataFrame, DataFrame]:
+        """Cycle rows and outcome events from one pull."""
+        rows = self.stored_pull(*CONFIG.treatment_sets, *CONFIG.outcome_sets)
+        kind = F.col("concept_set")
+        anchors = cycles.anchors_by_person(rows.where(kind.isin(*CONFIG.treatment_sets)), CONFIG)
+        return cycles.cycle_rows(anchors, CONFIG), rows.where(kind.isin(*CONFIG.outcome_sets))
+
     def timelines(self) -> DataFrame:
         return study.person_timelines(self.coded, self.cohort, CONFIG)
 
@@ -271,7 +282,8 @@ def first_row_per_cycle(study_in: Inputs) -> DataFrame:
 
 @query
 def cycle_followup(study_in: Inputs) -> DataFrame:
-    return cycles.cycle_rows(study_in.anchors(), CONFIG)
+    anchors = cycles.anchors_by_person(study_in.pulled(*CONFIG.treatment_sets), CONFIG)
+    return cycles.cycle_rows(anchors, CONFIG)
 
 
 # ---- outcomes
@@ -284,13 +296,13 @@ def pregnancies(study_in: Inputs) -> DataFrame:
 
 @query
 def range_join_outcomes(study_in: Inputs) -> DataFrame:
-    return outcomes.range_join_outcomes(cycle_followup(study_in), study_in.pulled(*CONFIG.outcome_sets))
+    return outcomes.range_join_outcomes(*study_in.cycles_and_outcomes())
 
 
 @query
 def pivot_outcomes(study_in: Inputs) -> DataFrame:
-    days = outcomes.outcome_days(study_in.pulled(*CONFIG.outcome_sets))
-    return outcomes.pivot_outcomes(outcomes.range_join_days(cycle_followup(study_in), days), CONFIG)
+    cycle_rows, events = study_in.cycles_and_outcomes()
+    return outcomes.pivot_outcomes(outcomes.range_join_days(cycle_rows, outcomes.outcome_days(events)), CONFIG)
 
 
 @query
@@ -301,8 +313,8 @@ def cycle_outcomes(study_in: Inputs) -> DataFrame:
 @query
 def cycle_outcomes_relational(study_in: Inputs) -> DataFrame:
     """The same from separate tables: lead, range join, pivot, left join."""
-    days = outcomes.outcome_days(study_in.pulled(*CONFIG.outcome_sets))
-    return outcomes.cycle_outcomes(cycle_followup(study_in), days, study_in.windows(), CONFIG)
+    cycle_rows, events = study_in.cycles_and_outcomes()
+    return outcomes.cycle_outcomes(cycle_rows, outcomes.outcome_days(events), study_in.windows(), CONFIG)
 
 
 @query
@@ -318,7 +330,7 @@ def itt_(study_in: Inputs) -> DataFrame:
 @query
 def itt_full_join(study_in: Inputs) -> DataFrame:
     """The same by rolling up cycle rows and a full join with the baseline."""
-    timelines = study_in.timelines()
+    timelines = materialize(study_in.timelines(), "timelines")
     rollup = itt.itt_rollup(study.cycle_outcomes(timelines, CONFIG))
     return itt.itt(rollup, study.baseline(timelines, CONFIG), CONFIG)
 

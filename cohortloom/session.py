@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 # do so even where a later step would have reused the join's partitioning.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

@@ -95,6 +95,19 @@ def pull_concept_sets(
     )
 
 
+def within_study_period(events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec]) -> DataFrame:
+    """Events between the earliest and the latest day of any person's window.
+
+    The window bounds of a pull are only known per person; these two scalars let
+    a stored event table that is partitioned or sorted by date skip files. Use it
+    where the cohort is a stored table, as it is read once more for the scalars.
+    """
+    rows = person_window_rows(windows, pulls)
+    period = rows.agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+    first_day, last_day = period.select("first_day").scalar(), period.select("last_day").scalar()
+    return events.where(F.col("date").between(first_day, last_day))
+
+
 def pull_indicators(coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec]) -> DataFrame:
     """One row per person with at least one event; one 1.0/null column per set, named in lower case."""
     pulled = pull_concept_sets(coded_events, windows, pulls)

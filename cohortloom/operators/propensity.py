@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import exp, log
 
 from pyspark.ml.feature import VectorAssembler
@@ -40,6 +41,15 @@ def strata(rows: DataFrame, covariates: Sequence[str], arm: str = "IUI", freq: s
     )
 
 
+def _checked_binary(grouped: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """Fail the query at the first covariate that is not 0/1: this is what bounds the strata."""
+    if len(covariates) > MAX_BINARY_COVARIATES:
+        raise ValueError(f"at most {MAX_BINARY_COVARIATES} binary covariates")
+    binary = reduce(lambda a, b: a & b, [F.col(c).isin(0.0, 1.0) for c in covariates])
+    failure = F.raise_error(F.lit("covariates must be 0/1")).cast("boolean")
+    return grouped.where(F.when(binary, F.lit(True)).otherwise(failure))
+
+
 @dataclass(frozen=True)
 class PropensityModel:
     """Logistic coefficients; a covariate without variation has none (and counts as 0)."""
@@ -81,15 +91,9 @@ def fit_propensity(
     the same standard errors as the single rows. The driver sees at most 2^k
     rows and only to report the likelihood.
     """
-    if len(covariates) > MAX_BINARY_COVARIATES:
-        raise ValueError(f"at most {MAX_BINARY_COVARIATES} binary covariates")
-    grouped = strata(rows, covariates, arm, freq).coalesce(1).persist()
+    grouped = _checked_binary(strata(rows, covariates, arm, freq), covariates).persist()
     try:
-        # 0/1 covariates are what bounds the strata: read one row more than the
-        # bound, so that anything else is refused before it grows on the driver.
-        observed = grouped.limit(2 ** len(covariates) + 1).collect()
-        if any(row[c] not in (0.0, 1.0) for row in observed for c in covariates):
-            raise ValueError("covariates must be 0/1")
+        observed = grouped.collect()
         varying = [c for c in covariates if len({row[c] for row in observed}) > 1]
         assembled = VectorAssembler(inputCols=varying, outputCol="features").transform(grouped)
         fitted = GeneralizedLinearRegression(
@@ -144,13 +148,11 @@ def with_stratum_scores(
     """Score = share of the modelled arm among persons with the same covariates (saturated model).
 
     Persons in strata with only one arm have no weight and are left out. The
-    lookup has at most 2^k rows for 0/1 covariates, whatever the data size, and
-    is therefore broadcast. ``rows`` is read twice: materialise it first.
+    lookup is checked to hold 0/1 covariates only, so at most 2^k rows, and is
+    therefore broadcast. ``rows`` is read twice: materialise it first.
     """
-    if len(covariates) > MAX_BINARY_COVARIATES:
-        raise ValueError(f"at most {MAX_BINARY_COVARIATES} binary covariates")
     both_arms = (
-        strata(rows, covariates, arm, freq)
+        _checked_binary(strata(rows, covariates, arm, freq), covariates)
         .where((F.col("share") > 0) & (F.col("share") < 1))
         .select(*covariates, F.col("share").alias("p_IUI"))
     )

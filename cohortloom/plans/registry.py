@@ -388,6 +388,12 @@ def propensity_coefficients(study_in: Inputs) -> DataFrame:
     return _fitted(study_in)[1].table(study_in.spark)
 
 
+@query
+def propensity_statistics(study_in: Inputs) -> DataFrame:
+    """Deviances, degrees of freedom and AIC of the fitted model."""
+    return _fitted(study_in)[1].statistics_table(study_in.spark)
+
+
 @query
 def ip_weights(study_in: Inputs) -> DataFrame:
     weighted = study_in.weighted_rows().select("person_id", "IUI", "p_IUI", "ip_weight")

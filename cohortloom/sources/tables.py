@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..config import StudyConfig
 
 COHORT_TABLES = {
     "cohort": schemas.COHORT,
@@ -19,6 +20,16 @@ def scan_table(spark: SparkSession, table: str, schema: str | None = None) -> Da
     return spark.table(f"{schema}.{table}" if schema else table)
 
 
+def source_table(spark: SparkSession, table: str, config: StudyConfig = StudyConfig()) -> DataFrame:
+    """A clinical table in the study's source schema."""
+    return scan_table(spark, table, config.source_schema)
+
+
+def study_table(spark: SparkSession, table: str, config: StudyConfig = StudyConfig()) -> DataFrame:
+    """A table the study has written, such as its cohort."""
+    return scan_table(spark, table, config.write_schema)
+
+
 def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

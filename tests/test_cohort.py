@@ -84,7 +84,8 @@ def test_cohort_tables_round_trip(spark, tmp_path):
     stored = tables.read_cohort(spark, paths["cohort"])
     assert stored.count() == 2
     stored.createOrReplaceTempView("stored_cohort")
-    assert tables.scan_table(spark, "stored_cohort").count() == 2
+    assert tables.study_table(spark, "stored_cohort").count() == 2
+    assert tables.source_table(spark, "stored_cohort").columns == stored.columns
 
 
 def test_fold_of_left_joins_and_first_match(spark):

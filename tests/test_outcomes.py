@@ -132,6 +132,18 @@ def test_pull_windows_include_both_ends(spark):
     assert rows(pulled, "date") == [(edges[1],), (edges[2],)]
 
 
+def test_study_period_prunes_date_partitions(spark, tmp_path):
+    windows = cohort_ops.cohort_windows(cohort(spark, [(1, START, END), (2, plus(START, 40), None)]))
+    pulls = StudyConfig().pulls()
+    bounds = [day("2018-02-28"), day("2018-03-01"), END, plus(END, 1)]
+    path = str(tmp_path / "events")
+    events(spark, [(1, d, 1, "labor") for d in bounds]).write.partitionBy("date").parquet(path)
+    kept = concepts.within_study_period(spark.read.parquet(path), windows, pulls)
+    assert rows(kept, "date") == [(bounds[1],), (bounds[2],)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "Subquery" in plan
+
+
 def test_indicator_names_are_lower_case(spark):
     windows = cohort_ops.cohort_windows(cohort(spark, [(1, START, END)]))
     pulls = [p for p in StudyConfig().pulls() if not p.keep_all]

@@ -77,6 +77,21 @@ def test_cells_and_rows_give_the_same_model(spark):
         assert by_cells.estimates[term] == pytest.approx(value, abs=1e-8)
 
 
+def test_three_weight_vectors_agree(spark):
+    """Weights by hand, from single rows and from cells."""
+    x, arm, time, event = people()
+    rows = frame(spark, x, arm, time, event)
+    cells = rows.groupBy(*COVARIATES, "IUI", "time_to_delivery", "event_delivery").agg(F.count("*").alias("n"))
+    _, _, p = newton_logistic(x, arm.astype(float))
+    by_hand = np.where(arm, 1 / p, 1 / (1 - p))
+    for model in (
+        propensity.fit_propensity(rows, COVARIATES),
+        propensity.fit_propensity(cells, COVARIATES, freq="n"),
+    ):
+        weighted = propensity.with_weights(propensity.with_model_scores(rows, model)).orderBy("person_id").collect()
+        assert np.abs(by_hand - [r.ip_weight for r in weighted]).max() < 1e-6
+
+
 def test_covariate_without_variation_has_no_coefficient(spark):
     x, arm, time, event = people()
     x[:, 1] = 0
@@ -89,8 +104,11 @@ def test_covariate_without_variation_has_no_coefficient(spark):
 def test_covariates_must_be_binary(spark):
     x, arm, time, event = people(n=50)
     x[0, 0] = 2.5
-    with pytest.raises(ValueError, match="0/1"):
-        propensity.fit_propensity(frame(spark, x, arm, time, event), COVARIATES)
+    rows = frame(spark, x, arm, time, event)
+    with pytest.raises(Exception, match="0/1"):
+        propensity.fit_propensity(rows, COVARIATES)
+    with pytest.raises(Exception, match="0/1"):
+        propensity.with_stratum_scores(rows, COVARIATES).collect()
 
 
 def test_curve_equals_brute_force(spark):

@@ -9,6 +9,8 @@ pulled; no window function ever runs over raw treatment rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import StudyConfig
@@ -59,9 +61,13 @@ def anchors_by_person(treatments: DataFrame, config: StudyConfig = StudyConfig()
 
 
 def annotate_cycles(treatments: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
-    """Treatment rows carrying their person's anchors get the number of the cycle they fall in (else null)."""
-    started = F.expr("size(filter(anchors, a -> a.date <= date))")
-    anchor = F.element_at(F.col("anchors"), F.col("started"))["date"]
+    """Treatment rows carrying their person's anchors get the number of the cycle they fall in (else null).
+
+    Written out per anchor rather than as an array filter, to stay in generated code.
+    """
+    anchor_days = [F.try_element_at(F.col("anchors"), F.lit(k))["date"] for k in range(1, config.max_cycles + 1)]
+    started = reduce(lambda a, b: a + b, [F.when(day <= F.col("date"), 1).otherwise(0) for day in anchor_days])
+    anchor = F.try_element_at(F.col("anchors"), F.col("started"))["date"]
     inside = (F.col("started") > 0) & (F.col("date") <= F.date_add(anchor, config.cycle_days))
     return (
         treatments.withColumn("started", started)

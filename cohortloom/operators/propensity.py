@@ -91,7 +91,8 @@ def fit_propensity(
     the same standard errors as the single rows. The driver sees at most 2^k
     rows and only to report the likelihood.
     """
-    grouped = _checked_binary(strata(rows, covariates, arm, freq), covariates).persist()
+    # at most 2^k rows: in one partition each solver step is one small task
+    grouped = _checked_binary(strata(rows, covariates, arm, freq), covariates).repartition(1).persist()
     try:
         observed = grouped.collect()
         varying = [c for c in covariates if len({row[c] for row in observed}) > 1]

@@ -296,7 +296,8 @@ def pregnancies(study_in: Inputs) -> DataFrame:
 
 @query
 def range_join_outcomes(study_in: Inputs) -> DataFrame:
-    return outcomes.range_join_outcomes(*study_in.cycles_and_outcomes())
+    cycle_rows, events = study_in.cycles_and_outcomes()
+    return outcomes.range_join_outcomes(materialize(cycle_rows, "cycles"), events)
 
 
 @query

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import CENSORED, LIVE_BIRTH, PREGNANCY, StudyConfig
+from ..config import StudyConfig
 from ..operators import balance, cohort as cohort_ops, concepts, cycles, itt, outcomes, propensity, survival
 from ..session import materialize
 
@@ -99,33 +99,26 @@ def with_cycles(timelines: DataFrame, config: StudyConfig = StudyConfig()) -> Da
 
 
 def cycle_outcomes(timelines: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
-    """One classified row per person and cycle, straight from the timelines."""
-    return with_cycles(timelines, config).select("person_id", F.inline("cycles"))
+    """One classified row per person and cycle, straight from the timelines.
+
+    An outer generator with a filter behind it: for an inner one Spark would
+    infer a filter on the array and repeat the cycle steps in it.
+    """
+    rows = with_cycles(timelines, config).select("person_id", F.inline_outer("cycles"))
+    return rows.where(F.col("cycle").isNotNull())
 
 
 def itt_rows(timelines: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
-    """ITT rows straight from the timelines: row-wise array steps, persons without a cycle included."""
-    treated = "size(cycles) > 0"
-    rolled = with_cycles(timelines, config).select(
-        *timelines.columns,
-        F.expr(
-            f"case when {treated} then "
-            f"cast(arrays_overlap(cycles.outcome, array('{PREGNANCY}', '{LIVE_BIRTH}')) as double) end"
-        ).alias("any_pregnancy"),
-        F.expr(
-            f"case when {treated} then cast(array_contains(cycles.outcome, '{LIVE_BIRTH}') as double) end"
-        ).alias("any_live_birth"),
-        F.expr("array_min(cycles.labor)").alias("delivery_date"),
-        F.expr("array_min(cycles.pregnant)").alias("pregnancy_date"),
-        F.expr("array_max(cycles.day_1)").alias("last_cycle"),
-        F.expr(
-            f"case when {treated} then cast(forall(cycles, c -> c.outcome = '{CENSORED}') as double) end"
-        ).alias("censored"),
-    )
-    joined = _with_baseline_columns(rolled, config).select(
-        "person_id", *ROLLUP_COLUMNS, *COHORT_COLUMNS[1:], *config.covariates, *BASELINE_EXTRA
-    )
-    return itt.itt_columns(joined, config)
+    """ITT rows straight from the timelines, persons without a cycle included.
+
+    The roll-up of a person's cycle rows needs no shuffle: the timelines are
+    already hashed by person. It also keeps filters on its results above it;
+    pushed below, they would repeat the cycle steps for every condition.
+    """
+    base = [*COHORT_COLUMNS, *config.covariates, *BASELINE_EXTRA]
+    listed = with_cycles(_with_baseline_columns(timelines, config), config)
+    rolled = listed.select(*base, F.inline_outer("cycles")).groupBy(*base).agg(*itt.rollup_aggregates())
+    return itt.itt_columns(rolled.select("person_id", *ROLLUP_COLUMNS, *base[1:]), config)
 
 
 def analysis_cells(

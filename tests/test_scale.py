@@ -79,6 +79,13 @@ def test_one_scan_of_the_big_tables_and_no_python(spark, skewed, settings, name)
     assert {re.sub(r"#.*", "", c) for c in lineitem.split(",")} == {"l_orderkey", "l_partkey", "l_shipdate"}
 
 
+@pytest.mark.parametrize("name", ["cycle_outcomes", "itt_rollup", "itt_analysis", "iptw_km"])
+def test_cycle_steps_are_evaluated_once(spark, skewed, name):
+    """Filters pushed below the cycle arrays would repeat the fold per condition."""
+    df = registry.queries()[name](spark, skewed)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_top_weights_are_limited_before_the_shuffle(spark, skewed):
     plan = final_plan(registry.queries()["top_weights"](spark, skewed))
     assert re.search(r"WindowGroupLimit .*Partial", plan)

@@ -81,7 +81,10 @@ def evaluate_rules(days: DataFrame, observation: DataFrame, specs: Sequence[Coho
     all definitions come from one pass over them.
     """
     person = W.partitionBy("person_id")
-    observed = days.join(observation, "person_id")
+    used = sorted({s for spec in specs for s in spec.entry_sets} | {
+        s for spec in specs for rule in spec.rules for s in rule.concept_sets
+    })
+    observed = days.where(F.col("concept_set").isin(*used)).join(observation, "person_id")
     entry_dates, counts, results = {}, [], []
     for k, spec in enumerate(specs):
         observed_since = F.date_add("observation_period_start_date", spec.prior_days)

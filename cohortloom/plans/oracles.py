@@ -215,6 +215,11 @@ def r6(expression: str, name: str) -> str:
     return f"round({expression}, 6) + 0.0 AS {name}"
 
 
+def r4(name: str) -> str:
+    """For weighted sums: their last digits depend on the order of addition."""
+    return f"round({name}, 4) + 0.0 AS {name}"
+
+
 FINAL = {
     "cohort_scan": "SELECT * FROM cohort",
     "cohort_windows": "SELECT * FROM windows",
@@ -285,8 +290,8 @@ FINAL = {
     "weights_head": """
         SELECT person_id, round(ip_weight, 6) + 0.0 AS ip_weight FROM weighted ORDER BY person_id LIMIT 6""",
     "km_risk_table": f"""
-        SELECT "group", time, n_leaving, n_event, {r6('w_event', 'w_event')}, {r6('w_leaving', 'w_leaving')},
-               {r6('w2_leaving', 'w2_leaving')}, {r6('at_risk', 'at_risk')}, {r6('at_risk_sq', 'at_risk_sq')}
+        SELECT "group", time, n_leaving, n_event, {r4('w_event')}, {r4('w_leaving')}, {r4('w2_leaving')},
+               {r4('at_risk')}, {r4('at_risk_sq')}
         FROM risk""",
     "iptw_km": f"""
         SELECT "group", time, {r6('surv', 'surv')}, {r6('se', 'se')}, {r6(f'surv - {Z} * se', 'ci_lower')},
@@ -326,7 +331,7 @@ FINAL = {
         FROM (SELECT *, sum(fresh) OVER (PARTITION BY person_id ORDER BY start, finish ROWS UNBOUNDED PRECEDING) AS era
               FROM (SELECT *, CASE WHEN start <= max(finish) OVER (PARTITION BY person_id ORDER BY start, finish
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
-                    FROM (SELECT person_id, date AS start, least(obs_end, date + 60) AS finish
+                    FROM (SELECT DISTINCT person_id, date AS start, least(obs_end, date + 60) AS finish
                           FROM claims JOIN obs USING (person_id) WHERE concept_set IN ('ART', 'IUI'))))
         GROUP BY person_id, era""",
     "concept_set_resolve": """

@@ -429,7 +429,7 @@ def weights_head(study_in: Inputs) -> DataFrame:
 @query
 def km_risk_table(study_in: Inputs) -> DataFrame:
     risk = survival.risk_table(study_in.weighted_cells(), weight="ip_weight", freq="n")
-    return rounded(risk, "w_event", "w_leaving", "w2_leaving", "at_risk", "at_risk_sq")
+    return rounded(risk, "w_event", "w_leaving", "w2_leaving", "at_risk", "at_risk_sq", digits=4)
 
 
 @query

@@ -60,7 +60,7 @@ def test_results_on_skewed_tables(spark, skewed, name):
     assert compare(df, connect(skewed), registry.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", ROW_LEVEL)
+@pytest.mark.parametrize("name", [*ROW_LEVEL, "itt"])
 def test_hot_person_is_split_in_row_level_joins(spark, skewed, settings, name):
     settings(SPLIT_SMALL)
     plan = final_plan(registry.queries()[name](spark, skewed))

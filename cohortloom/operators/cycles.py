@@ -2,9 +2,8 @@
 
 A cycle starts on its anchor day and holds the ``cycle_days`` days after it;
 the next anchor is the first treatment day beyond that. The anchors of a person
-are found once, on distinct treatment days (bounded by the treatment window).
-Joined to the person's cohort row they ride along when the treatment rows are
-pulled; no window function ever runs over raw treatment rows.
+are found once, on distinct treatment days (bounded by the treatment window),
+and joined to the treatment rows; no window function runs over raw rows.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from ..config import StudyConfig
 from ..functions.columns import coalesce_columns, flag_labels, parse_number
 
 TREATMENT_DAY = "struct<date:date,source_order:int>"
-ROW_ORDER = ("date", "source_order", "concept_id")
 
 
 def source_order(concept_set: Column, config: StudyConfig) -> Column:

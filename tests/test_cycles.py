@@ -1,9 +1,9 @@
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from cohortloom.config import StudyConfig
-from cohortloom.operators import concepts, cycles, joins
+from cohortloom.operators import cycles, joins
 
-from .helpers import cohort, day, events, plus, rows
+from .helpers import day, events, plus, rows
 
 START = day("2020-01-01")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import StudyConfig
 from ..functions.columns import select_containing, tidy_round
 from ..operators import balance, cohort, concepts, cycles, itt, joins, outcomes, propensity, qc, survival
-from ..session import materialize, shared_folder, tune
+from ..session import materialize, new_path, tune
 from ..sources import surrogate, tables
 from . import study
 from .oracles import oracle_sql as _oracle_sql
@@ -133,7 +132,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 @query
 def cohort_scan(study_in: Inputs) -> DataFrame:
     """Store the generated cohort and scan it by definition."""
-    path = f"{shared_folder(study_in.spark)}/cohort-{uuid.uuid4().hex}"
+    path = new_path(study_in.spark, "cohort")
     tables.write_cohort(study_in.cohort, path)
     return tables.read_cohort(study_in.spark, path, surrogate.COHORT_DEFINITION_ID)
 

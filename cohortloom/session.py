@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +21,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Switch the runtime settings on; static and sizing settings stay the cluster's."""
@@ -24,23 +31,53 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_local_folders: dict[str, str] = {}
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written intermediates that the driver and all executors share.
+
+    It is the session's ``spark.checkpoint.dir``, or else what the program gave to
+    ``SparkContext.setCheckpointDir``. Without either this fails: no folder of
+    one machine is ever chosen here.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediates: ``spark.checkpoint.dir`` of the session.
+def use_local_folder(spark: SparkSession) -> SparkSession:
+    """For programs that may run on one machine: give a single-process session a folder if it has none.
 
-    Only a local master may go without it; it then gets one temporary folder.
+    The folder is removed when the program ends. A session with executors of
+    its own (anything but ``local`` and ``local[...]``) is left as it is.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="cohortloom-")
-    return _local_folders[context.applicationId]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and (context.master == "local" or context.master.startswith("local[")):
+        folder = tempfile.mkdtemp(prefix="cohortloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return spark
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses; inside ``scratch`` it goes with that block."""
+    return f"{_run_folder.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Everything materialised inside the block is deleted at its end.
+
+    Results must be written or collected inside the block, as frames are lazy.
+    """
+    folder = new_path(spark, "run")
+    token = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,7 +86,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     For frames used more than once. The copy survives lost executors, is read
     column by column, and its file sizes let Spark choose joins by real size.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

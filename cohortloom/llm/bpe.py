@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ WORDS = regex.compile(
 CHUNKS = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _SAFE_CUT = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 SLICE_CHARS = 1 << 20
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 _NONE = np.int64(1 << 62)
 
 
@@ -124,7 +125,9 @@ class MergeTable:
             keep[hit + 1] = False
             moved = hit - np.arange(len(hit))  # the places of the merged symbols once the gaps are closed
             symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
-            touched = np.unique(np.r_[moved, moved[moved > 0] - 1])
+            beside = np.zeros(len(symbols) + 1, dtype=bool)
+            beside[moved] = beside[moved - 1] = True  # place -1 is the spare one at the end
+            touched = np.flatnonzero(beside[:-1])
             rank[touched] = _NONE
             touched = touched[touched + 1 < len(symbols)]
             touched = touched[owner[touched] == owner[touched + 1]]
@@ -146,59 +149,88 @@ class MergeTable:
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk and remembers the chunks' ids, up to a fixed number of chunks."""
+    """Encodes texts chunk by chunk and remembers the ids of the chunks it met last, a fixed number at most.
+
+    ``encode_chunks`` is only given what comes before the full stops and commas at
+    a chunk's end: these are words of their own after a letter or digit.
+    """
 
     def __init__(self, encode_chunks: Callable[[Sequence[str]], list[bytes]], special: dict[str, int], room: int = CACHE_CHUNKS):
         self.encode_chunks, self.room = encode_chunks, room
         self.special = special
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        names = map(regex.escape, sorted(special, key=len, reverse=True))
+        self.cut = re.compile("(" + "|".join(names) + ")") if special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> Iterator[str | int]:
-        """Ids of special tokens, and the stretches between them."""
+    def _parts(self, text: str) -> Iterator[str | bytes]:
+        """The ids of special tokens, and the stretches between them."""
         for number, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if number % 2:
-                yield self.special[part]
+                yield self.special[part].to_bytes(4, "little")
             elif part:
                 yield part
 
-    def encode(self, texts: Sequence[str]) -> Iterator[list[bytes]]:
-        """For each text the ids of its slices (little-endian unsigned 32-bit), in order."""
+    def encode(self, texts: Sequence[str]) -> Iterator[Iterable[bytes]]:
+        """For each text its ids (little-endian unsigned 32-bit) in parts. Take a text's parts before the next text."""
+        group, size = [], 0
         for text in texts:
-            found = []
-            for part in self.parts(text):
-                if isinstance(part, int):
-                    found.append(part.to_bytes(4, "little"))
-                    continue
-                for piece in slices(part):
-                    found.append(self._ids(CHUNKS.findall(piece)))
-            yield found
-
-    def learn(self, texts: Sequence[str]) -> None:
-        """Encode the new chunks of many texts together (of texts that are short enough to be cut at once)."""
-        new = set()
-        for text in texts:
-            if len(text) <= SLICE_CHARS:
-                for part in self.parts(text):
-                    if not isinstance(part, int):
-                        new.update(CHUNKS.findall(part))
-        self._add(new)
-
-    def _add(self, chunks: set[str]) -> None:
-        new = [chunk for chunk in chunks if chunk not in self.known]
-        if len(self.known) + len(new) > self.room:
-            self.known = {}
-            new = list(chunks)
-        for start in range(0, len(new), 50_000):
-            part = new[start : start + 50_000]
+            if len(text) > SLICE_CHARS:
+                yield from self._together(group)
+                group, size = [], 0
+                yield self._long(text)
+                continue
+            group.append(text)
+            size += len(text)
+            if size > SLICE_CHARS:
+                yield from self._together(group)
+                group, size = [], 0
+        yield from self._together(group)
+
+    def _together(self, texts: list[str]) -> Iterator[list[bytes]]:
+        cut = [[part if isinstance(part, bytes) else CHUNKS.findall(part) for part in self._parts(text)] for text in texts]
+        self._learn({chunk for parts in cut for part in parts if isinstance(part, list) for chunk in part})
+        for parts in cut:
+            yield [part if isinstance(part, bytes) else b"".join(map(self.known.__getitem__, part)) for part in parts]
+
+    def _long(self, text: str) -> Iterator[bytes]:
+        for part in self._parts(text):
+            if isinstance(part, bytes):
+                yield part
+                continue
+            for piece in slices(part):
+                chunks = CHUNKS.findall(piece)
+                self._learn(set(chunks))
+                yield b"".join(map(self.known.__getitem__, chunks))
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known) > self.room // 2:
+            self.older, self.known = self.known, {}
+        new = []
+        for chunk in chunks.difference(self.known):
+            ids = self.older.get(chunk)
+            if ids is None:
+                new.append(chunk)
+            else:
+                self.known[chunk] = ids
+        stems, ends = [], []
+        for chunk in new:
+            stem = chunk.rstrip(".,")
+            whole = stem == chunk or not (stem[-1:].isascii() and stem[-1:].isalnum())
+            stems.append(chunk if whole else stem)
+            ends.append("" if whole else chunk[len(stem) :])
+        asked = list({*stems, *ends}.difference(self.known, [""]))
+        for start in range(0, len(asked), 50_000):
+            part = asked[start : start + 50_000]
             self.known.update(zip(part, self.encode_chunks(part)))
+        self.known.update((chunk, self.known[stem] + self.known[end]) for chunk, stem, end in zip(new, stems, ends) if end)
+
 
-    def _ids(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._add(set(chunks))
-            return b"".join(map(self.known.__getitem__, chunks))
+@lru_cache(maxsize=1)
+def own_encoder(content: str) -> tuple[MergeTable, ChunkEncoder]:
+    """One per Python worker, so that what a task has learnt serves the worker's next ones."""
+    table = MergeTable(content)
+    return table, ChunkEncoder(table.encode_chunks, table.special)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -213,11 +245,9 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = MergeTable(shared.value)
-        encoder = ChunkEncoder(table.encode_chunks, table.special)
+        table, encoder = own_encoder(shared.value)
         for batch in batches:
             texts = [text or "" for text in batch["text"].to_pylist()]
-            encoder.learn(texts)
             counts, id_hashes, text_hashes = [], [], []
             for parts in encoder.encode(texts):
                 count, id_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()

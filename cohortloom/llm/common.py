@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import tune
@@ -12,12 +17,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 # One Arrow batch holds at most this much, so a worker's memory depends on its longest text only.
 ARROW_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
+_shipped: set[str] = set()  # applications whose workers have the package
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package's code to all Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package, folder = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the archive until the program ends
+        shutil.copytree(package, f"{folder}/code/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/code"))
+        _shipped.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """The session settings the operators rely on."""
+    """The session settings and the code the operators rely on."""
+    ship_package(spark)
     for key, value in ARROW_SETTINGS.items():
         spark.conf.set(key, value)
     return tune(spark)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, secret_scan, token_files, url_filter
+from . import ann, bpe, mixing, quality, secret_scan, simhash, token_files, url_filter
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,10 +48,22 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents")).drop("redacted_text")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -81,7 +93,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op3_mixing, op4_url_filter, op6_secret_scan, op9_bpe)
+    found = (op1_token_files, op3_mixing, op4_url_filter, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality)
     return {query.__name__: query for query in found}
 
 

@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ INDEX_MARK = b"TOK1"
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n_tokens", "<u8"), ("first_frame", "<u4")])
 FRAME_TOKENS = 1 << 20
 READ_BYTES = 8 << 20
+LINES = 2000
 SHARD = "shard long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -152,21 +154,39 @@ class TokenFileReader:
             start = end
 
 
+@lru_cache(maxsize=1)
 def library_encoder(content: str) -> ChunkEncoder:
-    """Encodes with the tokenizers library; every chunk goes through the library once per worker.
+    """Encodes with the tokenizers library; a chunk goes through it once per worker, as long as it is remembered.
 
     Chunks end where the tokenizer's own pattern ends words, so their ids put
-    together are those of the whole text.
+    together are those of the whole text. New chunks go to the library as lines of
+    a few longer texts: a line end is a token of its own there.
     """
     tokenizer = tokenizers.Tokenizer.from_str(content)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    special = {token.content: number for number, token in tokenizer.get_added_tokens_decoder().items()}
+    (line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def encode(chunks: Sequence[str]) -> list[bytes]:
+    def alone(chunks: Sequence[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False)
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
-    special = {token.content: number for number, token in tokenizer.get_added_tokens_decoder().items()}
+    def encode(chunks: Sequence[str]) -> list[bytes]:
+        known: dict[str, bytes] = {}
+        blank = [chunk for chunk in chunks if chunk.isspace() or "\n" in chunk]
+        known.update(zip(blank, alone(blank)))
+        words = [chunk for chunk in chunks if chunk not in known]
+        for start in range(0, len(words), LINES):
+            lines = words[start : start + LINES]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == line_end)
+            if len(ends) != len(lines) - 1:
+                raise ValueError("this tokenizer does not keep line ends apart")
+            data, starts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+            known.update(zip(lines, [data[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(data)])]))
+        return [known[chunk] for chunk in chunks]
+
     return ChunkEncoder(encode, special)
 
 
@@ -194,7 +214,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, width: i
                 sink = store.open_output_stream(path)
                 encoder, writer = library_encoder(shared.value), TokenFileWriter(sink, width)
             texts = [text or "" for text in batch["text"].to_pylist()]
-            encoder.learn(texts)
             for doc_id, parts in zip(batch["doc_id"].to_pylist(), encoder.encode(texts)):
                 writer.add(doc_id, [*parts, end])
         if writer is not None:

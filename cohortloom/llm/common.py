@@ -7,6 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import tune
@@ -14,6 +15,8 @@ from ..session import tune
 # White space between words: space and the characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+TOKENIZER = "byte_bpe_50k.json"
+
 # One Arrow batch holds at most this much, so a worker's memory depends on its longest text only.
 ARROW_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -50,3 +53,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def utf8(text: str = "text") -> Column:
     """The text's UTF-8 bytes; a null text is an empty one."""
     return F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
+
+
+def tokenizer_file(path: str | None = None) -> str:
+    """Content of a tokenizer file, by default the public one; the driver reads it and sends it to the tasks."""
+    return Path(path or public_tokenizers.path(TOKENIZER)).read_text(encoding="utf-8")

@@ -23,6 +23,7 @@ from .common import WORD
 
 CAP = 3.0
 FAN_IN = 64
+LEAF_ROWS = 20_000
 _EDGE = 1e-9
 
 
@@ -117,7 +118,7 @@ def _same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tie"] == right["tie"])
 
 
-def rounded_copies(items: DataFrame, seed: int, leaf_rows: int = 20_000) -> DataFrame:
+def rounded_copies(items: DataFrame, seed: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """doc_id, tie, copies for items (doc_id, tie, source, size, ratio), one row per (doc_id, tie).
 
     The tree: leaves of about ``leaf_rows`` rows per source, numbered by a hash, so
@@ -153,29 +154,45 @@ def rounded_copies(items: DataFrame, seed: int, leaf_rows: int = 20_000) -> Data
     return whole.join(final, _same_document(whole, final), "left").select(whole["doc_id"], whole["tie"], copies)
 
 
-def mix_sources(docs: DataFrame, seed: int = 7, cap: float = CAP, leaf_rows: int = 20_000) -> DataFrame:
-    """doc_id, tie, source, size, source_size, target, copies, taken for every row of (doc_id, text, source).
+def _tie() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
 
-    ``size`` counts words (a null or empty text has none and is not taken), ``taken``
-    is ``copies * size``, ``tie`` tells texts under one id apart. Rows that repeat
-    id, source and text are one document that occurs several times: they get the
-    same copies and weigh in together. A null source is a source of its own. No
-    document is taken more than ``cap`` times, rounded up; an empty table gives an
-    empty result; other columns are not read.
-    """
+
+def _planned(docs: DataFrame, seed: int, cap: float, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their size and target, and the copies of each (doc_id, tie)."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("doc_id", "source", "text").alias("tie"),
+        _tie().alias("tie"),
         F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"),
+        word_count(F.col("text").cast("string")).alias("size"),
     )
     sized = materialize(sized, "sizes")
     targets = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aimed = sized.join(targets.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     items = aimed.groupBy("doc_id", "tie", "source").agg(F.sum("size").alias("size"), F.first(ratio).alias("ratio"))
-    copies = rounded_copies(materialize(items, "items"), seed, leaf_rows)
+    return aimed, rounded_copies(materialize(items, "items"), seed, leaf_rows)
+
+
+def mix_sources(docs: DataFrame, seed: int = 7, cap: float = CAP, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of (doc_id, text, source).
+
+    ``size`` counts words (a null or empty text has none and is not taken), ``taken``
+    is ``copies * size``. Rows that repeat id, source and text are one document that
+    occurs several times: they get the same copies and weigh in together. A null
+    source is a source of its own. No document is taken more than ``cap`` times,
+    rounded up; an empty table gives an empty result; other columns are not read.
+    """
+    aimed, copies = _planned(docs, seed, cap, leaf_rows)
     return aimed.join(copies, _same_document(aimed, copies)).select(
-        aimed["doc_id"], aimed["tie"], "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        aimed["doc_id"], "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def take_mix(docs: DataFrame, seed: int = 7, cap: float = CAP, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    _, copies = _planned(docs, seed, cap, leaf_rows)
+    plan = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("copies").alias("_copies"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_tie() == F.col("_tie"))
+    taken = docs.join(plan, same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

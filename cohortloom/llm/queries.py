@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, mixing, quality, secret_scan, simhash, token_files, url_filter
-from .common import read
-
-TOKENIZER = "byte_bpe_50k.json"
+from .common import read, tokenizer_file
 
 HOST_RULES = (
     url_filter.HostRule(url_filter.ALLOW, "com", "/"),
@@ -26,10 +23,6 @@ GLOB_RULES = (
 )
 
 
-def tokenizer_file(name: str = TOKENIZER) -> str:
-    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
-
-
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return token_files.read_token_files(token_files.write_token_files(docs, tokenizer_file()))
@@ -94,7 +87,7 @@ FROM ruled
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_files, op3_mixing, op4_url_filter, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality)
-    return {query.__name__: query for query in found}
+    return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
 from .common import utf8
@@ -50,15 +50,17 @@ def fingerprint(text: bytes, ngram: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, ngram: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row of (doc_id, text)."""
+    """doc_id, tie, fp for every row of (doc_id, text): a hash of the text and the fingerprint as a signed long."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(text, ngram) for text in batch["text"].to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["tie"], pa.array(found.view(np.int64))], ["doc_id", "tie", "fp"]
+            )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return source.mapInArrow(hashed, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), utf8().alias("text"))
+    return source.mapInArrow(hashed, "doc_id long, tie long, fp long")
 
 
 def _segment(number: int) -> Column:
@@ -146,6 +148,16 @@ def links(nodes: DataFrame, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     return result
 
 
+def _grouped(docs: DataFrame, ngram: int, hot_segment: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints, and for each distinct fingerprint its group (a fingerprint) and the group's least id."""
+    prints = materialize(fingerprints(docs, ngram), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = components(links(nodes.select("fp"), hot_segment)).withColumnRenamed("u", "fp")
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of (doc_id, text).
 
@@ -156,11 +168,21 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGM
     id unless all its ids are null. An empty table gives an empty result; other
     columns are not read.
     """
-    prints = materialize(fingerprints(docs, ngram), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), hot_segment)).withColumnRenamed("u", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
+    prints, named = _grouped(docs, ngram, hot_segment)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGMENT) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of ``docs``: the least id's, then by a hash of the text.
+
+    A null id only stays for a group without any other. Of rows that repeat id and text one stays.
+    """
+    prints, named = _grouped(docs, ngram, hot_segment)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tie"))
+    first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first")["doc_id"].alias("_kept_id"), F.col("first")["tie"].alias("_kept_tie"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_tie"))
+    repeated = W.partitionBy("_kept_id", "_kept_tie").orderBy(F.lit(1))
+    joined = docs.join(kept, same).withColumn("_repeat", F.row_number().over(repeated))
+    return joined.where("_repeat = 1").select(*docs.columns)

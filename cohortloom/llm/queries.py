@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, mixing, quality, secret_scan, simhash, token_files, url_filter
+from . import ann, bpe, mixing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
 from .common import read, tokenizer_file
 
 HOST_RULES = (
@@ -28,6 +28,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, tokenizer_file()))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -37,6 +41,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), HOST_RULES, GLOB_RULES)
 
 
+def op5_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents")).drop("redacted_text")
 
@@ -86,7 +94,7 @@ FROM ruled
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op3_mixing, op4_url_filter, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality)
+    found = (op1_token_files, op2_suffix_dedup, op3_mixing, op4_url_filter, op5_word_windows, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality)
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 

@@ -21,6 +21,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# true: a query's shuffle files are removed when it ends
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
@@ -85,7 +88,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     For frames used more than once. The copy survives lost executors, is read
     column by column, and its file sizes let Spark choose joins by real size.
+    The shuffle files of the write go with it, as nothing reads them again.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

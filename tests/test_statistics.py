@@ -101,14 +101,63 @@ def test_covariate_without_variation_has_no_coefficient(spark):
     assert model.estimates["c"] == pytest.approx(beta[2], abs=1e-6)
 
 
-def test_covariates_must_be_binary(spark):
-    x, arm, time, event = people(n=50)
-    x[0, 0] = 2.5
-    rows = frame(spark, x, arm, time, event)
-    with pytest.raises(Exception, match="0/1"):
-        propensity.fit_propensity(rows, COVARIATES)
-    with pytest.raises(Exception, match="0/1"):
-        propensity.with_stratum_scores(rows, COVARIATES).collect()
+def fitted(spark, columns, arm, names):
+    data = [(*map(float, row), "IUI" if a else "ART") for row, a in zip(columns, arm)]
+    rows = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names) + ", IUI string")
+    return rows, propensity.fit_propensity(rows, names)
+
+
+def test_any_numeric_covariates(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(40, 12, 500), rng.integers(0, 9, 500), rng.random(500) < 0.3])
+    arm = rng.random(500) < 1 / (1 + np.exp(-(0.05 * (x[:, 0] - 40) - 0.2 * x[:, 1])))
+    _, model = fitted(spark, x, arm, ("age", "visits", "flag"))
+    beta, errors, _ = newton_logistic(x, arm.astype(float))
+    terms = ("(Intercept)", "age", "visits", "flag")
+    assert [model.estimates[t] for t in terms] == pytest.approx(beta, abs=1e-7)
+    assert [model.std_errors[t] for t in terms] == pytest.approx(errors, abs=1e-7)
+    assert model.converged
+
+
+def test_many_covariates(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.random((800, 15)) < 0.5).astype(float)
+    arm = rng.random(800) < 0.4
+    names = tuple(f"c{i}" for i in range(15))
+    _, model = fitted(spark, x, arm, names)
+    beta, _, _ = newton_logistic(x, arm.astype(float))
+    assert [model.estimates[t] for t in ("(Intercept)", *names)] == pytest.approx(beta, abs=1e-7)
+
+
+def test_aliased_columns_have_no_coefficient(spark):
+    """Equal columns, a complement, a sum and constants: the earlier ones are fitted, as if the others were not there."""
+    x, arm, _, _ = people()
+    more = np.column_stack([x, x[:, 0], 1 - x[:, 1], x[:, 0] + 2 * x[:, 2], np.full(len(x), 3.0)])
+    _, model = fitted(spark, more, arm, (*COVARIATES, "twin", "complement", "total", "constant"))
+    beta, errors, _ = newton_logistic(x, arm.astype(float))
+    assert [model.estimates[t] for t in ("(Intercept)", *COVARIATES)] == pytest.approx(beta, abs=1e-7)
+    assert [model.std_errors[t] for t in COVARIATES] == pytest.approx(errors[1:], abs=1e-7)
+    assert all(model.estimates[t] is None and model.std_errors[t] is None for t in ("twin", "complement", "total", "constant"))
+
+
+def test_no_varying_column_leaves_the_intercept(spark):
+    arm = [True] * 30 + [False] * 70
+    _, model = fitted(spark, np.zeros((100, 2)), arm, ("a", "b"))
+    assert model.estimates == {"a": None, "b": None, "(Intercept)": pytest.approx(np.log(0.3 / 0.7))}
+    assert model.statistics["residual_deviance"] == pytest.approx(model.statistics["null_deviance"])
+
+
+def test_one_arm_is_an_error(spark):
+    with pytest.raises(ValueError, match="both arms"):
+        fitted(spark, np.zeros((10, 1)), [True] * 10, ("a",))
+
+
+def test_separated_fit_is_reported(spark):
+    x = np.repeat([[0.0], [1.0]], 40, axis=0)
+    rows, model = fitted(spark, x, x[:, 0] == 1, ("a",))
+    report = {r["group"]: r for r in model.positivity(propensity.with_model_scores(rows, model)).collect()}
+    assert report["IUI"].n_near_one == 40 and report["ART"].n_near_zero == 40
+    assert np.isfinite(list(model.statistics.values())).all()
 
 
 def test_curve_equals_brute_force(spark):
@@ -165,21 +214,3 @@ def test_difference_holds_values_and_stops_with_the_shorter_curve(spark):
     assert result[0].p_value is None
 
 
-def test_stratum_scores_on_rows_and_cells_agree_and_leave_out_one_armed_strata(spark):
-    x, arm, time, event = people(n=80)
-    arm[(x == 1).all(axis=1)] = True
-    rows = frame(spark, x, arm, time, event)
-    cells = rows.groupBy(*COVARIATES, "IUI", "time_to_delivery", "event_delivery").agg(F.count("*").alias("n"))
-    by_row = propensity.with_weights(propensity.with_stratum_scores(rows, COVARIATES))
-    by_cell = propensity.with_weights(propensity.with_stratum_scores_on_cells(cells, COVARIATES))
-    assert by_row.where("a = 1 and b = 1 and c = 1").count() == 0
-    a = by_row.agg(F.sum("ip_weight")).collect()[0][0]
-    b = by_cell.agg(F.sum(F.col("n") * F.col("ip_weight"))).collect()[0][0]
-    assert a == pytest.approx(b)
-    summary_a = propensity.weight_summary(by_row).collect()[0]
-    summary_b = propensity.weight_summary(by_cell, freq="n").collect()[0]
-    assert list(summary_a) == pytest.approx(list(summary_b))
-    assert summary_a.median == pytest.approx(np.median([r.ip_weight for r in by_row.collect()]))
-    # weighting by the saturated model balances the covariates exactly
-    table = balance.balance_table(by_cell, COVARIATES, freq="n").collect()
-    assert [r.diff_adjusted for r in table if r.kind == "binary"] == pytest.approx([0.0] * 3, abs=1e-12)

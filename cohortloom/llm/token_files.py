@@ -44,14 +44,14 @@ INDEX_MARK = b"TOK1"
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n_tokens", "<u8"), ("first_frame", "<u4")])
 FRAME_TOKENS = 1 << 20
 READ_BYTES = 8 << 20
-LINES = 2000
+LINES = 500
 SHARD = "shard long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
 class TokenFileWriter:
     """Writes documents in the order they come; memory holds one frame and the index."""
 
-    def __init__(self, sink, width: int = 4, level: int = 3, frame_tokens: int = FRAME_TOKENS):
+    def __init__(self, sink, width: int = 4, level: int = 1, frame_tokens: int = FRAME_TOKENS):
         self.sink, self.width, self.frame_tokens = sink, width, frame_tokens
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []

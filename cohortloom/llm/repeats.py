@@ -231,8 +231,8 @@ def repeated_windows(source: DataFrame, method: Method) -> DataFrame:
         return _settled(batches, method)
 
     found = source.mapInArrow(gather, f"kind byte, key long, content long, {PLACE}")
-    # single pieces and marks of an anchor meet; rows that need no meeting are spread by their content
-    route = F.when(F.col("kind").isin(OPEN, MARK), F.lit(0)).otherwise(F.col("content"))
+    # single pieces and marks of an anchor meet; rows that need no meeting are spread by their place
+    route = F.when(F.col("kind").isin(OPEN, MARK), F.lit(0)).otherwise(F.xxhash64("doc", "pos"))
     times = F.count("*").over(W.partitionBy("key", "route"))
     met = found.withColumn("route", route).withColumn("times", times)
     alive = met.where((F.col("kind") != MARK) & ((F.col("kind") != OPEN) | (F.col("times") > 1)))

@@ -14,7 +14,7 @@ from .pieces import Shape, mixed
 from .repeats import Method, covered, sources, with_repeats
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
-BYTE_GRAM, WORD_GRAM = 24, 5
+BYTE_GRAM, WORD_GRAM = 32, 5
 
 
 def byte_values(text: bytes) -> np.ndarray:

@@ -5,7 +5,8 @@ leftmost S suffixes (LMS) are sorted by their substrings, which get names in
 that order; if names repeat, the string of names is sorted the same way. The
 order of the LMS suffixes then induces that of the L suffixes in one pass from
 the left and of the S suffixes in one from the right. Strings over few symbols
-induce bucket by bucket with numpy, strings over many (of names) one by one.
+induce bucket by bucket with numpy, also for the order of the substrings;
+strings over many (of names) sort their substrings by keys and induce one by one.
 """
 
 from __future__ import annotations
@@ -71,28 +72,33 @@ def _induce_few(text: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.n
 
 
 def _induce_many(text: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    symbols, is_small = text.tolist(), small.tolist()
+    """One by one. A list's iterators see what is stored ahead of them, as the passes need."""
+    size = len(text)
     tails = ends.tolist()
-    found = [-1] * len(symbols)
+    symbols = text.tolist()
+    found = [size] * size  # ``size`` stands for an empty place
     for item in reversed(lms.tolist()):
         symbol = symbols[item]
         tails[symbol] -= 1
         found[tails[symbol]] = item
+    # for each place the symbol before it if that suffix is L (then S), else -1
+    before = np.concatenate([[-1], np.where(small[:-1], -1, text[:-1]), [-1]]).tolist()
     heads = [0, *ends[:-1].tolist()]
-    for at in range(len(found)):
-        item = found[at] - 1
-        if item >= 0 and not is_small[item]:
-            symbol = symbols[item]
-            found[heads[symbol]] = item
-            heads[symbol] += 1
+    for item in found:
+        symbol = before[item]
+        if symbol >= 0:
+            at = heads[symbol]
+            found[at] = item - 1
+            heads[symbol] = at + 1
+    before = np.concatenate([[-1], np.where(small[:-1], text[:-1], -1), [-1]]).tolist()
     tails = ends.tolist()
-    for at in range(len(found) - 1, -1, -1):
-        item = found[at] - 1
-        if item >= 0 and is_small[item]:
-            symbol = symbols[item]
-            tails[symbol] -= 1
-            found[tails[symbol]] = item
-    found[0] = len(symbols) - 1
+    for item in reversed(found):
+        symbol = before[item]
+        if symbol >= 0:
+            at = tails[symbol] - 1
+            found[at] = item - 1
+            tails[symbol] = at
+    found[0] = size - 1
     return np.array(found, dtype=np.int64)
 
 
@@ -115,6 +121,35 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return by_place[lms], int(names[-1]) + 1
 
 
+def _names_of_many(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """The same for strings over many symbols: as many symbols (with their type) as fit a key are sorted at once,
+    and only substrings that are longer and still tie go on to the next key."""
+    code = text * 2 + small + 1
+    bits = (2 * size + 2).bit_length()
+    width = 62 // bits
+    length = np.append(np.diff(lms) + 1, 1)
+    rank = np.zeros(len(lms), dtype=np.int64)  # place of the first of those that tie
+    active, offset = np.arange(len(lms)), 0
+    while len(active):
+        key = np.zeros(len(active), dtype=np.int64)
+        for nth in range(offset, offset + width):
+            inside = length[active] > nth
+            key = key << bits | np.where(inside, code[np.minimum(lms[active] + nth, len(code) - 1)], 0)
+        order = np.lexsort((key, rank[active]))
+        active, key, old = active[order], key[order], rank[active][order]
+        at = np.arange(len(active))
+        begins = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        fresh = np.append(True, (old[1:] != old[:-1]) | (key[1:] != key[:-1]))
+        first = np.maximum.accumulate(np.where(fresh, at, 0))
+        rank[active] = old + first - begins
+        offset += width
+        ties = np.bincount(first, minlength=len(active))[first] > 1
+        active = active[ties & (length[active] > offset)]
+    used = np.zeros(len(lms), dtype=np.int64)
+    used[rank] = 1
+    return (np.cumsum(used) - 1)[rank], int(used.sum())
+
+
 def _sorted_suffixes(text: np.ndarray, size: int) -> np.ndarray:
     """``text`` ends in a 0 that occurs nowhere else; symbols are below ``size``."""
     if len(text) == 1:
@@ -122,15 +157,15 @@ def _sorted_suffixes(text: np.ndarray, size: int) -> np.ndarray:
     small = _smaller(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ends = np.cumsum(np.bincount(text, minlength=size))
-    induce = _induce_few if size <= FEW_SYMBOLS else _induce_many
-    rough = induce(text, small, ends, lms)
-    is_lms = np.zeros(len(text), dtype=bool)
-    is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    names, count = _names(text, lms, ordered)
-    if count < len(lms):
-        ordered = lms[_sorted_suffixes(names, count)]
-    return induce(text, small, ends, ordered)
+    if size <= FEW_SYMBOLS:
+        rough = _induce_few(text, small, ends, lms)
+        is_lms = np.zeros(len(text), dtype=bool)
+        is_lms[lms] = True
+        names, count = _names(text, lms, rough[is_lms[rough]])
+    else:
+        names, count = _names_of_many(text, small, lms, size)
+    ordered = _sorted_suffixes(names, count) if count < len(lms) else np.argsort(names)
+    return (_induce_few if size <= FEW_SYMBOLS else _induce_many)(text, small, ends, lms[ordered])
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, mixing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
-from .common import read, tokenizer_file
+from .common import WORD, read, tokenizer_file
 
 HOST_RULES = (
     url_filter.HostRule(url_filter.ALLOW, "com", "/"),
@@ -93,10 +93,82 @@ FROM ruled
 """
 
 
+OP5_SQL = """
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM texts WHERE len(words) >= 20
+), repeated AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY words[i:i + 19] ORDER BY doc_id, i) AS nth FROM placed) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM repeated
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS rest, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM texts) w
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = w.doc_id AND g.p = w.p) GROUP BY w.doc_id
+)
+SELECT t.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+_RULES = quality.Rules()
+OP10_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 2]) AS times
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts WHERE len(words) >= 3)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) AS n_chars,
+    len(regexp_extract_all(t, '{quality.SYMBOLS}')) AS n_symbols, strlen(t) AS n_bytes, words,
+    len(regexp_extract_all(t, '{quality.DIGITS}')) AS digits, len(regexp_extract_all(t, '{quality.CAPITALS}')) AS capitals,
+    len(regexp_extract_all(t, '{quality.PUNCTUATION}')) AS punctuation
+  FROM texts
+), common AS (
+  SELECT c.doc_id, w.word, count(u.word) AS v
+  FROM counted c CROSS JOIN (SELECT unnest({list(quality.COMMON_WORDS)}) AS word) w
+  LEFT JOIN (SELECT doc_id, unnest(words) AS word FROM counted) u ON u.doc_id = c.doc_id AND u.word = w.word
+  GROUP BY c.doc_id, w.word
+), bars AS (
+  SELECT doc_id, lang, 'c' AS kind, unnest(['digits', 'capitals', 'punctuation', 'white', 'extra', 'rest']) AS k,
+    unnest([digits, capitals, punctuation, n_chars - word_chars, n_bytes - n_chars, word_chars - digits - capitals - punctuation]) AS v
+  FROM counted
+  UNION ALL
+  SELECT c.doc_id, lang, 'w', word, v FROM common c JOIN counted d ON d.doc_id = c.doc_id
+  UNION ALL
+  SELECT c.doc_id, any_value(lang), 'w', '', any_value(n_words) - sum(v) FROM common c JOIN counted d ON d.doc_id = c.doc_id GROUP BY c.doc_id
+), shares AS (
+  SELECT doc_id, kind, v / nullif(sum(v) OVER (PARTITION BY doc_id, kind), 0) AS p,
+    sum(v) OVER (PARTITION BY lang, kind, k) / nullif(sum(v) OVER (PARTITION BY lang, kind), 0) AS q FROM bars
+), distances AS (
+  SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END / 2
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END / 2), 0)) AS d
+  FROM shares WHERE p IS NOT NULL GROUP BY doc_id, kind
+), judged AS (
+  SELECT c.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < {_RULES.min_words}
+      OR 100 * coalesce(n_repeat_words, 0) > {_RULES.max_repeat_percent} * n_words AS base_failed,
+    coalesce(n_chars >= {_RULES.min_chars} AND x.d > {_RULES.max_char_distance}, false)
+      OR coalesce(n_words >= {_RULES.min_words_for_distance} AND y.d > {_RULES.max_word_distance}, false) AS far
+  FROM counted c LEFT JOIN lines l ON l.doc_id = c.doc_id LEFT JOIN repeats r ON r.doc_id = c.doc_id
+  LEFT JOIN distances x ON x.doc_id = c.doc_id AND x.kind = 'c' LEFT JOIN distances y ON y.doc_id = c.doc_id AND y.kind = 'w'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept
+FROM judged
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_files, op2_suffix_dedup, op3_mixing, op4_url_filter, op5_word_windows, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality)
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op4_url_filter": OP4_SQL, "op5_word_windows": OP5_SQL, "op10_quality": OP10_SQL}

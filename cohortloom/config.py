@@ -74,6 +74,7 @@ class StudyConfig:
     conf_level: float = 0.95
     source_schema: str | None = None
     write_schema: str | None = None
+    cohort_definition_id: int | None = None
     id_by_set: dict[str, int] = field(default_factory=lambda: dict(CONCEPT_SET_IDS))
 
     def __post_init__(self):

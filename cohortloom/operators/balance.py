@@ -73,6 +73,15 @@ def balance_table(
     return total.select(F.inline(F.array(*lines)))
 
 
+def effective_sizes(weighted: DataFrame, arm: str = "IUI", weight: str = "ip_weight", freq: str | None = None) -> DataFrame:
+    """Per arm: persons, and the number of equally weighted ones that would be as informative."""
+    n, w = _n(freq), F.col(weight)
+    sums = weighted.groupBy(F.col(arm).alias("group")).agg(
+        F.sum(n).alias("size_unadjusted"), (F.sum(n * w) * F.sum(n * w) / F.sum(n * w * w)).alias("size_adjusted")
+    )
+    return sums
+
+
 def balance_long(table: DataFrame) -> DataFrame:
     """Balance table as (covariate, sample, abs_diff) rows."""
     long = table.select("covariate", "diff_unadjusted", "diff_adjusted").unpivot(

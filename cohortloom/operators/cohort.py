@@ -46,6 +46,9 @@ def cohort_windows(cohort: DataFrame, config: StudyConfig = StudyConfig()) -> Da
     )
 
 
+MAX_RULES = 62
+
+
 @dataclass(frozen=True)
 class InclusionRule:
     """Number of events of some sets in [entry + first_day, entry + last_day] must be in a range."""
@@ -72,6 +75,10 @@ class CohortSpec:
     max_follow_up: int
     rules: tuple[InclusionRule, ...] = ()
 
+    def __post_init__(self):
+        if len(self.rules) > MAX_RULES:
+            raise ValueError(f"a definition has at most {MAX_RULES} rules: they are bits of one number")
+
 
 def evaluate_rules(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
     """Entries of all definitions with ``inclusion_mask``: bit i is set if rule i holds.
@@ -182,6 +189,52 @@ def attrition(evaluated: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
     )
 
 
+def rule_gain(evaluated: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
+    """Per rule: persons that fulfil it, persons that only this rule keeps out, and all persons of the definition."""
+    rules = [
+        F.struct(
+            F.lit(spec.cohort_definition_id).alias("definition"),
+            F.lit(number + 1).alias("rule_sequence"),
+            F.lit(rule.name).alias("rule_name"),
+            F.lit(2**number).cast("long").alias("bit"),
+            F.lit(2 ** len(spec.rules) - 1 - 2**number).cast("long").alias("others"),
+        )
+        for spec in specs for number, rule in enumerate(spec.rules)
+    ]
+    mask, n = F.col("inclusion_mask"), F.col("person_count")
+    counts = inclusion_counts(evaluated).select("*", F.explode(F.array(*rules)).alias("rule"))
+    return (
+        counts.where(F.col("rule.definition") == F.col("cohort_definition_id"))
+        .groupBy("cohort_definition_id", F.col("rule.rule_sequence").alias("rule_sequence"), F.col("rule.rule_name").alias("rule_name"))
+        .agg(
+            F.sum(F.when(mask.bitwiseAND(F.col("rule.bit")) != 0, n).otherwise(0)).alias("person_count"),
+            F.sum(F.when(mask == F.col("rule.others"), n).otherwise(0)).alias("gain_count"),
+            F.sum(n).alias("person_total"),
+        )
+    )
+
+
+def summary_counts(evaluated: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
+    """Per definition: persons with an entry, and persons that pass every rule."""
+    full = F.coalesce(*[F.when(F.col("cohort_definition_id") == s.cohort_definition_id, 2 ** len(s.rules) - 1) for s in specs])
+    return inclusion_counts(evaluated).groupBy("cohort_definition_id").agg(
+        F.sum("person_count").alias("base_count"),
+        F.sum(F.when(F.col("inclusion_mask") == full, F.col("person_count")).otherwise(0)).alias("final_count"),
+    )
+
+
+def cohort_results(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> dict[str, DataFrame]:
+    """The cohort rows of all definitions and every statistics table, by table name."""
+    evaluated = evaluate_rules(days, observation, specs)
+    return {
+        "cohort": generate_cohorts(days, observation, specs),
+        "cohort_attrition": attrition(evaluated, specs),
+        "cohort_inclusion": inclusion_counts(evaluated),
+        "cohort_rule_gain": rule_gain(evaluated, specs),
+        "cohort_summary": summary_counts(evaluated, specs),
+    }
+
+
 OPEN_END = "9999-12-31"
 
 

@@ -49,7 +49,8 @@ def code_events(events: DataFrame, members: DataFrame) -> DataFrame:
     No broadcast hint: a membership table that is small enough is broadcast by
     its size, a large one is joined by shuffle with AQE splitting hot concepts.
     """
-    return events.join(members, "concept_id").select(*EVENT_COLUMNS)
+    stored = [name for name in ("month",) if name in events.columns]
+    return events.join(members, "concept_id").select(*EVENT_COLUMNS, *stored)
 
 
 def person_window_rows(windows: DataFrame, pulls: Sequence[PullSpec], carry: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +77,7 @@ def _window_of_set(pulls: Sequence[PullSpec]) -> Column:
 
 
 def pull_concept_sets(
-    coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec], carry: Sequence[str] = ()
+    coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec], carry: Sequence[str] = (), numbered: bool = False
 ) -> DataFrame:
     """Events of all pulled sets inside their windows, one row per event.
 
@@ -84,14 +85,15 @@ def pull_concept_sets(
     window's days (both included) are checked in the join. With this key neither
     side arrives already partitioned, so both are shuffled for the join and AQE
     can split the rows of a person who owns a large part of them. ``carry``
-    names person columns to keep on the rows, which saves a second such join.
+    names person columns to keep on the rows, which saves a second such join;
+    ``numbered`` keeps the window number, by which an aggregate needs no new shuffle.
     """
     names = [pull.concept_set for pull in pulls]
     rows = coded_events.where(F.col("concept_set").isin(*names)).withColumn("window_no", _window_of_set(pulls))
     return (
         rows.join(person_window_rows(windows, pulls, carry), ["person_id", "window_no"])
         .where(F.col("date").between(F.col("first_day"), F.col("last_day")))
-        .select(*coded_events.columns, *carry)
+        .select(*coded_events.columns, *carry, *["window_no"] * numbered)
     )
 
 
@@ -99,13 +101,17 @@ def within_study_period(events: DataFrame, windows: DataFrame, pulls: Sequence[P
     """Events between the earliest and the latest day of any person's window.
 
     The window bounds of a pull are only known per person; these two scalars let
-    a stored event table that is partitioned or sorted by date skip files. Use it
+    a stored event table that is partitioned or sorted by date skip files: a
+    ``month`` column (see ``write_events``) is compared with their months. Use it
     where the cohort is a stored table, as it is read once more for the scalars.
     """
     rows = person_window_rows(windows, pulls)
     period = rows.agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
     first_day, last_day = period.select("first_day").scalar(), period.select("last_day").scalar()
-    return events.where(F.col("date").between(first_day, last_day))
+    inside = F.col("date").between(first_day, last_day)
+    if "month" in events.columns:
+        inside &= F.col("month").between(F.trunc(first_day, "month"), F.trunc(last_day, "month"))
+    return events.where(inside)
 
 
 def pull_indicators(coded_events: DataFrame, windows: DataFrame, pulls: Sequence[PullSpec]) -> DataFrame:

@@ -43,27 +43,26 @@ def range_join_days(cycles: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def range_join_outcomes(cycles: DataFrame, outcome_events: DataFrame, salts: int = 4) -> DataFrame:
+def range_join_outcomes(cycles: DataFrame, outcome_events: DataFrame) -> DataFrame:
     """The same join keeping every event as its own row.
 
     A left join cannot be split on its right side, where a person may have very
     many events. So matches come from an inner join, and cycles without a match
-    from an anti join against the distinct days. In the inner join a salt
-    spreads the events of a person; as it also makes both sides be shuffled for
-    the join, AQE can split a salt further. Each cycle (at most ``max_cycles``
-    per person) is repeated once per salt.
+    from an anti join against the distinct days. The inner join meets on person
+    and calendar month: a cycle is repeated for the months of its follow-up (a
+    dozen at most), an event has one. A person's events are thus dealt by time,
+    and as both sides are shuffled for this join, AQE can split a month further.
     """
     columns = ("date", "preg_concept")
+    month = lambda date: F.trunc(date, "month")
     events = outcome_events.select(
-        "person_id",
-        "date",
-        F.col("concept_set").alias("preg_concept"),
-        F.pmod(F.xxhash64("date", "concept_set", "concept_id"), F.lit(salts)).cast("int").alias("salt"),
+        "person_id", "date", F.col("concept_set").alias("preg_concept"), month(F.col("date")).alias("month")
     )
-    salted = cycles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    months = F.sequence(month(F.col("day_1")), month(F.col("end_preg")), F.expr("interval 1 month"))
+    monthly = cycles.withColumn("month", F.explode(months))
     matched = (
         events.alias("o")
-        .join(salted.alias("c"), _in_follow_up() & (F.col("o.salt") == F.col("c.salt")))
+        .join(monthly.alias("c"), _in_follow_up() & (F.col("o.month") == F.col("c.month")))
         .select(*[f"c.{name}" for name in CYCLE_COLUMNS], *[f"o.{name}" for name in columns])
     )
     days = outcome_events.select("person_id", "date").distinct()

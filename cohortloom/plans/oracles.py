@@ -468,7 +468,28 @@ FINAL["weight_vectors"] = """
     SELECT person_id, IUI, round(ip_weight, 6) + 0.0 AS weight_rows, round(ip_weight, 6) + 0.0 AS weight_cells,
            CAST(0 AS DOUBLE) AS max_difference
     FROM weighted"""
-FINAL["iptw_km_glm"] = FINAL["iptw_km"]
+FINAL["iptw_km_glm"] = FINAL["study_stored"] = FINAL["iptw_km"]
+FINAL["balance_sizes"] = """
+    SELECT IUI AS "group", CAST(count(*) AS DOUBLE) AS size_unadjusted,
+           round(sum(ip_weight) * sum(ip_weight) / sum(ip_weight * ip_weight), 4) + 0.0 AS size_adjusted
+    FROM weighted GROUP BY IUI"""
+FINAL["qc_person_treatments"] = "SELECT person_id, date, concept_id, concept_set FROM txt WHERE person_id = {person}"
+FINAL["qc_person_cycles"] = "SELECT * FROM outcomes WHERE person_id = {person}"
+FINAL["qc_person_itt"] = ITT_SELECT + "itt WHERE person_id = {person}"
+FINAL["cohort_rule_gain"] = """
+    SELECT 1 AS cohort_definition_id, 1 AS rule_sequence, 'no delivery in the year before' AS rule_name,
+           count(*) FILTER (mask % 2 = 1) AS person_count, count(*) FILTER (mask = 2) AS gain_count, count(*) AS person_total
+    FROM evaluated WHERE cohort_definition_id = 1
+    UNION ALL
+    SELECT 1, 2, 'infertility on record', count(*) FILTER (mask >= 2), count(*) FILTER (mask = 1), count(*)
+    FROM evaluated WHERE cohort_definition_id = 1
+    UNION ALL
+    SELECT 2, 1, 'no tobacco use on record', count(*) FILTER (mask = 1), count(*) FILTER (mask = 0), count(*)
+    FROM evaluated WHERE cohort_definition_id = 2"""
+FINAL["cohort_summary"] = """
+    SELECT cohort_definition_id, count(*) AS base_count, count(*) FILTER (mask = passed) AS final_count,
+           count(*) FILTER (mask = passed) AS stored_rows
+    FROM evaluated GROUP BY cohort_definition_id"""
 FINAL["cohort_eras_open"] = """
     SELECT 1 AS cohort_definition_id, person_id AS subject_id, min(start) AS cohort_start_date,
            CASE WHEN bool_or(is_open) THEN NULL ELSE max(finish) END AS cohort_end_date
@@ -478,7 +499,7 @@ FINAL["cohort_eras_open"] = """
                       FROM claims JOIN obs USING (person_id) WHERE concept_set IN ('ART', 'IUI'))
                 WINDOW earlier AS (PARTITION BY person_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
     GROUP BY person_id, era"""
-for _name in ("cohort_generate", "cohort_inclusion", "cohort_stats"):
+for _name in ("cohort_generate", "cohort_inclusion", "cohort_stats", "cohort_rule_gain", "cohort_summary"):
     EXTRA_CTES[_name] = GENERATED
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -175,6 +176,29 @@ def cohort_inclusion(study_in: Inputs) -> DataFrame:
     return cohort.inclusion_counts(evaluated_rules(study_in))
 
 
+def _stored_results(study_in: Inputs) -> dict[str, DataFrame]:
+    """Generate all definitions, store cohort and statistics, and read them back."""
+    days = materialize(concepts.event_days(study_in.coded), "days")
+    observation = materialize(surrogate.observation_period(study_in.coded), "observation")
+    folder = new_path(study_in.spark, "cohorts")
+    tables.write_cohort_results(cohort.cohort_results(days, observation, COHORT_SPECS), folder)
+    return tables.read_cohort_results(study_in.spark, folder)
+
+
+@query
+def cohort_rule_gain(study_in: Inputs) -> DataFrame:
+    """Stored statistics: what each rule keeps out."""
+    return _stored_results(study_in)["cohort_rule_gain"]
+
+
+@query
+def cohort_summary(study_in: Inputs) -> DataFrame:
+    """Stored statistics: first and last count of each definition, with the rows of the stored cohort beside them."""
+    stored = _stored_results(study_in)
+    rows = stored["cohort"].groupBy("cohort_definition_id").agg(F.count("*").alias("stored_rows"))
+    return stored["cohort_summary"].join(rows, "cohort_definition_id", "left")
+
+
 def _treatment_periods(study_in: Inputs) -> DataFrame:
     treatment_days = concepts.event_days(
         study_in.coded.where(F.col("concept_set").isin(*CONFIG.treatment_sets))
@@ -237,12 +261,17 @@ def baseline(study_in: Inputs) -> DataFrame:
 
 @query
 def first_treatment(study_in: Inputs) -> DataFrame:
-    """Left joins with at most one match and suffixed names, as for separate pulls."""
-    by_entry_day = {"person_id": "person_id", "cohort_start_date": "date"}
-    values = ("concept_id", "concept_set")
-    rows = study_in.windows().select("person_id", "cohort_start_date")
+    """Left join with at most one match per set on the entry day: the lowest concept of each, from one pull of both sets."""
+    windows = study_in.windows()
+    pulled = concepts.pull_concept_sets(study_in.coded, windows, study_in.pulls(CONFIG.treatment_sets), ["cohort_start_date"])
+    on_entry = pulled.where(F.col("date") == F.col("cohort_start_date"))
+    lowest = {
+        f"concept_id_{name}": F.min(F.when(F.col("concept_set") == name, F.col("concept_id"))) for name in ("IUI", "ART")
+    }
+    matches = on_entry.groupBy("person_id").agg(*[column.alias(name) for name, column in lowest.items()])
+    rows = windows.select("person_id", "cohort_start_date").join(matches, "person_id", "left")
     for name in ("IUI", "ART"):
-        rows = joins.left_join_first(rows, study_in.pulled(name), by_entry_day, values, f"_{name}")
+        rows = rows.withColumn(f"concept_set_{name}", F.when(F.col(f"concept_id_{name}").isNotNull(), F.lit(name)))
     return rows.withColumn("first_txt", itt.first_treatment_label())
 
 
@@ -380,6 +409,21 @@ def qc_person_lookup(study_in: Inputs) -> DataFrame:
     return qc.person_rows(study_in.pulled(*CONFIG.outcome_sets), LOOKUP_PERSON)
 
 
+@query
+def qc_person_treatments(study_in: Inputs) -> DataFrame:
+    return qc.person_rows(study_in.pulled(*CONFIG.treatment_sets), LOOKUP_PERSON)
+
+
+@query
+def qc_person_cycles(study_in: Inputs) -> DataFrame:
+    return qc.person_rows(cycle_outcomes(study_in), LOOKUP_PERSON)
+
+
+@query
+def qc_person_itt(study_in: Inputs) -> DataFrame:
+    return qc.person_rows(study_in.itt(), LOOKUP_PERSON)
+
+
 @query
 def qc_mixed_cycle(study_in: Inputs) -> DataFrame:
     return qc.mixed_first_cycle(study_in.annotated_days(), freq="n_events")
@@ -502,6 +546,12 @@ def balance_distribution(study_in: Inputs) -> DataFrame:
     return rounded(shares, "share_unadjusted", "share_adjusted")
 
 
+@query
+def balance_sizes(study_in: Inputs) -> DataFrame:
+    sizes = balance.effective_sizes(study_in.weighted_cells(), freq="n")
+    return rounded(sizes, "size_unadjusted", "size_adjusted", digits=4)
+
+
 @query
 def balance_long(study_in: Inputs) -> DataFrame:
     table = balance.balance_table(study_in.weighted_cells(), CONFIG.covariates, freq="n")
@@ -515,6 +565,19 @@ def iptw_km_glm(study_in: Inputs) -> DataFrame:
     return rounded(curve, "surv", "se", "ci_lower", "ci_upper")
 
 
+@query
+def study_stored(study_in: Inputs) -> DataFrame:
+    """The same from stored tables: one definition of the stored cohort, and only the months of its windows."""
+    spark, path = study_in.spark, new_path(study_in.spark, "stored")
+    tables.write_cohort(study_in.cohort, f"{path}/cohort")
+    tables.write_events(surrogate.clinical_events(spark, study_in.sf_dir), f"{path}/events")
+    members = surrogate.concept_members(spark, study_in.sf_dir)
+    coded = concepts.code_events(tables.read_events(spark, f"{path}/events"), members)
+    config = replace(CONFIG, cohort_definition_id=surrogate.COHORT_DEFINITION_ID)
+    curve = study.run_study(coded, tables.read_cohort(spark, f"{path}/cohort"), config).curve
+    return rounded(curve, "surv", "se", "ci_lower", "ci_upper")
+
+
 _queries["itt"] = _queries.pop("itt_")
 
 

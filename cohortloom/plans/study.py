@@ -31,13 +31,17 @@ def person_timelines(coded_events: DataFrame, cohort: DataFrame, config: StudyCo
 
     Covariates (0/1), the lowest concept id of each treatment on the entry day,
     the treatment days and the outcome days inside their windows. The pull
-    leaves a person's rows of one window together, so the aggregate sends a few
-    rows per person over its shuffle. The collected sets hold distinct days:
-    they are bounded by the days of the windows, however many events there are.
+    leaves a person's rows of one window together, so they are first reduced to
+    distinct days and sent on as a few rows per person. The collected sets are
+    bounded by the days of the windows, however many events there are.
     Columns that a query does not use are pruned, aggregates included.
     """
     windows = cohort_ops.cohort_windows(cohort, config)
-    pulled = concepts.pull_concept_sets(coded_events, windows, config.pulls(), carry=["cohort_start_date"])
+    pulled = concepts.pull_concept_sets(coded_events, windows, config.pulls(), ["cohort_start_date"], numbered=True)
+    # raw rows become distinct days by hashing, where the join has left them, before any set is collected
+    pulled = pulled.groupBy("person_id", "window_no", "concept_set", "date", "cohort_start_date").agg(
+        F.min("concept_id").alias("concept_id")
+    )
     kind, date, entry = F.col("concept_set"), F.col("date"), F.col("cohort_start_date")
     indicators = [F.max(F.when(kind == name, 1.0)).alias(name.lower()) for name in config.covariate_sets]
     entry_day = [
@@ -147,9 +151,16 @@ class StudyResult:
 def run_study(coded_events: DataFrame, cohort: DataFrame, config: StudyConfig = StudyConfig()) -> StudyResult:
     """Events and cohort to weighted curves.
 
-    One job reads the events and writes the cells; the model fit, the curves
+    ``config.cohort_definition_id`` picks one definition of a stored cohort, before
+    anything is read of the others. Events with a ``month`` column are a stored
+    table: only the months of the cohort's windows are read. One job reads the events and writes the cells; the model fit, the curves
     and the diagnostics read the cells only.
     """
+    if config.cohort_definition_id is not None:
+        cohort = cohort.where(F.col("cohort_definition_id") == config.cohort_definition_id)
+    if "month" in coded_events.columns:
+        windows = cohort_ops.cohort_windows(cohort, config)
+        coded_events = concepts.within_study_period(coded_events, windows, config.pulls()).drop("month")
     analysis = itt.itt_analysis(itt_rows(person_timelines(coded_events, cohort, config), config))
     cells = materialize(analysis_cells(analysis, config), "analysis-cells")
     model = propensity.fit_propensity(cells, config.covariates, freq="n")

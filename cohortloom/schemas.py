@@ -28,6 +28,21 @@ COHORT_INCLUSION = _fields(
     ("person_count", T.LongType(), False),
 )
 
+COHORT_RULE_GAIN = _fields(
+    ("cohort_definition_id", T.IntegerType(), False),
+    ("rule_sequence", T.IntegerType(), False),
+    ("rule_name", T.StringType(), False),
+    ("person_count", T.LongType(), False),
+    ("gain_count", T.LongType(), False),
+    ("person_total", T.LongType(), False),
+)
+
+COHORT_SUMMARY = _fields(
+    ("cohort_definition_id", T.IntegerType(), False),
+    ("base_count", T.LongType(), False),
+    ("final_count", T.LongType(), False),
+)
+
 EVENTS = _fields(
     ("person_id", T.LongType(), False),
     ("date", T.DateType(), False),
@@ -37,3 +52,5 @@ EVENTS = _fields(
 EVENTS_LONG = T.StructType(
     EVENTS.fields + [T.StructField("concept_set", T.StringType(), False)]
 )
+
+STORED_EVENTS = T.StructType(EVENTS.fields + [T.StructField("month", T.DateType(), False)])

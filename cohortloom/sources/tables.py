@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
@@ -12,6 +12,8 @@ COHORT_TABLES = {
     "cohort": schemas.COHORT,
     "cohort_attrition": schemas.COHORT_ATTRITION,
     "cohort_inclusion": schemas.COHORT_INCLUSION,
+    "cohort_rule_gain": schemas.COHORT_RULE_GAIN,
+    "cohort_summary": schemas.COHORT_SUMMARY,
 }
 
 
@@ -58,3 +60,31 @@ def read_cohort(spark: SparkSession, path: str, cohort_definition_id: int | None
     if cohort_definition_id is not None:
         cohort = cohort.where(cohort.cohort_definition_id == cohort_definition_id)
     return cohort.select(*schemas.COHORT.fieldNames())
+
+
+def write_cohort_results(results: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Store generated cohorts and their statistics (see ``cohort.cohort_results``); returns the paths."""
+    paths = {name: f"{folder}/{name}" for name in results}
+    for name, frame in results.items():
+        if name == "cohort":
+            write_cohort(frame, paths[name])
+        else:
+            frame.write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
+def read_cohort_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored statistics tables by name, and the cohort."""
+    statistics = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in COHORT_TABLES.items() if name != "cohort"}
+    return statistics | {"cohort": read_cohort(spark, f"{folder}/cohort")}
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Store events by month. Rebalanced by month first, so that a month's files are few and a large month is several tasks."""
+    monthly = events.withColumn("month", F.trunc("date", "month"))
+    monthly.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Stored events with their ``month``; a filter on it skips folders."""
+    return spark.read.schema(schemas.STORED_EVENTS).parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import statistics
 import sys
 import tempfile
@@ -40,7 +41,7 @@ HEADLINE = (
 )
 
 
-def session() -> SparkSession:
+def session(folder: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("cohortloom-bench")
@@ -49,7 +50,8 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortloom-bench-"))
+        .config("spark.ui.retainedStages", "100000")
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -66,9 +68,28 @@ def seconds(build) -> float:
     return round(statistics.median(times[1:]), 3)
 
 
-def headline(spark: SparkSession) -> dict[str, float]:
-    queries = registry.queries()
-    return {name: seconds(lambda: queries[name](spark, SF_DIR)) for name in HEADLINE}
+def traffic(spark: SparkSession) -> tuple[int, int]:
+    """Rows read from files and bytes shuffled by all stages so far, from Spark's own status store."""
+    jvm = spark.sparkContext._jvm
+    empty = jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(empty, False, False, quantiles, empty)
+    kept = [stages.apply(n) for n in range(stages.size())]
+    return sum(stage.inputRecords() for stage in kept), sum(stage.shuffleWriteBytes() for stage in kept)
+
+
+def headline(spark: SparkSession) -> tuple[dict[str, float], dict[str, dict[str, int]]]:
+    """Seconds by query, and what one run reads and shuffles; in mixed order, so that none always runs last."""
+    queries, times, moved = registry.queries(), {}, {}
+    order = list(HEADLINE)
+    random.Random(2).shuffle(order)
+    for name in order:
+        times[name] = seconds(lambda: queries[name](spark, SF_DIR))
+        before = traffic(spark)
+        queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+        rows, shuffled = (after - b for after, b in zip(traffic(spark), before))
+        moved[name] = {"rows_read": rows, "shuffle_bytes": shuffled}
+    return {name: times[name] for name in HEADLINE}, moved
 
 
 def comparisons(spark: SparkSession) -> dict[str, float]:
@@ -129,9 +150,11 @@ def comparisons(spark: SparkSession) -> dict[str, float]:
 
 
 def main() -> None:
-    spark = session()
     compare = sys.argv[1:] == ["compare"]
-    timed = comparisons(spark) if compare else headline(spark)
+    with tempfile.TemporaryDirectory(prefix="cohortloom-bench-") as folder:
+        spark = session(folder)
+        timed, moved = (comparisons(spark), None) if compare else headline(spark)
+        spark.stop()
     line = {
         "metric": "compare" if compare else "headline_total",
         "value": round(sum(timed.values()), 3),
@@ -139,8 +162,7 @@ def main() -> None:
         "queries": timed,
         "sf": Path(SF_DIR).name.removeprefix("sf"),
     }
-    spark.stop()
-    print(json.dumps(line))
+    print(json.dumps(line | ({"traffic": moved} if moved else {})))
 
 
 if __name__ == "__main__":

@@ -1,3 +1,8 @@
+import re
+
+import pytest
+
+from cohortloom.config import StudyConfig
 from cohortloom.operators import cohort as cohort_ops, concepts, joins
 from cohortloom.plans.registry import COHORT_SPECS
 from cohortloom.sources import tables
@@ -40,6 +45,24 @@ def test_eras_merge_overlaps_and_touching_days(spark):
     assert len(rows(cohort_ops.collapse_eras(frame, gap_days=1), *names)) == 2
 
 
+def test_open_eras_take_in_all_later_rows(spark):
+    days = [START, plus(START, 31), plus(START, 60)]
+    data = [(1, 5, days[0], None), (1, 5, days[1], plus(days[1], 3)), (1, 5, days[2], plus(days[2], 3))]
+    data += [(1, 6, days[0], plus(days[0], 3)), (1, 6, days[1], None), (1, 6, days[1], plus(days[1], 2))]
+    frame = spark.createDataFrame(
+        data, "cohort_definition_id int, subject_id long, cohort_start_date date, cohort_end_date date"
+    )
+    eras = {(r.subject_id, r.cohort_start_date, r.cohort_end_date) for r in cohort_ops.collapse_eras(frame).collect()}
+    assert eras == {(5, days[0], None), (6, days[0], plus(days[0], 3)), (6, days[1], None)}
+
+
+def test_too_many_rules_are_refused():
+    rule = cohort_ops.InclusionRule("x", ("ART",), 0, 1)
+    assert len(cohort_ops.CohortSpec(1, ("ART",), "2000-01-01", 0, 1, (rule,) * 62).rules) == 62
+    with pytest.raises(ValueError, match="62"):
+        cohort_ops.CohortSpec(1, ("ART",), "2000-01-01", 0, 1, (rule,) * 63)
+
+
 def test_cohort_rules_and_attrition(spark):
     entry = plus(START, 200)
     data = [(p, START, 1, "tobacco") for p in (1, 2, 3)]
@@ -60,6 +83,40 @@ def test_cohort_rules_and_attrition(spark):
     ]
     generated = cohort_ops.generate_cohorts(days, observation, specs)
     assert rows(generated, "subject_id", "cohort_start_date", "cohort_end_date") == [(1, entry, plus(START, 500))]
+    gain = cohort_ops.rule_gain(evaluated, specs)
+    assert rows(gain, "rule_sequence", "person_count", "gain_count", "person_total") == [(1, 2, 0, 3), (2, 1, 1, 3)]
+    assert rows(cohort_ops.summary_counts(evaluated, specs), "base_count", "final_count") == [(3, 1)]
+
+
+def test_results_are_stored_and_read_back(spark, tmp_path):
+    entry = plus(START, 200)
+    days = concepts.event_days(events(spark, [(1, START, 1, "tobacco"), (1, entry, 2, "IUI"), (1, plus(entry, -5), 3, "f_infert")]))
+    observation = spark.createDataFrame(
+        [(1, START, plus(START, 500))],
+        "person_id long, observation_period_start_date date, observation_period_end_date date",
+    )
+    results = cohort_ops.cohort_results(days, observation, COHORT_SPECS)
+    tables.write_cohort_results(results, str(tmp_path))
+    stored = tables.read_cohort_results(spark, str(tmp_path))
+    assert stored.keys() == tables.COHORT_TABLES.keys()
+    for name, frame in stored.items():
+        assert rows(frame, *frame.columns) == rows(results[name], *frame.columns) != []
+
+
+def test_stored_events_are_read_by_month(spark, tmp_path):
+    data = [(p, plus(START, 20 * p), p, "ART") for p in range(30)]
+    tables.write_events(events(spark, data).drop("concept_set"), str(tmp_path / "events"))
+    tables.write_cohort(
+        spark.createDataFrame([(1, 5, plus(START, 100), plus(START, 120)), (2, 6, START, plus(START, 1))], tables.schemas.COHORT),
+        str(tmp_path / "cohort"),
+    )
+    cohort = tables.read_cohort(spark, str(tmp_path / "cohort"), 1)
+    windows = cohort_ops.cohort_windows(cohort, StudyConfig(covariate_months=1, treatment_months=1))
+    pulls = [pull for pull in StudyConfig().pulls() if pull.concept_set == "ART"]
+    inside = concepts.within_study_period(tables.read_events(spark, str(tmp_path / "events")), windows, pulls)
+    assert sorted(r.date for r in inside.collect()) == [plus(START, 100), plus(START, 120)]
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*month#\d+ >= ", plan)
 
 
 def test_definition_without_rules_takes_every_entry(spark):

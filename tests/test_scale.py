@@ -13,7 +13,7 @@ ROW_LEVEL = ("pull_long_treatments", "pull_long_outcomes", "treatment_dates", "f
 SKEW_CHECKED = (
     *ROW_LEVEL, "later_treatments", "range_join_outcomes", "pregnancies", "cycle_outcomes", "itt", "union_by_name",
     "cycle_outcomes_relational", "first_treatment", "qc_mixed_cycle", "cohort_generate", "cohort_eras", "pull_all_counts",
-    "curve_diff", "top_weights",
+    "curve_diff", "top_weights", "ip_weights", "study_stored", "cohort_eras_open",
 )
 NO_BROADCAST = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -79,6 +79,30 @@ def test_one_scan_of_the_big_tables_and_no_python(spark, skewed, settings, name)
     assert {re.sub(r"#.*", "", c) for c in lineitem.split(",")} == {"l_orderkey", "l_partkey", "l_shipdate"}
 
 
+def test_raw_rows_are_hashed_into_days_before_sets_are_collected(spark, skewed, settings):
+    settings(NO_BROADCAST)
+    plan = final_plan(registry.queries()["itt"](spark, skewed))
+    lines = plan.split("\n")
+    join = next(n for n, line in enumerate(lines) if "SortMergeJoin" in line and "window_no" in line)
+    above = [line for line in lines[:join] if "Aggregate" in line]
+    assert "HashAggregate(keys=[person_id" in above[-1] and "ObjectHashAggregate" not in above[-1] and "concept_set" in above[-1]
+
+
+def test_first_treatment_is_one_pull_by_hashing(spark, skewed, settings):
+    settings(NO_BROADCAST)
+    plan = final_plan(registry.queries()["first_treatment"](spark, skewed))
+    assert plan.count("SortMergeJoin") - plan.count("SortMergeJoin [person_id") - plan.count("SortMergeJoin(skew=true) [person_id") <= 4
+    assert len(re.findall(r"SortMergeJoin.*window_no", plan)) == 1
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["first_treatment", "range_join_outcomes"])
+def test_hot_person_is_split_here_too(spark, skewed, settings, name):
+    settings(SPLIT_SMALL)
+    plan = final_plan(registry.queries()[name](spark, skewed))
+    assert re.search(r"SortMergeJoin\(skew=true\) \[person_id", plan)
+
+
 @pytest.mark.parametrize("name", ["cycle_outcomes", "itt_rollup", "itt_analysis", "iptw_km"])
 def test_cycle_steps_are_evaluated_once(spark, skewed, name):
     """Filters pushed below the cycle arrays would repeat the fold per condition."""

@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
 
-SAMPLE_ROWS = 1 << 16  # the index is fitted on at most about so many vectors
-MAX_LISTS = 1 << 14
+SAMPLE_ROWS = 1 << 16  # the index is fitted on at most about so many vectors,
+SAMPLE_VALUES = 1 << 22  # and so many components
+MAX_LISTS = 1 << 14  # centroids that are sent to the tasks, within SAMPLE_VALUES components as well
 BLOCK_ROWS = 4096
 
 
@@ -188,12 +189,12 @@ def nearest_neighbours(
     schema = "query_id long, rank int, vec_id long, score double"
     if not count:
         return vectors.sparkSession.createDataFrame([], schema)
-    share = min(1.0, SAMPLE_ROWS / count)
+    most = max(1, SAMPLE_VALUES // dim)
+    share = min(1.0, min(SAMPLE_ROWS, most) / count)
     chosen = F.pmod(F.xxhash64("vec", F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
-    sample = np.array([row["vec"] for row in entries.where(chosen).select("vec").orderBy("vec").collect()])
-    if not len(sample):
-        sample = np.array([entries.select("vec").first()["vec"]])
-    lists = max(1, min(MAX_LISTS, count // settings.list_rows, len(sample)))
+    taken = entries.where(chosen).select("vec").orderBy("vec").toArrow()["vec"].combine_chunks()
+    sample = _matrix(taken) if len(taken) else np.array([entries.select("vec").first()["vec"]])
+    lists = max(1, min(MAX_LISTS, most, count // settings.list_rows, len(sample)))
     graph = CentroidGraph(balanced_centroids(_augmented(sample, largest), lists, settings.seed), settings.degree, settings.beam)
     shared = vectors.sparkSession.sparkContext.broadcast(graph)
 

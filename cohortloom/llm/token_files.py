@@ -65,20 +65,24 @@ class TokenFileWriter:
 
     def add(self, doc_id: int | None, parts: Iterable[bytes]) -> None:
         """One document: its ids as little-endian unsigned 32-bit integers, in parts of any size."""
-        first, count, held = len(self.frames), 0, b""
+        first, count, held, size = len(self.frames), 0, [], 0
         for part in parts:
-            held += part
+            held.append(part)
+            size += len(part)
             count += len(part) // 4
-            while len(held) >= 4 * self.frame_tokens:
-                self._frame(held[: 4 * self.frame_tokens])
-                held = held[4 * self.frame_tokens :]
-        if held or len(self.frames) == first:
-            self._frame(held)
+            if size >= 4 * self.frame_tokens:
+                ids = b"".join(held)
+                whole = size - size % (4 * self.frame_tokens)
+                for at in range(0, whole, 4 * self.frame_tokens):
+                    self._frame(ids[at : at + 4 * self.frame_tokens])
+                held, size = [ids[whole:]], size - whole
+        if size or len(self.frames) == first:
+            self._frame(b"".join(held))
         self.index.append((doc_id or 0, doc_id is not None, count, first))
         self.n_tokens += count
 
     def _frame(self, ids: bytes) -> None:
-        data = np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
+        data = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
         self._put(self.compressor.compress(data), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF)
 
     def close(self) -> None:
@@ -239,7 +243,7 @@ class _Digest:
     crc: int = 0
 
     def add(self, ids: np.ndarray) -> _Digest:
-        return _Digest(self.count + len(ids), zlib.crc32(ids.astype("<u4").tobytes(), self.crc))
+        return _Digest(self.count + len(ids), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"), self.crc))
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:

@@ -14,9 +14,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache, partial
-from itertools import compress, count
-from operator import is_
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,6 @@ _SAFE_CUT = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 SLICE_CHARS = 1 << 20
 CACHE_CHUNKS = 2_000_000
 _NONE = np.int64(1 << 62)
-_IS_NONE = partial(is_, None)
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -166,7 +163,7 @@ class Memory:
     def fill(self, lists: list[list[str]]) -> list[list[bytes]]:
         """The ids of every key, list by list; new keys of all lists are encoded together."""
         found = [list(map(self.known.get, keys)) for keys in lists]
-        gaps = [list(compress(count(), map(_IS_NONE, ids))) for ids in found]
+        gaps = [[at for at, one in enumerate(ids) if one is None] for ids in found]
         fresh = self._learn({keys[at] for keys, places in zip(lists, gaps) for at in places})
         for keys, ids, places in zip(lists, found, gaps):
             for at in places:

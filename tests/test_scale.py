@@ -67,7 +67,7 @@ def test_hot_person_is_split_in_row_level_joins(spark, skewed, settings, name):
     assert re.search(r"SortMergeJoin\(skew=true\) \[person_id", plan)
 
 
-@pytest.mark.parametrize("name", ["itt", "iptw_km", "pull_all_counts", "cohort_generate", "balance_table"])
+@pytest.mark.parametrize("name", ["itt", "itt_analysis", "pull_all_counts", "cohort_generate"])
 def test_one_scan_of_the_big_tables_and_no_python(spark, skewed, settings, name):
     settings(NO_BROADCAST)
     plan = final_plan(registry.queries()[name](spark, skewed))
@@ -96,14 +96,20 @@ def test_first_treatment_is_one_pull_by_hashing(spark, skewed, settings):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
-@pytest.mark.parametrize("name", ["first_treatment", "range_join_outcomes"])
-def test_hot_person_is_split_here_too(spark, skewed, settings, name):
+def test_hot_person_is_split_in_the_range_join(spark, skewed, settings):
     settings(SPLIT_SMALL)
-    plan = final_plan(registry.queries()[name](spark, skewed))
+    plan = final_plan(registry.queries()["range_join_outcomes"](spark, skewed))
     assert re.search(r"SortMergeJoin\(skew=true\) \[person_id", plan)
 
 
-@pytest.mark.parametrize("name", ["cycle_outcomes", "itt_rollup", "itt_analysis", "iptw_km"])
+def test_first_treatments_meet_by_person_and_day(spark, skewed, settings):
+    """The entry day is a key of the join, so a hot person's events are dealt by day."""
+    settings(SPLIT_SMALL)
+    plan = final_plan(registry.queries()["first_treatment"](spark, skewed))
+    assert re.search(r"SortMergeJoin(\(skew=true\))? \[date#\d+, person_id#", plan)
+
+
+@pytest.mark.parametrize("name", ["cycle_outcomes", "itt_rollup", "itt_analysis"])
 def test_cycle_steps_are_evaluated_once(spark, skewed, name):
     """Filters pushed below the cycle arrays would repeat the fold per condition."""
     df = registry.queries()[name](spark, skewed)

@@ -175,13 +175,23 @@ class Memory:
             self.older, self.known = self.known, {}
         fresh = {key: self.older[key] for key in keys if key in self.older}
         new = [key for key in keys if key not in fresh]
-        spelt = [self.spell(key) for key in new]
+        spelt, bases = [], []
+        for key in new:
+            start, stem, end = self.spell(key)
+            base = "" if start or not end else key[: -len(end)]  # the key without its stops, perhaps known
+            ids = (self.known.get(base) or self.older.get(base)) if base else None
+            spelt.append((start, stem if ids is None else "", end))
+            bases.append((base, ids))
         parts = {part: b"" for spelling in spelt for part in spelling if part}
         asked = list(parts)
         for at in range(0, len(asked), 50_000):
             parts.update(zip(asked[at : at + 50_000], self.encode_chunks(asked[at : at + 50_000])))
         parts[""] = b""
-        fresh.update((key, parts[start] + parts[stem] + parts[end]) for key, (start, stem, end) in zip(new, spelt))
+        for key, (start, stem, end), (base, ids) in zip(new, spelt, bases):
+            ids = parts[stem] if ids is None else ids
+            fresh[key] = parts[start] + ids + parts[end]
+            if base:
+                self.known[base] = ids
         self.known.update(fresh)
         return fresh
 

@@ -148,14 +148,22 @@ def links(nodes: DataFrame, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     return result
 
 
+def named_groups(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """fp, root, component_id for every node (fp, first): its group by the links, and the group's least id."""
+    if found is None:
+        rooted = nodes.withColumn("root", F.col("fp"))
+    else:
+        roots = components(found).withColumnRenamed("u", "fp")
+        rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+
+
 def _grouped(docs: DataFrame, ngram: int, hot_segment: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints, and for each distinct fingerprint its group (a fingerprint) and the group's least id."""
     prints = materialize(fingerprints(docs, ngram), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), hot_segment)).withColumnRenamed("u", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    return prints, named_groups(nodes, links(nodes.select("fp"), hot_segment))
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGMENT) -> DataFrame:
@@ -178,7 +186,11 @@ def keep_one(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGMENT) ->
 
     A null id only stays for a group without any other. Of rows that repeat id and text one stays.
     """
-    prints, named = _grouped(docs, ngram, hot_segment)
+    return keep_first(docs, *_grouped(docs, ngram, hot_segment))
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by rows (doc_id, tie, fp) and groups (fp, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tie"))
     first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
     kept = first.select(F.col("first")["doc_id"].alias("_kept_id"), F.col("first")["tie"].alias("_kept_tie"))

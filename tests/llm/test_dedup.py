@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from cohortloom.llm import queries, repeats, simhash, substring_dedup as dedup, suffix_array as sa
+import corpus_pipeline
+from cohortloom.llm import queries, repeats, shingle_dedup, simhash, substring_dedup as dedup, suffix_array as sa
 
 from .helpers import LONG, SF_DIR, documents, frame, odd_documents, rows_of
 
@@ -206,3 +207,55 @@ def test_one_row_of_each_group_stays(corpus_spark):
     assert len(found) == len(groups)
     assert all(sum(row in members for row in found) == 1 for members in groups.values())
     assert {doc_id for doc_id, _ in found} == {*(group for group in groups if isinstance(group, int)), None, 2001}
+
+
+# ---- near-duplicates by shingles (pipeline stage)
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(texts):
+    """Sets of places in ``texts`` linked at similarity 0.8 on five words."""
+    sets = [plain_shingles(text) for text in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return [{n for n, g in enumerate(group) if g == name} for name in sorted(set(group))]
+
+
+def near_copies():
+    """Texts of one base with words replaced, at similarities from about 0.5 to 1, and others."""
+    draw = random.Random(5)
+    texts = []
+    for base in range(6):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice((60, 200, 600)))]
+        texts.append(" ".join(words))
+        for copy in range(25):
+            changed = list(words)
+            for at in draw.sample(range(len(words)), max(1, len(words) * copy // 500)):
+                changed[at] = f"x{draw.randrange(5000)}"
+            texts.append(" ".join(changed))
+    return texts
+
+
+@pytest.mark.parametrize("star_rounds", [4, 0])
+def test_pipeline_stage_links_similar_texts(corpus_spark, star_rounds):
+    texts = near_copies() + [row[1] for row in odd_documents()]
+    rows = [(n, text, "en", "s", 1) for n, text in enumerate(texts)]
+    groups = plain_groups(texts)
+    assert sum(len(g) > 1 for g in groups) >= 6 and len(groups) > 60
+    kept = shingle_dedup.keep_one(frame(corpus_spark, rows, clash=True), star_rounds=star_rounds)
+    assert {r.doc_id for r in kept.collect()} == {min(g) for g in groups}
+    assert shingle_dedup.keep_one(frame(corpus_spark, [])).collect() == []
+
+
+def test_pipeline_stage_is_by_shingles(corpus_spark):
+    rows = [(n, text, "en", "s", 1) for n, text in enumerate(near_copies())]
+    kept = dict(corpus_pipeline.STAGES)["near-duplicates"](corpus_spark, frame(corpus_spark, rows), SF_DIR)
+    assert {r.doc_id for r in kept.collect()} == {min(g) for g in plain_groups([r[1] for r in rows])}

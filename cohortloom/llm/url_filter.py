@@ -1,6 +1,7 @@
 """URL filter: all glob rules in one bit-parallel automaton.
 
-Every rule becomes glob patterns over ``host + path`` of the canonical URL.
+Every rule becomes glob patterns over ``host + path`` of the canonical URL; hits of
+host rules, whose ``*`` also passes the host's end, are verified on host and path.
 The patterns' characters are laid out as consecutive bits of 64-bit words; one
 Shift-And step per URL character moves the states of all patterns at once, for
 a whole batch of URLs (rows) and all words (columns). A ``*`` needs no bit of
@@ -35,6 +36,11 @@ class HostRule:
     def globs(self) -> tuple[str, str]:
         return f"{self.text}*", f"*.{self.text}*"
 
+    def fits(self, host: bytes, path: bytes) -> bool:
+        """The globs see one text of host and path; this sees where the host ends."""
+        name = self.host.encode()
+        return (host == name or host.endswith(b"." + name)) and path.startswith(self.path.encode())
+
 
 @dataclass(frozen=True)
 class GlobRule:
@@ -128,11 +134,12 @@ def judge_urls(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            canonical = [h + p for h, p in zip(batch["_host"].to_pylist(), batch["_path"].to_pylist())]
-            fits = automaton.match(canonical)
+            parts = list(zip(batch["_host"].to_pylist(), batch["_path"].to_pylist()))
+            fits = automaton.match([host + path for host, path in parts])
             rules, verdicts = [], []
-            for row in fits:
-                rule = next((r for n, r in enumerate(longest_first) if row[2 * n] or row[2 * n + 1]), None)
+            for row, (host, path) in zip(fits, parts):
+                hits = (r for n, r in enumerate(longest_first) if row[2 * n] or row[2 * n + 1])
+                rule = next((r for r in hits if r.fits(host, path)), None)
                 other = next((r for n, r in enumerate(glob_rules) if row[split + n]), None)
                 rules.append(rule and rule.text)
                 verdicts.append(rule.verdict if rule else other.verdict if other else default)

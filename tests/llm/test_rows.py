@@ -43,6 +43,12 @@ URLS = (
     "x://org/spam/", "http://com/", "x://" + "long." * 5000 + "net/es/", "http://ex\nample.com/en/", "http://É.com/é",
 )
 
+# the rule's text stands in the path only
+NESTED_URLS = (
+    "http://web.archive.org/web/1/http://www.example.com/en/x", "http://foo.com/a.net/es/x", "http://r.org/to/x.example.com/en/", "x://a.org/.com/",
+    "http://www.example.com/b.net/fr/", "http://www.example.com/en/b.net/es/", "x://casino.org/a.com/x", "x://a.net/b.net/es/", "x://a.net/es/b.com/",
+)
+
 
 def plain_verdict(url):
     host = path = ""
@@ -61,13 +67,20 @@ def plain_verdict(url):
 
 
 def test_odd_urls(corpus_spark):
-    rows = [(n, url) for n, url in enumerate(URLS)] + [(None, URLS[0]), (0, URLS[0])]
+    rows = [(n, url) for n, url in enumerate(URLS + NESTED_URLS)] + [(None, URLS[0]), (0, URLS[0])]
     pages = corpus_spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit("x"), "rule": F.lit("x")})
     found = rows_of(url_filter.judge_urls(pages, queries.HOST_RULES, queries.GLOB_RULES))
     assert found == sorted(((n, *plain_verdict(url)) for n, url in rows), key=NULLS_FIRST)
     assert url_filter.judge_urls(pages.limit(0), queries.HOST_RULES).collect() == []
 
 
+@pytest.mark.parametrize("url, rule, verdict", [(NESTED_URLS[0], None, "allow"), (NESTED_URLS[1], "com/", "allow"), (NESTED_URLS[7], None, "allow")])
+def test_rules_stay_in_the_host(corpus_spark, url, rule, verdict):
+    pages = corpus_spark.createDataFrame([(1, url)], "page_id long, url string")
+    row = url_filter.judge_urls(pages, queries.HOST_RULES, queries.GLOB_RULES).first()
+    assert (row.rule, row.verdict) == (rule, verdict)
+
+
 # ---- secret scan
 
 

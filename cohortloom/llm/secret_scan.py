@@ -123,7 +123,7 @@ def find_secrets(text: str, settings: Settings = Settings()) -> list[tuple[int,
     """(start, end, kind) of all spans, by start and then kind in the order of KINDS; ends are exclusive.
 
     Base spans cover the whole match. A ``guess`` span covers the value only and is
-    added where no base span overlaps it.
+    added unless a base span covers all of it.
     """
     spans = []
     folded = text.lower()
@@ -138,7 +138,7 @@ def find_secrets(text: str, settings: Settings = Settings()) -> list[tuple[int,
             start, end = m.span(1)
             value = m[1].rstrip(".,;:!?)]}")
             end = start + len(value)
-            if len(value) >= 6 and not any(s < end and start < e for s, e, _ in taken):
+            if len(value) >= 6 and not any(s <= start and end <= e for s, e, _ in taken):
                 if guess_bits(value) >= settings.min_bits:
                     spans.append((start, end, "guess"))
     return sorted(spans, key=lambda span: (span[0], KINDS.index(span[2])))

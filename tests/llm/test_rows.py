@@ -123,6 +123,14 @@ def test_hard_values_are_added_and_easy_ones_are_not():
     assert secret_scan.listed(secret_scan.find_secrets("pwd: Zq8#kR!v2@Lm!")) == "guess:5:17"
 
 
+def test_values_that_a_base_span_covers_in_part():
+    text = "a password=Tr0ub4dor&3-horse! b"
+    spans = secret_scan.find_secrets(text)
+    assert secret_scan.listed(spans) == "assign:2:20,guess:11:28"
+    assert secret_scan.redact(text, spans) == "a <assign>! b"
+    assert [kind for *_, kind in secret_scan.find_secrets("token=Zq8kRv2LmXw0")] == ["assign"]
+
+
 def test_cheapest_segmentation():
     """Against all cuts of short values."""
     for value in ("love1999", "qwerty!x", "abcabcabc", "Summer12", "x9$"):

@@ -3,7 +3,9 @@
 The fixed patterns find keys by their shape. The method adds values that stand
 where a credential is expected (``pwd = ...``) and whose cheapest explanation
 is expensive: dynamic programming cuts the value into words, dates, repeats,
-keyboard walks, sequences and brute-force characters at minimum guess cost.
+keyboard walks, sequences, runs of one character class and brute-force characters
+at minimum guess cost. Words are ranked by their count in all documents, but for
+the values after credential words themselves.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -46,19 +49,39 @@ COMMON = (
 ).split()
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop")
 # ----
-RANK = {word: number + 1 for number, word in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, COMMON))
 SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
 LEET = str.maketrans("430157$@!", "aeoistsai")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?\d{1,2}[-/.]?\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)?\d\d|(?:19|20)\d\d)")
-LONGEST_SEGMENT = 40
+LONGEST_SEGMENT = 40  # of repeats and walks that start anywhere; whole ones have any length
+CLASSES = ((10, "d"), (26, "l"), (26, "u"), (52, "lu"), (36, "dl"), (36, "du"), (62, "dlu"))
+CLASS_BITS = 2.0  # to name a class
+WORD = re.compile(r"[^\W\d_]{3,24}")
+TOP_WORDS = 1 << 16  # ranked words sent to the tasks: at most 24 characters each, so a few MB
+LEAST_COUNT = 3
+_HELD_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    """min_bits: guesses (log 2) from which a value counts as secret."""
+    """min_bits: guesses (log 2) from which a value counts as secret.
+
+    Set by planted values (tests): six random printable characters take 39.4, ten random digits 36.2.
+    """
+
+    min_bits: float = 38.0
+
+
+class Words:
+    """Ranks of words: the fixed ones, then those of the documents; a word has its better rank."""
+
+    def __init__(self, ranked: tuple[str, ...] = ()):
+        self.rank = {word: number + 1 for number, word in enumerate(ranked)}
+        for number, word in enumerate(COMMON):
+            self.rank[word] = min(number + 1, self.rank.get(word, number + 1))
+        self.longest = max(map(len, self.rank))
 
-    min_bits: float = 45.0
+
+FIXED_WORDS = Words()
 
 
 def _steps() -> dict[str, set[str]]:
@@ -74,43 +97,81 @@ FOLLOW = _steps()
 
 
 def _char_bits(char: str) -> float:
-    if char.isdigit():
-        return math.log2(10)
-    if char.isascii():
-        return math.log2(26) if char.isalpha() else math.log2(33)
-    return math.log2(100)
+    """Of a character without any pattern: one of all printable ones."""
+    return math.log2(95) if char.isascii() else math.log2(100 + 95)
+
+
+def _class_of(char: str) -> str:
+    if not char.isascii():
+        return " "
+    return "d" if char.isdigit() else "l" if char.islower() else "u" if char.isupper() else " "
+
+
+def _runs(same: list[bool]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the maximal runs of true values."""
+    start = None
+    for at, flag in enumerate((*same, False)):
+        if flag and start is None:
+            start = at
+        elif not flag and start is not None:
+            yield start, at
+            start = None
 
 
-def _segments(value: str) -> list[list[tuple[int, float]]]:
-    """For each end: (start, bits) of every word, date, repeat and walk that ends there."""
+def _segments(value: str, words: Words = FIXED_WORDS) -> list[list[tuple[int, float]]]:
+    """For each end: (start, bits) of every word, date, repeat, walk and run of a class that ends there."""
     lower = value.lower() if len(value.lower()) == len(value) else value
     plain = lower.translate(LEET)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(len(value) + 1)]
-    for start in range(len(value)):
-        for end in range(start + 3, min(len(value), start + LONGEST_WORD) + 1):
+    size = len(value)
+    ends: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
+    walk_bits = lambda length: math.log2(40) + math.log2(length) * 2
+    for start in range(size):
+        for end in range(start + 3, min(size, start + words.longest) + 1):
             for text, extra in ((lower, 0.0), (plain, 1.0)):
-                if rank := RANK.get(text[start:end]):
+                if rank := words.rank.get(text[start:end]):
                     upper = sum(c.isupper() for c in value[start:end])
                     ends[end].append((start, math.log2(rank + 1) + extra + min(upper, 2)))
         if date := DATE.match(value, start):
             ends[date.end()].append((start, math.log2(365 * 120) if len(date[0]) > 4 else math.log2(120)))
         end = start + 1
-        while end < min(len(value), start + LONGEST_SEGMENT) and lower[end] in FOLLOW.get(lower[end - 1], ""):
+        while end < min(size, start + LONGEST_SEGMENT) and lower[end] in FOLLOW.get(lower[end - 1], ""):
             end += 1
             if end - start >= 3:
-                ends[end].append((start, math.log2(40) + math.log2(end - start) * 2))
+                ends[end].append((start, walk_bits(end - start)))
         for unit in range(1, 9):
             piece, times = value[start : start + unit], 1
             while value.startswith(piece, start + times * unit) and (times + 1) * unit <= LONGEST_SEGMENT and len(piece) == unit:
                 times += 1
-                ends[start + times * unit].append((start, sum(map(_char_bits, piece)) + math.log2(times)))
+                ends[start + times * unit].append((start, _unit_bits(piece) + math.log2(times)))
+    # whole walks and repeats of more than LONGEST_SEGMENT
+    for start, last in _runs([b in FOLLOW.get(a, "") for a, b in zip(lower, lower[1:])]):
+        if last + 1 - start > LONGEST_SEGMENT:
+            ends[last + 1].append((start, walk_bits(last + 1 - start)))
+    for unit in range(1, 9):
+        for start, last in _runs([a == b for a, b in zip(value, value[unit:])]):
+            # the last, cut unit costs nothing more than its length
+            if last + unit - start > LONGEST_SEGMENT:
+                ends[last + unit].append((start, _unit_bits(value[start : start + unit]) + math.log2(last + unit - start)))
+    kinds = [_class_of(char) for char in value]
+    for letters, names in CLASSES:
+        for start, end in _runs([kind in names for kind in kinds]):
+            for at in range(start, end):
+                if at + 1 < end:
+                    ends[at + 1].append((start, CLASS_BITS + math.log2(letters) * (at + 1 - start)))
+                ends[end].append((at, CLASS_BITS + math.log2(letters) * (end - at)))
     return ends
 
 
+def _unit_bits(piece: str) -> float:
+    """Of what is repeated: by the class of each character."""
+    size = {"d": 10, "l": 26, "u": 26}
+    return sum(math.log2(size[kind]) if (kind := _class_of(char)) in size else _char_bits(char) for char in piece)
+
+
 @lru_cache(maxsize=1024)
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, words: Words = FIXED_WORDS) -> float:
     """Log 2 of the guesses the cheapest segmentation needs; each cut costs one bit."""
-    ends = _segments(value)
+    ends = _segments(value, words)
     best = [0.0] * (len(value) + 1)
     for end in range(1, len(value) + 1):
         best[end] = best[end - 1] + _char_bits(value[end - 1])
@@ -119,7 +180,38 @@ def guess_bits(value: str) -> float:
     return best[-1]
 
 
-def find_secrets(text: str, settings: Settings = Settings()) -> list[tuple[int, int, str]]:
+def common_words(docs: DataFrame, top: int = TOP_WORDS) -> tuple[str, ...]:
+    """The words of all documents by falling count, at most ``top`` of them; values after credential words do not count.
+
+    Each task sums the words it holds; at most ``top`` rows reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            held.clear()
+            return found
+
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                if not text:
+                    continue
+                folded = text.lower()
+                if any(hint in folded for hint in CONTEXT_HINTS):
+                    folded = CONTEXT.sub(" ", text).lower()
+                held.update(WORD.findall(folded))
+            if len(held) > _HELD_WORDS:
+                yield rows()
+        yield rows()
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    ranked = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return tuple(row["word"] for row in ranked.orderBy(F.desc("n"), "word").limit(top).collect())
+
+
+def find_secrets(text: str, settings: Settings = Settings(), words: Words = FIXED_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start and then kind in the order of KINDS; ends are exclusive.
 
     Base spans cover the whole match. A ``guess`` span covers the value only and is
@@ -139,7 +231,7 @@ def find_secrets(text: str, settings: Settings = Settings()) -> list[tuple[int,
             value = m[1].rstrip(".,;:!?)]}")
             end = start + len(value)
             if len(value) >= 6 and not any(s <= start and end <= e for s, e, _ in taken):
-                if guess_bits(value) >= settings.min_bits:
+                if guess_bits(value, words) >= settings.min_bits:
                     spans.append((start, end, "guess"))
     return sorted(spans, key=lambda span: (span[0], KINDS.index(span[2])))
 
@@ -161,16 +253,18 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans, redacted_text for every row.
 
-    Row by row, so no key can be hot. A null text counts as empty: no spans, the
+    One pass counts the words of all documents, the other goes row by row, so no key can be hot. A null text counts as empty: no spans, the
     hash of an empty list; repeated rows get one row each; an empty table gives
     an empty result; other columns are not read.
     """
 
+    words = docs.sparkSession.sparkContext.broadcast(Words(common_words(docs)))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for text in batch["text"].to_pylist():
-                spans = find_secrets(text or "", settings)
+                spans = find_secrets(text or "", settings, words.value)
                 base = [span for span in spans if span[2] != "guess"]
                 kinds = [kind for *_, kind in base]
                 row = (
@@ -195,9 +289,11 @@ def scan_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def redact_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars`` counted anew; all rows stay."""
 
+    words = docs.sparkSession.sparkContext.broadcast(Words(common_words(docs)))
+
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text and redact(text, find_secrets(text, settings)) for text in batch["text"].to_pylist()]
+            texts = [text and redact(text, find_secrets(text, settings, words.value)) for text in batch["text"].to_pylist()]
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 

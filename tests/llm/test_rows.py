@@ -2,7 +2,9 @@
 
 import fnmatch
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -145,6 +147,25 @@ def test_cheapest_segmentation():
         assert secret_scan.guess_bits(value) == pytest.approx(cheapest(len(value)))
 
 
+def test_planted_values(corpus_spark):
+    """Words of the documents are no secrets; random values from six characters are, whatever patterns are weak."""
+    prose = "The authorization takes approximately fifteen tokens, documentation describes implementation details. " * 3
+    plain = secret_scan.Words(secret_scan.common_words(frame(corpus_spark, [(1, prose + " pwd: unheardofvalue" * 9, "en", "s", 1)])))
+    assert "approximately" in plain.rank and "unheardofvalue" not in plain.rank
+    draw = random.Random(3)
+    symbols = "".join(map(chr, range(33, 127))).translate(str.maketrans("", "", "\"'<>.,;:!?)]}"))
+    for alphabet, least in ((symbols, 7), (string.ascii_letters + string.digits, 8), (string.ascii_lowercase + string.digits, 9)):
+        values = ["".join(draw.choices(alphabet, k=size)) for size in range(least, 17) for _ in range(20)]
+        strong = [v for v in values if secret_scan.find_secrets(f"pwd: {v}", words=plain)]
+        assert len(strong) >= 0.95 * len(values), (alphabet, set(values) - set(strong))
+    assert [k for *_, k in secret_scan.find_secrets("pwd: Xk9#mQ2v", words=plain)] == ["guess"]
+    weak = ["approximately", "Authorization", "details99", "Documentation1", "x" * 200, "xy" * 100, "qwertyuiop" + "poiuytrewq" * 9, "monkey", "20240131", "Summer2024!", "abcdefgh", "p4ssw0rd"]
+    assert [v for v in weak if secret_scan.find_secrets(f"pwd: {v}", words=plain)] == []
+    rows = [(1, prose, "en", "s", 1), (2, "tokens: approximately auth: Authorization", "en", "s", 1)]
+    found = rows_of(secret_scan.redact_secrets(frame(corpus_spark, rows)), "doc_id", "text")
+    assert found == [row[:2] for row in rows]
+
+
 def test_redaction(corpus_spark):
     rows = [(1, "a password=abcdefgh12 b", "en", "s", 23), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
     found = rows_of(secret_scan.redact_secrets(frame(corpus_spark, rows)))

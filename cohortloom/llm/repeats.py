@@ -22,7 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
 from .common import utf8
@@ -51,6 +52,10 @@ class Method:
     by_suffixes: bool
     hot_key: int = 50_000
 
+    def __post_init__(self):
+        if self.shape.spread > 1 << COUNT_BITS:
+            raise ValueError(f"a window has at most {1 << COUNT_BITS} grams: take a longer gram")
+
 
 def _pos(start: np.ndarray, tie: np.ndarray | int, count: np.ndarray | int) -> np.ndarray:
     return (start.astype(np.int64) << (TIE_BITS + COUNT_BITS)) | (np.asarray(tie, dtype=np.int64) << COUNT_BITS) | (np.asarray(count) - 1)
@@ -193,7 +198,7 @@ def _settled(batches: Iterator[pa.RecordBatch], method: Method) -> Iterator[pa.R
 
     size = 0
     for batch in batches:
-        counted = batch.filter(pa.compute.is_null(batch["data"]))
+        counted = batch.filter(pc.is_null(batch["data"]))
         if counted.num_rows:  # hashes of windows: the first of a hash is the earliest
             key, doc, pos = (counted[n].to_numpy() for n in ("key", "doc", "pos"))
             new = np.append(lead is None or key[0] != lead[0], key[1:] != key[:-1])
@@ -203,7 +208,7 @@ def _settled(batches: Iterator[pa.RecordBatch], method: Method) -> Iterator[pa.R
             later = (doc != first_doc) | (pos != first_pos)
             lead = (key[-1], first_doc[-1], first_pos[-1])
             yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(pos[later])], names)
-        pieces = batch.filter(pa.compute.is_valid(batch["data"]))
+        pieces = batch.filter(pc.is_valid(batch["data"]))
         if pieces.num_rows:
             key = pieces["key"].to_numpy()
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
@@ -245,9 +250,9 @@ def repeated_windows(source: DataFrame, method: Method) -> DataFrame:
     firsts = ranked.where("is_first")
     keys = firsts.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("most"), F.count("*").alias("n"))
     contested = keys.where("least != most").select("key", (F.col("n") > method.hot_key).alias("hot"))
-    asked = firsts.join(contested, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "hot")).alias("asked"))
+    asked = of_texts(firsts.join(contested, "key"), F.struct("key", "pos", "hot"), "asked")
 
-    data = source.join(asked, "doc").mapInArrow(fetch, f"key long, {PLACE}, data binary")
+    data = source.join(asked, ["doc", "tie"]).mapInArrow(fetch, f"key long, {PLACE}, data binary")
     kinds = F.col("data").isNull()
     dealt = data.repartition("key", kinds).sortWithinPartitions(kinds, "key", "doc", "pos")
     settled = dealt.mapInArrow(settle, PLACE)
@@ -255,10 +260,16 @@ def repeated_windows(source: DataFrame, method: Method) -> DataFrame:
     return whole.unionByName(settled)
 
 
+def of_texts(places: DataFrame, value: Column, name: str) -> DataFrame:
+    """doc, tie and the list of a text's values: texts that share an id (or have none) get lists of their own."""
+    tie = F.shiftright("pos", COUNT_BITS).bitwiseAND(F.lit((1 << TIE_BITS) - 1)).cast("int")
+    return places.groupBy("doc", tie.alias("tie")).agg(F.collect_list(value).alias(name))
+
+
 def with_repeats(source: DataFrame, method: Method) -> DataFrame:
     """``source`` with ``runs``: the places of a document's repeated windows (those of other texts of its id too)."""
-    runs = materialize(repeated_windows(source, method), "repeats").groupBy("doc").agg(F.collect_list("pos").alias("runs"))
-    return source.join(runs, "doc", "left")
+    runs = of_texts(materialize(repeated_windows(source, method), "repeats"), F.col("pos"), "runs")
+    return source.join(runs, ["doc", "tie"], "left")
 
 
 def covered(runs: pa.ListScalar, tie: int, window: int, size: int) -> np.ndarray:

@@ -184,7 +184,9 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGM
 def keep_one(docs: DataFrame, ngram: int = 3, hot_segment: int = HOT_SEGMENT) -> DataFrame:
     """One row of each group of near-duplicates, with all columns of ``docs``: the least id's, then by a hash of the text.
 
-    A null id only stays for a group without any other. Of rows that repeat id and text one stays.
+    A null id only stays for a group without any other. Of rows that repeat id and text
+    the least by all columns stays. Empty and null texts are one group; texts of any
+    length count whole; an empty table gives an empty result; clashing names do no harm.
     """
     return keep_first(docs, *_grouped(docs, ngram, hot_segment))
 
@@ -193,8 +195,11 @@ def keep_first(docs: DataFrame, prints: DataFrame, named: DataFrame) -> DataFram
     """The rows of ``docs`` that stay, by rows (doc_id, tie, fp) and groups (fp, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tie"))
     first = prints.join(named, "fp").groupBy("root").agg(F.min(order).alias("first"))
-    kept = first.select(F.col("first")["doc_id"].alias("_kept_id"), F.col("first")["tie"].alias("_kept_tie"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_tie"))
-    repeated = W.partitionBy("_kept_id", "_kept_tie").orderBy(F.lit(1))
-    joined = docs.join(kept, same).withColumn("_repeat", F.row_number().over(repeated))
-    return joined.where("_repeat = 1").select(*docs.columns)
+    kept = first.select(F.col("first")["doc_id"].alias("id"), F.col("first")["tie"].alias("tie"))
+    # a document's columns travel as one struct, so no name of theirs can meet ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"))
+    same = rows["id"].eqNullSafe(kept["id"]) & (rows["tie"] == kept["tie"])
+    whole = F.xxhash64(F.to_json("row", {"ignoreNullFields": "false"}))
+    repeated = W.partitionBy(rows["id"], rows["tie"]).orderBy(whole)
+    joined = rows.join(kept, same).withColumn("nth", F.row_number().over(repeated))
+    return joined.where("nth = 1").select("row.*")

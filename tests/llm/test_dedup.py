@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from cohortloom.llm import queries, repeats, shingle_dedup, simhash, substring_dedup as dedup, suffix_array as sa
+from cohortloom.llm import queries, repeats, simhash, substring_dedup as dedup, suffix_array as sa
 
 from .helpers import LONG, SF_DIR, documents, frame, odd_documents, rows_of
 
@@ -209,53 +212,67 @@ def test_one_row_of_each_group_stays(corpus_spark):
     assert {doc_id for doc_id, _ in found} == {*(group for group in groups if isinstance(group, int)), None, 2001}
 
 
-# ---- near-duplicates by shingles (pipeline stage)
+def test_rows_that_differ_in_other_columns(corpus_spark):
+    """Of rows with one id and text the same one stays, however the rows are dealt."""
+    rows = [(1, LONG, "en", source, None) for source in ("a", "b", None, "c")]
+    kept = {tuple(simhash.keep_one(frame(corpus_spark, order)).first()) for order in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(kept) == 1
 
 
-def plain_shingles(text):
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+# ---- pipeline stage
 
 
-def plain_groups(texts):
-    """Sets of places in ``texts`` linked at similarity 0.8 on five words."""
-    sets = [plain_shingles(text) for text in texts]
-    group = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                old, new = group[a], group[b]
-                group = [new if g == old else g for g in group]
-    return [{n for n, g in enumerate(group) if g == name} for name in sorted(set(group))]
-
-
-def near_copies():
-    """Texts of one base with words replaced, at similarities from about 0.5 to 1, and others."""
-    draw = random.Random(5)
-    texts = []
-    for base in range(6):
-        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice((60, 200, 600)))]
-        texts.append(" ".join(words))
-        for copy in range(25):
-            changed = list(words)
-            for at in draw.sample(range(len(words)), max(1, len(words) * copy // 500)):
-                changed[at] = f"x{draw.randrange(5000)}"
-            texts.append(" ".join(changed))
-    return texts
-
-
-@pytest.mark.parametrize("star_rounds", [4, 0])
-def test_pipeline_stage_links_similar_texts(corpus_spark, star_rounds):
-    texts = near_copies() + [row[1] for row in odd_documents()]
-    rows = [(n, text, "en", "s", 1) for n, text in enumerate(texts)]
-    groups = plain_groups(texts)
-    assert sum(len(g) > 1 for g in groups) >= 6 and len(groups) > 60
-    kept = shingle_dedup.keep_one(frame(corpus_spark, rows, clash=True), star_rounds=star_rounds)
-    assert {r.doc_id for r in kept.collect()} == {min(g) for g in groups}
-    assert shingle_dedup.keep_one(frame(corpus_spark, [])).collect() == []
-
-
-def test_pipeline_stage_is_by_shingles(corpus_spark):
-    rows = [(n, text, "en", "s", 1) for n, text in enumerate(near_copies())]
-    kept = dict(corpus_pipeline.STAGES)["near-duplicates"](corpus_spark, frame(corpus_spark, rows), SF_DIR)
-    assert {r.doc_id for r in kept.collect()} == {min(g) for g in plain_groups([r[1] for r in rows])}
+def test_pipeline_stage_is_simhash(corpus_spark):
+    """The stage keeps the least id of every group that the operator's fingerprints link."""
+    rows = [row for row in documents() if row[0] is not None]
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](corpus_spark, frame(corpus_spark, rows), SF_DIR)
+    assert {r.doc_id for r in kept.collect()} == {component for _, _, component in plain_components([r[:2] for r in rows])}
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+# ---- windows, shared ids, fresh workers
+
+
+def test_window_too_long_for_its_gram():
+    with pytest.raises(ValueError, match="longer gram"):
+        repeats.Method(dedup.Shape(300, 32), dedup.byte_values, True)
+
+
+def test_long_window(corpus_spark):
+    docs = corpus_spark.createDataFrame([(1, LONG * 8), (2, "x" + LONG * 8)], "doc_id long, text string")
+    found = rows_of(dedup.remove_repeated_bytes(docs, window=300, gram=200), *BYTE_COLUMNS)
+    assert found == by_bytes([(1, LONG * 8), (2, "x" + LONG * 8)], 300)
+
+
+def test_many_texts_without_id(corpus_spark):
+    """Texts that share an id, or have none, get their own spans only."""
+    rows = [(None, f"{n} {LONG}") for n in range(40)] + [(7, f"{LONG} {n}") for n in range(40)]
+    docs = corpus_spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = dedup.remove_repeated_bytes(docs).collect()
+    lost = sorted(r.n_removed for r in found)
+    own = by_bytes([(1, LONG)])[0][2]  # what a single text loses to itself
+    assert len(found) == 80 and lost[0] == own and lost[1] >= len(LONG) - 1
+
+
+FRESH_WORKERS = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.python.worker.reuse", "false").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {folder!r}).getOrCreate())
+spark.sparkContext.setLogLevel("ERROR")
+from cohortloom.llm import queries
+for name, query in sorted(queries.queries().items()):
+    print(name, query(spark, {sf_dir!r}).count(), flush=True)
+spark.stop()
+"""
+
+
+def test_every_query_on_fresh_workers(tmp_path):
+    """A worker that has run nothing before must be able to run any task."""
+    root = str(Path(__file__).resolve().parents[2])
+    script = FRESH_WORKERS.format(root=root, folder=str(tmp_path), sf_dir=SF_DIR)
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
+    counts = dict(line.split() for line in done.stdout.splitlines() if line.split()[0] in queries.queries())
+    assert set(counts) == set(queries.queries()) and all(int(n) > 0 for n in counts.values())

@@ -360,7 +360,7 @@ def test_pipeline_stages(corpus_spark):
     stage = dict(corpus_pipeline.STAGES)
     good = stage["quality rules"](corpus_spark, docs, SF_DIR)
     assert {r.doc_id for r in good.collect()} == kept and good.columns == docs.columns
-    alone = stage["near-duplicates"](corpus_spark, good, SF_DIR)
+    alone = stage["SimHash near-dedup"](corpus_spark, good, SF_DIR)
     assert alone.columns == docs.columns and alone.count() <= len(kept)
     clean = stage["secrets"](corpus_spark, alone, SF_DIR)
     assert clean.columns == docs.columns and clean.count() == alone.count()

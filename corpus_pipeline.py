@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import bpe, mixing, quality, secret_scan, shingle_dedup
+from cohortloom.llm import bpe, mixing, quality, secret_scan, simhash
 from cohortloom.llm.common import prepare, read, tokenizer_file
 from cohortloom.session import materialize, use_local_folder
 
-# Shingle similarity, redaction and random rounding are beyond SQL; the tests hold the stages against plain versions.
+# Fingerprints, redaction and random rounding are beyond SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (Jaccard 0.8 or more on five-word shingles) one document stays."""
+    """Of each group of near-duplicates (SimHash of three-word shingles, at most two bits apart) one document stays."""
     prepare(spark)
-    return shingle_dedup.keep_one(docs)
+    return simhash.keep_one(docs, ngram=3)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-duplicates", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("secrets", secrets),
     ("source mix", source_mix),
     ("encoding", encoding),

@@ -251,7 +251,7 @@ def test_many_texts_without_id(corpus_spark):
     found = dedup.remove_repeated_bytes(docs).collect()
     lost = sorted(r.n_removed for r in found)
     own = by_bytes([(1, LONG)])[0][2]  # what a single text loses to itself
-    assert len(found) == 80 and lost[0] == own and lost[1] >= len(LONG) - 1
+    assert len(found) == 80 and own <= lost[0] <= own + 2 and lost[1] >= len(LONG) - 1
 
 
 FRESH_WORKERS = """

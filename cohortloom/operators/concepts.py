@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PullSpec
+from ..session import materialize
 
 EVENT_COLUMNS = ("person_id", "date", "concept_id", "concept_set")
 
@@ -35,6 +36,36 @@ def resolve_concept_sets(items: DataFrame, ancestors: DataFrame) -> DataFrame:
     )
 
 
+def ancestor_table(links: DataFrame) -> DataFrame:
+    """Closure of direct links (parent_concept_id, child_concept_id) as ancestor_concept_id, descendant_concept_id, min_levels.
+
+    Every concept of a link is its own descendant at level 0. Paths double: a round joins
+    all known paths end to end, so rounds grow with the logarithm of the
+    longest chain. A pair keeps its least level, so cycles end; a round that
+    changes nothing is the last. Each round is written, two numbers of it reach the
+    driver. A concept with very many children is split by AQE in the join.
+    """
+    direct = links.where("parent_concept_id IS NOT NULL AND child_concept_id IS NOT NULL AND parent_concept_id <> child_concept_id")
+    paths = direct.select(
+        F.col("parent_concept_id").alias("ancestor_concept_id"), F.col("child_concept_id").alias("descendant_concept_id"), F.lit(1).alias("min_levels")
+    ).distinct()
+    paths, mark = materialize(paths, "paths"), None
+    while True:
+        count = paths.agg(F.count("*"), F.sum("min_levels")).first()
+        if count == mark:
+            break
+        mark = count
+        upper = paths.select("ancestor_concept_id", F.col("descendant_concept_id").alias("middle"), F.col("min_levels").alias("above"))
+        lower = paths.select(F.col("ancestor_concept_id").alias("middle"), "descendant_concept_id", F.col("min_levels").alias("below"))
+        longer = upper.join(lower, "middle").where("ancestor_concept_id <> descendant_concept_id").select(
+            "ancestor_concept_id", "descendant_concept_id", (F.col("above") + F.col("below")).alias("min_levels")
+        )
+        both = paths.unionByName(longer).groupBy("ancestor_concept_id", "descendant_concept_id").agg(F.min("min_levels").alias("min_levels"))
+        paths = materialize(both, "paths")
+    ends = links.select(F.explode(F.array("parent_concept_id", "child_concept_id")).alias("c")).where("c IS NOT NULL").distinct()
+    return paths.unionByName(ends.select(F.col("c").alias("ancestor_concept_id"), F.col("c").alias("descendant_concept_id"), F.lit(0).alias("min_levels")))
+
+
 def name_members(members: DataFrame, id_by_set: dict[str, int]) -> DataFrame:
     """Membership keyed by set id -> membership keyed by set name; other ids are left out."""
     name = F.coalesce(*[F.when(F.col("concept_set_id") == key, name) for name, key in id_by_set.items()])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CENSORED, LIVE_BIRTH, NO_PREGNANCY, PREGNANCY, PREGNANCY_LOSS, StudyConfig
+from . import scan
 
+MAX_DAY = 2**31 - 1  # stands for an unknown date
 CYCLE_COLUMNS = ("person_id", "concept_set", "day_1", "cycle", "next_cycle", "end_preg")
 
 
@@ -19,6 +21,23 @@ def pregnancies(outcome_events: DataFrame, config: StudyConfig = StudyConfig())
     return outcome_events.orderBy(F.col("date").asc_nulls_last(), order, "person_id", "concept_id")
 
 
+def numbered_pregnancies(outcome_events: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
+    """Outcome events with their ``position`` in the order of ``pregnancies``, from 1; unknown dates come last.
+
+    Equal rows are counted first, so a day or person with very many of them is a few rows;
+    the counts are summed up over ranges of the order and the rows put back.
+    """
+    kind = F.array_position(F.array(*[F.lit(s) for s in config.outcome_sets]), F.col("concept_set"))
+    day = F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(MAX_DAY))
+    names = ["person_id", "date", "concept_id", "concept_set"]
+    place = F.struct(day.alias("day"), kind.alias("kind"), "person_id", "concept_id")
+    counted = outcome_events.groupBy(*names).agg(F.count("*").alias("n")).withColumns({"place": place, "order": F.lit("outcomes")})
+    stored = scan.ranged(counted, "place", label="outcome-order")
+    summed = scan.running_sums(stored, ["order"], "place", {"up_to": F.col("n")})
+    last = F.col("up_to").cast("long")
+    return summed.select(*names, F.explode(F.sequence(last - F.col("n") + 1, last)).alias("position"))
+
+
 def outcome_days(outcome_events: DataFrame) -> DataFrame:
     """Distinct outcome days per person and kind."""
     return outcome_events.select("person_id", "date", F.col("concept_set").alias("preg_concept")).distinct()

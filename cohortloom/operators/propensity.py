@@ -1,28 +1,36 @@
 """Treatment model, propensity scores and inverse probability weights.
 
-The model is fitted by Newton steps. A step is one aggregate over the counted
-covariate patterns, of any number and any numeric values, that returns the
-gradient and the curvature: k x k numbers for k covariates, whatever the number
-of persons. Rows get their score from an expression.
+The model is fitted by Newton steps over the counted covariate patterns, of any
+number and any numeric values. A step makes one vector of every pattern and sums
+the outer products of these vectors, block by block and in a tree: one k x k matrix
+holds gradient, curvature and deviance, whatever the number of persons, and the
+plan stays the same size however many covariates there are. Rows get their score
+from an expression.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.stats import two_sided_p
 from ..session import materialize
+from . import scan
 
 MODELLED_ARM = "IUI"
 INTERCEPT = "(Intercept)"
 MAX_STEPS = 50
 SMALL_MOVE, LEAST_GAIN = 1e-6, 1e-10  # in standard errors; as a share of the deviance
 ALIAS_TOLERANCE = 1e-9  # share of a column's sum of squares that the columns before it must leave open
+LEAST_WEIGHT = 1e-200  # a pattern whose score is 0 or 1 to the last digit still has its gradient
 NEAR = 1e-6  # fitted probabilities this close to 0 or 1 are reported
 
 
@@ -54,21 +62,19 @@ def _logistic(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
 
 
-def _dot(values: Sequence[float]) -> Column:
+def _dot(values: Sequence[float], terms: Column | str = "x") -> Column:
     """Product of a pattern with coefficients. As an array they are data to the plan, so its code is compiled once for all steps."""
-    products = F.zip_with("x", F.lit([float(v) for v in values]), lambda x, value: x * value)
+    products = F.zip_with(terms, F.lit([float(v) for v in values]), lambda x, value: x * value)
     return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
 
 
-def _cross_products(grouped: DataFrame, terms: Sequence[Column], weight: Column, *extra: Column) -> tuple[np.ndarray, list[float]]:
-    """Sums of weight * term * term as a matrix, and the sums of ``extra``: one row to the driver."""
-    size = len(terms)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    row = grouped.agg(*[F.sum(weight * terms[i] * terms[j]) for i, j in pairs], *[F.sum(e) for e in extra]).first()
-    matrix = np.zeros((size, size))
-    for (i, j), value in zip(pairs, row):
-        matrix[i, j] = matrix[j, i] = value or 0.0
-    return matrix, [value or 0.0 for value in row[len(pairs) :]]
+def _gram(vectors: Column, rows: DataFrame, size: int) -> np.ndarray:
+    """Sum over all rows of the outer product of a row's vector with itself; one matrix to the driver.
+
+    Tasks add into one packed matrix each, and these are combined in a tree.
+    """
+    column = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(vectors).alias("v")), "v")
+    return RowMatrix(column, numCols=size).computeGramianMatrix().toArray()
 
 
 def _independent(matrix: np.ndarray) -> list[int]:
@@ -94,8 +100,9 @@ class PropensityModel:
 
     def score(self) -> Column:
         """Probability of the modelled arm as a plain expression: no join, no vectors."""
-        parts = [F.lit(self.estimates[c]) * F.col(c).cast("double") for c in self.covariates if self.estimates[c] is not None]
-        return _logistic(reduce(lambda a, b: a + b, parts, F.lit(self.estimates[INTERCEPT])))
+        used = [c for c in self.covariates if self.estimates[c] is not None]
+        terms = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in used])
+        return _logistic(_dot([self.estimates[c] for c in (INTERCEPT, *used)], terms))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """term, estimate, std_error, z_value, p_value."""
@@ -132,30 +139,43 @@ def fit_propensity(
     coefficient. A separated fit ends when its deviance stops falling, or
     unconverged after ``MAX_STEPS``: see ``positivity``. One arm alone is an error.
     """
-    grouped = materialize(patterns(rows, covariates, arm, freq), "patterns")
-    terms = [F.get("x", F.lit(i)) for i in range(len(covariates) + 1)]
-    matrix, (persons, treated) = _cross_products(grouped, terms, F.col("n"), F.col("n"), F.col("y"))
+    # kept in memory for the steps; a lost part is read from the written copy again
+    grouped = materialize(patterns(rows, covariates, arm, freq), "patterns").persist()
+    try:
+        return _newton(grouped, tuple(covariates))
+    finally:
+        grouped.unpersist()
+
+
+def _newton(grouped: DataFrame, covariates: tuple[str, ...]) -> PropensityModel:
+    size = len(covariates) + 1
+    x, n, y = F.col("x"), F.col("n"), F.col("y")
+    root = F.sqrt("n")
+    matrix = _gram(F.concat(F.transform(x, lambda v: v * root), F.array(y / root)), grouped, size + 1)
+    persons, treated = matrix[0, 0], matrix[0, size]
     if not 0 < treated < persons:
         raise ValueError("the model needs persons in both arms")
-    kept = _independent(matrix)
-    used = [terms[j] for j in kept]
+    kept = _independent(matrix[:size, :size])
     share = treated / persons
     null_deviance = -2 * (treated * np.log(share) + (persons - treated) * np.log1p(-share))
-    beta = np.zeros(len(used))
+    beta = np.zeros(len(kept))
     beta[0] = np.log(share / (1 - share))
     deviance = np.inf
     for step in range(1, MAX_STEPS + 1):
-        full = np.zeros(len(terms))
+        full = np.zeros(size)
         full[kept] = beta
-        linear = _dot(full)
-        p = _logistic(linear)
-        gradient = [(F.col("y") - F.col("n") * p) * t for t in used]
-        loss = F.col("n") * _log1p_exp(linear) - F.col("y") * linear
-        curvature, sums = _cross_products(grouped, used, F.col("n") * p * (1 - p), *gradient, loss)
-        before, deviance = deviance, 2 * sums[-1]
+        # computed once a row, before the vector is made of them
+        linear = grouped.select("x", "n", "y", _dot(full).alias("linear"))
+        steps = linear.select("x", (y - n * _logistic(F.col("linear"))).alias("left"), F.sqrt(F.greatest(
+            n * _logistic(F.col("linear")) * _logistic(-F.col("linear")), F.lit(LEAST_WEIGHT))).alias("s"),
+            F.sqrt(F.greatest(n * _log1p_exp(F.col("linear")) - y * F.col("linear"), F.lit(0.0))).alias("loss"))
+        vector = F.concat(F.transform(x, lambda v: v * F.col("s")), F.array(F.col("left") / F.col("s"), F.col("loss")))
+        product = _gram(vector, steps, size + 2)
+        curvature, gradient = product[np.ix_(kept, kept)], product[kept, size]
+        before, deviance = deviance, 2 * product[size + 1, size + 1]
         scale = np.sqrt(np.maximum(np.diag(curvature), 1e-300))
         inverse = np.linalg.pinv(curvature / np.outer(scale, scale), rcond=1e-14) / np.outer(scale, scale)
-        move = inverse @ np.array(sums[:-1])
+        move = inverse @ gradient
         beta = beta + move
         # a move this small is squared by the next; a separated fit only stops gaining
         converged = np.max(np.abs(move) * scale) <= SMALL_MOVE or abs(before - deviance) <= LEAST_GAIN * (deviance + 0.1)
@@ -167,12 +187,12 @@ def fit_propensity(
         "null_deviance": null_deviance,
         "null_df": persons - 1,
         "residual_deviance": deviance,
-        "residual_df": persons - len(used),
-        "aic": deviance + 2 * len(used),
+        "residual_df": persons - len(kept),
+        "aic": deviance + 2 * len(kept),
     }
     errors = np.sqrt(np.maximum(np.diag(inverse), 0.0))
     return PropensityModel(
-        tuple(covariates),
+        covariates,
         missing | dict(zip(names, map(float, beta))),
         missing | dict(zip(names, map(float, errors))),
         {name: float(value) for name, value in statistics.items()},
@@ -203,22 +223,34 @@ def score_equations(scored: DataFrame, covariates: Sequence[str], freq: str | No
     return sums.unpivot([], ["(Intercept)", *covariates], "term", "score")
 
 
+QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
 def weight_summary(weighted: DataFrame, weight: str = "ip_weight", freq: str | None = None) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of the weights.
+    """Minimum, quartiles, mean and maximum of the weights; exact, however many distinct weights there are.
 
-    Equal weights are counted first, so the exact percentiles see only distinct
-    values (two per stratum).
+    Distinct weights are counted and dealt by range. The parts' counts (one row
+    each, on the driver) tell which parts hold the wanted ranks; only these
+    are looked at again. No known weight gives a row of nulls.
     """
-    counts = weighted.groupBy(F.col(weight).alias("w")).agg(F.sum(_row_count(freq)).cast("long").alias("n"))
-    quantiles = F.percentile("w", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("n"))
-    summary = counts.agg(quantiles.alias("q"), (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"))
-    return summary.select(
-        F.col("q")[0].alias("min"),
-        F.col("q")[1].alias("q1"),
-        F.col("q")[2].alias("median"),
-        "mean",
-        F.col("q")[3].alias("q3"),
-        F.col("q")[4].alias("max"),
+    known = weighted.where(F.col(weight).isNotNull())
+    counts = known.groupBy(F.col(weight).cast("double").alias("w")).agg(F.sum(_row_count(freq)).cast("long").alias("n"))
+    stored = scan.ranged(counts, "w", label="weights")
+    parts = stored.groupBy(scan.PART).agg(F.sum("n").alias("n"), F.sum(F.col("w") * F.col("n")).alias("total")).collect()
+    sizes = {row[scan.PART]: row["n"] for row in parts}
+    persons = sum(sizes.values())
+    if not persons:
+        return weighted.sparkSession.createDataFrame([(None,) * 6], "min double, q1 double, median double, mean double, q3 double, max double")
+    places = [share * (persons - 1) for share in QUARTILES]
+    ranks = [rank for place in places for rank in (math.floor(place), math.ceil(place))]
+    found = scan.value_at_ranks(stored, "w", "n", ranks, sizes)
+    between = [place - math.floor(place) for place in places]
+    low, q1, median, q3, high = (
+        F.col("values")[2 * k] * F.lit(1 - share) + F.col("values")[2 * k + 1] * F.lit(share) for k, share in enumerate(between)
+    )
+    mean = math.fsum(row["total"] for row in parts) / persons
+    return found.select(
+        low.alias("min"), q1.alias("q1"), median.alias("median"), F.lit(mean).alias("mean"), q3.alias("q3"), high.alias("max")
     )
 
 

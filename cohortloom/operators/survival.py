@@ -1,34 +1,24 @@
 """Weighted Kaplan-Meier curves and their difference.
 
-Everything after the risk table works on at most (arms x days) rows: times are
-whole days cut at the study's horizon.
+Times may be any numbers, and as many as there are persons: sums over an arm's
+times, and the values a curve holds, run over ranges of times (see ``scan``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import StudyConfig
 from ..functions.stats import two_sided_p
+from ..session import materialize
+from . import scan
 
 
-def risk_table(
-    rows: DataFrame,
-    arm: str = "IUI",
-    time: str = "time_to_delivery",
-    event: str = "event_delivery",
-    weight: str | None = None,
-    freq: str | None = None,
-) -> DataFrame:
-    """Per arm and time: persons, events and weights leaving, and the weight still at risk.
-
-    Persons without a time (unknown end of follow-up) are left out. ``weight``
-    defaults to 1; ``freq`` names a count column of already grouped rows.
-    """
+def _leaving(rows: DataFrame, arm: str, time: str, event: str, weight: str | None, freq: str | None) -> DataFrame:
     n = F.col(freq).cast("double") if freq else F.lit(1.0)
     w = F.col(weight) if weight else F.lit(1.0)
     happened = F.col(event)
-    leaving = (
+    return (
         rows.where(F.col(time).isNotNull() & F.col(arm).isNotNull())
         .groupBy(F.col(arm).alias("group"), F.col(time).cast("double").alias("time"))
         .agg(
@@ -39,72 +29,87 @@ def risk_table(
             F.sum(n * w * w).alias("w2_leaving"),
         )
     )
-    from_here = W.partitionBy("group").orderBy(F.col("time").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return leaving.withColumns(
-        {
-            "at_risk": F.sum("w_leaving").over(from_here),
-            "at_risk_sq": F.sum("w2_leaving").over(from_here),
-        }
-    )
 
 
-def _with_origin(risk: DataFrame) -> DataFrame:
-    """Add a time-0 row to arms that have none, by splitting the arm's first row."""
-    first = F.row_number().over(W.partitionBy("group").orderBy("time")) == 1
-    row = F.struct("time", "n_event", "w_event", "at_risk", "at_risk_sq")
-    zero = F.lit(0.0)
-    origin = F.struct(
-        zero.alias("time"),
-        zero.alias("n_event"),
-        zero.alias("w_event"),
-        F.col("at_risk"),
-        F.col("at_risk_sq"),
-    )
-    rows = F.when(first & (F.col("time") > 0), F.array(origin, row)).otherwise(F.array(row))
-    return risk.select("group", rows.alias("rows")).select("group", F.inline("rows"))
+def risk_parts(
+    rows: DataFrame,
+    arm: str = "IUI",
+    time: str = "time_to_delivery",
+    event: str = "event_delivery",
+    weight: str | None = None,
+    freq: str | None = None,
+) -> DataFrame:
+    """The risk table with ``part``, the range of times a row was dealt to: what ``weighted_km`` takes without dealing again."""
+    stored = scan.ranged(_leaving(rows, arm, time, event, weight, freq), "group", "time", label="leaving")
+    at_risk = {"at_risk": F.col("w_leaving"), "at_risk_sq": F.col("w2_leaving")}
+    return scan.running_sums(stored, ["group"], "time", at_risk, back=True)
+
+
+def risk_table(
+    rows: DataFrame,
+    arm: str = "IUI",
+    time: str = "time_to_delivery",
+    event: str = "event_delivery",
+    weight: str | None = None,
+    freq: str | None = None,
+) -> DataFrame:
+    """Per arm and time: persons, events and weights leaving, and the weight still at risk.
+
+    Persons without a time (unknown end of follow-up) are left out. ``weight``
+    defaults to 1; ``freq`` names a count column of already grouped rows.
+    """
+    return risk_parts(rows, arm, time, event, weight, freq).drop(scan.PART)
 
 
 def weighted_km(risk: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
     """Survival curve per arm at time 0, every event time and the arm's last time.
 
     Once all remaining weight has had the event the curve is 0 and its variance
-    undefined (null).
+    undefined (null). The product is a sum of logarithms, so it adds up over
+    ranges of times.
     """
+    if scan.PART in risk.columns:
+        stored = materialize(risk, "risk")
+    else:
+        stored = scan.ranged(risk, "group", "time", label="risk")
     at_risk, event = F.col("at_risk"), F.col("w_event")
     # d and Y are sums in different order: a remainder of rounding size counts as none
     exhausted = at_risk - event <= at_risk * 1e-9
     effective = at_risk * at_risk / F.col("at_risk_sq")
-    up_to = W.partitionBy("group").orderBy("time").rowsBetween(W.unboundedPreceding, 0)
-    arm = W.partitionBy("group")
-    factor = F.when(exhausted, 0.0).otherwise(1 - event / at_risk)
-    hazard_var = F.when(exhausted, 0.0).otherwise(event / (effective * (at_risk - event)))
+    steps = {
+        "exhausted": F.when(exhausted, 1.0).otherwise(0.0),
+        "log_surv": F.when(exhausted, 0.0).otherwise(F.log1p(-event / at_risk)),
+        "hazard_var": F.when(exhausted, 0.0).otherwise(event / (effective * (at_risk - event))),
+    }
+    arms = stored.groupBy("group").agg(
+        F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.max("at_risk").alias("at_risk")
+    )
+    summed = scan.running_sums(stored, ["group"], "time", steps)
+    curve = summed.join(arms.select("group", "last_time"), "group").where(
+        (F.col("time") == 0) | (F.col("n_event") > 0) | (F.col("time") == F.col("last_time"))
+    )
+    points = curve.select(
+        "group", "time", F.when(F.col("exhausted") > 0, 0.0).otherwise(F.exp("log_surv")).alias("surv"), "hazard_var"
+    )
+    nobody = F.col("at_risk") <= 0
+    origin = arms.where("first_time > 0").select(
+        "group", F.lit(0.0).alias("time"), F.when(nobody, 0.0).otherwise(1.0).alias("surv"), F.lit(0.0).alias("hazard_var")
+    )
     se = F.when(F.col("surv") > 0, F.col("surv") * F.sqrt("hazard_var"))
-    return (
-        _with_origin(risk)
-        .withColumns(
-            {
-                "surv": F.product(factor).over(up_to),
-                "hazard_var": F.sum(hazard_var).over(up_to),
-                "last_time": F.max("time").over(arm),
-            }
-        )
-        .withColumn("se", se)
-        .where((F.col("time") == 0) | (F.col("n_event") > 0) | (F.col("time") == F.col("last_time")))
-        .select(
-            "group",
-            "time",
-            "surv",
-            "se",
-            (F.col("surv") - config.z * F.col("se")).alias("ci_lower"),
-            (F.col("surv") + config.z * F.col("se")).alias("ci_upper"),
-        )
+    return origin.unionByName(points).withColumn("se", se).select(
+        "group",
+        "time",
+        "surv",
+        "se",
+        (F.col("surv") - config.z * F.col("se")).alias("ci_lower"),
+        (F.col("surv") + config.z * F.col("se")).alias("ci_upper"),
     )
 
 
 def curve_endpoints(curve: DataFrame) -> DataFrame:
     """Rows of each arm's last time."""
-    last = F.max("time").over(W.partitionBy("group"))
-    return curve.withColumn("last_time", last).where(F.col("time") == F.col("last_time")).drop("last_time")
+    ends = F.max(F.struct("time", F.struct(*curve.columns).alias("row"))).alias("last")
+    return curve.groupBy("group").agg(ends).select("last.row.*")
 
 
 def curve_difference(
@@ -113,21 +118,20 @@ def curve_difference(
     """Difference of two step curves (first minus second) at every time of either.
 
     Each curve holds its last value until its next step and is unknown after its
-    last time. The window runs over the times of the curves, one row each.
+    last time. What a curve holds is carried from one range of times to the next.
     """
     point = F.struct("surv", "se")
     arms = {"a": first, "b": second}
     by_time = curve.groupBy("time").agg(
         *[F.min(F.when(F.col("group") == name, point)).alias(key) for key, name in arms.items()],
     )
-    so_far = W.orderBy("time").rowsBetween(W.unboundedPreceding, 0)
-    to_come = W.orderBy("time").rowsBetween(0, W.unboundedFollowing)
+    compared = by_time.withColumn("arms", F.lit(f"{first} - {second}"))
+    stored = scan.ranged(compared, "time", label="curve-times")
 
     def held(key: str) -> Column:
-        value = F.last(key, ignorenulls=True).over(so_far)
-        return F.when(F.count(key).over(to_come) > 0, value)
+        return F.when(F.col("time") <= F.col(f"{key}_ends"), F.col(key)).alias(key)
 
-    aligned = by_time.select("time", *[held(key).alias(key) for key in arms])
+    aligned = scan.carried(stored, ["arms"], "time", list(arms)).select("time", *[held(key) for key in arms])
     difference = aligned.select(
         "time",
         (F.col("a.surv") - F.col("b.surv")).alias("diff"),

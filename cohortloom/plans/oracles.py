@@ -503,6 +503,217 @@ for _name in ("cohort_generate", "cohort_inclusion", "cohort_stats", "cohort_rul
     EXTRA_CTES[_name] = GENERATED
 
 
+# ---- covariates of many values, times between the days
+CONTINUOUS_CTES = """,
+history AS (
+  SELECT w.person_id, CAST(count(c.date) AS DOUBLE) AS n_prior,
+         coalesce((any_value(w.cohort_start_date) - min(c.date)) / CAST(365.25 AS DOUBLE), 0) AS years_before
+  FROM windows w LEFT JOIN claims c ON c.person_id = w.person_id AND c.date < w.cohort_start_date GROUP BY w.person_id),
+c_rows AS (
+  SELECT a.*, n_prior, years_before, time_to_delivery + (a.person_id % 997) / CAST(997 AS DOUBLE) AS fine_time,
+         CASE WHEN IUI = 'IUI' THEN 1 ELSE 0 END AS y
+  FROM analysis a JOIN history h ON h.person_id = a.person_id),
+c_points AS (SELECT n_prior AS x1, years_before AS x2, y FROM c_rows),
+c_fit AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2,
+         CAST(0 AS DOUBLE) AS v0, CAST(0 AS DOUBLE) AS v1, CAST(0 AS DOUBLE) AS v2
+  UNION ALL
+  SELECT step + 1, b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+         b1 + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+         b2 + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det,
+         (h11 * h22 - h12 * h12) / det, (h00 * h22 - h02 * h02) / det, (h00 * h11 - h01 * h01) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+        FROM (SELECT step, b0, b1, b2, sum(y - p) AS g0, sum((y - p) * x1) AS g1, sum((y - p) * x2) AS g2, sum(v) AS h00,
+                     sum(v * x1) AS h01, sum(v * x2) AS h02, sum(v * x1 * x1) AS h11, sum(v * x1 * x2) AS h12, sum(v * x2 * x2) AS h22
+              FROM (SELECT *, p * (1 - p) AS v FROM (
+                      SELECT step, b0, b1, b2, x1, x2, y, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p
+                      FROM c_fit CROSS JOIN c_points WHERE step < 15))
+              GROUP BY step, b0, b1, b2))),
+c_model AS (SELECT * FROM c_fit ORDER BY step DESC LIMIT 1),
+c_weighted AS (
+  SELECT *, CASE WHEN y = 1 THEN 1 / p_IUI ELSE 1 / (1 - p_IUI) END AS ip_weight
+  FROM (SELECT r.*, 1 / (1 + exp(-(b0 + b1 * n_prior + b2 * years_before))) AS p_IUI FROM c_rows r CROSS JOIN c_model)),
+c_leaving AS (
+  SELECT IUI AS "group", fine_time AS time, count(*) FILTER (event_delivery) AS n_event,
+         coalesce(sum(ip_weight) FILTER (event_delivery), 0) AS d, sum(ip_weight) AS w, sum(ip_weight * ip_weight) AS w2
+  FROM c_weighted WHERE fine_time IS NOT NULL GROUP BY 1, 2),
+c_risk AS (
+  SELECT "group", time, n_event, d, sum(w) OVER later_on AS r, sum(w2) OVER later_on AS r2
+  FROM c_leaving WINDOW later_on AS (PARTITION BY "group" ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+c_steps AS (
+  SELECT * FROM c_risk
+  UNION ALL
+  SELECT "group", 0, 0, 0, max(r), max(r2) FROM c_risk GROUP BY "group" HAVING min(time) > 0),
+c_sums AS (
+  SELECT "group", time, n_event, max(time) OVER (PARTITION BY "group") AS last_time,
+         CASE WHEN bool_or(r - d <= r * 1e-9) OVER so_far THEN 0
+              ELSE exp(sum(CASE WHEN r - d <= r * 1e-9 THEN 0 ELSE ln(1 - d / r) END) OVER so_far) END AS surv,
+         sum(CASE WHEN r - d <= r * 1e-9 THEN 0 ELSE d / (r * r / r2 * (r - d)) END) OVER so_far AS hv
+  FROM c_steps WINDOW so_far AS (PARTITION BY "group" ORDER BY time ROWS UNBOUNDED PRECEDING)),
+c_curve AS (
+  SELECT "group", time, surv, CASE WHEN surv > 0 THEN surv * sqrt(hv) END AS se
+  FROM c_sums WHERE time = 0 OR n_event > 0 OR time = last_time),
+c_held AS (
+  SELECT time, last_value(a IGNORE NULLS) OVER up_to AS a, last_value(b IGNORE NULLS) OVER up_to AS b,
+         time <= (SELECT max(time) FROM c_curve WHERE "group" = 'ART') AS in_a, time <= (SELECT max(time) FROM c_curve WHERE "group" = 'IUI') AS in_b
+  FROM (SELECT time, max(CASE WHEN "group" = 'ART' THEN {'surv': surv, 'se': se} END) AS a,
+               max(CASE WHEN "group" = 'IUI' THEN {'surv': surv, 'se': se} END) AS b FROM c_curve GROUP BY time)
+  WINDOW up_to AS (ORDER BY time ROWS UNBOUNDED PRECEDING)),
+c_diff AS (
+  SELECT time, CASE WHEN in_a AND in_b THEN a.surv - b.surv END AS diff,
+         CASE WHEN in_a AND in_b THEN sqrt(a.se * a.se + b.se * b.se) END AS se FROM c_held),
+c_long AS (
+  SELECT y, ip_weight AS w, x.name AS covariate, x.value AS value FROM (
+    SELECT y, ip_weight, unnest([
+      {'name': 'prop.score', 'value': p_IUI}, {'name': 'alcohol', 'value': alcohol}, {'name': 'tobacco', 'value': tobacco},
+      {'name': 'obesity', 'value': obesity}, {'name': 'pcos', 'value': pcos}, {'name': 'f_infert', 'value': f_infert},
+      {'name': 'm_infert', 'value': m_infert}, {'name': 'n_prior', 'value': n_prior}, {'name': 'years_before', 'value': years_before}]) AS x
+    FROM c_weighted)),
+c_moments AS (
+  SELECT covariate, y, avg(value) AS m, var_samp(value) AS v, sum(w * value) / sum(w) AS wm,
+         (sum(w * value * value) - sum(w) * pow(sum(w * value) / sum(w), 2)) / (sum(w) - sum(w * w) / sum(w)) AS wv,
+         bool_and(value IN (0, 1)) AS is_flag
+  FROM c_long GROUP BY covariate, y),
+c_shares AS (
+  SELECT covariate, max(abs(below_t / all_t - below_c / all_c)) AS ks_un, max(abs(wbelow_t / wall_t - wbelow_c / wall_c)) AS ks_adj
+  FROM (SELECT covariate, value, sum(sum(y)) OVER v AS below_t, sum(sum(1 - y)) OVER v AS below_c,
+               sum(sum(w * y)) OVER v AS wbelow_t, sum(sum(w * (1 - y))) OVER v AS wbelow_c
+        FROM c_long GROUP BY covariate, value WINDOW v AS (PARTITION BY covariate ORDER BY value ROWS UNBOUNDED PRECEDING))
+  JOIN (SELECT covariate, sum(y) AS all_t, sum(1 - y) AS all_c, sum(w * y) AS wall_t, sum(w * (1 - y)) AS wall_c
+        FROM c_long GROUP BY covariate) USING (covariate)
+  GROUP BY covariate),
+c_balance AS (
+  SELECT t.covariate, CASE WHEN t.covariate = 'prop.score' THEN 'distance' WHEN t.is_flag AND c.is_flag THEN 'binary' ELSE 'contin.' END AS kind,
+         t.m - c.m AS d_un, t.wm - c.wm AS d_adj, sqrt((t.v + c.v) / 2) AS pooled, t.v / c.v AS r_un, t.wv / c.wv AS r_adj
+  FROM c_moments t JOIN c_moments c ON c.covariate = t.covariate AND t.y = 1 AND c.y = 0)
+"""
+FINAL["propensity_continuous"] = f"""
+    SELECT term, {r6('estimate', 'estimate')}, {r6('std_error', 'std_error')} FROM (
+      SELECT unnest(['(Intercept)', 'n_prior', 'years_before']) AS term, unnest([b0, b1, b2]) AS estimate,
+             unnest([sqrt(v0), sqrt(v1), sqrt(v2)]) AS std_error FROM c_model)"""
+FINAL["weight_summary_continuous"] = FINAL["weight_summary"].replace("FROM weighted", "FROM c_weighted")
+FINAL["km_continuous"] = f"""
+    SELECT "group", {r6('time', 'time')}, {r6('surv', 'surv')}, {r6('se', 'se')}, {r6(f'surv - {Z} * se', 'ci_lower')},
+           {r6(f'surv + {Z} * se', 'ci_upper')} FROM c_curve"""
+FINAL["curve_diff_continuous"] = FINAL["curve_diff"].replace("SELECT time,", f"SELECT {r6('time', 'time')},").replace("FROM diff", "FROM c_diff")
+FINAL["balance_continuous"] = f"""
+    SELECT covariate, kind, {r6("d_un / CASE WHEN kind = 'binary' THEN 1 ELSE pooled END", 'diff_unadjusted')},
+           {r6("d_adj / CASE WHEN kind = 'binary' THEN 1 ELSE pooled END", 'diff_adjusted')},
+           CASE WHEN kind <> 'binary' THEN round(r_un, 6) + 0.0 END AS ratio_unadjusted,
+           CASE WHEN kind <> 'binary' THEN round(r_adj, 6) + 0.0 END AS ratio_adjusted,
+           {r6('ks_un', 'ks_unadjusted')}, {r6('ks_adj', 'ks_adjusted')}
+    FROM c_balance JOIN c_shares USING (covariate)"""
+for _name in ("propensity_continuous", "weight_summary_continuous", "km_continuous", "curve_diff_continuous", "balance_continuous"):
+    EXTRA_CTES[_name] = CONTINUOUS_CTES
+
+# ---- nested definitions
+NESTED = """,
+n_entries AS (
+  SELECT DISTINCT 11 AS cohort_definition_id, c.person_id, c.date AS entry_date, obs_end
+  FROM claims c JOIN obs USING (person_id)
+  WHERE concept_set IN ('ART', 'IUI') AND date >= DATE '1996-01-01' AND date >= obs_start + 180
+  UNION ALL
+  SELECT DISTINCT 12, c.person_id, c.date, obs_end FROM claims c JOIN obs USING (person_id)
+  WHERE concept_set = 'ART' AND date >= DATE '1997-01-01' AND date >= obs_start + 365
+    AND EXISTS (SELECT 1 FROM claims b WHERE b.person_id = c.person_id AND b.concept_set = 'IUI' AND b.date < c.date)),
+n_counts AS (
+  SELECT cohort_definition_id, e.person_id, entry_date, any_value(obs_end) AS obs_end,
+         count(*) FILTER (s = 'f_infert' AND d BETWEEN -730 AND 0) AS infertile,
+         count(*) FILTER (s = 'PCOS' AND d BETWEEN -365 AND 0) AS pcos,
+         count(*) FILTER (s = 'labor' AND d BETWEEN -365 AND -1) AS delivered,
+         count(DISTINCT d) FILTER (s IN ('ART', 'IUI') AND d BETWEEN -180 AND -1) AS treated_days,
+         count(*) FILTER (s = 'tobacco' AND d BETWEEN -365 AND 0) AS smoked,
+         count(*) FILTER (s = 'alcohol' AND d BETWEEN -365 AND 0) AS drank,
+         count(*) FILTER (s IN ('abortion', 'stillbirth') AND d BETWEEN -365 AND -1) AS lost,
+         count(*) FILTER (s = 'pregnant' AND d BETWEEN -365 AND -1) AS conceived,
+         min(day) FILTER (s IN ('stillbirth', 'abortion') AND d >= 1) AS next_loss,
+         min(day) FILTER (s = 'labor' AND d >= 1) AS next_labor
+  FROM (SELECT e.*, c.concept_set AS s, c.date AS day, c.date - e.entry_date AS d
+        FROM n_entries e JOIN claims c ON c.person_id = e.person_id) e
+  GROUP BY cohort_definition_id, e.person_id, entry_date),
+n_evaluated AS (
+  SELECT 11 AS cohort_definition_id, person_id, entry_date, obs_end, next_loss AS censor, 424 AS max_days, 3 AS passed,
+         CAST(CASE WHEN infertile >= 1 OR (pcos >= 1 AND NOT delivered >= 1) THEN 1 ELSE 0 END
+              + CASE WHEN CAST(treated_days >= 2 AS INTEGER) + CAST(smoked = 0 AS INTEGER) + CAST(drank = 0 AS INTEGER) >= 2
+                     THEN 2 ELSE 0 END AS BIGINT) AS mask
+  FROM n_counts WHERE cohort_definition_id = 11
+  UNION ALL
+  SELECT 12, person_id, entry_date, obs_end, next_labor, 90, 1, CAST(CASE WHEN lost >= 1 AND conceived >= 1 THEN 0 ELSE 1 END AS BIGINT)
+  FROM n_counts WHERE cohort_definition_id = 12),
+n_best AS (
+  SELECT * FROM n_evaluated QUALIFY row_number() OVER (
+    PARTITION BY cohort_definition_id, person_id ORDER BY bit_count(mask) DESC, entry_date) = 1),
+n_exits AS (
+  SELECT *, CASE WHEN censor = finish THEN 'censored' WHEN entry_date + max_days = finish THEN 'follow-up' ELSE 'observation' END AS exit_reason
+  FROM (SELECT *, least(obs_end, entry_date + max_days, censor) AS finish FROM n_evaluated WHERE mask = passed)
+  QUALIFY cohort_definition_id = 12 OR row_number() OVER (PARTITION BY cohort_definition_id, person_id ORDER BY entry_date) = 1)
+"""
+FINAL["cohort_nested"] = """
+    SELECT cohort_definition_id, person_id AS subject_id, entry_date AS cohort_start_date, finish AS cohort_end_date
+    FROM n_exits WHERE cohort_definition_id = 11
+    UNION ALL
+    SELECT 12, person_id, min(entry_date), max(finish)
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY person_id ORDER BY entry_date ROWS UNBOUNDED PRECEDING) AS era
+          FROM (SELECT *, CASE WHEN entry_date <= max(finish) OVER (PARTITION BY person_id ORDER BY entry_date
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+                FROM n_exits WHERE cohort_definition_id = 12))
+    GROUP BY person_id, era"""
+FINAL["cohort_nested_inclusion"] = """
+    SELECT cohort_definition_id, mask AS inclusion_mask, count(*) AS person_count, 'event' AS mode FROM n_evaluated GROUP BY 1, 2
+    UNION ALL
+    SELECT cohort_definition_id, mask, count(*), 'person' FROM n_best GROUP BY 1, 2"""
+FINAL["cohort_nested_attrition"] = """
+    SELECT cohort_definition_id, 0 AS rule_sequence, 'all entries' AS rule_name, count(*) AS person_count, CAST(0 AS BIGINT) AS drop_count
+    FROM n_best GROUP BY cohort_definition_id
+    UNION ALL
+    SELECT 11, 1, 'infertility, or PCOS without a delivery', count(*) FILTER (mask % 2 = 1), count(*) FILTER (mask % 2 = 0)
+    FROM n_best WHERE cohort_definition_id = 11
+    UNION ALL
+    SELECT 11, 2, 'two of: two days of treatment, no tobacco, no alcohol', count(*) FILTER (mask = 3), count(*) FILTER (mask = 1)
+    FROM n_best WHERE cohort_definition_id = 11
+    UNION ALL
+    SELECT 12, 1, 'no loss after a pregnancy', count(*) FILTER (mask = 1), count(*) FILTER (mask = 0)
+    FROM n_best WHERE cohort_definition_id = 12"""
+FINAL["cohort_censoring"] = """
+    SELECT cohort_definition_id, exit_reason, count(*) AS entry_count, count(DISTINCT person_id) AS person_count
+    FROM n_exits GROUP BY cohort_definition_id, exit_reason"""
+for _name in ("cohort_nested", "cohort_nested_inclusion", "cohort_nested_attrition", "cohort_censoring"):
+    EXTRA_CTES[_name] = NESTED
+
+# ---- stores, closure, orders
+FINAL["cohort_store"] = """
+    SELECT cohort_definition_id, person_id AS subject_id, entry_date AS cohort_start_date,
+           least(obs_end, entry_date + CASE WHEN cohort_definition_id = 1 THEN 100 ELSE max_days END) AS cohort_end_date,
+           count(*) OVER (PARTITION BY cohort_definition_id) AS row_count
+    FROM evaluated WHERE mask = passed"""
+FINAL["pull_pruned"] = """
+    SELECT c.person_id, date, concept_id, concept_set FROM claims c JOIN evaluated e ON e.person_id = c.person_id
+    WHERE cohort_definition_id = 2 AND mask = passed AND concept_set IN ('pregnant', 'abortion', 'stillbirth', 'labor')
+      AND date BETWEEN entry_date AND least(obs_end, entry_date + max_days)"""
+EXTRA_CTES["cohort_store"] = EXTRA_CTES["pull_pruned"] = GENERATED
+FINAL["cohort_catalog"] = "SELECT * FROM cohort"
+FINAL["pull_stored"] = """
+    SELECT person_id, date, concept_id, concept_set FROM txt UNION ALL SELECT person_id, date, concept_id, concept_set FROM preg"""
+FINAL["coalesce_unlike"] = """
+    SELECT person_id, concept_id_IUI, concept_set_ART, coalesce(CAST(concept_id_IUI AS VARCHAR), concept_set_ART) AS first_known FROM baseline"""
+FINAL["pregnancies_numbered"] = """
+    SELECT person_id, date, concept_id, concept_set, row_number() OVER (
+      ORDER BY date, list_position(['pregnant', 'abortion', 'stillbirth', 'labor'], concept_set), person_id, concept_id) AS position FROM preg"""
+EXTRA_CTES["concept_closure"] = """,
+links AS (
+  SELECT CAST(p_size AS BIGINT) + 1000000000000 AS above, p_partkey AS below FROM part
+  UNION ALL
+  SELECT s // 2 + 1000000000000, s + 1000000000000 FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS s FROM part) WHERE s > 1),
+walks AS (
+  SELECT above AS a, below AS d, 1 AS steps FROM links
+  UNION ALL
+  SELECT a, below, steps + 1 FROM walks JOIN links ON d = above)"""
+FINAL["concept_closure"] = """
+    SELECT a AS ancestor_concept_id, d AS descendant_concept_id, min(steps) AS min_levels FROM walks GROUP BY a, d
+    UNION ALL
+    SELECT c, c, 0 FROM (SELECT above AS c FROM links UNION SELECT below FROM links)"""
+
+
 def oracle_sql(person: int) -> dict[str, str]:
     """Query name -> SQL; ``person`` is the id looked up by qc_person_lookup."""
     return {

@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import StudyConfig
-from ..functions.columns import select_containing, tidy_round
-from ..operators import balance, cohort, concepts, cycles, itt, joins, outcomes, propensity, qc, survival
+from ..functions.columns import coalesce_columns as coalesce_columns_of, select_containing, tidy_round
+from ..operators import balance, cohort, concepts, cycles, itt, joins, outcomes, propensity, pruning, qc, survival
 from ..session import materialize, new_path, tune
-from ..sources import surrogate, tables
+from ..sources import event_store, surrogate, tables
 from . import study
 from .oracles import oracle_sql as _oracle_sql
 
@@ -39,6 +39,64 @@ COHORT_SPECS = (
     ),
 )
 
+NESTED_SPECS = (
+    cohort.CohortSpec(
+        cohort_definition_id=11,
+        entry_sets=("ART", "IUI"),
+        entry_from="1996-01-01",
+        prior_days=180,
+        max_follow_up=424,
+        entries="all",
+        rows="first",
+        censor_sets=("stillbirth", "abortion"),
+        rules=(
+            cohort.Rule(
+                "infertility, or PCOS without a delivery",
+                cohort.any_of(
+                    cohort.Criterion(("f_infert",), -730, 0, at_least=1),
+                    cohort.all_of(
+                        cohort.Criterion(("PCOS",), -365, 0, at_least=1),
+                        cohort.none_of(cohort.Criterion(("labor",), -365, -1, at_least=1)),
+                    ),
+                ),
+            ),
+            cohort.Rule(
+                "two of: two days of treatment, no tobacco, no alcohol",
+                cohort.at_least(
+                    2,
+                    cohort.Criterion(("ART", "IUI"), -180, -1, at_least=2, distinct_days=True),
+                    cohort.Criterion(("tobacco",), -365, 0, at_most=0),
+                    cohort.Criterion(("alcohol",), -365, 0, at_most=0),
+                ),
+            ),
+        ),
+    ),
+    cohort.CohortSpec(
+        cohort_definition_id=12,
+        entry_sets=("ART",),
+        entry_from="1997-01-01",
+        prior_days=365,
+        max_follow_up=90,
+        entries="all",
+        rows="all",
+        entry_if=cohort.Criterion(("IUI",), None, -1, at_least=1),
+        censor_sets=("labor",),
+        rules=(
+            cohort.Rule(
+                "no loss after a pregnancy",
+                cohort.none_of(
+                    cohort.all_of(
+                        cohort.Criterion(("abortion", "stillbirth"), -365, -1, at_least=1),
+                        cohort.Criterion(("pregnant",), -365, -1, at_least=1),
+                    )
+                ),
+            ),
+        ),
+    ),
+)
+CONTINUOUS = ("n_prior", "years_before")
+STORE_BUCKETS = 8
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 
@@ -126,9 +184,30 @@ class Inputs:
         return propensity.with_weights(propensity.with_model_scores(rows, model))
 
     def curve(self) -> DataFrame:
-        risk = survival.risk_table(self.weighted_cells(), weight="ip_weight", freq="n")
+        risk = survival.risk_parts(self.weighted_cells(), weight="ip_weight", freq="n")
         return survival.weighted_km(risk, CONFIG)
 
+    def history(self) -> DataFrame:
+        """Per cohort person: events before the entry day, and years from the first of them to it (0 without any)."""
+        days = concepts.event_days(self.coded).select("person_id", "date", "n_events")
+        start = self.cohort.select(F.col("subject_id").alias("person_id"), "cohort_start_date")
+        before = days.join(start, "person_id").where(F.col("date") < F.col("cohort_start_date"))
+        years = F.datediff(F.first("cohort_start_date"), F.min("date")) / 365.25
+        found = before.groupBy("person_id").agg(F.sum("n_events").cast("double").alias("n_prior"), years.alias("years_before"))
+        return start.select("person_id").join(found, "person_id", "left").fillna(0.0, list(CONTINUOUS))
+
+    def continuous_rows(self) -> tuple[DataFrame, propensity.PropensityModel]:
+        """One row per person of the analysis with two covariates of many values, weighted by their model, and times between the days."""
+        rows = self.analysis().select("person_id", "IUI", *CONFIG.covariates, "time_to_delivery", "event_delivery")
+        fine = F.col("time_to_delivery") + F.col("person_id") % 997 / 997.0
+        rows = materialize(rows.join(self.history(), "person_id").withColumn("fine_time", fine), "continuous")
+        model = propensity.fit_propensity(rows, CONTINUOUS)
+        return propensity.with_weights(propensity.with_model_scores(rows, model)), model
+
+    def fine_curve(self) -> DataFrame:
+        rows, _ = self.continuous_rows()
+        return survival.weighted_km(survival.risk_parts(rows, time="fine_time", weight="ip_weight"), CONFIG)
+
 
 def query(function: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     _queries[function.__name__] = lambda spark, sf_dir: function(Inputs(spark, sf_dir))
@@ -161,9 +240,9 @@ def cohort_generate(study_in: Inputs) -> DataFrame:
     return cohort.generate_cohorts(days, surrogate.observation_period(study_in.coded), COHORT_SPECS)
 
 
-def evaluated_rules(study_in: Inputs) -> DataFrame:
+def evaluated_rules(study_in: Inputs, specs=COHORT_SPECS) -> DataFrame:
     days = concepts.event_days(study_in.coded)
-    return cohort.evaluate_rules(days, surrogate.observation_period(study_in.coded), COHORT_SPECS)
+    return cohort.evaluate_rules(days, surrogate.observation_period(study_in.coded), specs)
 
 
 @query
@@ -173,7 +252,61 @@ def cohort_stats(study_in: Inputs) -> DataFrame:
 
 @query
 def cohort_inclusion(study_in: Inputs) -> DataFrame:
-    return cohort.inclusion_counts(evaluated_rules(study_in))
+    return cohort.inclusion_counts(evaluated_rules(study_in)).drop("inclusion_words")
+
+
+@query
+def cohort_nested(study_in: Inputs) -> DataFrame:
+    """Definitions of nested groups, with censoring events and several entries per person."""
+    return cohort.cohort_rows(cohort.cohort_exits(evaluated_rules(study_in, NESTED_SPECS), NESTED_SPECS), NESTED_SPECS)
+
+
+@query
+def cohort_nested_inclusion(study_in: Inputs) -> DataFrame:
+    """Rule outcomes of the nested definitions by event and by person."""
+    evaluated = materialize(evaluated_rules(study_in, NESTED_SPECS), "entries")
+    return cohort.inclusion_by_mode(evaluated).drop("inclusion_words")
+
+
+@query
+def cohort_nested_attrition(study_in: Inputs) -> DataFrame:
+    """Attrition of the nested definitions, each person's best entry counted."""
+    evaluated = materialize(evaluated_rules(study_in, NESTED_SPECS), "entries")
+    return cohort.attrition(cohort.best_events(evaluated), NESTED_SPECS)
+
+
+@query
+def cohort_censoring(study_in: Inputs) -> DataFrame:
+    """What ends the time in the cohorts of the nested definitions."""
+    return cohort.exit_counts(cohort.cohort_exits(evaluated_rules(study_in, NESTED_SPECS), NESTED_SPECS))
+
+
+@query
+def cohort_store(study_in: Inputs) -> DataFrame:
+    """Two definitions stored one after the other, then the first changed: rows of the store, and what its manifest says."""
+    days = materialize(concepts.event_days(study_in.coded), "days")
+    observation = materialize(surrogate.observation_period(study_in.coded), "observation")
+    spark, folder = study_in.spark, new_path(study_in.spark, "store")
+    first, second = COHORT_SPECS
+
+    def generate(specs):
+        return cohort.cohort_results(days, observation, specs)
+
+    tables.store_definitions(spark, folder, [first], generate)
+    tables.store_definitions(spark, folder, [first, second], generate)
+    tables.store_definitions(spark, folder, [replace(first, max_follow_up=100), second], generate)
+    manifest = spark.read.schema(tables.schemas.COHORT_MANIFEST).parquet(f"{folder}/{tables.MANIFEST}")
+    return tables.read_cohort(spark, f"{folder}/cohort").join(manifest.select("cohort_definition_id", "row_count"), "cohort_definition_id")
+
+
+@query
+def cohort_catalog(study_in: Inputs) -> DataFrame:
+    """The cohort as a table of a study schema in the session's catalog, scanned by schema and name."""
+    path = new_path(study_in.spark, "schema")
+    schema = f"study_{path.rsplit('-', 1)[1]}"
+    study_in.spark.sql(f"CREATE DATABASE {schema} LOCATION '{path}'")
+    study_in.cohort.write.option("path", f"{path}/cohort").saveAsTable(f"{schema}.cohort")
+    return tables.study_table(study_in.spark, "cohort", replace(CONFIG, write_schema=schema))
 
 
 def _stored_results(study_in: Inputs) -> dict[str, DataFrame]:
@@ -231,6 +364,12 @@ def concept_set_resolve(study_in: Inputs) -> DataFrame:
     )
 
 
+@query
+def concept_closure(study_in: Inputs) -> DataFrame:
+    """Ancestors of every concept from direct parent links only."""
+    return concepts.ancestor_table(surrogate.concept_links(study_in.spark, study_in.sf_dir))
+
+
 @query
 def pull_long_treatments(study_in: Inputs) -> DataFrame:
     return study_in.pulled(*CONFIG.treatment_sets)
@@ -254,6 +393,30 @@ def pull_all_counts(study_in: Inputs) -> DataFrame:
     return concepts.count_pulls(study_in.pulled(*sets))
 
 
+@query
+def pull_stored(study_in: Inputs) -> DataFrame:
+    """Treatments and outcomes from an event store in buckets of persons."""
+    spark, path = study_in.spark, new_path(study_in.spark, "event-store")
+    schema = f"events_{path.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{path}'")
+    store = event_store.write_event_store(study_in.coded, f"{schema}.events", path, STORE_BUCKETS)
+    windows = event_store.write_person_table(study_in.windows(), f"{schema}.windows", path, STORE_BUCKETS)
+    return event_store.pull_from_store(spark, store, windows, study_in.pulls((*CONFIG.treatment_sets, *CONFIG.outcome_sets)))
+
+
+@query
+def pull_pruned(study_in: Inputs) -> DataFrame:
+    """Outcomes of the second definition's cohort; Bloom filters of its persons and of the sets' concepts are applied at the scan."""
+    spark, sf_dir = study_in.spark, study_in.sf_dir
+    days = concepts.event_days(study_in.coded)
+    entered = cohort.generate_cohorts(days, surrogate.observation_period(study_in.coded), COHORT_SPECS[1:])
+    windows = materialize(cohort.cohort_windows(entered, CONFIG), "windows")
+    members = surrogate.concept_members(spark, sf_dir).where(F.col("concept_set").isin(*CONFIG.outcome_sets))
+    members = materialize(members, "members")
+    events = pruning.prune_events(surrogate.clinical_events(spark, sf_dir), windows, members)
+    return concepts.pull_concept_sets(concepts.code_events(events, members), windows, study_in.pulls(CONFIG.outcome_sets))
+
+
 @query
 def baseline(study_in: Inputs) -> DataFrame:
     return study.baseline(study_in.timelines(), CONFIG)
@@ -319,6 +482,13 @@ def coalesce_columns(study_in: Inputs) -> DataFrame:
     return cycles.cycle_text(four_cycles(study_in))
 
 
+@query
+def coalesce_unlike(study_in: Inputs) -> DataFrame:
+    """First known value over a number and a text column: the lowest IUI concept of the entry day, else the name of the set."""
+    rows = study.baseline(study_in.timelines(), CONFIG).select("person_id", "concept_id_IUI", "concept_set_ART")
+    return rows.withColumn("first_known", coalesce_columns_of(rows, ["concept_id_IUI", "concept_set_ART"]))
+
+
 @query
 def cycle_number(study_in: Inputs) -> DataFrame:
     return cycles.cycle_number(four_cycles(study_in))
@@ -344,6 +514,12 @@ def pregnancies(study_in: Inputs) -> DataFrame:
     return outcomes.pregnancies(study_in.pulled(*CONFIG.outcome_sets), CONFIG)
 
 
+@query
+def pregnancies_numbered(study_in: Inputs) -> DataFrame:
+    """The same with each row's place in that order."""
+    return outcomes.numbered_pregnancies(study_in.pulled(*CONFIG.outcome_sets), CONFIG)
+
+
 @query
 def range_join_outcomes(study_in: Inputs) -> DataFrame:
     cycle_rows, events = study_in.cycles_and_outcomes()
@@ -509,6 +685,20 @@ def weight_vectors(study_in: Inputs) -> DataFrame:
     return rounded(propensity.weight_vectors(rows, models), "weight_rows", "weight_cells", "max_difference")
 
 
+@query
+def propensity_continuous(study_in: Inputs) -> DataFrame:
+    """The model on two covariates of many values."""
+    table = study_in.continuous_rows()[1].table(study_in.spark)
+    return rounded(table.select("term", "estimate", "std_error"), "estimate", "std_error")
+
+
+@query
+def weight_summary_continuous(study_in: Inputs) -> DataFrame:
+    """Quartiles of weights that are nearly all distinct."""
+    summary = propensity.weight_summary(study_in.continuous_rows()[0])
+    return rounded(summary, *summary.columns)
+
+
 # ---- curves and balance
 
 
@@ -546,6 +736,26 @@ def balance_distribution(study_in: Inputs) -> DataFrame:
     return rounded(shares, "share_unadjusted", "share_adjusted")
 
 
+@query
+def km_continuous(study_in: Inputs) -> DataFrame:
+    """Curves over times that are not cut to days."""
+    return rounded(study_in.fine_curve(), "time", "surv", "se", "ci_lower", "ci_upper")
+
+
+@query
+def curve_diff_continuous(study_in: Inputs) -> DataFrame:
+    difference = survival.curve_difference(study_in.fine_curve(), config=CONFIG)
+    return rounded(difference, "time", "diff", "se", "ci_lower", "ci_upper", "p_value")
+
+
+@query
+def balance_continuous(study_in: Inputs) -> DataFrame:
+    """Differences, variance ratios and distances of distributions, with covariates of both kinds."""
+    rows = materialize(study_in.continuous_rows()[0], "weighted")
+    table = balance.balance_statistics(rows, (*CONFIG.covariates, *CONTINUOUS))
+    return rounded(table, *[name for name in table.columns if name not in ("covariate", "kind")])
+
+
 @query
 def balance_sizes(study_in: Inputs) -> DataFrame:
     sizes = balance.effective_sizes(study_in.weighted_cells(), freq="n")

@@ -25,9 +25,25 @@ COHORT_ATTRITION = _fields(
 COHORT_INCLUSION = _fields(
     ("cohort_definition_id", T.IntegerType(), False),
     ("inclusion_mask", T.LongType(), False),
+    ("inclusion_words", T.ArrayType(T.LongType()), False),
     ("person_count", T.LongType(), False),
 )
 
+COHORT_CENSORING = _fields(
+    ("cohort_definition_id", T.IntegerType(), False),
+    ("exit_reason", T.StringType(), False),
+    ("entry_count", T.LongType(), False),
+    ("person_count", T.LongType(), False),
+)
+
+# What the stored rows of a definition were made of
+COHORT_MANIFEST = _fields(
+    ("cohort_definition_id", T.IntegerType(), False),
+    ("checksum", T.StringType(), False),
+    ("row_count", T.LongType(), False),
+    ("row_hash", T.LongType(), False),
+)
+
 COHORT_RULE_GAIN = _fields(
     ("cohort_definition_id", T.IntegerType(), False),
     ("rule_sequence", T.IntegerType(), False),

@@ -70,6 +70,17 @@ def concept_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def concept_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parent_concept_id, child_concept_id: direct links only. A part's parent is its size, a size's parent is half of it."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    of_parts = part.select((F.col("size") + ANCESTOR_OFFSET).alias("parent_concept_id"), F.col("p_partkey").alias("child_concept_id"))
+    sizes = part.select("size").distinct().where("size > 1")
+    of_sizes = sizes.select(
+        (F.floor(F.col("size") / 2) + ANCESTOR_OFFSET).alias("parent_concept_id"), (F.col("size") + ANCESTOR_OFFSET).alias("child_concept_id")
+    )
+    return of_parts.unionByName(of_sizes)
+
+
 def concept_set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set definitions: each size with its descendants, less the lowest part of the set.
 

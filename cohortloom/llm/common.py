@@ -16,6 +16,7 @@ from ..session import tune
 WORD = r"[^\x20\x09-\x0D]+"
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 # One Arrow batch holds at most this much, so a worker's memory depends on its longest text only.
 ARROW_SETTINGS = {
@@ -58,3 +59,8 @@ def utf8(text: str = "text") -> Column:
 def tokenizer_file(path: str | None = None) -> str:
     """Content of a tokenizer file, by default the public one; the driver reads it and sends it to the tasks."""
     return Path(path or public_tokenizers.path(TOKENIZER)).read_text(encoding="utf-8")
+
+
+def model_file(path: str | None = None) -> bytes:
+    """Content of a sentencepiece model, by default the public one; the driver reads it and sends it to the tasks."""
+    return Path(path or public_tokenizers.path(PIECE_MODEL)).read_bytes()

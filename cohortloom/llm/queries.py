@@ -7,8 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, mixing, quality, secret_scan, simhash, substring_dedup, token_files, url_filter
-from .common import WORD, read, tokenizer_file
+from . import (
+    ann, bpe, hard_negatives, mixing, personal_data, quality, secret_scan, simhash, substring_dedup, token_alignment, token_files, url_filter,
+)
+from .common import WORD, model_file, read, tokenizer_file
 
 HOST_RULES = (
     url_filter.HostRule(url_filter.ALLOW, "com", "/"),
@@ -65,6 +67,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted)
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.private_report(read(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(read(spark, sf_dir, "documents"), tokenizer_file(), model_file())
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -165,10 +180,89 @@ FROM judged
 """
 
 
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_LUHN = f"""list_sum([CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST({_DIGITS}[i] AS INTEGER)
+  WHEN CAST({_DIGITS}[i] AS INTEGER) > 4 THEN 2 * CAST({_DIGITS}[i] AS INTEGER) - 9 ELSE 2 * CAST({_DIGITS}[i] AS INTEGER) END
+  FOR i IN range(1, length({_DIGITS}) + 1)]) % 10 = 0"""
+_ACCOUNT = """array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END
+  FOR c IN string_split(substr(replace(hit, ' ', ''), 5) || left(replace(hit, ' ', ''), 4), '')], '')"""
+# The checks of the rules, written for SQL
+OP12_CHECKS = {
+    "email": "true",
+    "ip": f"regexp_matches(hit, '^{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}$')",
+    "card": f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": f"""CAST(CAST(CAST(CAST(CAST(left({_ACCOUNT}, 30) AS HUGEINT) % 97 AS VARCHAR) || substr({_ACCOUNT}, 31, 30) AS HUGEINT) % 97 AS VARCHAR)
+      || substr({_ACCOUNT}, 61) AS HUGEINT) % 97 = 1""",
+    "ssn": "NOT regexp_matches(hit, '^(000|666|9)') AND NOT regexp_matches(hit, '-00-|-0000$')",
+    "local": f"regexp_matches({_DIGITS}, '^[2-9][0-9][0-9][2-9]')",
+    "birth": """(regexp_matches(hit, '^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$')
+      OR regexp_matches(hit, '^(0?[1-9]|[12][0-9]|3[01])[.](0?[1-9]|1[0-2])[.](19|20)[0-9][0-9]$')
+      OR regexp_matches(hit, '^(0?[1-9]|[12][0-9]|3[01])/(0?[1-9]|[12][0-9]|3[01])/(19|20)[0-9][0-9]$'))""",
+}
+
+
+def _plain_pattern(pattern: str) -> str:
+    """The same matches without look-behind and possessive marks, which only keep long texts fast."""
+    pattern = pattern.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "").replace("(?<![0-9])", "").replace("++", "+")
+    return pattern.replace(r"\+", "[+]").replace("'", "''")
+
+
+def _rule_sql(rank: int, rule: personal_data.Rule) -> str:
+    pattern, alone = _plain_pattern(rule.pattern), rule.alone
+    beside = f" AND NOT regexp_matches(right(before, 1), '{alone}') AND NOT regexp_matches(left(after, 1), '{alone}')" if alone else ""
+    words = f" AND {rule.score} + CASE WHEN regexp_matches(lower(right(before, 40) || ' ' || left(after, 40)), '{rule.beside}') THEN {rule.gain} ELSE 0 END >= {personal_data.LEAST_SCORE}"
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, finish - length(hit) AS start, finish
+  FROM (SELECT doc_id, hits[i] AS hit, parts[i] AS before, parts[i + 1] AS after,
+          list_sum([length(x) FOR x IN parts[1:i]]) + list_sum([length(x) FOR x IN hits[1:i]]) AS finish
+        FROM (SELECT doc_id, hits, parts, unnest(range(1, len(hits) + 1)) AS i
+              FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS parts FROM texts)))
+  WHERE {OP12_CHECKS[rule.kind]}{beside}{'' if rule.base else words}"""
+
+
+OP12_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_rule_sql(rank, rule) for rank, rule in enumerate(personal_data.RULES))}),
+listed AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in personal_data.BASE_KINDS)},
+    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
+    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in personal_data.BASE_KINDS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN listed l ON l.doc_id = t.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op2_suffix_dedup, op3_mixing, op4_url_filter, op5_word_windows, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality)
+    found = (
+        op1_token_files, op2_suffix_dedup, op3_mixing, op4_url_filter, op5_word_windows, op6_secret_scan, op7_ann, op8_simhash, op9_bpe, op10_quality,
+        op11_hard_negatives, op12_personal_data, op13_token_alignment,
+    )
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op5_word_windows": OP5_SQL, "op10_quality": OP10_SQL}
+    return {"op4_url_filter": OP4_SQL, "op5_word_windows": OP5_SQL, "op10_quality": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_personal_data": OP12_SQL}

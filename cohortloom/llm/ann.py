@@ -5,9 +5,14 @@ Largest inner product becomes least Euclidean distance by one more coordinate,
 and again at the median between two means, so all lists are of one size; the
 means of the parts are the centroids. They form a small neighbour graph that is
 sent to the tasks (``MAX_LISTS`` bounds it). Every vector is indexed in the list
-of its nearest centroid and, near a border, in further ones. A query reads the
-lists whose centroids are not much farther than its nearest, and scores are
-exact inner products of the original vectors.
+of its nearest centroid and, near a border, in further ones. A query reads all
+lists whose centroids are at most a ratio farther than its nearest, however many
+these are, and scores are exact inner products of the original vectors.
+
+Both ratios are read off the sample: the border's from the copies that are to be
+kept on average, the queries' from where the neighbours of some of the sample's
+vectors, found by brute force in it, are listed. Neighbours in all rows are closer
+than those in a sample, so the ratio errs to reading more.
 
 Equal vectors are one entry of the index, with the least ``k + 1`` of their
 ids: no more can be among ``k`` neighbours. Lists and their queries are dealt in
@@ -29,24 +34,25 @@ SAMPLE_ROWS = 1 << 16  # the index is fitted on at most about so many vectors,
 SAMPLE_VALUES = 1 << 22  # and so many components
 MAX_LISTS = 1 << 14  # centroids that are sent to the tasks, within SAMPLE_VALUES components as well
 BLOCK_ROWS = 4096
+LIVE_DISTANCES = 1 << 22  # distances a task holds at a time: 16 MB
 
 
 @dataclass(frozen=True)
 class Settings:
-    """list_rows: vectors to a list before borders are replicated. border, ratio: how much
-    farther than the nearest centroid a list may be to hold a copy, or to be searched."""
+    """list_rows: vectors to a list before borders are replicated. copies: lists that hold a vector, on average.
+    sought: share of the sample queries' neighbours that must lie in the lists read."""
 
     list_rows: int = 256
-    border: float = 0.12
-    max_copies: int = 6
-    ratio: float = 0.35
-    min_lists: int = 12
-    max_lists: int = 48
+    copies: float = 3.0
+    sought: float = 0.95
     degree: int = 16
     beam: int = 64
     seed: int = 11
 
 
+SAMPLE_QUERIES = 400
+
+
 class CentroidGraph:
     """Centroids with their nearest neighbours as edges, searched best first for many points at once."""
 
@@ -67,50 +73,77 @@ class CentroidGraph:
         # entries: spread over the order of the halving, in which neighbours are parts of one half
         self.entries = np.unique(np.linspace(0, count - 1, self.beam).astype(np.int64))
 
-    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances), nearest first, ``beam`` of them for each point."""
+    def distances(self, points: np.ndarray, ratio: float) -> np.ndarray:
+        """Distances of points to the centroids that the search met, infinite for the others.
+
+        Best first: a point opens its nearest unopened centroid until the ``beam`` nearest met ones
+        and all within ``1 + ratio`` times the nearest are open.
+        """
         points = points.astype(np.float32)
-        rows = np.arange(len(points))
         own = (points**2).sum(axis=1)
-
-        def distances(which: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            dots = np.einsum("ijk,ik->ij", self.centroids[ids], points[which])
-            return np.maximum(self.square[ids] - 2 * dots + own[which][:, None], 0)
-
-        size = len(self.entries)
-        beam_ids = np.tile(self.entries, (len(points), 1))
-        beam_far = np.maximum(self.square[self.entries] - 2 * points @ self.centroids[self.entries].T + own[:, None], 0)
-        opened = np.zeros((len(points), len(self.centroids)), dtype=bool)
-        seen = np.zeros_like(opened)
-        seen[:, self.entries] = True
-        live = rows
+        far = np.full((len(points), len(self.centroids)), np.inf, dtype=np.float32)
+        far[:, self.entries] = np.maximum(self.square[self.entries] - 2 * points @ self.centroids[self.entries].T + own[:, None], 0)
+        waiting = far.copy()  # infinite once open
+        live, size = np.arange(len(points)), len(self.entries)
         while len(live):
-            waiting = np.where(opened[live[:, None], beam_ids[live]], np.inf, beam_far[live])
-            best = waiting.argmin(axis=1)
-            going = np.isfinite(waiting[np.arange(len(live)), best])
+            best = waiting[live].argmin(axis=1)
+            value = waiting[live, best]
+            limit = np.maximum(far[live].min(axis=1) * (1 + ratio) ** 2, np.partition(far[live], size - 1, axis=1)[:, size - 1])
+            going = np.isfinite(value) & (value <= limit)
             live, best = live[going], best[going]
             if not len(live):
                 break
-            node = beam_ids[live, best]
-            opened[live, node] = True
-            around = self.edges[node]
-            far = np.where(seen[live[:, None], around], np.inf, distances(live, around))
-            seen[live[:, None], around] = True
-            ids = np.concatenate([beam_ids[live], around], axis=1)
-            far = np.concatenate([beam_far[live], far], axis=1)
-            keep = np.argpartition(far, size - 1, axis=1)[:, :size]
-            beam_ids[live] = np.take_along_axis(ids, keep, axis=1)
-            beam_far[live] = np.take_along_axis(far, keep, axis=1)
-        order = np.argsort(beam_far, axis=1, kind="stable")
-        return np.take_along_axis(beam_ids, order, axis=1), np.sqrt(np.take_along_axis(beam_far, order, axis=1))
-
-    def lists(self, points: np.ndarray, ratio: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the lists no farther than ``1 + ratio`` times the nearest, within the two counts."""
-        ids, far = self.nearest(points)
-        place = np.arange(ids.shape[1])
-        wanted = ((far <= (1 + ratio) * far[:, :1] + 1e-6) | (place < least)) & (place < most)
-        row, at = np.nonzero(wanted)
-        return row, ids[row, at]
+            waiting[live, best] = np.inf
+            around = self.edges[best]
+            fresh = np.isinf(far[live[:, None], around])
+            dots = np.einsum("ijk,ik->ij", self.centroids[around], points[live])
+            found = np.maximum(self.square[around] - 2 * dots + own[live][:, None], 0)
+            row, at = np.nonzero(fresh)
+            far[live[row], around[row, at]] = waiting[live[row], around[row, at]] = found[row, at]
+        return np.sqrt(far)
+
+    def lists(self, points: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: all lists met that are at most ``1 + ratio`` times as far as the nearest."""
+        found: list[list[np.ndarray]] = [[], []]
+        step = max(1, LIVE_DISTANCES // len(self.centroids))
+        for start in range(0, len(points), step):
+            far = self.distances(points[start : start + step], ratio)
+            row, at = np.nonzero(far <= (1 + ratio) * far.min(axis=1, keepdims=True) + 1e-6)
+            found[0].append(row + start)
+            found[1].append(at)
+        return tuple(np.concatenate(part) if part else np.zeros(0, dtype=np.int64) for part in found)
+
+    def every_distance(self, points: np.ndarray) -> np.ndarray:
+        points = points.astype(np.float32)
+        return np.sqrt(np.maximum(self.square - 2 * points @ self.centroids.T + (points**2).sum(axis=1)[:, None], 0))
+
+
+def border_ratio(graph: CentroidGraph, points: np.ndarray, copies: float) -> float:
+    """How much farther than its nearest a list may be to hold a vector, for ``copies`` lists on average."""
+    far = graph.every_distance(points)
+    farther = np.sort((far / np.maximum(far.min(axis=1, keepdims=True), 1e-9)).ravel())
+    return float(farther[min(len(farther), max(1, int(copies * len(points)))) - 1] - 1)
+
+
+def search_ratio(graph: CentroidGraph, sample: np.ndarray, largest: float, border: float, k: int, sought: float, seed: int) -> float:
+    """How much farther a list may be to be read, so that the lists hold ``sought`` of the sample queries' ``k`` neighbours."""
+    rng = np.random.default_rng(seed)
+    usable = np.flatnonzero((sample**2).sum(axis=1) > 0)
+    chosen = rng.choice(usable, min(SAMPLE_QUERIES, len(usable)), replace=False)
+    score = sample[chosen] @ sample.T
+    score[np.arange(len(chosen)), chosen] = -np.inf
+    take = min(k, len(sample) - 1)
+    if take < 1:
+        return 0.0
+    near = np.argpartition(-score, take - 1, axis=1)[:, :take]
+    asked = graph.every_distance(_lengthened(sample[chosen], largest))
+    farther = asked / np.maximum(asked.min(axis=1, keepdims=True), 1e-9)
+    needed = []
+    for row in range(len(chosen)):
+        held = graph.every_distance(_augmented(sample[near[row]], largest))
+        listed = held <= (1 + border) * held.min(axis=1, keepdims=True) + 1e-6
+        needed.append(np.where(listed, farther[row], np.inf).min(axis=1))
+    return float(np.quantile(np.concatenate(needed), sought) - 1)
 
 
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int) -> np.ndarray:
@@ -196,6 +229,8 @@ def nearest_neighbours(
     sample = _matrix(taken) if len(taken) else np.array([entries.select("vec").first()["vec"]])
     lists = max(1, min(MAX_LISTS, most, count // settings.list_rows, len(sample)))
     graph = CentroidGraph(balanced_centroids(_augmented(sample, largest), lists, settings.seed), settings.degree, settings.beam)
+    border = border_ratio(graph, _augmented(sample[: 4 * SAMPLE_QUERIES], largest), settings.copies)
+    ratio = search_ratio(graph, sample, largest, border, k, settings.sought, settings.seed)
     shared = vectors.sparkSession.sparkContext.broadcast(graph)
 
     def place(is_query: bool):
@@ -203,9 +238,9 @@ def nearest_neighbours(
             for batch in batches:
                 points = _matrix(batch["vec"])
                 if is_query:
-                    row, at = shared.value.lists(_lengthened(points, largest), settings.ratio, settings.min_lists, settings.max_lists)
+                    row, at = shared.value.lists(_lengthened(points, largest), ratio)
                 else:
-                    row, at = shared.value.lists(_augmented(points, largest), settings.border, 1, settings.max_copies)
+                    row, at = shared.value.lists(_augmented(points, largest), border)
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int64())], [*batch.schema.names, "list"])
         return run

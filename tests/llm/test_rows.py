@@ -330,22 +330,59 @@ def test_one_vector_many_times(corpus_spark):
     assert found[0] == list(range(1, 21)) and found[20] == list(range(20)) and found[280] == list(range(20))
 
 
-@pytest.mark.parametrize("list_rows", [256, 24])
-def test_recall(corpus_spark, list_rows):
-    table = read(corpus_spark, "/root/testdata/sf0.01", "embeddings")
-    found = {}
-    settings = ann.Settings(list_rows=list_rows)
-    for row in ann.nearest_neighbours(table, F.col("vec_id") % 20 == 0, settings=settings).collect():
-        found.setdefault(row.query_id, set()).add(row.vec_id)
+def recall_of(found, table):
     rows = table.collect()
     ids, matrix = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     hits = []
     for at in np.flatnonzero(ids % 20 == 0):
-        order = np.lexsort((ids, -(matrix @ matrix[at])))
+        order = np.argsort(-(matrix @ matrix[at]), kind="stable")[:21]
         best = [i for i in ids[order] if i != ids[at]][:20]
         assert len(found[ids[at]]) == 20
         hits.append(len(found[ids[at]] & set(best)) / 20)
-    assert np.mean(hits) >= 0.9
+    return np.mean(hits)
+
+
+def neighbours_found(table, **settings):
+    found = {}
+    for row in ann.nearest_neighbours(table, F.col("vec_id") % 20 == 0, settings=ann.Settings(**settings)).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    return found
+
+
+@pytest.mark.parametrize("list_rows", [256, 24])
+def test_recall(corpus_spark, list_rows):
+    table = read(corpus_spark, "/root/testdata/sf0.01", "embeddings")
+    assert recall_of(neighbours_found(table, list_rows=list_rows), table) >= 0.9
+
+
+def test_recall_with_hundreds_of_lists(corpus_spark):
+    """12,000 vectors around twenty centres, in 300 lists; only a part of them is read."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 24))
+    vectors = centres[rng.integers(0, 20, 12_000)] + 0.5 * rng.normal(size=(12_000, 24))
+    rows = [(n, v.tolist()) for n, v in enumerate(vectors.astype(np.float32))]
+    table = corpus_spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert recall_of(neighbours_found(table, list_rows=40), table) >= 0.9
+    largest = float(np.sqrt((vectors**2).sum(axis=1).max()))
+    points = ann._augmented(vectors, largest)
+    graph = ann.CentroidGraph(ann.balanced_centroids(points, 300, 1), 16, 64)
+    border = ann.border_ratio(graph, points[:1600], 3.0)
+    ratio = ann.search_ratio(graph, vectors, largest, border, 20, 0.95, 1)
+    row, _ = graph.lists(points[:200], border)
+    assert 2.0 <= len(row) / 200 <= 4.0 and ratio > 0
+
+
+def test_graph_meets_the_lists_within_the_ratio():
+    """All but a few of those that a look at every centroid finds, however many they are."""
+    rng = np.random.default_rng(3)
+    centroids = rng.normal(size=(1500, 16))
+    graph, points = ann.CentroidGraph(centroids, 16, 64), rng.normal(size=(50, 16))
+    for ratio in (0.0, 0.1, 0.4):
+        row, at = graph.lists(points, ratio)
+        far = graph.every_distance(points)
+        wanted = set(zip(*np.nonzero(far <= (1 + ratio) * far.min(axis=1, keepdims=True) + 1e-6)))
+        assert len(wanted & set(zip(row.tolist(), at.tolist()))) >= 0.95 * len(wanted)
+    assert len(wanted) > 40 * 50
 
 
 # ---- pipeline

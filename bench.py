@@ -41,7 +41,11 @@ HEADLINE = (
 )
 
 
+TRAFFIC = "traffic of "
+
+
 def session(folder: str) -> SparkSession:
+    Path(folder, "log").mkdir()
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("cohortloom-bench")
@@ -50,7 +54,10 @@ def session(folder: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.retainedStages", "100000")
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.rolling.enabled", "false")
+        .config("spark.eventLog.compress", "false")
+        .config("spark.eventLog.dir", Path(folder, "log").as_uri())
         .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
@@ -68,28 +75,35 @@ def seconds(build) -> float:
     return round(statistics.median(times[1:]), 3)
 
 
-def traffic(spark: SparkSession) -> tuple[int, int]:
-    """Rows read from files and bytes shuffled by all stages so far, from Spark's own status store."""
-    jvm = spark.sparkContext._jvm
-    empty = jvm.java.util.ArrayList()
-    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
-    stages = spark.sparkContext._jsc.sc().statusStore().stageList(empty, False, False, quantiles, empty)
-    kept = [stages.apply(n) for n in range(stages.size())]
-    return sum(stage.inputRecords() for stage in kept), sum(stage.shuffleWriteBytes() for stage in kept)
-
-
-def headline(spark: SparkSession) -> tuple[dict[str, float], dict[str, dict[str, int]]]:
-    """Seconds by query, and what one run reads and shuffles; in mixed order, so that none always runs last."""
-    queries, times, moved = registry.queries(), {}, {}
+def traffic(folder: str) -> dict[str, dict[str, int]]:
+    """Rows read from files and bytes shuffled by each described run, from Spark's event log."""
+    described: dict[int, str] = {}
+    moved: dict[str, dict[str, int]] = {}
+    for path in Path(folder).iterdir():
+        for line in path.read_text().splitlines():
+            event = json.loads(line)
+            if event["Event"] == "SparkListenerJobStart":
+                name = (event.get("Properties") or {}).get("spark.job.description", "")
+                described.update({stage: name for stage in event["Stage IDs"]})
+            elif event["Event"] == "SparkListenerTaskEnd" and described.get(event["Stage ID"], "").startswith(TRAFFIC):
+                sums = moved.setdefault(described[event["Stage ID"]].removeprefix(TRAFFIC), {"rows_read": 0, "shuffle_bytes": 0})
+                metrics = event.get("Task Metrics") or {}
+                sums["rows_read"] += metrics.get("Input Metrics", {}).get("Records Read", 0)
+                sums["shuffle_bytes"] += metrics.get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
+    return moved
+
+
+def headline(spark: SparkSession) -> dict[str, float]:
+    """Seconds by query, in mixed order, so that none always runs last; one more run of each is described for ``traffic``."""
+    queries, times = registry.queries(), {}
     order = list(HEADLINE)
     random.Random(2).shuffle(order)
     for name in order:
         times[name] = seconds(lambda: queries[name](spark, SF_DIR))
-        before = traffic(spark)
+        spark.sparkContext.setJobDescription(TRAFFIC + name)
         queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-        rows, shuffled = (after - b for after, b in zip(traffic(spark), before))
-        moved[name] = {"rows_read": rows, "shuffle_bytes": shuffled}
-    return {name: times[name] for name in HEADLINE}, moved
+        spark.sparkContext.setJobDescription(None)
+    return {name: times[name] for name in HEADLINE}
 
 
 def comparisons(spark: SparkSession) -> dict[str, float]:
@@ -153,8 +167,9 @@ def main() -> None:
     compare = sys.argv[1:] == ["compare"]
     with tempfile.TemporaryDirectory(prefix="cohortloom-bench-") as folder:
         spark = session(folder)
-        timed, moved = (comparisons(spark), None) if compare else headline(spark)
+        timed = comparisons(spark) if compare else headline(spark)
         spark.stop()
+        moved = None if compare else traffic(str(Path(folder, "log")))
     line = {
         "metric": "compare" if compare else "headline_total",
         "value": round(sum(timed.values()), 3),

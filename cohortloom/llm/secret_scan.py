@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
+
 # ---- Fixed values: patterns and least lengths of the base spans, in their order
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -55,7 +57,8 @@ DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?\d{1,2}[-/.]?\d{1,2}|\d{1,2}[-/.]\d{1,
 LONGEST_SEGMENT = 40  # of repeats and walks that start anywhere; whole ones have any length
 CLASSES = ((10, "d"), (26, "l"), (26, "u"), (52, "lu"), (36, "dl"), (36, "du"), (62, "dlu"))
 CLASS_BITS = 2.0  # to name a class
-WORD = re.compile(r"[^\W\d_]{3,24}")
+WORD = re.compile(r"[^\W\d_]{3,}")
+LONGEST_WORD = 24
 TOP_WORDS = 1 << 16  # ranked words sent to the tasks: at most 24 characters each, so a few MB
 LEAST_COUNT = 3
 _HELD_WORDS = 1 << 18
@@ -180,10 +183,28 @@ def guess_bits(value: str, words: Words = FIXED_WORDS) -> float:
     return best[-1]
 
 
+def _least_count(ranked: DataFrame, top: int) -> int:
+    """The count above which lie at most ``top`` words (word, n), and as many as whole counts allow."""
+    left, looked, least = top, F.lit(True), 0
+    for key in (F.floor(F.log2("n") * 64), F.col("n")):
+        sums = ranked.where(looked).groupBy(key.alias("key")).agg(F.count("*").alias("words"), F.max("n").alias("most"))
+        for row in sorted(sums.collect(), key=lambda row: -row["key"]):
+            if row["words"] > left:
+                least, looked = row["most"], key == row["key"]
+                break
+            left -= row["words"]
+        else:
+            return 0
+    return least
+
+
 def common_words(docs: DataFrame, top: int = TOP_WORDS) -> tuple[str, ...]:
     """The words of all documents by falling count, at most ``top`` of them; values after credential words do not count.
 
-    Each task sums the words it holds; at most ``top`` rows reach the driver.
+    Each task sums the words it holds. Words are counted by size class of their count first, then
+    by count in the class where ``top`` is reached; words of one count are taken all or not at
+    all. Only words above that count reach the driver, and some thousand sums before them.
+    Longer words than ``LONGEST_WORD`` are none.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +222,15 @@ def common_words(docs: DataFrame, top: int = TOP_WORDS) -> tuple[str, ...]:
                 folded = text.lower()
                 if any(hint in folded for hint in CONTEXT_HINTS):
                     folded = CONTEXT.sub(" ", text).lower()
-                held.update(WORD.findall(folded))
+                held.update(word for word in WORD.findall(folded) if len(word) <= LONGEST_WORD)
             if len(held) > _HELD_WORDS:
                 yield rows()
         yield rows()
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    ranked = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return tuple(row["word"] for row in ranked.orderBy(F.desc("n"), "word").limit(top).collect())
+    ranked = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT), "words")
+    kept = ranked.where(F.col("n") > _least_count(ranked, top)).collect()
+    return tuple(row["word"] for row in sorted(kept, key=lambda row: (-row["n"], row["word"])))
 
 
 def find_secrets(text: str, settings: Settings = Settings(), words: Words = FIXED_WORDS) -> list[tuple[int, int, str]]:

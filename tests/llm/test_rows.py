@@ -166,6 +166,17 @@ def test_planted_values(corpus_spark):
     assert found == [row[:2] for row in rows]
 
 
+@pytest.mark.parametrize("top", [0, 1, 3, 10, 11, 40, 1000])
+def test_top_words_are_whole_counts(corpus_spark, top):
+    """At most ``top`` words, the most frequent ones; words of one count all or none."""
+    times = {f"word{'abcdefghijklmnopqrstuvwxyz'[n % 26]}{'abcdefgh'[n // 26]}": (n * n) % 37 + 1 for n in range(120)}
+    text = " ".join(word for word, n in times.items() for _ in range(n)) + " " + "x" * 25 + " " + "y" * 25
+    found = secret_scan.common_words(frame(corpus_spark, [(1, text, "en", "s", 1)]), top)
+    listed = sorted((w for w, n in times.items() if n >= secret_scan.LEAST_COUNT), key=lambda w: (-times[w], w))
+    fits = [n for n in set(times.values()) if sum(times[w] >= n for w in listed) <= top]
+    assert list(found) == [w for w in listed if fits and times[w] >= min(fits)]
+
+
 def test_redaction(corpus_spark):
     rows = [(1, "a password=abcdefgh12 b", "en", "s", 23), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
     found = rows_of(secret_scan.redact_secrets(frame(corpus_spark, rows)))

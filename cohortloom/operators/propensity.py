@@ -151,11 +151,10 @@ def _newton(grouped: DataFrame, covariates: tuple[str, ...]) -> PropensityModel:
     size = len(covariates) + 1
     x, n, y = F.col("x"), F.col("n"), F.col("y")
     root = F.sqrt("n")
-    matrix = _gram(F.concat(F.transform(x, lambda v: v * root), F.array(y / root)), grouped, size + 1)
-    persons, treated = matrix[0, 0], matrix[0, size]
+    persons, treated = (total or 0.0 for total in grouped.agg(F.sum("n"), F.sum("y")).first())
     if not 0 < treated < persons:
         raise ValueError("the model needs persons in both arms")
-    kept = _independent(matrix[:size, :size])
+    kept = _independent(_gram(F.transform(x, lambda v: v * root), grouped, size))
     share = treated / persons
     null_deviance = -2 * (treated * np.log(share) + (persons - treated) * np.log1p(-share))
     beta = np.zeros(len(kept))

@@ -102,15 +102,22 @@ class CentroidGraph:
             far[live[row], around[row, at]] = waiting[live[row], around[row, at]] = found[row, at]
         return np.sqrt(far)
 
-    def lists(self, points: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: all lists met that are at most ``1 + ratio`` times as far as the nearest."""
-        found: list[list[np.ndarray]] = [[], []]
+    def lists(self, points: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, whether it is among the nearest): all lists met that are at most ``1 + ratio`` times as far as the nearest.
+
+        Of n lists of a point the nearest are the square root of n.
+        """
+        found: list[list[np.ndarray]] = [[], [], []]
         step = max(1, LIVE_DISTANCES // len(self.centroids))
         for start in range(0, len(points), step):
             far = self.distances(points[start : start + step], ratio)
             row, at = np.nonzero(far <= (1 + ratio) * far.min(axis=1, keepdims=True) + 1e-6)
-            found[0].append(row + start)
-            found[1].append(at)
+            order = np.lexsort((far[row, at], row))
+            row, at = row[order], at[order]
+            count = np.bincount(row, minlength=far.shape[0])
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            for part, values in zip(found, (row + start, at, place < np.ceil(np.sqrt(count))[row])):
+                part.append(values)
         return tuple(np.concatenate(part) if part else np.zeros(0, dtype=np.int64) for part in found)
 
     def every_distance(self, points: np.ndarray) -> np.ndarray:
@@ -130,12 +137,14 @@ def search_ratio(graph: CentroidGraph, sample: np.ndarray, largest: float, borde
     rng = np.random.default_rng(seed)
     usable = np.flatnonzero((sample**2).sum(axis=1) > 0)
     chosen = rng.choice(usable, min(SAMPLE_QUERIES, len(usable)), replace=False)
-    score = sample[chosen] @ sample.T
-    score[np.arange(len(chosen)), chosen] = -np.inf
     take = min(k, len(sample) - 1)
     if take < 1:
         return 0.0
-    near = np.argpartition(-score, take - 1, axis=1)[:, :take]
+    near = []
+    for at in chosen:  # one at a time: the driver holds one row of scores
+        score = sample @ sample[at]
+        score[at] = -np.inf
+        near.append(np.argpartition(-score, take - 1)[:take])
     asked = graph.every_distance(_lengthened(sample[chosen], largest))
     farther = asked / np.maximum(asked.min(axis=1, keepdims=True), 1e-9)
     needed = []
@@ -238,14 +247,14 @@ def nearest_neighbours(
             for batch in batches:
                 points = _matrix(batch["vec"])
                 if is_query:
-                    row, at = shared.value.lists(_lengthened(points, largest), ratio)
+                    row, at, near = shared.value.lists(_lengthened(points, largest), ratio)
                 else:
-                    row, at = shared.value.lists(_augmented(points, largest), border)
+                    row, at, near = shared.value.lists(_augmented(points, largest), border)
                 taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int64())], [*batch.schema.names, "list"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int64()), pa.array(near.astype(bool))], [*batch.schema.names, "list", "near"])
         return run
 
-    held = "h long, first long, vec array<double>, list long"
+    held = "h long, first long, vec array<double>, list long, near boolean"
     postings = materialize(entries.select("h", "first", "vec").mapInArrow(place(False), held), "postings")
     probes = materialize(queries.select("h", "first", "vec").distinct().mapInArrow(place(True), held), "probes")
 
@@ -259,7 +268,9 @@ def nearest_neighbours(
     q_own = F.pmod(F.xxhash64("first", "h"), F.col("q_blocks")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = postings.join(blocks, "list").select("list", p_own.alias("p"), every("q_blocks").alias("q"), "h", "first", "vec")
-    right = probes.join(blocks, "list").select("list", every("p_blocks").alias("p"), q_own.alias("q"), "h", "first", "vec")
+
+    def asking(found: DataFrame, bound: Column) -> DataFrame:
+        return found.join(blocks, "list").select("list", every("p_blocks").alias("p"), q_own.alias("q"), "h", "first", "vec", bound.alias("bound"))
 
     def score(listed: pa.Table, probing: pa.Table) -> pa.Table:
         names = ("qh", "qfirst", "h", "first", "score")
@@ -267,14 +278,14 @@ def nearest_neighbours(
         if not listed.num_rows or not probing.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
         points, asks = (_matrix(t["vec"].combine_chunks()) for t in (listed, probing))
-        first = listed["first"].to_numpy()
+        first, known = listed["first"].to_numpy(), probing["bound"].to_numpy()
         take = min(k + 1, len(points))
         found: list[list[np.ndarray]] = [[], []]
         scores = []
         for start in range(0, len(asks), 512):
             part = asks[start : start + 512] @ points.T
             # all that tie with the last one stay, so that ties can go to the smaller id
-            bound = np.partition(part, len(points) - take, axis=1)[:, len(points) - take]
+            bound = np.maximum(np.partition(part, len(points) - take, axis=1)[:, len(points) - take], known[start : start + 512])
             row, at = np.nonzero(part >= bound[:, None])
             value = part[row, at]
             order = np.lexsort((first[at], -value, row))
@@ -288,11 +299,21 @@ def nearest_neighbours(
         columns = [probing["h"].to_numpy()[row], probing["first"].to_numpy()[row], listed["h"].to_numpy()[at], first[at]]
         return pa.table([*map(pa.array, columns), pa.array(np.concatenate(scores))], names)
 
-    met = left.groupBy("list", "p", "q").cogroup(right.groupBy("list", "p", "q")).applyInArrow(
-        score, "qh long, qfirst long, h long, first long, score double"
-    )
-    # copies of an entry in several lists have the same score up to rounding; one of them counts
-    nearest = met.groupBy("qh", "qfirst", "h", "first").agg(F.max("score").alias("score"))
+    def met(asked: DataFrame) -> DataFrame:
+        """The best of every list for its queries. Copies of an entry in several lists have the same score up to rounding; one of them counts."""
+        found = left.groupBy("list", "p", "q").cogroup(asked.groupBy("list", "p", "q")).applyInArrow(
+            score, "qh long, qfirst long, h long, first long, score double"
+        )
+        return found.groupBy("qh", "qfirst", "h", "first").agg(F.max("score").alias("score"))
+
+    # the nearest lists first: of the others only what reaches the last of the best found there is worth a row
+    early = materialize(met(asking(probes.where("near"), F.lit(float("-inf")))), "early")
+    by_score = W.partitionBy("qh", "qfirst").orderBy(F.desc("score"))
+    last = early.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k + 1)
+    bounds = last.select("qh", "qfirst", (F.col("score") - F.abs("score") * 1e-9).alias("least"))
+    further = probes.where("NOT near").join(bounds, (F.col("h") == F.col("qh")) & (F.col("first") == F.col("qfirst")), "left")
+    late = met(asking(further, F.coalesce("least", F.lit(float("-inf")))))
+    nearest = early.unionByName(late).groupBy("qh", "qfirst", "h", "first").agg(F.max("score").alias("score"))
     by_entry = W.partitionBy("qh", "qfirst").orderBy(F.desc("score"), "first", "h")
     nearest = nearest.withColumn("at", F.row_number().over(by_entry)).where(F.col("at") <= k + 1)
     named = nearest.join(entries.select("h", "first", "ids"), ["h", "first"]).select(

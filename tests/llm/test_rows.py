@@ -379,7 +379,7 @@ def test_recall_with_hundreds_of_lists(corpus_spark):
     graph = ann.CentroidGraph(ann.balanced_centroids(points, 300, 1), 16, 64)
     border = ann.border_ratio(graph, points[:1600], 3.0)
     ratio = ann.search_ratio(graph, vectors, largest, border, 20, 0.95, 1)
-    row, _ = graph.lists(points[:200], border)
+    row, *_ = graph.lists(points[:200], border)
     assert 2.0 <= len(row) / 200 <= 4.0 and ratio > 0
 
 
@@ -389,7 +389,8 @@ def test_graph_meets_the_lists_within_the_ratio():
     centroids = rng.normal(size=(1500, 16))
     graph, points = ann.CentroidGraph(centroids, 16, 64), rng.normal(size=(50, 16))
     for ratio in (0.0, 0.1, 0.4):
-        row, at = graph.lists(points, ratio)
+        row, at, near = graph.lists(points, ratio)
+        assert near.sum() >= len(points)
         far = graph.every_distance(points)
         wanted = set(zip(*np.nonzero(far <= (1 + ratio) * far.min(axis=1, keepdims=True) + 1e-6)))
         assert len(wanted & set(zip(row.tolist(), at.tolist()))) >= 0.95 * len(wanted)

@@ -250,7 +250,7 @@ class ChunkEncoder:
         yield from self._together(group)
 
     def _together(self, texts: list[str]) -> Iterator[list[bytes]]:
-        plain = [_is_plain(text) and not (self.cut and self.cut.search(text)) for text in texts]
+        plain = [is_plain(text) and not (self.cut and self.cut.search(text)) for text in texts]
         keys = [text.replace("\n", " \n").split(" ") for text, simple in zip(texts, plain) if simple]
         heads = iter(self.chunks.fill([[key.pop(0)] for key in keys]))
         tails = iter(self.spaced.fill(keys))
@@ -269,7 +269,7 @@ class ChunkEncoder:
 _OTHER_SPACES = [c for c in regex.findall(rf"[{SPACES}]", "".join(map(chr, range(0x3001)))) if c not in " \n"]
 
 
-def _is_plain(text: str) -> bool:
+def is_plain(text: str) -> bool:
     """Words with one space or one line end between them, and nothing else that is white space."""
     if not text or text[0] in " \n" or text[-1] in " \n":
         return False

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .bpe import ChunkEncoder, Memory, byte_characters
+from .bpe import ChunkEncoder, Memory, byte_characters, is_plain
 
-CHUNK_BYTES = 3 << 20
-ROOM = 400_000  # words a worker remembers for each tokenizer
+CHUNK_BYTES = 1 << 20
+ROOM = 200_000  # words a worker remembers for each tokenizer
 LINES = 500
 SPACE = "▁"
 
@@ -78,7 +78,11 @@ def byte_level_side(content: str) -> Side:
     encoder = ChunkEncoder(chunks, {}, ROOM)
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(parts), dtype="<u4") for parts in encoder.encode([" " + text for text in texts])]
+        """Texts of single spaces and line ends between words are all words after a space or line end; these are looked up together."""
+        plain = [is_plain(text) for text in texts]
+        words = iter(encoder.spaced.fill([text.replace("\n", " \n").split(" ") for text, simple in zip(texts, plain) if simple]))
+        whole = encoder.encode([" " + text for text, simple in zip(texts, plain) if not simple])
+        return [np.frombuffer(b"".join(next(words) if simple else next(whole)), dtype="<u4") for simple in plain]
 
     return _side(encode, token_bytes)
 

@@ -190,9 +190,13 @@ def mix_sources(docs: DataFrame, seed: int = 7, cap: float = CAP, leaf_rows: int
 
 
 def take_mix(docs: DataFrame, seed: int = 7, cap: float = CAP, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
+
+    Null and empty texts have no words and are not taken; null ids and sources, repeated rows and texts of
+    any length are treated as by ``mix_sources``; an empty table stays empty. A row's columns
+    travel as one struct, so their names cannot clash.
+    """
     _, copies = _planned(docs, seed, cap, leaf_rows)
-    plan = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("copies").alias("_copies"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_tie() == F.col("_tie"))
-    taken = docs.join(plan, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _tie().alias("tie"))
+    taken = rows.join(copies.where("copies > 0"), _same_document(rows, copies))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

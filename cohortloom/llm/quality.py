@@ -187,5 +187,13 @@ def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its own columns."""
-    return judged(docs, rules).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with its own columns.
+
+    Null and empty texts fail the base rules and go; a null language is one of its own;
+    repeated rows are judged alike; texts of any length are judged whole; an empty table stays
+    empty. Columns other than text and lang travel as one struct, so their names cannot clash.
+    """
+    own = ("text", "lang")
+    held = docs.select(F.struct(*[name for name in docs.columns if name not in own]).alias("others"), *own)
+    kept = judged(held, rules).where("kept")
+    return kept.select(*[F.col(name) if name in own else F.col("others")[name].alias(name) for name in docs.columns])

@@ -421,6 +421,22 @@ def test_pipeline_stages(corpus_spark):
     assert coded.count() == mixed.count() > 0
 
 
+CLASHING = (
+    "kept", "base_failed", "others", "row", "copies", "_copies", "_id", "_tie", "_copy", "_quality_features", "_lang", "_kept_id", "_repeat", "tie", "id", "nth", "content",
+    "whole", "word", "n", "fp", "root", "source_size", "target",
+)
+
+
+def test_stages_keep_columns_of_any_name(corpus_spark):
+    """Columns named like those the stages use inside come back as they were."""
+    docs = read(corpus_spark, SF_DIR, "documents").withColumns({name: F.concat(F.lit("mine "), F.col("doc_id")) for name in CLASHING})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(corpus_spark, docs, SF_DIR)
+        assert found.columns == docs.columns
+        rows = found.select("doc_id", *CLASHING).collect()
+        assert rows and all(value == f"mine {row.doc_id}" for row in rows for value in row[1:])
+
+
 def test_pipeline_on_odd_rows(corpus_spark):
     docs = frame(corpus_spark, odd_documents())
     for _, stage in corpus_pipeline.STAGES:

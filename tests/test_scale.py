@@ -13,7 +13,9 @@ ROW_LEVEL = ("pull_long_treatments", "pull_long_outcomes", "treatment_dates", "f
 SKEW_CHECKED = (
     *ROW_LEVEL, "later_treatments", "range_join_outcomes", "pregnancies", "cycle_outcomes", "itt", "union_by_name",
     "cycle_outcomes_relational", "first_treatment", "qc_mixed_cycle", "cohort_generate", "cohort_eras", "pull_all_counts",
-    "curve_diff", "top_weights", "ip_weights", "study_stored", "cohort_eras_open",
+    "curve_diff", "top_weights", "ip_weights", "study_stored", "cohort_eras_open", "cohort_nested", "cohort_nested_inclusion",
+    "cohort_censoring", "cohort_store", "pull_stored", "pull_pruned", "pregnancies_numbered", "weight_summary_continuous",
+    "balance_continuous", "curve_diff_continuous", "concept_closure",
 )
 NO_BROADCAST = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .bpe import ChunkEncoder, Memory, byte_characters, is_plain
+from .bpe import ChunkEncoder, byte_characters, is_plain
 
 CHUNK_BYTES = 1 << 20
-ROOM = 200_000  # words a worker remembers for each tokenizer
+ROOM = 1_000_000  # words whose ids a worker remembers
 LINES = 500
 SPACE = "▁"
 
@@ -69,10 +69,11 @@ def byte_level_side(content: str) -> Side:
         for at in range(0, len(words), LINES):
             lines = words[at : at + LINES]
             (joined,) = ids(["\n".join(lines)])
-            parts = np.split(joined, np.flatnonzero(joined == line_end))
-            if len(parts) != len(lines):
+            ends = 4 * np.flatnonzero(joined == line_end)
+            if len(ends) != len(lines) - 1:
                 raise ValueError("this tokenizer does not keep line ends apart")
-            known.update((line, (part if n == 0 else part[1:]).tobytes()) for n, (line, part) in enumerate(zip(lines, parts)))
+            data = joined.tobytes()
+            known.update(zip(lines, [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)])]))
         return [known[chunk] for chunk in wanted]
 
     encoder = ChunkEncoder(chunks, {}, ROOM)
@@ -88,28 +89,15 @@ def byte_level_side(content: str) -> Side:
 
 
 def piece_side(model: bytes) -> Side:
-    """A sentencepiece model that puts a space before the text and has no piece with a space inside.
-
-    Words between single spaces are then encoded one by one, each once as long as
-    a worker remembers it; other texts go to the library whole.
-    """
+    """A sentencepiece model that puts a space before the text; the library encodes whole texts."""
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
     count = processor.get_piece_size()
     names = [processor.id_to_piece(number) for number in range(count)]
     byte_of = {number: bytes([int(names[number][3:5], 16)]) for number in range(count) if processor.is_byte(number)}
     token_bytes = [byte_of.get(n, name.replace(SPACE, " ").encode()) for n, name in enumerate(names)]
-    by_word = not any(SPACE in name.lstrip(SPACE) for name in names)
-
-    def words(wanted: Sequence[str]) -> list[bytes]:
-        return [np.array(found, dtype="<u4").tobytes() for found in processor.encode(list(wanted), num_threads=1)]
-
-    memory = Memory(words, lambda word: ("", word, ""), ROOM)
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        plain = [by_word and not (text[:1] == " " or text[-1:] == " " or "  " in text or SPACE in text) for text in texts]
-        cut = iter(memory.fill([text.split(" ") for text, simple in zip(texts, plain) if simple]))
-        whole = iter(words([text for text, simple in zip(texts, plain) if not simple]))
-        return [np.frombuffer(b"".join(next(cut)) if simple else next(whole), dtype="<u4") for simple in plain]
+        return [np.array(found, dtype="<u4") for found in processor.encode(list(texts), num_threads=1)]
 
     return _side(encode, token_bytes)
 
@@ -142,16 +130,14 @@ class Tokens:
         return cls(ids, doc, pa.array(own), data.to_pybytes()[: int(ends[-1])] if len(ends) else b"")
 
 
-def _agreeing(texts: list[bytes], lists: list[list[np.ndarray]], sides: Sequence[Side]) -> np.ndarray:
+def _agreeing(texts: list[bytes], tokens: Sequence[Tokens]) -> np.ndarray:
     """Which texts both tokenizers spell byte by byte."""
     good = np.array([len(text) > 1 for text in texts], dtype=bool)
-    for side, ids in zip(sides, lists):
-        lengths = pc.binary_length(side.token_bytes).to_numpy(zero_copy_only=False)
-        sizes = [int(lengths[found].sum()) for found in ids]
-        spelt, at = Tokens.of(side, ids).joined, 0
-        for n, (text, size) in enumerate(zip(texts, sizes)):
-            good[n] &= size == len(text) and spelt[at : at + size] == text
-            at += size
+    for part in tokens:
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        np.maximum.at(sizes, part.doc.to_numpy(), part.end.to_numpy())
+        starts = (np.cumsum(sizes) - sizes).tolist()
+        good &= [part.joined[at : at + size] == text for at, size, text in zip(starts, sizes.tolist(), texts)]
     return good
 
 
@@ -183,9 +169,11 @@ def align(texts: Sequence[str], sides: Sequence[Side]) -> Aligned:
     count = len(texts)
     encoded = [side.encode(texts) for side in sides]
     spelt = [(" " + text).encode() if text else b"" for text in texts]
-    good = _agreeing(spelt, encoded, sides)
-    none = np.zeros(0, "<u4")
-    a, b = (Tokens.of(side, [ids if ok else none for ids, ok in zip(lists, good)]) for side, lists in zip(sides, encoded))
+    a, b = (Tokens.of(side, lists) for side, lists in zip(sides, encoded))
+    good = _agreeing(spelt, (a, b))
+    if not good.all():
+        none = np.zeros(0, "<u4")
+        a, b = (Tokens.of(side, [ids if ok else none for ids, ok in zip(lists, good)]) for side, lists in zip(sides, encoded))
     numbers = [np.arange(len(part.ids)) for part in (a, b)]
     tables = [pa.table({"doc": part.doc, "end": part.end, name: at}) for part, name, at in zip((a, b), ("i", "j"), numbers)]
     shared = tables[0].join(tables[1], keys=["doc", "end"], join_type="inner", use_threads=False)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -62,6 +62,7 @@ LONGEST_WORD = 24
 TOP_WORDS = 1 << 16  # ranked words sent to the tasks: at most 24 characters each, so a few MB
 LEAST_COUNT = 3
 _HELD_WORDS = 1 << 18
+REMEMBERED = 256  # longest value whose bits a worker remembers, and places of one value whose segments it remembers
 
 
 @dataclass(frozen=True)
@@ -110,77 +111,131 @@ def _class_of(char: str) -> str:
     return "d" if char.isdigit() else "l" if char.islower() else "u" if char.isupper() else " "
 
 
-def _runs(same: list[bool]) -> Iterator[tuple[int, int]]:
-    """(start, end) of the maximal runs of true values."""
-    start = None
-    for at, flag in enumerate((*same, False)):
-        if flag and start is None:
-            start = at
-        elif not flag and start is not None:
-            yield start, at
-            start = None
+def _unit_bits(piece: str) -> float:
+    """Of what is repeated: by the class of each character."""
+    size = {"d": 10, "l": 26, "u": 26}
+    return sum(math.log2(size[kind]) if (kind := _class_of(char)) in size else _char_bits(char) for char in piece)
 
 
-def _segments(value: str, words: Words = FIXED_WORDS) -> list[list[tuple[int, float]]]:
-    """For each end: (start, bits) of every word, date, repeat, walk and run of a class that ends there."""
-    lower = value.lower() if len(value.lower()) == len(value) else value
-    plain = lower.translate(LEET)
-    size = len(value)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-    walk_bits = lambda length: math.log2(40) + math.log2(length) * 2
-    for start in range(size):
-        for end in range(start + 3, min(size, start + words.longest) + 1):
-            for text, extra in ((lower, 0.0), (plain, 1.0)):
-                if rank := words.rank.get(text[start:end]):
-                    upper = sum(c.isupper() for c in value[start:end])
-                    ends[end].append((start, math.log2(rank + 1) + extra + min(upper, 2)))
-        if date := DATE.match(value, start):
-            ends[date.end()].append((start, math.log2(365 * 120) if len(date[0]) > 4 else math.log2(120)))
-        end = start + 1
-        while end < min(size, start + LONGEST_SEGMENT) and lower[end] in FOLLOW.get(lower[end - 1], ""):
-            end += 1
-            if end - start >= 3:
-                ends[end].append((start, walk_bits(end - start)))
-        for unit in range(1, 9):
-            piece, times = value[start : start + unit], 1
-            while value.startswith(piece, start + times * unit) and (times + 1) * unit <= LONGEST_SEGMENT and len(piece) == unit:
-                times += 1
-                ends[start + times * unit].append((start, _unit_bits(piece) + math.log2(times)))
-    # whole walks and repeats of more than LONGEST_SEGMENT
-    for start, last in _runs([b in FOLLOW.get(a, "") for a, b in zip(lower, lower[1:])]):
-        if last + 1 - start > LONGEST_SEGMENT:
-            ends[last + 1].append((start, walk_bits(last + 1 - start)))
+def _walk_bits(length: int) -> float:
+    return math.log2(40) + math.log2(length) * 2
+
+
+def _short_segments(value: str, lower: str, words: Words) -> list[tuple[int, float]]:
+    """(length, least bits) of the words, the date, the walks and the repeats that ``value`` starts with, none longer than some dozen characters."""
+    size, plain = len(value), lower.translate(LEET)
+    least: dict[int, float] = {}
+
+    def offer(length: int, bits: float) -> None:
+        least[length] = min(bits, least.get(length, math.inf))
+
+    for end in range(3, min(size, words.longest) + 1):
+        for text, extra in ((lower, 0.0), (plain, 1.0)):
+            if rank := words.rank.get(text[:end]):
+                offer(end, math.log2(rank + 1) + extra + min(sum(c.isupper() for c in value[:end]), 2))
+    if date := DATE.match(value):
+        offer(len(date[0]), math.log2(365 * 120) if len(date[0]) > 4 else math.log2(120))
+    end = 1
+    while end < min(size, LONGEST_SEGMENT) and lower[end] in FOLLOW.get(lower[end - 1], ""):
+        end += 1
+        if end >= 3:
+            offer(end, _walk_bits(end))
     for unit in range(1, 9):
-        for start, last in _runs([a == b for a, b in zip(value, value[unit:])]):
-            # the last, cut unit costs nothing more than its length
-            if last + unit - start > LONGEST_SEGMENT:
-                ends[last + unit].append((start, _unit_bits(value[start : start + unit]) + math.log2(last + unit - start)))
-    kinds = [_class_of(char) for char in value]
-    for letters, names in CLASSES:
-        for start, end in _runs([kind in names for kind in kinds]):
-            for at in range(start, end):
-                if at + 1 < end:
-                    ends[at + 1].append((start, CLASS_BITS + math.log2(letters) * (at + 1 - start)))
-                ends[end].append((at, CLASS_BITS + math.log2(letters) * (end - at)))
-    return ends
+        piece, times = value[:unit], 1
+        while value.startswith(piece, times * unit) and (times + 1) * unit <= LONGEST_SEGMENT and len(piece) == unit:
+            times += 1
+            offer(times * unit, _unit_bits(piece) + math.log2(times))
+    return list(least.items())
 
 
-def _unit_bits(piece: str) -> float:
-    """Of what is repeated: by the class of each character."""
-    size = {"d": 10, "l": 26, "u": 26}
-    return sum(math.log2(size[kind]) if (kind := _class_of(char)) in size else _char_bits(char) for char in piece)
+class _OpenRuns:
+    """Walks, repeats and runs of a class of any length, followed from their first character to their last.
 
+    A whole walk or repeat is one segment if it is longer than ``LONGEST_SEGMENT``. A run of a class
+    gives the segments from its start to any place and from any place to its end.
+    """
 
-@lru_cache(maxsize=1024)
-def guess_bits(value: str, words: Words = FIXED_WORDS) -> float:
-    """Log 2 of the guesses the cheapest segmentation needs; each cut costs one bit."""
-    ends = _segments(value, words)
-    best = [0.0] * (len(value) + 1)
-    for end in range(1, len(value) + 1):
-        best[end] = best[end - 1] + _char_bits(value[end - 1])
-        for start, bits in ends[end]:
-            best[end] = min(best[end], best[start] + bits + 1.0)
-    return best[-1]
+    def __init__(self, value: str, lower: str):
+        self.value, self.lower = value, lower
+        self.walk: tuple[int, float] | None = None
+        self.repeats: dict[int, tuple[int, float]] = {}
+        # of a class: its start, the bits before it, the least bits of entering it anywhere and staying
+        self.classes: dict[str, tuple[int, float, float]] = {}
+
+    def advance(self, at: int, best: float) -> Iterator[tuple[int, float]]:
+        """(length after ``at``, bits in all) of the segments that end beyond ``at``, now known; ``best`` leads up to ``at``."""
+        value, lower, size = self.value, self.lower, len(self.value)
+        if at + 1 < size and lower[at + 1] in FOLLOW.get(lower[at], ""):
+            self.walk = self.walk or (at, best)
+        elif self.walk:
+            (start, before), self.walk = self.walk, None
+            if at + 1 - start > LONGEST_SEGMENT:
+                yield 1, before + _walk_bits(at + 1 - start)
+        for unit in range(1, 9):
+            if at + unit < size and value[at] == value[at + unit]:
+                self.repeats.setdefault(unit, (at, best))
+            elif unit in self.repeats:
+                start, before = self.repeats.pop(unit)
+                # the last, cut unit costs nothing more than its length
+                if at + unit - start > LONGEST_SEGMENT:
+                    yield unit, before + _unit_bits(value[start : start + unit]) + math.log2(at + unit - start)
+        kind, after = _class_of(value[at]), _class_of(value[at + 1]) if at + 1 < size else None
+        for letters, names in CLASSES:
+            if kind not in names:
+                self.classes.pop(names, None)
+                continue
+            start, before, inside = self.classes.get(names, (at, best, math.inf))
+            inside = min(inside, best) + math.log2(letters)
+            self.classes[names] = (start, before, inside)
+            yield 1, before + CLASS_BITS + math.log2(letters) * (at + 1 - start)
+            if after is None or after not in names:
+                yield 1, inside + CLASS_BITS
+
+    def least(self, at: int) -> float:
+        """No segment that is still open after the character at ``at`` can lead to fewer bits."""
+        found = [inside + CLASS_BITS for _, _, inside in self.classes.values()]
+        if self.walk:
+            found.append(self.walk[1] + _walk_bits(at + 1 - self.walk[0]))
+        for unit, (start, before) in self.repeats.items():
+            found.append(before + _unit_bits(self.value[start : start + unit]) + math.log2(at + 1 - start))
+        return min(found, default=math.inf)
+
+
+def _bits(value: str, words: Words, enough: float) -> float:
+    lower = value.lower() if len(value.lower()) == len(value) else value
+    reach = max(words.longest, LONGEST_SEGMENT)
+    ahead = deque([0.0] + [math.inf] * reach)  # least bits up to this place and the next ones
+    runs = _OpenRuns(value, lower)
+    met: dict[tuple[str, str], list[tuple[int, float]]] = {}  # repeats come to the same characters again and again
+    for at, char in enumerate(value):
+        best = ahead.popleft()
+        ahead.append(math.inf)
+        ahead[0] = min(ahead[0], best + _char_bits(char))
+        here = value[at : at + reach], lower[at : at + reach]
+        if here not in met:
+            if len(met) == REMEMBERED:
+                met.clear()
+            met[here] = _short_segments(*here, words)
+        for length, bits in met[here]:
+            ahead[length - 1] = min(ahead[length - 1], best + bits + 1.0)
+        for length, bits in runs.advance(at, best):
+            ahead[length - 1] = min(ahead[length - 1], bits + 1.0)
+        if best >= enough and (least := min(min(ahead), runs.least(at) + 1.0)) >= enough:
+            return least
+    return ahead[0]
+
+
+_remembered_bits = lru_cache(maxsize=1024)(_bits)
+
+
+def guess_bits(value: str, words: Words = FIXED_WORDS, enough: float = math.inf) -> float:
+    """Log 2 of the guesses the cheapest segmentation needs; each cut costs one bit.
+
+    The program goes from character to character and keeps the next few places and the runs that
+    are open, so it needs the same memory for a value of any length. It stops where nothing
+    that could still follow is cheaper than ``enough``, and returns what is needed up to there.
+    """
+    return (_remembered_bits if len(value) <= REMEMBERED else _bits)(value, words, enough)
 
 
 def _least_count(ranked: DataFrame, top: int) -> int:
@@ -247,14 +302,15 @@ def find_secrets(text: str, settings: Settings = Settings(), words: Words = FIXE
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(word in folded for word in CONTEXT_HINTS):
-        taken = sorted(spans)
+        taken, covered = deque(sorted(spans)), 0  # the furthest end of the base spans that start up to here
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
+            start = m.start(1)
             value = m[1].rstrip(".,;:!?)]}")
             end = start + len(value)
-            if len(value) >= 6 and not any(s <= start and end <= e for s, e, _ in taken):
-                if guess_bits(value, words) >= settings.min_bits:
-                    spans.append((start, end, "guess"))
+            while taken and taken[0][0] <= start:
+                covered = max(covered, taken.popleft()[1])
+            if len(value) >= 6 and end > covered and guess_bits(value, words, settings.min_bits) >= settings.min_bits:
+                spans.append((start, end, "guess"))
     return sorted(spans, key=lambda span: (span[0], KINDS.index(span[2])))
 
 
@@ -276,8 +332,8 @@ def scan_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans, redacted_text for every row.
 
     One pass counts the words of all documents, the other goes row by row, so no key can be hot. A null text counts as empty: no spans, the
-    hash of an empty list; repeated rows get one row each; an empty table gives
-    an empty result; other columns are not read.
+    hash of an empty list; a null id stays null; repeated rows get one row each; texts and values of any length are
+    scanned whole, in memory for a few copies of them; an empty table gives an empty result; other columns are not read.
     """
 
     words = docs.sparkSession.sparkContext.broadcast(Words(common_words(docs)))
@@ -309,7 +365,11 @@ def scan_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars`` counted anew; all rows stay."""
+    """``docs`` with every span in ``text`` replaced by its kind, and ``n_chars`` counted anew; all rows stay.
+
+    Null and empty texts stay as they are, repeated rows are covered alike, texts of any length are scanned
+    whole, an empty table stays empty, and other columns, null or not, go through as they are.
+    """
 
     words = docs.sparkSession.sparkContext.broadcast(Words(common_words(docs)))
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -133,18 +134,83 @@ def test_values_that_a_base_span_covers_in_part():
     assert [kind for *_, kind in secret_scan.find_secrets("token=Zq8kRv2LmXw0")] == ["assign"]
 
 
-def test_cheapest_segmentation():
-    """Against all cuts of short values."""
-    for value in ("love1999", "qwerty!x", "abcabcabc", "Summer12", "x9$"):
-        ends = secret_scan._segments(value)
-
-        def cheapest(end):
-            if end == 0:
-                return 0.0
-            whole = [cheapest(end - 1) + secret_scan._char_bits(value[end - 1])]
-            return min(whole + [cheapest(start) + bits + 1 for start, bits in ends[end]])
-
-        assert secret_scan.guess_bits(value) == pytest.approx(cheapest(len(value)))
+def plain_segments(value, words=secret_scan.FIXED_WORDS):
+    """For each end: (start, bits) of everything that may end there, by looking at all pairs of places."""
+    lower, ends = value.lower(), [[] for _ in range(len(value) + 1)]
+    plain = lower.translate(secret_scan.LEET)
+    follows = [b in secret_scan.FOLLOW.get(a, "") for a, b in zip(lower, lower[1:])]
+    kinds = [secret_scan._class_of(c) for c in value]
+    walk = lambda n: np.log2(40) + 2 * np.log2(n)
+    for start in range(len(value)):
+        for end in range(start + 1, len(value) + 1):
+            add = lambda bits: ends[end].append((start, bits))
+            piece, size = value[start:end], end - start
+            for text, extra in ((lower, 0), (plain, 1)):
+                if size >= 3 and text[start:end] in words.rank:
+                    add(np.log2(words.rank[text[start:end]] + 1) + extra + min(sum(c.isupper() for c in piece), 2))
+            date = secret_scan.DATE.match(value, start)
+            if date and date.end() == end:
+                add(np.log2(365 * 120 if size > 4 else 120))
+            whole = all(follows[start : end - 1]) and (start == 0 or not follows[start - 1]) and (end == len(value) or not follows[end - 1])
+            if all(follows[start : end - 1]) and size >= 3 and (size <= 40 or whole):
+                add(walk(size))
+            for unit in range(1, 9):
+                periodic = size > unit and piece[unit:] == piece[:-unit]
+                if periodic and size % unit == 0 and size <= 40:
+                    add(secret_scan._unit_bits(piece[:unit]) + np.log2(size // unit))
+                before = periodic and start > 0 and value[start - 1] == value[start - 1 + unit]
+                after = periodic and end < len(value) and value[end] == value[end - unit]
+                if periodic and size > 40 and not before and not after:
+                    add(secret_scan._unit_bits(piece[:unit]) + np.log2(size))
+            for letters, names in secret_scan.CLASSES:
+                if all(k in names for k in kinds[start:end]):
+                    first = start == 0 or kinds[start - 1] not in names
+                    last = end == len(value) or kinds[end] not in names
+                    if first or last:
+                        add(secret_scan.CLASS_BITS + np.log2(letters) * size)
+    return ends
+
+
+def plain_guess_bits(value):
+    best = [0.0]
+    for end, segments in enumerate(plain_segments(value)[1:], 1):
+        cut = [best[start] + bits + 1 for start, bits in segments]
+        best.append(min([best[end - 1] + secret_scan._char_bits(value[end - 1]), *cut]))
+    return best[-1]
+
+
+SECRET_PARTS = st.sampled_from(["love", "Summer", "p4ss", "20240131", "1999", "qwertyuiop", "poiu", "abcabc", "x" * 45, "x9$", "é", "ab" * 23, "qwerty" * 8, "012345678", "Zq8#"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(SECRET_PARTS, st.text("ab1!Z", max_size=6)), max_size=5))
+def test_cheapest_segmentation(parts):
+    """The rolling program against all pairs of places; what stops early is on the same side of the border."""
+    value = "".join(parts)
+    bits = plain_guess_bits(value)
+    assert secret_scan.guess_bits(value) == pytest.approx(bits)
+    stopped = secret_scan.guess_bits(value, enough=30.0)
+    assert stopped == pytest.approx(bits) or 30 <= stopped <= bits + 1e-6
+
+
+def test_very_long_values():
+    """A value of a million characters needs no more memory than its own copies; the end still counts."""
+    draw = random.Random(4)
+    hard = "".join(draw.choices("abcdefABC123!$", k=1_000_000))
+    weak = "z1" * 50_000
+    tracemalloc.start()
+    found = [secret_scan.find_secrets(f"pwd: {value}") for value in (hard, weak, weak + "Zq8#")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[1] == [] and found[0] == [(5, 1_000_005, "guess")] and found[2] == [(5, 100_009, "guess")]
+    assert peak < 30_000_000
+
+
+def test_many_values_in_one_text():
+    """Base spans that cover a value keep it from being listed twice, however many there are."""
+    text = "pwd: Zq8#kR!v2@Lm token=Zq8kRv2LmXw0 " * 3_000
+    kinds = Counter(kind for *_, kind in secret_scan.find_secrets(text))
+    assert kinds == {"assign": 3_000, "guess": 3_000}
 
 
 def test_planted_values(corpus_spark):

@@ -16,8 +16,9 @@ from functools import reduce
 from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scan import PART, ranged, running_sums
 from ..session import materialize
 from .common import WORD
 
@@ -39,22 +40,22 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     to the others by weight. Filled from the source that stops first: the level
     ``words left / weight left`` rises from one that stops to the next and falls from
     the first that does not, whose level is therefore the largest of those.
-    The frame has one row per source, which is what its windows sort.
+    Sources may be as many as hosts: their numbers and the sums before each come from ranges of
+    the order (``running_sums``), so no task holds all of them.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    weighted = sizes.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("double"))
-    by_stop = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_stop.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    total, weights = F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    level = (total - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        weights - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    stops = weighted.withColumn("level", level).withColumn(
-        "stops", F.col("level") * F.col("weight") >= cap * F.col("source_size")
-    )
-    open_level = F.max(F.when(~F.col("stops"), F.col("level"))).over(everything)
-    target = F.when(F.col("stops"), cap * F.col("source_size")).otherwise(open_level * F.col("weight"))
+    by_name = ranged(sizes.withColumn("at", F.struct(F.col("source").isNull(), "source")), "at", label="sources")
+    number = running_sums(by_name, (), "at", {"number": F.lit(1)}).drop("at", PART)
+    weighted = number.withColumn("weight", (F.col("number") - 1) % 3 + 1)
+    stop = F.struct(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
+    by_stop = ranged(weighted.withColumn("at", stop), "at", label="stops")
+    total, weights = by_stop.agg(F.sum("source_size"), F.sum("weight")).first()
+    # both sums hold the source itself
+    up_to = running_sums(by_stop, (), "at", {"sizes": F.col("source_size"), "weights": F.col("weight")})
+    left = F.lit(total) - cap * (F.col("sizes") - F.col("source_size"))
+    level = left / (F.lit(weights) - (F.col("weights") - F.col("weight")))
+    stops = up_to.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") >= cap * F.col("source_size"))
+    open_level = stops.agg(F.max(F.when(~F.col("stops"), F.col("level")))).first()[0]
+    target = F.when(F.col("stops"), cap * F.col("source_size")).otherwise(F.lit(open_level) * F.col("weight"))
     return stops.select("source", "source_size", target.cast("double").alias("target"))
 
 
@@ -181,7 +182,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, cap: float = CAP, leaf_rows: int
     is ``copies * size``. Rows that repeat id, source and text are one document that
     occurs several times: they get the same copies and weigh in together. A null
     source is a source of its own. No document is taken more than ``cap`` times,
-    rounded up; an empty table gives an empty result; other columns are not read.
+    rounded up; texts of any length are counted whole; an empty table gives an empty result; other columns are not read.
     """
     aimed, copies = _planned(docs, seed, cap, leaf_rows)
     return aimed.join(copies, _same_document(aimed, copies)).select(

@@ -342,6 +342,23 @@ def test_mix(corpus_spark, leaf_rows):
     assert rows_of(again, "doc_id", "size", "copies") == sorted(((r.doc_id, r["size"], r.copies) for r in found), key=NULLS_FIRST)
 
 
+def test_targets_of_many_sources(corpus_spark):
+    """More sources than one range holds, some empty, many alike; no window over all of them."""
+    draw = random.Random(8)
+    sizes = {f"host{n}": draw.choice((0, 1, 5, 5, 40, 40_000)) for n in range(3_000)} | {None: 7, "hot": 3_000_000}
+    table = corpus_spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    corpus_spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = mixing.source_targets(table)
+        rows = found.collect()
+    finally:
+        corpus_spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = plain_targets(sizes)
+    assert len(rows) == len(sizes)
+    assert all(row.source_size == sizes[row.source] and row.target == pytest.approx(wanted[row.source]) for row in rows)
+    assert sum(row.target for row in rows) == pytest.approx(sum(sizes.values()))
+
+
 def test_mix_of_nothing(corpus_spark):
     assert mixing.mix_sources(frame(corpus_spark, [])).collect() == []
     assert [r.taken for r in mixing.mix_sources(frame(corpus_spark, [(1, None, None, None, None)])).collect()] == [0]

@@ -386,7 +386,7 @@ def test_mix(corpus_spark, leaf_rows):
 
 
 def test_targets_of_many_sources(corpus_spark):
-    """More sources than one range holds, some empty, many alike; no window over all of them."""
+    """Many sources over several ranges, some of no words, many alike, one hot, one null."""
     draw = random.Random(8)
     sizes = {f"host{n}": draw.choice((0, 1, 5, 5, 40, 40_000)) for n in range(3_000)} | {None: 7, "hot": 3_000_000}
     table = corpus_spark.createDataFrame(list(sizes.items()), "source string, source_size long")

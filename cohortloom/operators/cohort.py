@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import StudyConfig
+from ..session import materialize
+
+DAYS_TO_A_TASK = 200_000
 
 WINDOW_COLUMNS = (
     "person_id",
@@ -199,19 +202,23 @@ def _days_from_entry(first: int | None, last: int | None) -> W:
     return W.partitionBy("person_id").orderBy("day").rangeBetween(start, W.unboundedFollowing if last is None else last)
 
 
-def evaluate_rules(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
+def evaluate_rules(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec], parts: int | None = None) -> DataFrame:
     """Entries of all definitions with ``inclusion_words``, a bit for every rule, 62 to a word, and ``inclusion_mask``, the first word.
 
     Also the end of observation and the day of the first censoring event (null: none). ``days`` are
     distinct person-set-days (see ``event_days``), so a person is bounded by the calendar and
     windows over persons are safe. Entries, counts and censoring of all definitions
-    come from one pass over them: frames of days around every day of a person.
+    come from one pass over them: frames of days around every day of a person. ``parts`` is
+    into how many tasks persons are dealt; without it the session's settings decide.
     """
     conditions = [rule.condition for spec in specs for rule in spec.rules] + [spec.entry_if for spec in specs if spec.entry_if]
     used = sorted({s for spec in specs for s in (*spec.entry_sets, *spec.censor_sets)} | {
         s for condition in conditions for c in _criteria(condition) for s in c.concept_sets
     })
-    observed = days.where(F.col("concept_set").isin(*used)).join(observation, "person_id")
+    days = days.where(F.col("concept_set").isin(*used))
+    if parts:
+        days, observation = days.repartition(parts, "person_id"), observation.repartition(parts, "person_id")
+    observed = days.join(observation, "person_id")
     rows = observed.withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date")))
     person, after = W.partitionBy("person_id"), _days_from_entry(1, None)
     counts, entry_days, censor_dates = _Counts(), {}, {}
@@ -251,6 +258,16 @@ def evaluate_rules(days: DataFrame, observation: DataFrame, specs: Sequence[Coho
     return entries.select("person_id", "observation_period_end_date", "entry.*").distinct()
 
 
+def stored_entries(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
+    """``evaluate_rules``, written once: frames that read the entries several times would each repeat the whole pass.
+
+    The days are counted first, so they should be stored. Persons are dealt into tasks of about
+    DAYS_TO_A_TASK days, so what a task holds does not grow with the table.
+    """
+    parts = max(1, -(-days.count() // DAYS_TO_A_TASK))
+    return materialize(evaluate_rules(days, observation, specs, parts), "entries")
+
+
 def _by_definition(specs: Sequence[CohortSpec], value) -> Column:
     return F.coalesce(*[F.when(F.col("cohort_definition_id") == spec.cohort_definition_id, value(spec)) for spec in specs])
 
@@ -297,7 +314,8 @@ def cohort_rows(exits: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
 
 def generate_cohorts(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> DataFrame:
     """Cohort rows of all definitions: entries that pass every rule."""
-    return cohort_rows(cohort_exits(evaluate_rules(days, observation, specs), specs), specs)
+    evaluated = stored_entries if any(spec.entries == "all" for spec in specs) else evaluate_rules
+    return cohort_rows(cohort_exits(evaluated(days, observation, specs), specs), specs)
 
 
 def exit_counts(exits: DataFrame) -> DataFrame:

@@ -241,8 +241,9 @@ def cohort_generate(study_in: Inputs) -> DataFrame:
 
 
 def evaluated_rules(study_in: Inputs, specs=COHORT_SPECS) -> DataFrame:
-    days = concepts.event_days(study_in.coded)
-    return cohort.evaluate_rules(days, surrogate.observation_period(study_in.coded), specs)
+    """Entries of the definitions, written once. First and last days are read off the stored days, which hold every event's day."""
+    days = materialize(concepts.event_days(study_in.coded), "days")
+    return cohort.stored_entries(days, surrogate.observation_period(days), specs)
 
 
 @query

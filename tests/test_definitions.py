@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import cohort as ops, concepts
 from cohortloom.operators.cohort import Criterion, Group, Rule, all_of, any_of, at_least, none_of
+from cohortloom.plans import registry
 from cohortloom.sources import tables
 
 from .helpers import day, events, plus, rows
@@ -156,6 +157,54 @@ def test_one_pass_over_the_events(spark):
     assert plan.count("Join [person_id") + plan.count("Join(skew=true) [person_id") == 1
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_rows_of_all_entries_evaluate_the_rules_once(spark):
+    """The branches of exits and rows read written entries; each used to repeat the pass over the days."""
+    days, observation = frames(spark, *population())
+    assert "Join" not in executed(ops.generate_cohorts(days, observation, SPECS))
+
+
+def test_stored_entries_deal_persons_by_the_number_of_days(spark, monkeypatch):
+    data, observed = population()
+    days, observation = frames(spark, data, observed)
+    monkeypatch.setattr(ops, "DAYS_TO_A_TASK", 10)
+    parts = -(-days.count() // 10)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = executed(ops.evaluate_rules(days, observation, SPECS, parts))
+    assert f", {parts}), REPARTITION_BY_NUM" in plan
+    names = ("cohort_definition_id", "person_id", "entry_date", "inclusion_mask", "censor_date")
+    entries = ops.stored_entries(days, observation, SPECS)
+    assert "Exchange" not in executed(entries)
+    assert sorted(map(str, rows_of(entries, names))) == sorted(map(str, rows_of(ops.evaluate_rules(days, observation, SPECS), names)))
+
+
+def rows_of(df, names):
+    return [tuple(r[n] for n in names) for r in df.collect()]
+
+
+def order_tables(spark, folder):
+    """Two persons with a claim every ten days, of concepts of all sizes."""
+    spark.range(300).selectExpr("id AS o_orderkey", "id % 2 AS o_custkey").write.parquet(f"{folder}/orders.parquet")
+    spark.range(1, 51).selectExpr("id AS p_partkey", "int(id) AS p_size").write.parquet(f"{folder}/part.parquet")
+    lines = "id AS l_orderkey", "id * 7 % 50 + 1 AS l_partkey", "date_add(DATE '1995-01-01', int(id) * 10) AS l_shipdate"
+    spark.range(300).selectExpr(*lines).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["cohort_nested"])
+def test_queries_evaluate_once_in_counted_parts(spark, tmp_path, monkeypatch, name):
+    calls, evaluate = [], ops.evaluate_rules
+    monkeypatch.setattr(ops, "DAYS_TO_A_TASK", 50)
+    monkeypatch.setattr(ops, "evaluate_rules", lambda days, observation, specs, parts=None: calls.append(parts) or evaluate(days, observation, specs, parts))
+    plan = executed(registry.queries()[name](spark, order_tables(spark, tmp_path)))
+    assert calls == [6]
+    assert "FileScan parquet [l_" not in plan
+
+
 # ---- the store
 
 

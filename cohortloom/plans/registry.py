@@ -272,7 +272,7 @@ def cohort_nested_inclusion(study_in: Inputs) -> DataFrame:
 @query
 def cohort_nested_attrition(study_in: Inputs) -> DataFrame:
     """Attrition of the nested definitions, each person's best entry counted."""
-    evaluated = materialize(evaluated_rules(study_in, NESTED_SPECS), "entries")
+    evaluated = evaluated_rules(study_in, NESTED_SPECS)
     return cohort.attrition(cohort.best_events(evaluated), NESTED_SPECS)
 
 

@@ -195,7 +195,7 @@ def order_tables(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["cohort_nested", "cohort_censoring", "cohort_nested_attrition"])
+@pytest.mark.parametrize("name", ["cohort_nested", "cohort_censoring", "cohort_nested_attrition", "cohort_nested_inclusion"])
 def test_queries_evaluate_once_in_counted_parts(spark, tmp_path, monkeypatch, name):
     calls, evaluate = [], ops.evaluate_rules
     monkeypatch.setattr(ops, "DAYS_TO_A_TASK", 50)

@@ -430,9 +430,10 @@ def summary_counts(evaluated: DataFrame, specs: Sequence[CohortSpec]) -> DataFra
 def cohort_results(days: DataFrame, observation: DataFrame, specs: Sequence[CohortSpec]) -> dict[str, DataFrame]:
     """The cohort rows of all definitions and every statistics table, by table name.
 
-    Statistics count persons: of a person's entries the best one.
+    Statistics count persons: of a person's entries the best one. All tables read the
+    same written entries.
     """
-    evaluated = evaluate_rules(days, observation, specs)
+    evaluated = stored_entries(days, observation, specs)
     exits = cohort_exits(evaluated, specs)
     persons = best_events(evaluated) if any(spec.entries == "all" for spec in specs) else evaluated
     return {

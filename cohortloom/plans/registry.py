@@ -286,7 +286,7 @@ def cohort_censoring(study_in: Inputs) -> DataFrame:
 def cohort_store(study_in: Inputs) -> DataFrame:
     """Two definitions stored one after the other, then the first changed: rows of the store, and what its manifest says."""
     days = materialize(concepts.event_days(study_in.coded), "days")
-    observation = materialize(surrogate.observation_period(study_in.coded), "observation")
+    observation = materialize(surrogate.observation_period(days), "observation")
     spark, folder = study_in.spark, new_path(study_in.spark, "store")
     first, second = COHORT_SPECS
 
@@ -313,7 +313,7 @@ def cohort_catalog(study_in: Inputs) -> DataFrame:
 def _stored_results(study_in: Inputs) -> dict[str, DataFrame]:
     """Generate all definitions, store cohort and statistics, and read them back."""
     days = materialize(concepts.event_days(study_in.coded), "days")
-    observation = materialize(surrogate.observation_period(study_in.coded), "observation")
+    observation = materialize(surrogate.observation_period(days), "observation")
     folder = new_path(study_in.spark, "cohorts")
     tables.write_cohort_results(cohort.cohort_results(days, observation, COHORT_SPECS), folder)
     return tables.read_cohort_results(study_in.spark, folder)

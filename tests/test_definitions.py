@@ -205,6 +205,16 @@ def test_queries_evaluate_once_in_counted_parts(spark, tmp_path, monkeypatch, na
     assert "FileScan parquet [l_" not in plan
 
 
+def test_tables_of_one_run_read_the_same_written_entries(spark, monkeypatch):
+    """Six tables, one evaluation; each table used to repeat it."""
+    days, observation = frames(spark, *population())
+    calls, evaluate = [], ops.evaluate_rules
+    monkeypatch.setattr(ops, "evaluate_rules", lambda *given: calls.append(1) or evaluate(*given))
+    made = ops.cohort_results(days, observation, SPECS)
+    assert calls == [1] and len(made) == 6
+    assert all("observation_period_start_date" not in executed(frame) for frame in made.values())
+
+
 # ---- the store
 
 

@@ -27,6 +27,7 @@ from ..session import materialize
 from .bpe import ChunkEncoder, byte_characters, is_plain
 
 CHUNK_BYTES = 1 << 20
+SLICE_CHARS = 1 << 18  # a chunk is aligned in slices of whole texts; a longer text is a slice alone
 ROOM = 1_000_000  # words whose ids a worker remembers
 LINES = 500
 SPACE = "▁"
@@ -211,6 +212,25 @@ def align(texts: Sequence[str], sides: Sequence[Side]) -> Aligned:
     return Aligned(n_a, n_b, n_groups, n_links, hashes, pairs)
 
 
+def align_slices(texts: Sequence[str], sides: Sequence[Side], slice_chars: int = SLICE_CHARS) -> Aligned:
+    """The same as ``align`` for texts of a chunk, slice by slice, so that the flat tables of tokens are those of one slice."""
+    slices, size = [[]], 0
+    for text in texts:
+        if slices[-1] and size + len(text) > slice_chars:
+            slices.append([])
+            size = 0
+        slices[-1].append(text)
+        size += len(text)
+    found, pairs, before = [], [], 0
+    for part in slices:
+        found.append(align(part, sides))
+        held = found[-1].pairs
+        pairs.append(held.set_column(0, "doc", pc.add(held["doc"], before)))
+        before += len(part)
+    counts = [np.concatenate([getattr(one, name) for one in found]) for name in ("n_a", "n_b", "n_groups", "n_links")]
+    return Aligned(*counts, [line for one in found for line in one.hashes], pa.concat_tables(pairs))
+
+
 DOC_FIELDS = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string())]
 ALIGNED = "is_doc boolean, chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair array<long>, links array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -261,20 +281,22 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: bytes, chunk_bytes:
     shared = docs.sparkSession.sparkContext.broadcast((byte_level, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = _sides(*shared.value)
+        sides, pool = _sides(*shared.value), pa.default_memory_pool()
         number = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 text = text or ""
                 if texts and size + len(text) > chunk_bytes:
-                    yield _chunk_rows(number, ids, align(texts, sides))
+                    yield _chunk_rows(number, ids, align_slices(texts, sides))
+                    pool.release_unused()
                     ids, texts, size, number = [], [], 0, number + 1
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield _chunk_rows(number, ids, align(texts, sides))
+            yield _chunk_rows(number, ids, align_slices(texts, sides))
+            pool.release_unused()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, ALIGNED)

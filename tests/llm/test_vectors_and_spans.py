@@ -292,3 +292,15 @@ def test_sides_encode_like_the_libraries():
     own = [side.encode(texts) for side in (alignment.byte_level_side(tokenizer_file()), alignment.piece_side(model_file()))]
     for side, found in zip(plain_sides(), own):
         assert [ids.tolist() for ids in found] == [side(text)[0] for text in texts]
+
+
+def test_chunks_are_aligned_in_slices(monkeypatch):
+    """The tables of one slice at a time, and rows as if the chunk were aligned whole."""
+    texts = ["", "a few words", "été 1999\n  spaces", "x" * 300, "more of the same words, " * 30, "", "the end"] * 3
+    sides = alignment._sides(tokenizer_file(), model_file())
+    whole = alignment._chunk_rows(5, list(range(len(texts))), alignment.align(texts, sides))
+    sizes, align = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda some, sides: sizes.append([len(text) for text in some]) or align(some, sides))
+    cut = alignment._chunk_rows(5, list(range(len(texts))), alignment.align_slices(texts, sides, 200))
+    assert cut.equals(whole)
+    assert len(sizes) > 5 and all(sum(some) <= 200 or sum(size > 0 for size in some) == 1 for some in sizes)

@@ -27,8 +27,8 @@ from ..session import materialize
 from .bpe import ChunkEncoder, byte_characters, is_plain
 
 CHUNK_BYTES = 1 << 20
-SLICE_CHARS = 1 << 18  # a chunk is aligned in slices of whole texts; a longer text is a slice alone
-ROOM = 1_000_000  # words whose ids a worker remembers
+SLICE_CHARS = 1 << 19  # a chunk is aligned in slices of whole texts; a longer text is a slice alone
+ROOM = 500_000  # words whose ids a worker remembers
 LINES = 500
 SPACE = "▁"
 
@@ -281,7 +281,7 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: bytes, chunk_bytes:
     shared = docs.sparkSession.sparkContext.broadcast((byte_level, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, pool = _sides(*shared.value), pa.default_memory_pool()
+        sides = _sides(*shared.value)
         number = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -289,14 +289,12 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: bytes, chunk_bytes:
                 text = text or ""
                 if texts and size + len(text) > chunk_bytes:
                     yield _chunk_rows(number, ids, align_slices(texts, sides))
-                    pool.release_unused()
                     ids, texts, size, number = [], [], 0, number + 1
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
         if texts:
             yield _chunk_rows(number, ids, align_slices(texts, sides))
-            pool.release_unused()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, ALIGNED)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import StudyConfig
 from ..functions.columns import coalesce_columns as coalesce_columns_of, select_containing, tidy_round
 from ..operators import balance, cohort, concepts, cycles, itt, joins, outcomes, propensity, pruning, qc, survival
-from ..session import materialize, new_path, tune
+from ..session import input_bytes, materialize, new_path, size_shuffles, tune
 from ..sources import event_store, surrogate, tables
 from . import study
 from .oracles import oracle_sql as _oracle_sql
@@ -105,7 +105,8 @@ class Inputs:
     """Lazy study inputs of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tune(spark)
+        stored = sum(input_bytes(spark, f"{sf_dir}/{name}.parquet") for name in surrogate.EVENT_TABLES)
+        self.spark = size_shuffles(tune(spark), stored)
         self.coded = concepts.code_events(
             surrogate.clinical_events(spark, sf_dir), surrogate.concept_members(spark, sf_dir)
         )

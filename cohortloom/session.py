@@ -21,6 +21,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Where a session does not say how much a shuffle's task reads: 16 MB, as narrow rows take some 17 times that once sorted
+TASK_BYTES, ADVISORY_BYTES = "16m", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+INPUT_TO_A_PARTITION = 4 << 20
+
 # true: a query's shuffle files are removed when it ends
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -34,6 +39,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> SparkSession:
+    """Let the number of a shuffle's tasks follow the input, so that what one task holds does not.
+
+    AQE merges partitions but splits only skewed ones: a fixed number of them grows with the tables.
+    So shuffles start with one for every INPUT_TO_A_PARTITION bytes of input, if that is more than
+    the session has, and AQE merges them up to TASK_BYTES unless the session names a size.
+    """
+    needed = -(-input_bytes // INPUT_TO_A_PARTITION)
+    if needed > int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(needed))
+    if spark.conf.get(ADVISORY_BYTES, None) is None:
+        spark.conf.set(ADVISORY_BYTES, TASK_BYTES)
+    return spark
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes stored under ``path``, in any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates that the driver and all executors share.
 

@@ -26,6 +26,7 @@ SET_BY_MAX_SIZE = (
     (48, "f_infert"),
     (50, "m_infert"),
 )
+EVENT_TABLES = ("lineitem", "orders")
 ANCESTOR_OFFSET = 1_000_000_000_000
 COHORT_FROM = "1996-01-01"
 COHORT_DEFINITION_ID = 1

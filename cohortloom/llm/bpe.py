@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +32,7 @@ WORDS = regex.compile(
 CHUNKS = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _SAFE_CUT = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 SLICE_CHARS = 1 << 20
+GROUP_CHARS = 4 << 20
 CACHE_CHUNKS = 2_000_000
 _NONE = np.int64(1 << 62)
 
@@ -152,10 +154,10 @@ class Memory:
     """The ids of the keys met last, half of ``room`` of them at least and ``room`` at most.
 
     ``spell`` gives a key's text in up to three parts that are words of their own:
-    an optional line end, the stem, and the full stops and commas behind it.
+    an optional line end, the stem, and the full stops and commas behind it. Without it keys are encoded as they are.
     """
 
-    def __init__(self, encode_chunks: Callable[[Sequence[str]], list[bytes]], spell: Callable[[str], tuple[str, str, str]], room: int):
+    def __init__(self, encode_chunks: Callable[[Sequence[str]], list[bytes]], spell: Callable[[str], tuple[str, str, str]] | None, room: int):
         self.encode_chunks, self.spell, self.room = encode_chunks, spell, room
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -175,6 +177,13 @@ class Memory:
             self.older, self.known = self.known, {}
         fresh = {key: self.older[key] for key in keys if key in self.older}
         new = [key for key in keys if key not in fresh]
+        if self.spell is None:
+            new = [key for key in new if key]
+            fresh[""] = b""
+            for at in range(0, len(new), 50_000):
+                fresh.update(zip(new[at : at + 50_000], self.encode_chunks(new[at : at + 50_000])))
+            self.known.update(fresh)
+            return fresh
         spelt, bases = [], []
         for key in new:
             start, stem, end = self.spell(key)
@@ -211,6 +220,25 @@ def _spell_spaced(key: str) -> tuple[str, str, str]:
     return ("\n", *_ended(key[1:])) if key[:1] == "\n" else ("", *_ended(" " + key))
 
 
+def _stems_and_ends(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Like ``_ended``, for many words at once."""
+    stems = pc.utf8_rtrim(words, ".,")
+    ended = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, "[A-Za-z0-9]$"))
+    ends = pc.replace_substring_regex(words.filter(ended), r"(?s)^.*[^.,]([.,]+)$", r"\1")
+    return pc.if_else(ended, stems, words), pc.replace_with_mask(pa.repeat(pa.scalar("", pa.string()), len(words)), ended, ends)
+
+
+def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat``, whose lengths are ``sizes``, in the order of ``place``, and their lengths."""
+    counts, begin = sizes[place], (np.cumsum(sizes) - sizes)[place]
+    ends = np.cumsum(counts)
+    return flat[np.arange(ends[-1]) + np.repeat(begin - ends + counts, counts)], counts
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk and remembers the ids of the chunks it met last, a fixed number at most.
 
@@ -223,7 +251,8 @@ class ChunkEncoder:
         names = map(regex.escape, sorted(special, key=len, reverse=True))
         self.cut = re.compile("(" + "|".join(names) + ")") if special else None
         self.chunks = Memory(encode_chunks, _spell_chunk, room // 4)
-        self.spaced = Memory(encode_chunks, _spell_spaced, room)
+        self.spaced = Memory(encode_chunks, _spell_spaced, room)  # for callers that look up words themselves
+        self.stems = Memory(encode_chunks, None, room)
 
     def _parts(self, text: str) -> Iterator[str | bytes]:
         """The ids of special tokens, and the stretches between them."""
@@ -244,18 +273,33 @@ class ChunkEncoder:
                 continue
             group.append(text)
             size += len(text)
-            if size > SLICE_CHARS:
+            if size > GROUP_CHARS:
                 yield from self._together(group)
                 group, size = [], 0
         yield from self._together(group)
 
     def _together(self, texts: list[str]) -> Iterator[list[bytes]]:
         plain = [is_plain(text) and not (self.cut and self.cut.search(text)) for text in texts]
-        keys = [text.replace("\n", " \n").split(" ") for text, simple in zip(texts, plain) if simple]
-        heads = iter(self.chunks.fill([[key.pop(0)] for key in keys]))
-        tails = iter(self.spaced.fill(keys))
+        found = iter(self._plain([text for text, simple in zip(texts, plain) if simple]))
         for text, simple in zip(texts, plain):
-            yield [b"".join(next(heads) + next(tails))] if simple else list(self._long(text))
+            yield [next(found)] if simple else list(self._long(text))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts. Distinct words are parted from the full stops and commas behind them, each distinct stem
+        is looked up once for all texts, and the texts' ids are gathered from these."""
+        if not texts:
+            return []
+        marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\t "), "\n", "\t\n\t")  # plain texts have no tabs
+        lists = pc.split_pattern(marked, "\t")
+        bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        stems, ends = _stems_and_ends(words.dictionary)
+        parts = stems.dictionary_encode(), ends.dictionary_encode()
+        ids = self.stems.fill([part.dictionary.to_numpy(zero_copy_only=False).tolist() for part in parts])
+        flat, sizes = _gather(*_flat(ids[0] + ids[1]), np.stack([parts[0].indices.to_numpy(), parts[1].indices.to_numpy() + len(ids[0])], axis=1).ravel())
+        sizes, place = sizes.reshape(-1, 2).sum(axis=1), words.indices.to_numpy()
+        flat, counts = _gather(flat, sizes, place)
+        data, cuts = flat.tobytes(), (4 * np.r_[0, np.cumsum(counts)][bounds]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _long(self, text: str) -> Iterator[bytes]:
         for part in self._parts(text):

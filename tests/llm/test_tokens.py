@@ -59,6 +59,17 @@ def test_long_texts_are_cut_at_word_borders(library, monkeypatch):
         assert np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_ask_for_each_stem_once():
+    """Words with stops, after line ends and at the start used to be looked up, and kept, one by one and apart from their stems."""
+    texts = ["one two. two, two\none., é. é 1. one.a. ... .", "one.", "two two.\ntwo", ".", "a.\n.", "one two. two, two\none., é. é 1. one.a. ... ."]
+    table, asked = bpe.MergeTable(tokenizer_file()), []
+    encoder = bpe.ChunkEncoder(lambda chunks: asked.extend(chunks) or table.encode_chunks(chunks), {})
+    found = [b"".join(parts) for parts in encoder.encode(texts)]
+    assert found == [b"".join(table.encode_chunks([text])) for text in texts]
+    assert len(asked) == len(set(asked)) and not {" two.", " two,", "\none", "one."} & {*asked}
+    assert len(encoder.stems.known) <= len(asked) + 1
+
+
 def test_merge_order_is_checked():
     vocab = {c: n for n, c in enumerate(bpe.byte_characters())} | {"aa": 256, "aab": 257}
     with pytest.raises(ValueError):

@@ -32,7 +32,7 @@ WORDS = regex.compile(
 CHUNKS = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 _SAFE_CUT = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 SLICE_CHARS = 1 << 20
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 1 << 20
 CACHE_CHUNKS = 2_000_000
 _NONE = np.int64(1 << 62)
 

@@ -215,11 +215,6 @@ def _spell_chunk(chunk: str) -> tuple[str, str, str]:
     return "", *_ended(chunk)
 
 
-def _spell_spaced(key: str) -> tuple[str, str, str]:
-    """A word after a space has the word as its key, one after a line end has the line end before it."""
-    return ("\n", *_ended(key[1:])) if key[:1] == "\n" else ("", *_ended(" " + key))
-
-
 def _stems_and_ends(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Like ``_ended``, for many words at once."""
     stems = pc.utf8_rtrim(words, ".,")
@@ -228,11 +223,11 @@ def _stems_and_ends(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.if_else(ended, stems, words), pc.replace_with_mask(pa.repeat(pa.scalar("", pa.string()), len(words)), ended, ends)
 
 
-def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def flat_ids(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
 
 
-def _gather(flat: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(flat: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``flat``, whose lengths are ``sizes``, in the order of ``place``, and their lengths."""
     counts, begin = sizes[place], (np.cumsum(sizes) - sizes)[place]
     ends = np.cumsum(counts)
@@ -251,7 +246,6 @@ class ChunkEncoder:
         names = map(regex.escape, sorted(special, key=len, reverse=True))
         self.cut = re.compile("(" + "|".join(names) + ")") if special else None
         self.chunks = Memory(encode_chunks, _spell_chunk, room // 4)
-        self.spaced = Memory(encode_chunks, _spell_spaced, room)  # for callers that look up words themselves
         self.stems = Memory(encode_chunks, None, room)
 
     def _parts(self, text: str) -> Iterator[str | bytes]:
@@ -295,9 +289,9 @@ class ChunkEncoder:
         stems, ends = _stems_and_ends(words.dictionary)
         parts = stems.dictionary_encode(), ends.dictionary_encode()
         ids = self.stems.fill([part.dictionary.to_numpy(zero_copy_only=False).tolist() for part in parts])
-        flat, sizes = _gather(*_flat(ids[0] + ids[1]), np.stack([parts[0].indices.to_numpy(), parts[1].indices.to_numpy() + len(ids[0])], axis=1).ravel())
+        flat, sizes = gather(*flat_ids(ids[0] + ids[1]), np.stack([parts[0].indices.to_numpy(), parts[1].indices.to_numpy() + len(ids[0])], axis=1).ravel())
         sizes, place = sizes.reshape(-1, 2).sum(axis=1), words.indices.to_numpy()
-        flat, counts = _gather(flat, sizes, place)
+        flat, counts = gather(flat, sizes, place)
         data, cuts = flat.tobytes(), (4 * np.r_[0, np.cumsum(counts)][bounds]).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 

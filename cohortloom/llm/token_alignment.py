@@ -2,9 +2,10 @@
 
 Both tokenizers' tokens of a text are byte ranges of the same bytes. Places where a
 token of either ends cut the text into groups; two tokens are linked if they lie in one
-group. The work inside a task is Arrow's: lists of ids are flattened with their parent
-indices, cumulative sums give the ends, a hash join on (document, end) finds the
-shared ones, and grouped tables count links. Spark merges the partial counts of
+group. The work inside a task is Arrow's: distinct words are looked up once for both
+tokenizers, lists of ids are flattened with their parent indices, cumulative sums give
+the ends, a hash join on (document, end) finds the shared ones, and grouped tables count
+links. Spark merges the partial counts of
 all tasks and brings them back to the documents, chunk by chunk.
 """
 
@@ -22,29 +23,46 @@ import sentencepiece
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from sentencepiece import sentencepiece_model_pb2 as piece_model
 
 from ..session import materialize
-from .bpe import ChunkEncoder, byte_characters, is_plain
+from .bpe import ChunkEncoder, Memory, byte_characters, flat_ids, gather, is_plain
 
 CHUNK_BYTES = 1 << 20
 SLICE_CHARS = 1 << 19  # a chunk is aligned in slices of whole texts; a longer text is a slice alone
-ROOM = 1_000_000  # words whose ids a worker remembers
+ROOM = 1_000_000  # words whose ids, of both tokenizers, a worker remembers
 LINES = 500
 SPACE = "▁"
+SECOND = np.uint32(1 << 31)  # marks the second tokenizer's ids among those of a word
 
 
 @dataclass(frozen=True)
 class Side:
-    """One tokenizer: ids of many texts that each stand after a space, and the bytes of every id."""
+    """One tokenizer: ids of many texts that each stand after a space, and the bytes of every id.
+
+    ``words`` gives the ids of words that each start with a space or a line end, as they
+    have them inside a text, one after the other, and how many each word has. It is None
+    for a tokenizer whose tokens may cross words.
+    """
 
     encode: Callable[[Sequence[str]], list[np.ndarray]]
+    words: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]] | None
     token_bytes: pa.Array
     digits: pa.Array
 
 
-def _side(encode: Callable[[Sequence[str]], list[np.ndarray]], token_bytes: list[bytes]) -> Side:
+def _side(encode: Callable, words: Callable | None, token_bytes: list[bytes]) -> Side:
     digits = [str(number) for number in range(len(token_bytes))]
-    return Side(encode, pa.array(token_bytes, pa.large_binary()), pa.array(digits, pa.string()))
+    return Side(encode, words, pa.array(token_bytes, pa.large_binary()), pa.array(digits, pa.string()))
+
+
+def _word_by_word(texts: list[np.ndarray], starts: Callable[[np.ndarray], np.ndarray], keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts of words, without what stands before a text's first one, and how many each word has."""
+    begins = [starts(ids) for ids in texts]
+    counts = np.concatenate([np.diff(begin, append=len(ids)) for ids, begin in zip(texts, begins)])
+    if len(counts) != len(keys):
+        raise ValueError("this tokenizer does not keep words apart")
+    return np.concatenate([ids[begin[0] :] for ids, begin in zip(texts, begins)]), counts
 
 
 def byte_level_side(content: str) -> Side:
@@ -80,32 +98,93 @@ def byte_level_side(content: str) -> Side:
     encoder = ChunkEncoder(chunks, {}, ROOM)
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        """Texts of single spaces and line ends between words are all words after a space or line end; these are looked up together."""
-        plain = [is_plain(text) for text in texts]
-        words = iter(encoder.spaced.fill([text.replace("\n", " \n").split(" ") for text, simple in zip(texts, plain) if simple]))
-        whole = encoder.encode([" " + text for text, simple in zip(texts, plain) if not simple])
-        return [np.frombuffer(b"".join(next(words) if simple else next(whole)), dtype="<u4") for simple in plain]
+        return [np.frombuffer(b"".join(parts), dtype="<u4") for parts in encoder.encode([" " + text for text in texts])]
+
+    def words(keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A line end is put before the words that have none, and its token taken off again."""
+        added = np.array([key[0] != "\n" for key in keys])
+        lines = ["\n" + key if more else key for key, more in zip(keys, added)]
+        texts = ids(["".join(lines[at : at + LINES]) for at in range(0, len(lines), LINES)])
+        flat, counts = _word_by_word(texts, lambda found: np.flatnonzero(found == line_end), keys)
+        return np.delete(flat, (np.cumsum(counts) - counts)[added]), counts - added
+
+    return _side(encode, words, token_bytes)
+
 
-    return _side(encode, token_bytes)
+def _cuts_words(model: bytes) -> bool:
+    """Whether a word's pieces are the same in any text: merges that never cross a space or line end, characters left as they are."""
+    parsed = piece_model.ModelProto.FromString(model)
+    trainer, normalizer = parsed.trainer_spec, parsed.normalizer_spec
+    kept = normalizer.add_dummy_prefix and normalizer.escape_whitespaces and not normalizer.precompiled_charsmap
+    merges = trainer.model_type == trainer.BPE and trainer.byte_fallback and not trainer.treat_whitespace_as_suffix
+    return kept and merges and not any(SPACE in one.piece.lstrip(SPACE) or "\n" in one.piece[1:] for one in parsed.pieces)
 
 
 def piece_side(model: bytes) -> Side:
-    """A sentencepiece model that puts a space before the text; the library encodes whole texts."""
+    """A sentencepiece model that puts a space before the text; the library encodes whole texts, or many words as one text."""
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
     count = processor.get_piece_size()
     names = [processor.id_to_piece(number) for number in range(count)]
     byte_of = {number: bytes([int(names[number][3:5], 16)]) for number in range(count) if processor.is_byte(number)}
     token_bytes = [byte_of.get(n, name.replace(SPACE, " ").encode()) for n, name in enumerate(names)]
+    starts_word = np.array([one[:1] in (b" ", b"\n") for one in token_bytes])
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(found, dtype="<u4") for found in processor.encode(list(texts), num_threads=1)]
 
-    return _side(encode, token_bytes)
+    def words(keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The space before a text goes to a word that is left out again."""
+        texts = encode(["x" + "".join(keys[at : at + LINES]) for at in range(0, len(keys), LINES)])
+        return _word_by_word(texts, lambda found: np.flatnonzero(starts_word[found])[1:], keys)
+
+    return _side(encode, words if _cuts_words(model) else None, token_bytes)
+
+
+class Pair:
+    """Both tokenizers, and the words they met last: each with the first one's ids and, marked, the second one's.
+
+    Texts whose only white space is single spaces and line ends between words are
+    cut by these in Arrow; each distinct word of all of them is looked up once, and
+    encoded by both libraries if it is new. Other texts go to the tokenizers whole.
+    """
+
+    def __init__(self, sides: Sequence[Side]):
+        self.sides = tuple(sides)
+        self.words = Memory(self._both, None, ROOM) if all(side.words for side in sides) else None
+
+    def _both(self, keys: Sequence[str]) -> list[bytes]:
+        (a, n_a), (b, n_b) = (side.words(keys) for side in self.sides)
+        place = np.arange(2 * len(keys)).reshape(2, -1).T.ravel()
+        flat, _ = gather(np.concatenate([a, b | SECOND]), np.concatenate([n_a, n_b]), place)
+        data, ends = flat.tobytes(), (4 * np.cumsum(n_a + n_b)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts: Sequence[str]) -> list[list[np.ndarray]]:
+        """For each tokenizer the ids of every text."""
+        plain = [self.words is not None and is_plain(text) and SPACE not in text for text in texts]
+        cut = self._by_words([text for text, simple in zip(texts, plain) if simple])
+        whole = [side.encode([text for text, simple in zip(texts, plain) if not simple]) for side in self.sides]
+        return [[next(one if simple else other) for simple in plain] for one, other in zip(map(iter, cut), map(iter, whole))]
+
+    def _by_words(self, texts: Sequence[str]) -> list[list[np.ndarray]]:
+        if not texts:
+            return [[], []]
+        spaced = pa.array([" " + text for text in texts], pa.large_string())
+        marked = pc.replace_substring(pc.replace_substring(spaced, " ", "\t "), "\n", "\t\n")  # plain texts have no tabs
+        lists = pc.split_pattern(marked, "\t")  # the first word of each is empty
+        words = lists.flatten().dictionary_encode()
+        (ids,) = self.words.fill([words.dictionary.to_numpy(zero_copy_only=False).tolist()])
+        flat, counts = gather(*flat_ids(ids), words.indices.to_numpy())
+        bounds = np.concatenate([[0], np.cumsum(counts)])[lists.offsets.to_numpy()]
+        second = flat >= SECOND
+        before = np.concatenate([[0], np.cumsum(second)])[bounds]
+        parts = [(flat[~second], (bounds - before).tolist()), (flat[second] ^ SECOND, before.tolist())]
+        return [[found[a:b] for a, b in zip(cuts, cuts[1:])] for found, cuts in parts]
 
 
 @lru_cache(maxsize=1)
-def _sides(byte_level: str, pieces: bytes) -> tuple[Side, Side]:
-    return byte_level_side(byte_level), piece_side(pieces)
+def _sides(byte_level: str, pieces: bytes) -> Pair:
+    return Pair((byte_level_side(byte_level), piece_side(pieces)))
 
 
 @dataclass(frozen=True)
@@ -165,10 +244,10 @@ class Aligned:
     pairs: pa.Table
 
 
-def align(texts: Sequence[str], sides: Sequence[Side]) -> Aligned:
+def align(texts: Sequence[str], pair: Pair) -> Aligned:
     """Groups and links of texts, all at once."""
-    count = len(texts)
-    encoded = [side.encode(texts) for side in sides]
+    count, sides = len(texts), pair.sides
+    encoded = pair.encode(texts)
     spelt = [(" " + text).encode() if text else b"" for text in texts]
     a, b = (Tokens.of(side, lists) for side, lists in zip(sides, encoded))
     good = _agreeing(spelt, (a, b))
@@ -212,7 +291,7 @@ def align(texts: Sequence[str], sides: Sequence[Side]) -> Aligned:
     return Aligned(n_a, n_b, n_groups, n_links, hashes, pairs)
 
 
-def align_slices(texts: Sequence[str], sides: Sequence[Side], slice_chars: int = SLICE_CHARS) -> Aligned:
+def align_slices(texts: Sequence[str], pair: Pair, slice_chars: int = SLICE_CHARS) -> Aligned:
     """The same as ``align`` for texts of a chunk, slice by slice, so that the flat tables of tokens are those of one slice."""
     slices, size = [[]], 0
     for text in texts:
@@ -223,7 +302,7 @@ def align_slices(texts: Sequence[str], sides: Sequence[Side], slice_chars: int =
         size += len(text)
     found, pairs, before = [], [], 0
     for part in slices:
-        found.append(align(part, sides))
+        found.append(align(part, pair))
         held = found[-1].pairs
         pairs.append(held.set_column(0, "doc", pc.add(held["doc"], before)))
         before += len(part)
@@ -281,20 +360,20 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: bytes, chunk_bytes:
     shared = docs.sparkSession.sparkContext.broadcast((byte_level, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = _sides(*shared.value)
+        pair = _sides(*shared.value)
         number = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 text = text or ""
                 if texts and size + len(text) > chunk_bytes:
-                    yield _chunk_rows(number, ids, align_slices(texts, sides))
+                    yield _chunk_rows(number, ids, align_slices(texts, pair))
                     ids, texts, size, number = [], [], 0, number + 1
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield _chunk_rows(number, ids, align_slices(texts, sides))
+            yield _chunk_rows(number, ids, align_slices(texts, pair))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, ALIGNED)

@@ -294,6 +294,56 @@ def test_sides_encode_like_the_libraries():
         assert [ids.tolist() for ids in found] == [side(text)[0] for text in texts]
 
 
+def test_words_go_to_the_piece_model_once(monkeypatch):
+    """Texts of words that were met before ask the library for nothing."""
+    asked = []
+
+    class Counting(sentencepiece.SentencePieceProcessor):
+        def encode(self, texts, **options):
+            asked.append(sum(map(len, texts)))
+            return super().encode(texts, **options)
+
+    monkeypatch.setattr(alignment.sentencepiece, "SentencePieceProcessor", Counting)
+    sides = alignment._sides.__wrapped__(tokenizer_file(), model_file())
+    texts = ["the same words\nagain and\nthe end, " * 20 + "été", "the end\nagain"]
+    first = alignment.align(texts, sides)
+    once = sum(asked)
+    assert once < 100
+    assert alignment.align(texts[::-1], sides).hashes == first.hashes[::-1]
+    assert sum(asked) == once
+
+
+@pytest.mark.parametrize("room", [alignment.ROOM, 40])
+def test_both_sides_by_words_encode_like_the_libraries(monkeypatch, room):
+    """Words after spaces and line ends, marks that stand for spaces, words forgotten and met again, texts of all kinds together."""
+    monkeypatch.setattr(alignment, "ROOM", room)
+    pair = alignment._sides.__wrapped__(tokenizer_file(), model_file())
+    texts = [text for _, text, *_ in documents()[:150] + odd_documents() if text] + list(ALIGN)
+    texts += ["a\nb c\n日本 d", "x", "a ▁b\nc", "\x1c a\n\x1c\nb", "'s 's\n's 'll\n12 3", "<s> </s>\n<unk> <0x0A>", "é\n\U0001f600 \u0301 x\u0301"]
+    for some in (texts, texts[::-1], texts[:0]):
+        for side, found in zip(plain_sides(), pair.encode(some)):
+            assert [ids.tolist() for ids in found] == [side(text)[0] for text in some]
+
+
+@pytest.mark.parametrize("change", ["piece", "line", "rules", "unknown"])
+def test_models_whose_pieces_may_cross_words_encode_whole_texts(change):
+    model = alignment.piece_model.ModelProto.FromString(model_file())
+    if change in ("piece", "line"):
+        model.pieces.add(piece={"piece": "e▁t", "line": "e\nt"}[change], score=0, type=4)  # a string of the user's, found before any merge
+    if change == "rules":
+        model.normalizer_spec.precompiled_charsmap = b"\0\0\0\0"
+    if change == "unknown":
+        model.trainer_spec.byte_fallback = False
+    assert alignment._cuts_words(model_file()) and not alignment._cuts_words(model.SerializeToString())
+    if change in ("piece", "line"):
+        texts = ["the tall tree the\ntall", "one two"]
+        pair = alignment._sides.__wrapped__(tokenizer_file(), model.SerializeToString())
+        library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        found = [ids.tolist() for ids in pair.encode(texts)[1]]
+        assert found == library.encode(texts)
+        assert len(model.pieces) - 1 in found[0]
+
+
 def test_chunks_are_aligned_in_slices(monkeypatch):
     """The tables of one slice at a time, and rows as if the chunk were aligned whole."""
     texts = ["", "a few words", "été 1999\n  spaces", "x" * 300, "more of the same words, " * 30, "", "the end"] * 3

@@ -23,7 +23,11 @@ import sentencepiece
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from sentencepiece import sentencepiece_model_pb2 as piece_model
+
+try:
+    from sentencepiece import sentencepiece_model_pb2 as piece_model
+except ImportError:  # it needs protobuf, which the library itself does not
+    piece_model = None
 
 from ..session import materialize
 from .bpe import ChunkEncoder, Memory, byte_characters, flat_ids, gather, is_plain
@@ -31,6 +35,7 @@ from .bpe import ChunkEncoder, Memory, byte_characters, flat_ids, gather, is_pla
 CHUNK_BYTES = 1 << 20
 SLICE_CHARS = 1 << 19  # a chunk is aligned in slices of whole texts; a longer text is a slice alone
 ROOM = 1_000_000  # words whose ids, of both tokenizers, a worker remembers
+LONG = 1000  # bytes of a word; longer ones are not remembered
 LINES = 500
 SPACE = "▁"
 SECOND = np.uint32(1 << 31)  # marks the second tokenizer's ids among those of a word
@@ -113,6 +118,8 @@ def byte_level_side(content: str) -> Side:
 
 def _cuts_words(model: bytes) -> bool:
     """Whether a word's pieces are the same in any text: merges that never cross a space or line end, characters left as they are."""
+    if piece_model is None:
+        return False
     parsed = piece_model.ModelProto.FromString(model)
     trainer, normalizer = parsed.trainer_spec, parsed.normalizer_spec
     kept = normalizer.add_dummy_prefix and normalizer.escape_whitespaces and not normalizer.precompiled_charsmap
@@ -173,7 +180,10 @@ class Pair:
         marked = pc.replace_substring(pc.replace_substring(spaced, " ", "\t "), "\n", "\t\n")  # plain texts have no tabs
         lists = pc.split_pattern(marked, "\t")  # the first word of each is empty
         words = lists.flatten().dictionary_encode()
-        (ids,) = self.words.fill([words.dictionary.to_numpy(zero_copy_only=False).tolist()])
+        keys, long = words.dictionary, pc.greater(pc.binary_length(words.dictionary), LONG)
+        (ids,) = self.words.fill([pc.if_else(long, "", keys).to_numpy(zero_copy_only=False).tolist()])
+        for at in np.flatnonzero(long).tolist():
+            (ids[at],) = self._both([keys[at].as_py()])
         flat, counts = gather(*flat_ids(ids), words.indices.to_numpy())
         bounds = np.concatenate([[0], np.cumsum(counts)])[lists.offsets.to_numpy()]
         second = flat >= SECOND

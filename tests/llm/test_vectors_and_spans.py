@@ -311,6 +311,8 @@ def test_words_go_to_the_piece_model_once(monkeypatch):
     assert once < 100
     assert alignment.align(texts[::-1], sides).hashes == first.hashes[::-1]
     assert sum(asked) == once
+    sides.encode(["so " + "long" * 400 + " a word"])
+    assert max(map(len, [*sides.words.known, *sides.words.older])) < 100  # words of any length take no lasting memory
 
 
 @pytest.mark.parametrize("room", [alignment.ROOM, 40])

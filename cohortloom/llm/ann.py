@@ -3,11 +3,11 @@
 Largest inner product becomes least Euclidean distance by one more coordinate,
 ``sqrt(M^2 - |x|^2)`` with the largest norm M. A bounded sample is halved again
 and again at the median between two means, so all lists are of one size; the
-means of the parts are the centroids. They form a small neighbour graph that is
-sent to the tasks (``MAX_LISTS`` bounds it). Every vector is indexed in the list
-of its nearest centroid and, near a border, in further ones. A query reads all
-lists whose centroids are at most a ratio farther than its nearest, however many
-these are, and scores are exact inner products of the original vectors.
+means of the parts are the centroids, which are sent to the tasks (``MAX_LISTS``
+bounds them). Every vector is indexed in the list of its nearest centroid and,
+near a border, in further ones. A query reads all lists whose centroids are at
+most a ratio farther than its nearest, however many these are, and scores are
+exact inner products of the original vectors.
 
 Both ratios are read off the sample: the border's from the copies that are to be
 kept on average, the queries' from where the neighbours of some of the sample's
@@ -15,14 +15,21 @@ vectors, found by brute force in it, are listed. Neighbours in all rows are clos
 than those in a sample, so the ratio errs to reading more.
 
 Equal vectors are one entry of the index, with the least ``k + 1`` of their
-ids: no more can be among ``k`` neighbours. Lists and their queries are dealt in
-blocks, so a long list is many tasks.
+ids: no more can be among ``k`` neighbours. An entry is kept once, with the numbers
+of its lists, in the section of its nearest one: a section is a run of lists, which
+lie side by side in the order of the halving. A query is sent once, with its
+greatest distance, to each section that may hold an entry of a list it reads, and
+reads the lists there: neither vectors nor rows are made for each list. Where the
+lists that are read hold an entry several times over, all of the section are scored
+instead. Queries go round by round, as many at a time as a section has entries, so
+what is shuffled at a time is some times the entries, whatever the number of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,97 +40,75 @@ from ..session import materialize
 SAMPLE_ROWS = 1 << 16  # the index is fitted on at most about so many vectors,
 SAMPLE_VALUES = 1 << 22  # and so many components
 MAX_LISTS = 1 << 14  # centroids that are sent to the tasks, within SAMPLE_VALUES components as well
-BLOCK_ROWS = 4096
-LIVE_DISTANCES = 1 << 22  # distances a task holds at a time: 16 MB
+LIVE_DISTANCES = 1 << 22  # distances or scores a task holds at a time: 16 to 32 MB
+SECTION_VALUES = 1 << 22  # components of a section's entries on average, at most
+SECTION_ROWS = 2048  # and entries at least, where a few queries would allow for more sections
+MAX_SECTIONS = 1024  # unless SECTION_VALUES asks for more
 
 
 @dataclass(frozen=True)
 class Settings:
     """list_rows: vectors to a list before borders are replicated. copies: lists that hold a vector, on average.
-    sought: share of the sample queries' neighbours that must lie in the lists read."""
+    sought: share of the sample queries' neighbours that must lie in the lists read. section_values: components
+    of the entries that one task holds, on average."""
 
     list_rows: int = 256
     copies: float = 3.0
     sought: float = 0.95
-    degree: int = 16
-    beam: int = 64
     seed: int = 11
+    section_values: int = SECTION_VALUES
 
 
 SAMPLE_QUERIES = 400
 
 
 class CentroidGraph:
-    """Centroids with their nearest neighbours as edges, searched best first for many points at once."""
+    """Centroids, and the distances of points to all of them: one product of matrices, where a best-first
+    search over neighbouring centroids looked at all distances again in every step. So degree and beam,
+    the search's, no longer matter."""
 
-    def __init__(self, centroids: np.ndarray, degree: int, beam: int):
-        self.centroids = centroids.astype(np.float32)
+    def __init__(self, centroids: np.ndarray, degree: int = 0, beam: int = 0):
+        self.centroids = np.asarray(centroids, dtype=float)
         self.square = (self.centroids**2).sum(axis=1)
-        count = len(centroids)
-        self.beam = min(beam, count)
-        degree = min(degree, max(1, count - 1))
-        self.edges = np.empty((count, degree + 1), dtype=np.int64)
-        for start in range(0, count, 1024):
-            part = self.centroids[start : start + 1024]
-            distance = self.square - 2 * part @ self.centroids.T
-            distance[np.arange(len(part)), np.arange(start, start + len(part))] = -np.inf
-            take = min(degree + 1, count)
-            self.edges[start : start + 1024, :take] = np.argpartition(distance, take - 1, axis=1)[:, :take]
-            self.edges[start : start + 1024, take:] = self.edges[start : start + 1024, :1]
-        # entries: spread over the order of the halving, in which neighbours are parts of one half
-        self.entries = np.unique(np.linspace(0, count - 1, self.beam).astype(np.int64))
-
-    def distances(self, points: np.ndarray, ratio: float) -> np.ndarray:
-        """Distances of points to the centroids that the search met, infinite for the others.
-
-        Best first: a point opens its nearest unopened centroid until the ``beam`` nearest met ones
-        and all within ``1 + ratio`` times the nearest are open.
-        """
-        points = points.astype(np.float32)
-        own = (points**2).sum(axis=1)
-        far = np.full((len(points), len(self.centroids)), np.inf, dtype=np.float32)
-        far[:, self.entries] = np.maximum(self.square[self.entries] - 2 * points @ self.centroids[self.entries].T + own[:, None], 0)
-        waiting = far.copy()  # infinite once open
-        live, size = np.arange(len(points)), len(self.entries)
-        while len(live):
-            best = waiting[live].argmin(axis=1)
-            value = waiting[live, best]
-            limit = np.maximum(far[live].min(axis=1) * (1 + ratio) ** 2, np.partition(far[live], size - 1, axis=1)[:, size - 1])
-            going = np.isfinite(value) & (value <= limit)
-            live, best = live[going], best[going]
-            if not len(live):
-                break
-            waiting[live, best] = np.inf
-            around = self.edges[best]
-            fresh = np.isinf(far[live[:, None], around])
-            dots = np.einsum("ijk,ik->ij", self.centroids[around], points[live])
-            found = np.maximum(self.square[around] - 2 * dots + own[live][:, None], 0)
-            row, at = np.nonzero(fresh)
-            far[live[row], around[row, at]] = waiting[live[row], around[row, at]] = found[row, at]
-        return np.sqrt(far)
+        self.slack = 1e-6 * max(1.0, float(np.sqrt(self.square.max())))  # far above the rounding of a distance
+
+    def every_distance(self, points: np.ndarray, only: np.ndarray | slice = slice(None)) -> np.ndarray:
+        points = np.asarray(points, dtype=float)
+        far = points @ self.centroids[only].T
+        far *= -2
+        far += self.square[only]
+        far += (points**2).sum(axis=1)[:, None]
+        return np.sqrt(np.maximum(far, 0, out=far), out=far)
+
+    def steps(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, distances) of so many points at a time as LIVE_DISTANCES allows."""
+        step = max(1, LIVE_DISTANCES // len(self.centroids))
+        for start in range(0, len(points), step):
+            yield start, self.every_distance(points[start : start + step])
 
-    def lists(self, points: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, whether it is among the nearest): all lists met that are at most ``1 + ratio`` times as far as the nearest.
+    def limits(self, far: np.ndarray, ratio: float) -> np.ndarray:
+        return (1 + ratio) * far.min(axis=1) + self.slack
+
+    def near_limits(self, far: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Of n lists of a point the nearest are the square root of n: the distance of the last of these."""
+        count = np.maximum((far <= limit[:, None]).sum(axis=1), 1)
+        last = np.ceil(np.sqrt(count)).astype(np.int64) - 1
+        return np.sort(far, axis=1)[np.arange(len(far)), last] + self.slack
 
-        Of n lists of a point the nearest are the square root of n.
-        """
+    def lists(self, points: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, whether it is among the nearest): all lists that are at most ``1 + ratio`` times as far as the nearest, which comes first."""
         found: list[list[np.ndarray]] = [[], [], []]
-        step = max(1, LIVE_DISTANCES // len(self.centroids))
-        for start in range(0, len(points), step):
-            far = self.distances(points[start : start + step], ratio)
-            row, at = np.nonzero(far <= (1 + ratio) * far.min(axis=1, keepdims=True) + 1e-6)
+        for start, far in self.steps(points):
+            limit = self.limits(far, ratio)
+            row, at = np.divmod(np.flatnonzero(far <= limit[:, None]), far.shape[1])
             order = np.lexsort((far[row, at], row))
             row, at = row[order], at[order]
-            count = np.bincount(row, minlength=far.shape[0])
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            for part, values in zip(found, (row + start, at, place < np.ceil(np.sqrt(count))[row])):
+            near = place < np.ceil(np.sqrt(np.bincount(row, minlength=len(far))))[row]
+            for part, values in zip(found, (row + start, at, near)):
                 part.append(values)
         return tuple(np.concatenate(part) if part else np.zeros(0, dtype=np.int64) for part in found)
 
-    def every_distance(self, points: np.ndarray) -> np.ndarray:
-        points = points.astype(np.float32)
-        return np.sqrt(np.maximum(self.square - 2 * points @ self.centroids.T + (points**2).sum(axis=1)[:, None], 0))
-
 
 def border_ratio(graph: CentroidGraph, points: np.ndarray, copies: float) -> float:
     """How much farther than its nearest a list may be to hold a vector, for ``copies`` lists on average."""
@@ -183,7 +168,7 @@ def _usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return values.reshape(len(column), -1)
 
 
@@ -198,6 +183,88 @@ def _lengthened(vectors: np.ndarray, largest: float) -> np.ndarray:
     return np.concatenate([vectors * (largest / norm), np.zeros((len(vectors), 1))], axis=1)
 
 
+class Block:
+    """Entries of a section and what its queries find among them.
+
+    Products of single-precision unit vectors rule out what is more than their rounding below the last of the
+    ``take`` best, or below a score that is known to be reached; the rest is scored in doubles.
+    """
+
+    def __init__(self, entries: pa.Table, graph: CentroidGraph, largest: float, take: int):
+        self.points, self.first = _matrix(entries["vec"].combine_chunks()), entries["first"].to_numpy()
+        self.graph, self.largest, self.take = graph, largest, take
+        self.scaled = (self.points / largest).astype(np.float32)
+        self.rounding = (self.points.shape[1] + 8) * 2.0**-22
+        lists = entries["lists"].combine_chunks()
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(values, kind="stable")
+        self.present, self.start = np.unique(values[order], return_index=True)
+        self.members, self.count = owner[order], np.diff(self.start, append=len(order))
+
+    def found(self, asks: np.ndarray, limit: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of a query, entry, score) of the best in the lists within the queries' limits that reach their bounds, queries in order."""
+        step = max(1, LIVE_DISTANCES // len(self.present))
+        for start in range(0, len(asks), step):
+            some = slice(start, start + step)
+            row, at, score = self._found(asks[some], limit[some], bound[some])
+            yield row + start, at, score
+
+    def _found(self, asks: np.ndarray, limit: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        reads = self.graph.every_distance(_lengthened(asks, self.largest), self.present) <= limit[:, None]
+        norm = np.sqrt((asks**2).sum(axis=1))
+        unit = (asks / norm[:, None]).astype(np.float32)
+        scale = norm * self.largest
+        low = bound / scale - self.rounding
+        if (reads.sum(axis=0) * self.count).sum() >= len(asks) * len(self.points):
+            pairs = iter([(np.flatnonzero(reads.any(axis=1)), np.arange(len(self.points)))])
+        else:
+            read = np.flatnonzero(reads.any(axis=0))
+            pairs = ((np.flatnonzero(reads[:, n]), self.members[self.start[n] : self.start[n] + self.count[n]]) for n in read)
+        best: tuple[np.ndarray, ...] = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        codes: list[np.ndarray] = []
+        waiting = 0
+
+        def settle() -> None:
+            """Score what waits and keep the best of every query, of equal ones the smaller ids."""
+            nonlocal best, waiting
+            row, at = np.divmod(np.unique(np.concatenate([best[0] * len(self.points) + best[1], *codes])), len(self.points))
+            score = np.empty(len(row))
+            slices = max(1, LIVE_DISTANCES // asks.shape[1])
+            for start in range(0, len(row), slices):
+                some = slice(start, start + slices)
+                score[some] = np.einsum("ij,ij->i", asks[row[some]], self.points[at[some]])
+            order = np.lexsort((self.first[at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            last = place == self.take - 1
+            low[row[last]] = np.maximum(low[row[last]], score[last] / scale[row[last]] - self.rounding)
+            keep = place < self.take
+            best = (row[keep], at[keep], score[keep])
+            codes.clear()
+            waiting = 0
+
+        for rows, entries in pairs:
+            width = max(1, LIVE_DISTANCES // max(1, len(rows)))
+            for start in range(0, len(entries), width):
+                some = entries[start : start + width]
+                part = unit[rows] @ self.scaled[some].T
+                least = low[rows]
+                blind = np.flatnonzero(np.isinf(least))
+                if len(blind):
+                    last = max(0, len(some) - self.take)
+                    least[blind] = np.partition(part[blind], last, axis=1)[:, last] - 2 * self.rounding
+                    if len(some) >= self.take:
+                        low[rows[blind]] = least[blind]
+                row, at = np.divmod(np.flatnonzero(part >= least.astype(np.float32)[:, None]), len(some))
+                codes.append(rows[row] * len(self.points) + some[at])
+                waiting += len(row)
+                if waiting >= LIVE_DISTANCES // 4:
+                    settle()
+        settle()
+        return best
+
+
 def nearest_neighbours(
     vectors: DataFrame, query: Column, k: int = 20, settings: Settings = Settings(), key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -209,9 +276,10 @@ def nearest_neighbours(
     is searched with each, and none of them is its neighbour. Ties go to the
     smaller id. An empty table gives an empty result; other columns are not read.
     """
-    double = F.col(vector).cast("array<double>")
+    single = vectors.select(F.col(vector).alias("v")).dtypes[0][1] == "array<float>"  # half the bytes, with the same values
+    kind = "array<float>" if single else "array<double>"
     rows = vectors.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), double.alias("vec"), query.alias("is_query")
+        F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vec"), query.alias("is_query")
     ).where(_usable(F.col("vec")))
     lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = lengths[0]["n"] if lengths else 0
@@ -227,7 +295,7 @@ def nearest_neighbours(
         .where(F.col("vec") == F.col("same")).select("id", "h", "first", "vec"), "queries",
     )
 
-    count, largest = entries.agg(F.count("h"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    count, largest = entries.agg(F.count("h"), F.max(F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not count:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -235,85 +303,117 @@ def nearest_neighbours(
     share = min(1.0, min(SAMPLE_ROWS, most) / count)
     chosen = F.pmod(F.xxhash64("vec", F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     taken = entries.where(chosen).select("vec").orderBy("vec").toArrow()["vec"].combine_chunks()
-    sample = _matrix(taken) if len(taken) else np.array([entries.select("vec").first()["vec"]])
+    sample = _matrix(taken) if len(taken) else np.array([entries.select("vec").first()["vec"]], dtype=float)
     lists = max(1, min(MAX_LISTS, most, count // settings.list_rows, len(sample)))
-    graph = CentroidGraph(balanced_centroids(_augmented(sample, largest), lists, settings.seed), settings.degree, settings.beam)
+    graph = CentroidGraph(balanced_centroids(_augmented(sample, largest), lists, settings.seed))
     border = border_ratio(graph, _augmented(sample[: 4 * SAMPLE_QUERIES], largest), settings.copies)
     ratio = search_ratio(graph, sample, largest, border, k, settings.sought, settings.seed)
     shared = vectors.sparkSession.sparkContext.broadcast(graph)
 
-    def place(is_query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                points = _matrix(batch["vec"])
-                if is_query:
-                    row, at, near = shared.value.lists(_lengthened(points, largest), ratio)
-                else:
-                    row, at, near = shared.value.lists(_augmented(points, largest), border)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int64()), pa.array(near.astype(bool))], [*batch.schema.names, "list", "near"])
-        return run
-
-    held = "h long, first long, vec array<double>, list long, near boolean"
-    postings = materialize(entries.select("h", "first", "vec").mapInArrow(place(False), held), "postings")
-    probes = materialize(queries.select("h", "first", "vec").distinct().mapInArrow(place(True), held), "probes")
-
-    sizes = [
-        part.groupBy("list").agg(F.ceil(F.count("h") / BLOCK_ROWS).cast("int").alias(blocks))
-        for part, blocks in ((postings, "p_blocks"), (probes, "q_blocks"))
-    ]
-    blocks = materialize(sizes[0].join(sizes[1], "list"), "blocks")
-    # every block of a list meets every block of its queries
-    p_own = F.pmod(F.xxhash64("h", "first"), F.col("p_blocks")).cast("int")
-    q_own = F.pmod(F.xxhash64("first", "h"), F.col("q_blocks")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = postings.join(blocks, "list").select("list", p_own.alias("p"), every("q_blocks").alias("q"), "h", "first", "vec")
-
-    def asking(found: DataFrame, bound: Column) -> DataFrame:
-        return found.join(blocks, "list").select("list", every("p_blocks").alias("p"), q_own.alias("q"), "h", "first", "vec", bound.alias("bound"))
-
-    def score(listed: pa.Table, probing: pa.Table) -> pa.Table:
+    # sections: so few that sending the queries to all of them takes no more than the entries, so many that a task can hold one
+    rows_held = max(1, settings.section_values // dim)
+    asked_for = queries.select("h", "first", "vec").distinct()
+    asking = asked_for.count()
+    sections = max(-(-count // rows_held), min(count // max(1, asking), -(-count // SECTION_ROWS), MAX_SECTIONS))
+    sections = max(1, min(lists, sections))
+    section_of = np.arange(lists) * sections // lists
+    begin = np.searchsorted(section_of, np.arange(sections))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, _ = shared.value.lists(_augmented(_matrix(batch["vec"]), largest), border)
+            ends = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
+            home = pa.array(section_of[at[ends[:-1]]].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, home, listed], [*batch.schema.names, "section", "lists"])
+
+    held = f"h long, first long, vec {kind}"
+    postings = materialize(
+        entries.select("h", "first", "vec").mapInArrow(place, f"{held}, section int, lists array<int>"), "postings"
+    )
+    sizes = postings.groupBy("section").agg(F.ceil(F.count("h") / (2 * rows_held)).cast("int").alias("blocks"))
+    blocks = materialize(sizes, "blocks")
+    # whether entries of a section are in lists of another one
+    beside = np.zeros((sections, sections), dtype=np.float32)
+    listed = postings.select("section", F.explode("lists").alias("list")).select(
+        "section", F.floor(F.col("list") * F.lit(sections) / F.lit(lists)).cast("int").alias("of")
+    ).distinct().toArrow()
+    beside[listed["of"].to_numpy(), listed["section"].to_numpy()] = 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, far in shared.value.steps(_lengthened(_matrix(batch["vec"]), largest)):
+                limit = shared.value.limits(far, ratio)
+                near = shared.value.near_limits(far, limit)
+                columns = []
+                for bound, joined in ((near, None), (limit, beside)):
+                    met = np.logical_or.reduceat(far <= bound[:, None], begin, axis=1)
+                    met = met if joined is None else met.astype(np.float32) @ joined > 0
+                    row, at = np.nonzero(met)
+                    ends = np.searchsorted(row, np.arange(len(far) + 1)).astype(np.int32)
+                    columns += [pa.array(bound), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))]
+                part = batch.slice(start, len(far))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*batch.schema.names, "near", "near_sections", "limit", "sections"])
+
+    reading = "near double, near_sections array<int>, limit double, sections array<int>"
+    probes = materialize(asked_for.mapInArrow(ask, f"{held}, {reading}"), "probes")
+
+    # a section of more entries than usual is parted, and its queries go to every part
+    p_own = F.pmod(F.xxhash64("h", "first"), F.col("blocks")).cast("int").alias("p")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p")
+
+    def met(listed: Column, probing: DataFrame, found, schema: str) -> DataFrame:
+        """What ``found`` gives for the entries of a section, in the lists that count, and its queries."""
+        left = postings.join(blocks, "section").select("section", p_own, "h", "first", "vec", listed.alias("lists"))
+        right = probing.join(blocks, "section").select("section", every, "h", "first", "vec", "limit", "bound")
+        return left.groupBy("section", "p").cogroup(right.groupBy("section", "p")).applyInArrow(found, schema)
+
+    def searched(listed: pa.Table, probing: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        asks = _matrix(probing["vec"].combine_chunks())
+        block = Block(listed, shared.value, largest, k + 1)
+        return block.found(asks, probing["limit"].to_numpy(), probing["bound"].to_numpy())
+
+    def best_scores(listed: pa.Table, probing: pa.Table) -> pa.Table:
+        """One row for each query: its best scores."""
+        row, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if listed.num_rows and probing.num_rows:
+            parts = [(row, score) for row, _, score in searched(listed, probing)]
+            row, scores = (np.concatenate(x) for x in zip(*parts))
+        some, starts = np.unique(row, return_index=True)
+        ends = np.append(starts, len(row)).astype(np.int32)
+        ids = [pa.array(probing[name].to_numpy()[some], pa.int64()) for name in ("h", "first")]
+        return pa.table([*ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(scores, pa.float64()))], ("qh", "qfirst", "scores"))
+
+    def best_entries(listed: pa.Table, probing: pa.Table) -> pa.Table:
         names = ("qh", "qfirst", "h", "first", "score")
-        kinds = [pa.int64()] * 4 + [pa.float64()]
         if not listed.num_rows or not probing.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        points, asks = (_matrix(t["vec"].combine_chunks()) for t in (listed, probing))
-        first, known = listed["first"].to_numpy(), probing["bound"].to_numpy()
-        take = min(k + 1, len(points))
-        found: list[list[np.ndarray]] = [[], []]
-        scores = []
-        for start in range(0, len(asks), 512):
-            part = asks[start : start + 512] @ points.T
-            # all that tie with the last one stay, so that ties can go to the smaller id
-            bound = np.maximum(np.partition(part, len(points) - take, axis=1)[:, len(points) - take], known[start : start + 512])
-            row, at = np.nonzero(part >= bound[:, None])
-            value = part[row, at]
-            order = np.lexsort((first[at], -value, row))
-            row, at, value = row[order], at[order], value[order]
-            begin = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - begin < take
-            found[0].append(row[keep] + start)
-            found[1].append(at[keep])
-            scores.append(value[keep])
-        row, at = (np.concatenate(x) for x in found)
-        columns = [probing["h"].to_numpy()[row], probing["first"].to_numpy()[row], listed["h"].to_numpy()[at], first[at]]
-        return pa.table([*map(pa.array, columns), pa.array(np.concatenate(scores))], names)
-
-    def met(asked: DataFrame) -> DataFrame:
-        """The best of every list for its queries. Copies of an entry in several lists have the same score up to rounding; one of them counts."""
-        found = left.groupBy("list", "p", "q").cogroup(asked.groupBy("list", "p", "q")).applyInArrow(
-            score, "qh long, qfirst long, h long, first long, score double"
+            return pa.table([pa.array([], t) for t in [pa.int64()] * 4 + [pa.float64()]], names)
+        row, at, scores = (np.concatenate(x) for x in zip(*searched(listed, probing)))
+        columns = [probing["h"].to_numpy()[row], probing["first"].to_numpy()[row], listed["h"].to_numpy()[at], listed["first"].to_numpy()[at]]
+        return pa.table([*map(pa.array, columns), pa.array(scores)], names)
+
+    def search(some: DataFrame) -> DataFrame:
+        """The nearest lists first: in all lists only what reaches the last of the best found there is worth a row."""
+        none, near = F.lit(float("-inf")).alias("bound"), F.col("near").alias("limit")
+        to_near = some.select("h", "first", "vec", near, none, F.explode("near_sections").alias("section"))
+        early = met(F.slice("lists", 1, 1), to_near, best_scores, "qh long, qfirst long, scores array<double>")
+        best = F.sort_array(F.flatten(F.collect_list("scores")), asc=False)
+        least = F.get(best, F.lit(k)).alias("least")
+        bounds = materialize(
+            early.groupBy("qh", "qfirst").agg(least).select("qh", "qfirst", (F.col("least") - F.abs("least") * 1e-9).alias("least")), "bounds"
         )
-        return found.groupBy("qh", "qfirst", "h", "first").agg(F.max("score").alias("score"))
-
-    # the nearest lists first: of the others only what reaches the last of the best found there is worth a row
-    early = materialize(met(asking(probes.where("near"), F.lit(float("-inf")))), "early")
-    by_score = W.partitionBy("qh", "qfirst").orderBy(F.desc("score"))
-    last = early.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k + 1)
-    bounds = last.select("qh", "qfirst", (F.col("score") - F.abs("score") * 1e-9).alias("least"))
-    further = probes.where("NOT near").join(bounds, (F.col("h") == F.col("qh")) & (F.col("first") == F.col("qfirst")), "left")
-    late = met(asking(further, F.coalesce("least", F.lit(float("-inf")))))
-    nearest = early.unionByName(late).groupBy("qh", "qfirst", "h", "first").agg(F.max("score").alias("score"))
+        known = some.join(bounds, (F.col("h") == F.col("qh")) & (F.col("first") == F.col("qfirst")), "left")
+        bound = F.coalesce("least", F.lit(float("-inf"))).alias("bound")
+        to_all = known.select("h", "first", "vec", "limit", bound, F.explode("sections").alias("section"))
+        return met(F.col("lists"), to_all, best_entries, "qh long, qfirst long, h long, first long, score double")
+
+    rounds = max(1, -(-asking // min(rows_held, count // sections)))
+    if rounds == 1:
+        nearest = search(probes)
+    else:
+        turn = F.pmod(F.xxhash64("first", "h"), F.lit(rounds))
+        parts = [materialize(search(probes.where(turn == n)), "nearest") for n in range(rounds)]
+        nearest = reduce(DataFrame.unionByName, parts)
     by_entry = W.partitionBy("qh", "qfirst").orderBy(F.desc("score"), "first", "h")
     nearest = nearest.withColumn("at", F.row_number().over(by_entry)).where(F.col("at") <= k + 1)
     named = nearest.join(entries.select("h", "first", "ids"), ["h", "first"]).select(

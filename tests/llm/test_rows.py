@@ -9,6 +9,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -523,6 +524,85 @@ def test_graph_meets_the_lists_within_the_ratio():
     assert len(wanted) > 40 * 50
 
 
+def clustered_rows(n, dim, seed, spread=0.5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, dim))
+    vectors = (centres[rng.integers(0, 20, n)] + spread * rng.normal(size=(n, dim))).astype(np.float32)
+    return [(i, v.tolist()) for i, v in enumerate(vectors)]
+
+
+def test_no_vector_is_written_for_each_list(corpus_spark, monkeypatch):
+    """75 lists of which a query reads many: entries and queries are written once, whatever they are listed in or read."""
+    table = corpus_spark.createDataFrame(clustered_rows(3000, 16, 4, spread=3.0), "vec_id long, embedding array<float>").repartition(4)
+    written = {}
+
+    def counted(frame, label, materialize=ann.materialize):
+        frame = materialize(frame, label)
+        written[label] = frame.count()
+        return frame
+
+    monkeypatch.setattr(ann, "materialize", counted)
+    found = neighbours_found(table, list_rows=40)
+    assert recall_of(found, table) >= 0.9
+    assert written["entries"] == 3000 and written["queries"] == 150
+    assert written["postings"] == 3000 and written["probes"] == 150
+    assert max(written.values()) == 3000
+
+
+def test_sections_and_rounds(corpus_spark):
+    """Every row asks, in some dozens of sections and rounds."""
+    rows = clustered_rows(2000, 8, 5)
+    table = corpus_spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    vectors = dict(rows)
+    found = {}
+    shape = ann.Settings(list_rows=20, section_values=8 * 250)
+    for row in ann.nearest_neighbours(table, F.lit(True), k=5, settings=shape).orderBy("query_id", "rank").collect():
+        found.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    matrix = np.array([v for _, v in rows], dtype=float)
+    hits = []
+    for i, _ in rows:
+        assert [rank for rank, *_ in found[i]] == [1, 2, 3, 4, 5]
+        assert all(score == pytest.approx(np.dot(np.float64(vectors[i]), np.float64(vectors[j])), rel=1e-12) for _, j, score in found[i])
+        assert [(-score, j) for _, j, score in found[i]] == sorted((-score, j) for _, j, score in found[i])
+        score = matrix @ matrix[i]
+        score[i] = -np.inf
+        hits.append(len(set(np.argsort(-score)[:5]) & {j for _, j, _ in found[i]}) / 5)
+    assert len(found) == 2000 and np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("live", [1 << 22, 700])
+@pytest.mark.parametrize("read_all", [True, False])
+def test_block_against_brute_force(monkeypatch, live, read_all):
+    """With ties of more entries than are kept, known bounds and none, a few distances at a time; lists by themselves or all at once."""
+    monkeypatch.setattr(ann, "LIVE_DISTANCES", live)
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.integers(-3, 4, (200, 6)), np.tile([[2.0, 0, 1, 0, 0, 1]], (60, 1))]).astype(float)
+    points = points[(points != 0).any(axis=1)]
+    asks = np.concatenate([rng.integers(-3, 4, (30, 6)), [[1, 0, 0, 0, 0, 0]]]).astype(float) + 0.25
+    first = rng.permutation(len(points))
+    largest = float(np.sqrt((points**2).sum(axis=1).max()))
+    graph = ann.CentroidGraph(ann.balanced_centroids(ann._augmented(points, largest), 12, 1))
+    row, at, _ = graph.lists(ann._augmented(points, largest), 0.3)
+    lists = [at[row == n].tolist() for n in range(len(points))]
+    entries = pa.table({"vec": points.tolist(), "first": first, "lists": lists})
+    far = graph.every_distance(ann._lengthened(asks, largest))
+    limit = np.full(len(asks), far.max() + 1) if read_all else np.sort(far, axis=1)[:, 2] + 1e-6
+    score = asks @ points.T
+    bound = np.where(np.arange(len(asks)) % 2, -np.inf, np.sort(score, axis=1)[:, -15])
+    found = {n: [] for n in range(len(asks))}
+    for rows, entry, scores in ann.Block(entries, graph, largest, 10).found(asks, limit, bound):
+        for n, e, x in zip(rows.tolist(), entry.tolist(), scores.tolist()):
+            found[n].append((-x, first[e]))
+    for n in range(len(asks)):
+        listed = [any(far[n, x] <= limit[n] for x in of) for of in lists]
+        wanted = sorted((-score[n, e], first[e]) for e in range(len(points)) if listed[e] and score[n, e] >= bound[n])[:10]
+        best = [pair for pair in found[n] if -pair[0] >= bound[n]]
+        if read_all:
+            assert [pair[1] for pair in best] == [pair[1] for pair in wanted]
+        else:  # where all entries cost less than the lists, more are looked at
+            assert len(best) >= len(wanted) and all(a <= b for a, b in zip(best, wanted))
+
+
 # ---- pipeline
 
 
